@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import packing, quality
 from .common import documents
 
 
+def op2_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(documents(spark, sf_dir))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_best_fit_packing": op6_best_fit_packing}
+    return {"op2_adaptive_quality": op2_adaptive_quality, "op6_best_fit_packing": op6_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
