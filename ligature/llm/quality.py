@@ -19,9 +19,9 @@ MOST_REPEATED_PERCENT = 20
 #: Groups of fewer documents borrow the cutoffs of a larger group.
 LEAST_GROUP = 100
 #: A cutoff lies this many spreads (upper quartile minus median) beyond the upper quartile.
-SPREADS = 4
+SPREADS = 5
 #: measure -> (buckets of its grid, least spread). All are per thousand, but for word length, in tenths.
-MEASURES = {"symbols": (1000, 20), "word_length": (1000, 8), "dup_lines": (1000, 60), "repeats": (1000, 25)}
+MEASURES = {"symbols": (1000, 18), "word_length": (1000, 8), "dup_lines": (1000, 60), "repeats": (1000, 25)}
 
 
 def words(text: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality
+from . import packing, quality, secrets
 from .common import documents
 
 
@@ -18,8 +18,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_adaptive_quality": op2_adaptive_quality, "op6_best_fit_packing": op6_best_fit_packing}
+    return {"op2_adaptive_quality": op2_adaptive_quality, "op6_best_fit_packing": op6_best_fit_packing, "op9_markov_secrets": op9_markov_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
