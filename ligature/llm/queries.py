@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, secrets
+from . import media, packing, quality, secrets
 from .common import documents
 
 
@@ -22,8 +22,12 @@ def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_adaptive_quality": op2_adaptive_quality, "op6_best_fit_packing": op6_best_fit_packing, "op9_markov_secrets": op9_markov_secrets}
+    return {"op2_adaptive_quality": op2_adaptive_quality, "op6_best_fit_packing": op6_best_fit_packing, "op9_markov_secrets": op9_markov_secrets, "op10_media_columns": op10_media_columns}
 
 
 def oracle_sql() -> dict[str, str]:
