@@ -58,13 +58,3 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-class Memo(dict):
-    """A dict that forgets everything when it has grown past its limit, so that its memory stays bounded."""
-
-    def __init__(self, limit: int) -> None:
-        super().__init__()
-        self.limit = limit
-
-    def trim(self) -> None:
-        if len(self) > self.limit:
-            self.clear()

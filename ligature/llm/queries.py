@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, quality, secrets
+from . import lang_id, media, packing, quality, secret_scan
 from .common import documents
 
 
+def op1_marginal_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(documents(spark, sf_dir))
+
+
 def op2_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(documents(spark, sf_dir))
 
@@ -19,7 +23,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(documents(spark, sf_dir))
+    return secret_scan.scan(documents(spark, sf_dir))
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +31,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_adaptive_quality": op2_adaptive_quality, "op6_best_fit_packing": op6_best_fit_packing, "op9_markov_secrets": op9_markov_secrets, "op10_media_columns": op10_media_columns}
+    return {"op1_marginal_unigrams": op1_marginal_unigrams, "op2_adaptive_quality": op2_adaptive_quality, "op6_best_fit_packing": op6_best_fit_packing, "op9_markov_secrets": op9_markov_secrets, "op10_media_columns": op10_media_columns}
 
 
 def oracle_sql() -> dict[str, str]:
