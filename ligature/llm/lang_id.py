@@ -95,7 +95,7 @@ def fit(labelled: DataFrame, path: str | None = None, rounds: int = ROUNDS, samp
             piece, j = np.nonzero(total)
             yield pa.record_batch([pa.array(j.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[piece, j])], ["lang", "piece", "n"])
 
-        sums = counts.mapInArrow(expect, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+        sums = counts.mapInArrow(expect, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow().to_pandas()
         p = np.full((size, len(languages)), SMOOTHING)
         p[none] = 0.0
         p[sums["piece"].to_numpy(), sums["lang"].to_numpy()] += sums["n"].to_numpy()

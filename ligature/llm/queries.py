@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_id, media, packing, quality, secret_scan
+from . import lang_id, lm_score, media, packing, quality, secret_scan, sp_codec, token_counts
 from .common import documents
 
 
@@ -18,6 +18,19 @@ def op2_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(documents(spark, sf_dir))
 
 
+def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    return lm_score.cross_entropy_difference(documents(spark, sf_dir), good)
+
+
+def op4_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.attribute(documents(spark, sf_dir))
+
+
+def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_codec.digests(documents(spark, sf_dir))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -31,7 +44,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_marginal_unigrams": op1_marginal_unigrams, "op2_adaptive_quality": op2_adaptive_quality, "op6_best_fit_packing": op6_best_fit_packing, "op9_markov_secrets": op9_markov_secrets, "op10_media_columns": op10_media_columns}
+    return {"op1_marginal_unigrams": op1_marginal_unigrams, "op2_adaptive_quality": op2_adaptive_quality, "op3_cross_entropy_difference": op3_cross_entropy_difference, "op4_section_tokens": op4_section_tokens, "op5_sentencepiece_codec": op5_sentencepiece_codec, "op6_best_fit_packing": op6_best_fit_packing, "op9_markov_secrets": op9_markov_secrets, "op10_media_columns": op10_media_columns}
 
 
 def oracle_sql() -> dict[str, str]:
