@@ -52,8 +52,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
                 rows: list[tuple] = []
-                for i, words in zip(batch.column(0).to_pylist(), code.batch(batch.column(1).to_pylist()), strict=True):
-                    ids = b"".join(words) + end
+                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    ids = code.encode(t).tobytes() + end
                     for j, (s, n) in enumerate(cut_points(len(ids) // 4, capacity)):
                         rows.append((i, j, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])))
                 cols = list(zip(*rows, strict=True))

@@ -1,59 +1,48 @@
-"""Token ids of whole texts by a byte-level BPE, with a memo of the words met so far.
-
-A single space before a non-space character always starts a new pre-token, so a text can be cut there without
-changing its ids. Words repeat, so most of them are looked up and only new ones are encoded.
-"""
+"""Token ids of whole texts by a byte-level BPE."""
 
 from __future__ import annotations
 
+import base64
 import os
-import re
 
 import numpy as np
 
-from .common import Memo
-
-MEMO_WORDS = 400_000
-LOOSE_SPACE = re.compile(r" (?!\S)")
 _CODERS: dict[str, "Coder"] = {}
 
 
 class Coder:
-    """ids(text): little-endian unsigned 32-bit ids as bytes."""
+    """Ids of a text as little-endian unsigned 32-bit numbers.
 
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    The vocabulary is a tokenizers file (.json) or a file of ranks (.tiktoken); both give the same ids where they hold
+    the same vocabulary, the second faster. Strings of special tokens are ordinary text.
+    """
 
+    def __init__(self, path: str) -> None:
         self.path = path
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.memo = Memo(MEMO_WORDS)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in coded]
-
-    def words(self, text: str) -> list[str]:
-        """Pieces of text whose ids put together are the ids of text."""
-        if LOOSE_SPACE.search(text):
-            return [text]
-        head, *rest = text.split(" ")
-        return [head, *map(" ".__add__, rest)] if head else [" " + w for w in rest]
-
-    def batch(self, texts: list[str]) -> list[list[bytes]]:
-        """For each text the ids of its words."""
-        self.memo.trim()
-        words = [self.words(t) if t else [] for t in texts]
-        new = list({w for ws in words for w in ws}.difference(self.memo))
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            self.memo.update(zip(some, self.encode(some), strict=True))
-        memo = self.memo
-        out = [[memo[w] for w in ws] for ws in words]
-        for w in new:
-            if len(w) > 200:
-                del memo[w]
+        if path.endswith(".tiktoken"):
+            import public_tokenizers
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.tokens = {k: len(b) for b, k in ranks.items()}
+            self.plain = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True
+            self.tokens = {k: len(b) for b, k in tokenizer.get_vocab().items()}  # a letter stands for a byte
+            self.plain = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.array(self.plain(text) if text else [], "<u4")
+
+    def widths(self) -> np.ndarray:
+        """The number of bytes of each token."""
+        out = np.zeros(max(self.tokens) + 1, np.int64)
+        out[list(self.tokens)] = list(self.tokens.values())
         return out
 
 
@@ -66,4 +55,4 @@ def coder(path: str) -> Coder:
 def default_path() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
