@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,9 @@ from .pieces import default_path, load
 MARK = "▁"
 #: Stand-ins that no text can hold: between chunks, and for a mark that the text itself holds.
 BETWEEN, LITERAL = "\udc80", "\udc81"
-MEMO_CHUNKS = 150_000
+#: The first chunks that a worker meets are remembered, up to this number.
+MEMO_CHUNKS = 400_000
+BATCH = 1000
 CELLS = 400_000
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -35,11 +38,11 @@ class Codec:
         v = load(path)
         self.texts, self.bytes_, self.byte_of = v.texts, v.bytes_, v.byte_of
         self.longest = max(map(len, v.ids))
-        self.scores = np.full(len(v.texts) + 1, -np.inf)
+        self.scores = np.full(len(v.texts) + 2, -np.inf)  # the last stands for no piece
         self.automaton = ahocorasick.Automaton()
         for piece, k in v.ids.items():
             self.scores[k] = v.scores[piece]
-            self.automaton.add_word(piece, (k, len(piece)))
+            self.automaton.add_word(piece, k * 64 + len(piece))
         self.automaton.make_automaton()
         #: The score of a letter outside the vocabulary lies below every ordinary piece's.
         self.unknown = len(v.texts)
@@ -54,36 +57,42 @@ class Codec:
         lengths = np.array([len(c) for c in chunks])
         starts = np.concatenate([[0], np.cumsum(lengths + 1)])
         longest, width = int(lengths.max()), min(self.longest, int(lengths.max()))
-        found = [(end, k, n) for end, (k, n) in self.automaton.iter(BETWEEN.join(chunks))]
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(BETWEEN.join(chunks))), np.int64)
         ids = np.full((width, len(chunks), longest), -1, np.int32)
         ids[0] = np.where(np.arange(longest)[None, :] < lengths[:, None], self.unknown, -1)
-        if found:
-            end, k, n = np.array(found, np.int64).T
+        if len(found):
+            end, (k, n) = found[::2], np.divmod(found[1::2], 64)
             begin = end - n + 1
             row = np.searchsorted(starts, begin, "right") - 1
             ids[n - 1, row, begin - starts[row]] = k
+        present = (ids >= 0).any(axis=1)
         score = np.full((len(chunks), longest + 1), -np.inf)
         score[:, 0] = 0.0
         took = np.zeros((len(chunks), longest + 1), np.int8)
         for e in range(1, longest + 1):
+            top, by = score[:, e], took[:, e]
             for n in range(min(width, e), 0, -1):
-                k = ids[n - 1, :, e - n]
-                value = score[:, e - n] + np.where(k >= 0, self.scores[k], -np.inf)
-                better = value > score[:, e]
-                score[better, e], took[better, e] = value[better], n
+                if present[n - 1, e - n]:
+                    value = score[:, e - n] + self.scores[ids[n - 1, :, e - n]]
+                    better = value > top
+                    np.copyto(top, value, where=better)
+                    by[better] = n
         steps, at, rows = [], lengths.copy(), np.arange(len(chunks))
         while (live := at > 0).any():
             n = took[rows, at]
             steps.append(np.where(live, ids[n - 1, rows, np.maximum(at - n, 0)], -1))
             at = np.where(live, at - n, at)
         path = np.array(steps[::-1]).T
-        return [self.with_bytes(c, p[p >= 0]) for c, p in zip(chunks, path, strict=True)]
-
-    def with_bytes(self, chunk: str, ids: np.ndarray) -> bytes:
-        if not (ids == self.unknown).any():
-            return ids.astype("<u4").tobytes()
+        flat, ends = path[path >= 0].astype("<u4").tobytes(), np.cumsum((path >= 0).sum(axis=1)) * 4
+        out = [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        for i in np.flatnonzero((path == self.unknown).any(axis=1)):
+            out[i] = self.with_bytes(chunks[i], out[i])
+        return out
+
+    def with_bytes(self, chunk: str, ids: bytes) -> bytes:
+        """ids of a chunk with byte pieces for its letters outside the vocabulary."""
         out, at = [], 0
-        for k in ids.tolist():
+        for k in np.frombuffer(ids, "<u4").tolist():
             if k == self.unknown:
                 letter = MARK if chunk[at] == LITERAL else chunk[at]
                 out += [self.bytes_[b] for b in letter.encode()]
@@ -96,19 +105,20 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null or empty text has none."""
         parts = [self.chunks(t) if t else [] for t in texts]
-        new = sorted({c for p in parts for c in p}.difference(self.memo), key=len)
-        now, k = {}, 0
+        memo = self.memo
+        new = sorted({c for p in parts for c in p}.difference(memo), key=len)
+        k = 0
         while k < len(new):
-            n = max(1, CELLS // (self.longest * 4))
+            n = 6000
             while n > 1 and len(new[min(k + n, len(new)) - 1]) * n > CELLS:
                 n //= 2
             some = new[k : k + n]
-            now.update(zip(some, self.best(some), strict=True))
+            memo.update(zip(some, self.best(some), strict=True))
             k += n
-        if len(self.memo) < MEMO_CHUNKS:
-            self.memo.update(now)
-        look = {c: self.memo[c] for p in parts for c in p if c in self.memo} | now if now else self.memo
-        return [b"".join([look[c] for c in p]) for p in parts]
+        out = [b"".join([memo[c] for c in p]) for p in parts]
+        for c in new[max(0, len(new) - max(0, len(memo) - MEMO_CHUNKS)) :]:
+            del memo[c]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, whose first space mark stands for no letter."""
@@ -134,8 +144,8 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
+            for k in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(k, BATCH)
                 coded = codec(path).encode(batch.column(1).to_pylist())
                 ends = np.cumsum([0, *(len(b) // 4 for b in coded)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
@@ -167,8 +177,8 @@ def digests(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
+            for k in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(k, BATCH)
                 texts = batch.column(1).to_pylist()
                 coded = c.encode(texts)
                 cols = [pa.array([len(b) // 4 for b in coded], pa.int64()), pa.array([zlib.crc32(b) for b in coded], pa.int64()), pa.array([c.decode(b) == (t or "") for b, t in zip(coded, texts, strict=True)], pa.bool_())]
