@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_id, lm_score, media, near_dup, packing, quality, secret_scan, sp_codec, token_counts
+from . import lang_id, lm_score, media, near_dup, packing, quality, secret_scan, sp_codec, suffix_dedup, token_counts
 from .common import documents
 
 
@@ -35,6 +35,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op7_prefix_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
 def op8_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_marginal_unigrams": op1_marginal_unigrams, "op2_adaptive_quality": op2_adaptive_quality, "op3_cross_entropy_difference": op3_cross_entropy_difference, "op4_section_tokens": op4_section_tokens, "op5_sentencepiece_codec": op5_sentencepiece_codec, "op6_best_fit_packing": op6_best_fit_packing, "op8_bottom_k_near_duplicates": op8_bottom_k_near_duplicates, "op9_markov_secrets": op9_markov_secrets, "op10_media_columns": op10_media_columns}
+    return {"op1_marginal_unigrams": op1_marginal_unigrams, "op2_adaptive_quality": op2_adaptive_quality, "op3_cross_entropy_difference": op3_cross_entropy_difference, "op4_section_tokens": op4_section_tokens, "op5_sentencepiece_codec": op5_sentencepiece_codec, "op6_best_fit_packing": op6_best_fit_packing, "op7_prefix_doubling_dedup": op7_prefix_doubling_dedup, "op8_bottom_k_near_duplicates": op8_bottom_k_near_duplicates, "op9_markov_secrets": op9_markov_secrets, "op10_media_columns": op10_media_columns}
 
 
 def oracle_sql() -> dict[str, str]:
