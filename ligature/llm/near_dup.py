@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .graph import components
+from .membership import bit_of, has, marked, members
 from .rolling import mix
 from .shingles import blocks, shingle_sets
 
@@ -37,7 +38,6 @@ COMMON_DOCUMENTS = 64
 MOST_COMMON = 1 << 17
 #: A task reports a shingle that this many of its documents hold.
 LOCAL_COMMON = 4
-MEMBER_BITS = 26
 
 
 def retained(n: int) -> int:
@@ -101,31 +101,20 @@ def sketches(docs: DataFrame, common: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, SKETCHES)
 
 
-def members(ids: DataFrame) -> np.ndarray:
-    """A bit for the hash of each id (column `id`): a filter of fixed size, for skipping documents that no pair needs."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << MEMBER_BITS))
-    words = ids.select(F.shiftright(bit, 5).cast("int").alias("w"), F.pmod(bit, F.lit(32)).cast("int").alias("b"))
-    found = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).toArrow()
-    out = np.zeros(1 << (MEMBER_BITS - 5), np.uint32)
-    out[found.column(0).to_numpy()] = found.column(1).to_numpy().astype(np.uint32)
-    return out
-
-
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, shingles) of the documents in ids, and of few others."""
     shared = docs.sparkSession.sparkContext.broadcast(members(ids))
-    bit = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << MEMBER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
             at = batch.column(2).to_numpy(zero_copy_only=False)
-            some = batch.filter(pa.array((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
+            some = batch.filter(pa.array(has(bits, at)))
             for a, b, h, ends in _sets(some):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.record_batch([some.column(0).slice(a, b - a), lists], ["id", "shingles"])
 
-    return docs.select("doc_id", "text", bit.alias("bit")).mapInArrow(run, "id long, shingles array<long>")
+    return docs.select("doc_id", "text", bit_of("doc_id").alias("bit")).mapInArrow(run, "id long, shingles array<long>")
 
 
 def sizes_fit(n: Column, m: Column) -> Column:
@@ -195,3 +184,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     label = components(links(rows, classes))
     out = named.join(label, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without those that near_duplicates drops, one row for each doc_id; null ids all stay."""
+    plain = docs.select(F.col(doc_id).cast("long").alias("_id"), F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
+    found = cut(near_duplicates(docs, doc_id, text).where("doc_id is not null"))
+    some = cut(found.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 or not kept").select(F.col("doc_id").alias("_id"), "kept"))
+    both = marked(plain, some, "_id").withColumn("_in", F.col("_in") & F.col("_id").isNotNull())
+    checked = both.where("_in").join(some.where("not kept").select("_id"), "_id", "left_anti").dropDuplicates(["_id"])
+    return both.where("not _in").unionByName(checked).select(*(F.col("row")[c].alias(c) for c in docs.columns))

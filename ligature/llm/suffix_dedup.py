@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .near_dup import MEMBER_BITS, members
+from .membership import marked
 from .rolling import BASES, Prints, mix
 from .shingles import blocks
 
@@ -137,20 +137,7 @@ def block_rows(docs: DataFrame, wanted: DataFrame, block: int, length: int) -> D
 
 def needed(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """docs whose key may be among keys, by a filter of fixed size."""
-    return marked(docs, keys).where("_in").drop("_in")
-
-
-def marked(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(members(keys.select(F.col("h").alias("id"))))
-
-    @F.pandas_udf("boolean")
-    def among(bit):
-        import pandas as pd
-
-        at = bit.to_numpy()
-        return pd.Series((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
-
-    return docs.withColumn("_in", among(F.pmod(F.xxhash64("h"), F.lit(1 << MEMBER_BITS))))
+    return marked(docs, keys, "h").where("_in").drop("_in")
 
 
 def split(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
@@ -204,7 +191,7 @@ def with_intervals(docs: DataFrame, length: int = LENGTH, span: int = SPAN) -> D
     """docs (with h, crc, t) and `iv`, the intervals of their text, null if there are none."""
     found = duplicated(docs.select(*KEY, F.col("t").alias("text")), length, span)
     lists = found.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("iv"))
-    both = marked(docs, found)
+    both = marked(docs, found, "h")
     none = both.where("not _in").withColumn("iv", F.lit(None).cast("array<struct<lo:int,hi:int>>"))
     return none.unionByName(both.where("_in").join(lists, KEY, "left")).drop("_in")
 
