@@ -1,19 +1,608 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library and the SQL that states their results.
+
+Times and values are rounded to six digits on both sides. Queries without SQL are held against brute force in tests.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..functions import vectors as V
+from ..operators import affinity as A
+from ..operators import binning as B
+from ..operators import joins as J
+from ..operators import matching as M
+from ..operators import selection as C
+from ..operators import statistics as T
+from ..operators import trees as R
+from ..operators import views
+from ..shipping import ship
+from ..sources.tables import parsed_labels
+from . import sql as Q
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+SIZE = float(Q.SIZE)
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[name] = run
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def r6(c: str | Column, name: str | None = None) -> Column:
+    """Rounded to six digits, with -0 as 0."""
+    return (F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)).alias(name or c)
+
+
+def leaves(spark: SparkSession, d: str) -> DataFrame:
+    return B.leaves(views.notes(spark, d), SIZE)
+
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    return A.distances(A.represented(leaves(spark, d), "euclidean"))
+
+
+def balanced(spark: SparkSession, d: str) -> DataFrame:
+    return R.trees(leaves(spark, d), "balanced")
+
+
+def rated(spark: SparkSession, d: str) -> DataFrame:
+    return M.with_rates(views.scores(spark, d))
+
+
+# Bins, segments, sweeps
+
+
+@query("bin_histogram", f"WITH {Q.bins()} SELECT piece, bin, pc, round(weight,6)+0.0 weight FROM cells")
+def bin_histogram(spark, d):
+    return B.histogram(views.notes(spark, d), SIZE).select("piece", "bin", "pc", r6("weight"))
+
+
+@query("bin_bounds", f"WITH {Q.bins()} SELECT piece, b::int bin, round(b*96.0::double,6) AS start_qb, round(least((b+1)*96.0::double,total),6) end_qb FROM (SELECT piece, total, unnest(range(ceil(total/96)::int)) b FROM totals)")
+def bin_bounds(spark, d):
+    return B.bounds(views.notes(spark, d), SIZE).select("piece", "bin", r6("start", "start_qb"), r6("end", "end_qb"))
+
+
+@query("collapse_empty", f"WITH {Q.leaves(24)} SELECT piece, leaf, round(start_qb,6) start_qb, round(end_qb,6) end_qb, round(mass,6) mass FROM leaves")
+def collapse_empty(spark, d):
+    return B.leaves(views.notes(spark, d), 24.0).select("piece", "leaf", r6("start", "start_qb"), r6("end", "end_qb"), r6(V.total(F.col("vec")), "mass"))
+
+
+_ISLANDS = f"""{Q.NOTES}, a AS (SELECT * FROM notes WHERE value>=120), f AS (SELECT *, CASE WHEN row_number() OVER w=1 OR lag(event_type) OVER w<>event_type THEN 1 ELSE 0 END new, max(onset+dur) OVER (PARTITION BY piece) total FROM a WINDOW w AS (PARTITION BY piece ORDER BY onset, event_id)),
+ g AS (SELECT *, (sum(new) OVER (PARTITION BY piece ORDER BY onset, event_id ROWS UNBOUNDED PRECEDING)-1)::int seg FROM f),
+ segs AS (SELECT piece, seg, onset s, coalesce(lead(onset) OVER (PARTITION BY piece ORDER BY seg), total) e, event_type AS label, total FROM g WHERE new=1)"""
+
+
+def segments(spark, d):
+    return B.islands(views.annotations(spark, d), "localkey", ["onset", "event_id"], "onset", F.max(F.col("onset") + F.col("dur")))
+
+
+@query("localkey_segments", f"WITH {_ISLANDS} SELECT piece, seg, round(s,6) start_qb, round(e,6) end_qb, label FROM segs")
+def localkey_segments(spark, d):
+    return segments(spark, d).select("piece", "seg", r6("start", "start_qb"), r6("end", "end_qb"), "label")
+
+
+@query("reference_boundaries", f"WITH {_ISLANDS} SELECT piece, round(s,6) AS boundary_qb FROM segs WHERE seg>0")
+def reference_boundaries(spark, d):
+    return segments(spark, d).where("seg > 0").select("piece", r6("start", "boundary_qb"))
+
+
+@query("change_points", f"WITH {Q.NOTES}, x AS (SELECT piece, event_id, event_type, lag(event_type) OVER (PARTITION BY piece ORDER BY onset, event_id) before FROM notes) SELECT piece, event_id, before, event_type AS after FROM x WHERE before<>event_type")
+def change_points(spark, d):
+    w = Window.partitionBy("piece").orderBy("onset", "event_id")
+    return views.notes(spark, d).withColumn("before", F.lag("event_type").over(w)).where("before <> event_type").select("piece", "event_id", "before", F.col("event_type").alias("after"))
+
+
+@query("event_sweep", f"""WITH {Q.NOTES}, n AS (SELECT *, (midi%12)::int pc FROM notes WHERE dur>0), t AS (SELECT piece, onset t FROM n UNION SELECT piece, onset+dur FROM n UNION SELECT piece, 0.0 FROM n),
+ s AS (SELECT piece, t, lead(t) OVER (PARTITION BY piece ORDER BY t) nx FROM t) SELECT s.piece, round(s.t,6) start_qb, round(nx,6) end_qb, pc, count(*) active FROM s JOIN n ON n.piece=s.piece AND n.onset<=s.t AND n.onset+n.dur>s.t WHERE nx IS NOT NULL GROUP BY s.piece, s.t, nx, pc""")
+def event_sweep(spark, d):
+    return B.sweep(views.notes(spark, d)).select("piece", r6("start", "start_qb"), r6("end", "end_qb"), "pc", "active")
+
+
+@query("prefix_sums", f"WITH {Q.bins()} SELECT piece, pc, bin, round(sum(weight) OVER (PARTITION BY piece, pc ORDER BY bin),6) upto FROM cells")
+def prefix_sums(spark, d):
+    return B.prefix_sums(B.histogram(views.notes(spark, d), SIZE)).select("piece", "pc", "bin", r6("upto"))
+
+
+@query("context_windows", f"WITH {Q.leaves(24)}, x AS (SELECT piece, leaf, sum(mass) OVER a l, sum(mass) OVER b r, count(*) OVER a la, count(*) OVER b rb FROM leaves WINDOW a AS (PARTITION BY piece ORDER BY leaf ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY piece ORDER BY leaf ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)) SELECT piece, leaf, round(l,6) left_sum, round(r,6) right_sum FROM x WHERE la=2 AND rb=2")
+def context_windows(spark, d):
+    mass = B.leaves(views.notes(spark, d), 24.0).select("piece", "leaf", V.total(F.col("vec")).alias("value"))
+    return B.contexts(mass, 2).select("piece", "leaf", r6("left", "left_sum"), r6("right", "right_sum"))
+
+
+@query("resolution_pick", f"WITH {Q.NOTES}, t AS (SELECT piece, max(onset+dur) total FROM notes GROUP BY 1), c AS (SELECT piece, s, ceil(total/s)::bigint n FROM t CROSS JOIN (VALUES (24.0::double),(48.0::double),(96.0::double)) v(s)) SELECT piece, min(s) AS size, arg_min(n, s) AS n FROM c WHERE n<=16 GROUP BY 1")
+def resolution_pick(spark, d):
+    return B.pick_resolution(views.notes(spark, d), [24.0, 48.0, 96.0], 16)
+
+
+@query("resolution_pick_collapsed")
+def resolution_pick_collapsed(spark, d):
+    return B.pick_resolution(views.notes(spark, d), [24.0, 48.0, 96.0], 14, collapsed=True)
+
+
+@query("work_id", "SELECT doc_id, source||'_'||lang AS piece, source AS work FROM documents WHERE source NOT LIKE '%\\_%' ESCAPE '\\' AND lang NOT LIKE '%\\_%' ESCAPE '\\'")
+def work_id(spark, d):
+    piece = F.concat_ws("_", "source", "lang")
+    return spark.read.parquet(f"{d}/documents.parquet").where("instr(source,'_') = 0 and instr(lang,'_') = 0").select("doc_id", piece.alias("piece"), S.work_of(piece).alias("work"))
+
+
+@query("json_fields", "SELECT event_id, cast(json_extract(props, '$.k') AS bigint) AS k FROM events")
+def json_fields(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("turn_islands", """WITH f AS (SELECT *, CASE WHEN row_number() OVER w=1 OR lag(role) OVER w<>role THEN 1 ELSE 0 END new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+ g AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)-1 seg FROM f) SELECT conv_id::varchar AS piece, seg::int AS seg, min(turn)::bigint AS first_turn, role FROM g GROUP BY conv_id, seg, role""")
+def turn_islands(spark, d):
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").cast("string").alias("piece"), "turn", "role")
+    return B.islands(rows, "role", ["turn"], "turn", F.max("turn")).select("piece", "seg", F.col("start").cast("long").alias("first_turn"), F.col("label").alias("role"))
+
+
+# Vectors and distances
+
+
+@query("l1_norm", f"WITH {Q.leaves()} SELECT piece, leaf, pc, round(u,6)+0.0 u FROM unit")
+def l1_norm(spark, d):
+    return leaves(spark, d).select("piece", "leaf", F.posexplode(V.l1_or_uniform(F.col("vec"))).alias("pc", "u")).select("piece", "leaf", "pc", r6("u"))
+
+
+def _distance(name: str):
+    return lambda spark, d: A.adjacent(leaves(spark, d), lambda a, b: V.distance(name, a, b)).select("piece", "split", r6("dist"))
+
+
+query("dist_euclidean", f"WITH {Q.leaves()} SELECT a.piece, b.leaf AS split, round(sqrt(sum((a.u-b.u)*(a.u-b.u))),6) dist FROM unit a JOIN unit b ON a.piece=b.piece AND a.leaf+1=b.leaf AND a.pc=b.pc GROUP BY 1,2")(_distance("euclidean"))
+query("dist_fifths", f"WITH {Q.leaves()}, {Q.ANGLES}, e AS (SELECT piece, leaf, sum(u*cos(a)) x, sum(u*sin(a)) y FROM unit JOIN angles USING(pc) GROUP BY 1,2) SELECT a.piece, b.leaf AS split, round(sqrt((a.x-b.x)**2+(a.y-b.y)**2),6) dist FROM e a JOIN e b ON a.piece=b.piece AND a.leaf+1=b.leaf")(_distance("circle_of_fifths"))
+query("dist_key_profile", f"WITH {Q.leaves()}, {Q.activations('unit', 'piece, leaf')} SELECT a.piece, b.leaf AS split, round(sqrt(sum((a.r-b.r)*(a.r-b.r))),6) dist FROM acts a JOIN acts b ON a.piece=b.piece AND a.leaf+1=b.leaf AND a.k=b.k GROUP BY 1,2")(_distance("key_profile"))
+query("dist_fixed_weighted", f"WITH {Q.leaves()}, {Q.MODES} SELECT a.piece, b.leaf AS split, round(sqrt(sum(w*(a.u-b.u)*(a.u-b.u))),6) dist FROM unit a JOIN unit b ON a.piece=b.piece AND a.leaf+1=b.leaf AND a.pc=b.pc JOIN modes m ON m.pc=a.pc AND m.major GROUP BY 1,2")(_distance("fixed_weighted"))
+
+_KEY = f"""{Q.leaves()}, piece_vec AS (SELECT piece, pc, sum(v) s FROM dense GROUP BY 1,2), whole AS (SELECT piece, pc, s/sum(s) OVER (PARTITION BY piece) u FROM piece_vec), {Q.activations('whole', 'piece')},
+ keyed AS (SELECT piece, r, (k//2)::int tonic, k%2=0 AS major FROM acts QUALIFY row_number() OVER (PARTITION BY piece ORDER BY r DESC, k//2, k%2)=1)"""
+
+
+def keys(spark, d):
+    cells = B.histogram(views.notes(spark, d), SIZE)
+    return B.dense(cells, "piece").select("piece", V.global_key(F.col("vec")).alias("key"))
+
+
+@query("global_key", f"WITH {_KEY} SELECT piece, tonic, major, round(r,6) correlation FROM keyed")
+def global_key(spark, d):
+    return keys(spark, d).select("piece", "key.tonic", "key.major", r6("key.correlation", "correlation"))
+
+
+@query("dist_tonic_weighted", f"WITH {_KEY}, {Q.MODES} SELECT a.piece, b.leaf AS split, round(sqrt(sum(w*(a.u-b.u)*(a.u-b.u))),6) dist FROM unit a JOIN unit b ON a.piece=b.piece AND a.leaf+1=b.leaf AND a.pc=b.pc JOIN keyed k ON k.piece=a.piece JOIN modes m ON m.major=k.major AND m.pc=(a.pc-tonic+12)%12 GROUP BY 1,2")
+def dist_tonic_weighted(spark, d):
+    w = keys(spark, d).select("piece", V.tonic_weights(F.col("key")).alias("w"))
+    rows = leaves(spark, d).join(w, "piece").select("piece", "leaf", V.weighted(F.col("vec"), F.col("w")).alias("vec"))
+    return A.adjacent(rows, V.l2).select("piece", "split", r6("dist"))
+
+
+@query("dist_mixture", f"WITH {Q.leaves()}, {Q.ANGLES}, x AS (SELECT a.piece, b.leaf split, sqrt(sum((a.u-b.u)*(a.u-b.u))) p, sqrt(sum((a.u-b.u)*cos(a))**2+sum((a.u-b.u)*sin(a))**2) q FROM unit a JOIN unit b ON a.piece=b.piece AND a.leaf+1=b.leaf AND a.pc=b.pc JOIN angles g ON g.pc=a.pc GROUP BY 1,2) SELECT piece, split, round(p/0.5*0.7+q/0.4*0.3,6) dist FROM x".replace("cos(a)", "cos(g.a)").replace("sin(a)", "sin(g.a)"))
+def dist_mixture(spark, d):
+    mix = lambda a, b: V.mixture([V.distance("euclidean", a, b), V.distance("circle_of_fifths", a, b)], [0.7, 0.3], [0.5, 0.4])
+    return A.adjacent(leaves(spark, d), mix).select("piece", "split", r6("dist"))
+
+
+@query("dist_diagonal", f"WITH {Q.leaves()} SELECT a.piece, b.leaf AS split, round(sqrt(sum((a.pc+1)/78.0::double*(a.u-b.u)*(a.u-b.u))),6) dist FROM unit a JOIN unit b ON a.piece=b.piece AND a.leaf+1=b.leaf AND a.pc=b.pc GROUP BY 1,2")
+def dist_diagonal(spark, d):
+    return A.adjacent(leaves(spark, d), lambda a, b: V.diagonal(a, b, [(k + 1) / 78 for k in range(12)])).select("piece", "split", r6("dist"))
+
+
+@query("transpose", f"WITH {Q.leaves()} SELECT piece, leaf, ((pc+leaf)%12)::int pc, round(v,6)+0.0 v FROM dense")
+def transpose(spark, d):
+    return leaves(spark, d).select("piece", "leaf", F.posexplode(V.transposed(F.col("vec"), F.col("leaf"))).alias("pc", "v")).select("piece", "leaf", "pc", r6("v"))
+
+
+@query("affinity_scale", f"WITH {Q.pair_distances()} SELECT piece, round(scale,6) scale FROM scales")
+def affinity_scale(spark, d):
+    return A.scales(pairs(spark, d)).select("piece", r6("scale"))
+
+
+@query("affinity", f"WITH {Q.pair_distances()} SELECT piece, i, j, round(aff,6)+0.0 aff FROM aff")
+def affinity(spark, d):
+    return A.affinity(pairs(spark, d)).select("piece", "i", "j", r6("aff"))
+
+
+@query("affinity_context", f"WITH {Q.pair_distances()} SELECT piece, i, j, round(avg(aff) OVER (PARTITION BY piece, j-i ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING),6)+0.0 aff FROM aff")
+def affinity_context(spark, d):
+    return A.smoothed(A.affinity(pairs(spark, d)), leaves(spark, d), 1).select("piece", "i", "j", r6("aff"))
+
+
+_CONTRAST = f"""{Q.pair_distances()}, con AS (SELECT s.piece, s.leaf split, avg(d) FILTER (WHERE i<s.leaf AND j>=s.leaf) - (coalesce(avg(d) FILTER (WHERE j<s.leaf),0)+coalesce(avg(d) FILTER (WHERE i>=s.leaf),0))/2 c
+ FROM leaves s JOIN pairs p ON p.piece=s.piece AND p.i>=s.leaf-2 AND p.j<s.leaf+2 WHERE s.leaf>0 GROUP BY 1,2)"""
+
+
+def contrasts(spark, d):
+    return A.contrasts(pairs(spark, d), leaves(spark, d), 2)
+
+
+@query("contrast_features", f"WITH {_CONTRAST} SELECT piece, split, round(c,6)+0.0 contrast FROM con")
+def contrast_features(spark, d):
+    return contrasts(spark, d).select("piece", "split", r6("contrast"))
+
+
+_SCALER = f"{_CONTRAST}, med AS (SELECT median(c) med, median(c) FILTER (WHERE c>0) pos FROM con), sc AS (SELECT med, mad, greatest(1.4826*mad, coalesce(pos,0), 1e-8) scale FROM (SELECT any_value(med) med, any_value(pos) pos, median(abs(c-med)) mad FROM con CROSS JOIN med))"
+
+
+@query("robust_scaler", f"WITH {_SCALER} SELECT round(med,6) med, round(mad,6) mad, round(scale,6) scale FROM sc")
+def robust_scaler(spark, d):
+    return A.robust_scaler(contrasts(spark, d), "contrast").select(r6("med"), r6("mad"), r6("scale"))
+
+
+@query("calibrated", f"WITH {_SCALER}, b AS (SELECT *, 1/(1+exp(med/scale)) base FROM sc) SELECT piece, split, round(greatest(0, least(1, (1/(1+exp(-(c-med)/scale))-base)/greatest(1-base,1e-12))),6)+0.0 calibrated FROM con CROSS JOIN b")
+def calibrated(spark, d):
+    return A.calibrated(contrasts(spark, d), "contrast").select("piece", "split", r6("calibrated"))
+
+
+@query("nearest_edge", f"WITH {_ISLANDS}, {Q.leaves().replace(Q.NOTES + ', ', '')}, x AS (SELECT DISTINCT piece, s t FROM segs WHERE seg>0), y AS (SELECT x.piece, t, start_qb edge, row_number() OVER (PARTITION BY x.piece, t ORDER BY abs(start_qb-t), start_qb) r FROM x JOIN leaves l ON l.piece=x.piece AND leaf>0) SELECT DISTINCT piece, round(edge,6) edge FROM y WHERE r=1")
+def nearest_edge(spark, d):
+    marks = segments(spark, d).where("seg > 0").select("piece", F.col("start").alias("t"))
+    edges = leaves(spark, d).where("leaf > 0").select("piece", F.col("start").alias("t"))
+    return A.nearest_edges(marks, edges).select("piece", r6("edge"))
+
+
+@query("hard_negatives")
+def hard_negatives(spark, d):
+    work = views.notes(spark, d).select("piece", "work").distinct()
+    marks = segments(spark, d).where("seg > 0").select("piece", F.col("start").alias("t"))
+    edges = leaves(spark, d).where("leaf > 0")
+    positive = A.nearest_edges(marks, edges.select("piece", F.col("start").alias("t"))).withColumn("positive", F.lit(True))
+    rows = A.calibrated(contrasts(spark, d), "contrast").join(edges.select("piece", F.col("leaf").alias("split"), F.col("start").alias("edge")), ["piece", "split"]).join(positive, ["piece", "edge"], "left").join(work, "piece")
+    return A.hard_negatives(rows.select("work", "piece", "split", F.col("calibrated").alias("score"), F.coalesce("positive", F.lit(False)).alias("positive")))
+
+
+# Joins and manifests
+
+
+@query("pair_inner", "SELECT DISTINCT user_id AS id FROM events WHERE value>=120 AND user_id IN (SELECT c_custkey FROM customer)")
+def pair_inner(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").where("value >= 120").select(F.col("user_id").alias("id")).distinct()
+    return e.join(spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id")), "id").distinct()
+
+
+@query("manifest_full_outer", "WITH a AS (SELECT DISTINCT doc_id FROM documents), b AS (SELECT DISTINCT doc_id FROM labels) SELECT coalesce(a.doc_id,b.doc_id) doc_id, CASE WHEN a.doc_id IS NULL OR b.doc_id IS NULL THEN 'excluded' ELSE 'included' END status, CASE WHEN a.doc_id IS NULL THEN 'missing_left' WHEN b.doc_id IS NULL THEN 'missing_right' ELSE '' END reason FROM a FULL JOIN b ON a.doc_id=b.doc_id")
+def manifest_full_outer(spark, d):
+    return J.paired(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+
+
+@query("manifest_cardinality", "WITH c AS (SELECT o_custkey k, count(*) n FROM orders GROUP BY 1) SELECT c_custkey, coalesce(n,0) matches, CASE WHEN coalesce(n,0)=0 THEN 'missing' WHEN n>1 THEN 'ambiguous' ELSE '' END reason, CASE WHEN n=1 THEN 'included' ELSE 'excluded' END status FROM customer LEFT JOIN c ON k=c_custkey")
+def manifest_cardinality(spark, d):
+    left = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.col("c_custkey").alias("key"))
+    right = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("key"))
+    return J.checked_lookup(left, right, "key").select("c_custkey", "matches", "reason", "status")
+
+
+@query("contain_join", f"WITH {_ISLANDS} SELECT n.piece, event_id, seg FROM notes n JOIN segs g ON g.piece=n.piece AND n.onset>=s AND n.onset+n.dur<=e")
+def contain_join(spark, d):
+    inner = views.notes(spark, d).select("piece", "event_id", F.col("onset").alias("s"), (F.col("onset") + F.col("dur")).alias("e"))
+    return J.contained(inner, segments(spark, d), "piece").select("piece", "event_id", "seg")
+
+
+@query("point_in_interval", f"WITH {_ISLANDS}, x AS (SELECT n.piece, event_id, seg, row_number() OVER (PARTITION BY n.piece, n.onset ORDER BY s, e) r FROM notes n JOIN segs g ON g.piece=n.piece AND n.onset>=s AND n.onset<e) SELECT piece, event_id, seg FROM x WHERE r=1")
+def point_in_interval(spark, d):
+    points = views.notes(spark, d).select("piece", "event_id", F.col("onset").alias("t"))
+    return J.first_section(points, segments(spark, d), "piece").select("piece", "event_id", "seg")
+
+
+@query("safe_actions_anti", f"WITH {Q.leaves()} SELECT a.piece, a.leaf AS first, b.leaf AS last FROM leaves a JOIN leaves b ON a.piece=b.piece AND b.leaf>a.leaf WHERE NOT EXISTS (SELECT 1 FROM leaves m WHERE m.piece=a.piece AND m.leaf%3=0 AND m.leaf>a.leaf AND m.leaf<=b.leaf)")
+def safe_actions_anti(spark, d):
+    one = leaves(spark, d).select("piece", "leaf")
+    every = one.select("piece", F.col("leaf").alias("first")).join(one.select("piece", F.col("leaf").alias("last")), "piece").where("first < last")
+    return J.safe_pairs(every, one.where("leaf % 3 = 0").select("piece", F.col("leaf").alias("split")))
+
+
+@query("semi_spans", f"WITH RECURSIVE {Q.balanced()} SELECT DISTINCT a.piece, a.first, a.last FROM nodes a WHERE a.split IS NOT NULL AND (a.first+a.last)%2=1")
+def semi_spans(spark, d):
+    one = leaves(spark, d).select("piece", "leaf")
+    every = one.select("piece", F.col("leaf").alias("first")).join(one.select("piece", F.col("leaf").alias("last")), "piece").where("first < last and (first + last) % 2 = 1")
+    return every.join(R.internal(balanced(spark, d)).select("piece", "first", "last"), ["piece", "first", "last"], "left_semi")
+
+
+@query("set_ops", "SELECT 'both' AS kind, count(*) n FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'only_documents', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'any', count(*) FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels)")
+def set_ops(spark, d):
+    a, b = (spark.read.parquet(f"{d}/{t}.parquet").select("doc_id") for t in ("documents", "labels"))
+    count = lambda df, k: df.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n")
+    return count(a.intersect(b), "both").unionAll(count(a.subtract(b), "only_documents")).unionAll(count(a.union(b).distinct(), "any"))
+
+
+# Trees
+
+
+def _tree(method: str, view: Callable, distance: str = "euclidean", **options):
+    return lambda spark, d: R.trees(view(spark, d), method, distance, **options).select(*(c if c not in ("start", "end", "mean_affinity", "objective") else r6(c) for c in (x.split()[0] for x in R.NODES.split(", "))))
+
+
+for _m in ("greedy", "random"):
+    query(f"tree_{_m}")(_tree(_m, leaves))
+for _m in ("linkage", "boundary_greedy", "boundary"):
+    query(f"tree_{_m}")(_tree(_m, views.sequences, "plain"))
+
+
+@query("tree_balanced", f"WITH RECURSIVE {Q.balanced()} SELECT piece, first, last, depth::int AS depth, split::int AS split, round(s,6) start_qb, round(e,6) end_qb FROM nodes")
+def tree_balanced(spark, d):
+    return balanced(spark, d).select("piece", "first", "last", "depth", "split", r6("start", "start_qb"), r6("end", "end_qb"))
+
+
+def _objective(method: str):
+    return lambda spark, d: R.trees(leaves(spark, d), method).where("parent is null").select("piece", r6("objective"))
+
+
+query("dp_affinity", f"WITH {Q.program('affinity')} SELECT p.piece, round(v,6)+0.0 AS objective FROM p7 p JOIN ends USING(piece) WHERE i=0 AND j=n")(_objective("affinity"))
+query("dp_additive", f"WITH {Q.program('additive')} SELECT p.piece, round(v,6)+0.0 AS objective FROM p7 p JOIN ends USING(piece) WHERE i=0 AND j=n")(_objective("additive"))
+
+
+@query("tree_counts", f"WITH RECURSIVE {Q.balanced()} SELECT piece, count(*) AS nodes, count(*) FILTER (WHERE split IS NULL) AS leaves FROM nodes GROUP BY 1")
+def tree_counts(spark, d):
+    return R.counts(balanced(spark, d))
+
+
+@query("prune", f"WITH RECURSIVE {Q.balanced()} SELECT piece, first, last, depth::int AS depth, (CASE WHEN depth<2 THEN split END)::int AS split FROM nodes WHERE depth<=2")
+def prune(spark, d):
+    return R.pruned(balanced(spark, d), 2).select("piece", "first", "last", "depth", "split")
+
+
+@query("prune_match", f"WITH RECURSIVE {Q.balanced()}, g AS (SELECT x.piece, d, count(*) c FROM (SELECT piece, max(depth) m FROM nodes GROUP BY 1) x JOIN range(40) r(d) ON d<=m JOIN nodes q ON q.piece=x.piece AND (q.depth=d OR (q.split IS NULL AND q.depth<d)) GROUP BY 1,2) SELECT piece, d::int AS depth, c AS leaves FROM g QUALIFY row_number() OVER (PARTITION BY piece ORDER BY abs(c-5), d)=1")
+def prune_match(spark, d):
+    tree = balanced(spark, d)
+    return R.prune_depths(tree, tree.select("piece").distinct().withColumn("target", F.lit(5)))
+
+
+@query("top_splits", f"WITH RECURSIVE {Q.balanced()} SELECT DISTINCT piece, round(t,6) AS boundary_qb FROM nodes WHERE split IS NOT NULL AND depth<2")
+def top_splits(spark, d):
+    return R.top_splits(balanced(spark, d), 2).select("piece", r6("t", "boundary_qb"))
+
+
+@query("k_splits")
+def k_splits(spark, d):
+    return R.k_splits(R.trees(leaves(spark, d), "greedy"), 3).select("piece", r6("t", "boundary_qb"))
+
+
+@query("prominence", f"WITH RECURSIVE {Q.balanced()} SELECT x.piece, round(x.t,6) boundary_qb, round((x.e-x.s)/(r.e-r.s),6) prominence, (x.last-x.first+1)::int AS leaf_count FROM nodes x JOIN nodes r ON r.piece=x.piece AND r.depth=0 WHERE x.split IS NOT NULL")
+def prominence(spark, d):
+    return R.prominence(balanced(spark, d)).select("piece", r6("t", "boundary_qb"), r6("prominence"), "leaf_count")
+
+
+@query("prominent_splits")
+def prominent_splits(spark, d):
+    return R.prominent(R.trees(leaves(spark, d), "affinity"), 3).select("piece", r6("t", "boundary_qb"), r6("prominence"))
+
+
+@query("salience", f"WITH RECURSIVE {Q.balanced()} SELECT piece, split::int AS split, round(ln(last-first+1)/ln(n),6) salience FROM nodes WHERE split IS NOT NULL")
+def salience(spark, d):
+    return R.salience(balanced(spark, d)).select("piece", "split", r6("salience"))
+
+
+@query("salient_splits")
+def salient_splits(spark, d):
+    con = contrasts(spark, d).withColumn("contrast", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("contrast"))))
+    return R.salient(R.trees(leaves(spark, d), "affinity"), con, threshold=0.2).select("piece", "split", r6("salience"))
+
+
+@query("shape_diag", f"""WITH RECURSIVE {Q.balanced()}, x AS (SELECT piece, count(*) FILTER (WHERE split IS NULL) leaves, max(depth) FILTER (WHERE split IS NULL) max_depth, sum(depth) FILTER (WHERE split IS NULL) sackin, coalesce(sum(abs(2*split-first-last-1)),0) colless,
+ coalesce(max(CASE WHEN depth=0 THEN least(split-first,last+1-split)/greatest(split-first,last+1-split) END),1.0) root_ratio FROM nodes GROUP BY 1) SELECT piece, leaves, max_depth::int AS max_depth, sackin::bigint AS sackin, colless::bigint AS colless, round(root_ratio,6) AS root_ratio FROM x""")
+def shape_diag(spark, d):
+    return R.shape(balanced(spark, d)).select("piece", "leaves", "max_depth", "sackin", F.col("colless").cast("long").alias("colless"), r6("root_ratio"))
+
+
+@query("revenue_recompute", f"WITH RECURSIVE {Q.balanced()}, {Q.pair_distances().replace(Q.leaves() + ', ', '')} SELECT x.piece, round(sum((n-(last-first+1))*aff),6)+0.0 revenue FROM nodes x JOIN aff a ON a.piece=x.piece AND i>=first AND i<split AND j>=split AND j<=last WHERE split IS NOT NULL GROUP BY 1")
+def revenue_recompute(spark, d):
+    return R.revenue(balanced(spark, d), A.affinity(pairs(spark, d))).select("piece", r6("revenue"))
+
+
+@query("program_not_worse")
+def program_not_worse(spark, d):
+    """Pieces where greedy linkage earns more than the exact program; there must be none."""
+    aff = A.affinity(pairs(spark, d))
+    one = R.revenue(R.trees(leaves(spark, d), "affinity"), aff).select("piece", F.col("revenue").alias("exact"))
+    two = R.revenue(R.trees(leaves(spark, d), "linkage"), aff).select("piece", F.col("revenue").alias("greedy"))
+    return one.join(two, "piece").groupBy().agg(F.count("*").alias("pieces"), F.sum((F.col("greedy") > F.col("exact") + 1e-8).cast("int")).alias("violations"))
+
+
+@query("invalid_nodes")
+def invalid_nodes(spark, d):
+    return R.invalid(R.trees(leaves(spark, d), "greedy")).groupBy().agg(F.count("*").alias("violations"))
+
+
+@query("tree_edges")
+def tree_edges(spark, d):
+    return R.edges(balanced(spark, d), 3).select("piece", "node", r6("centre"), r6("width"), "depth", r6("parent_centre"), r6("parent_width"))
+
+
+def labelled(spark, d, method):
+    total = B.totals(views.notes(spark, d))
+    nodes = R.trees(leaves(spark, d), method).join(total, "piece")
+    return nodes.select("piece", "node", "depth", S.label_bucket((F.col("start") + F.col("end")) / 2, F.col("end") - F.col("start"), F.col("total"), 20, 10).alias("label"))
+
+
+@query("ted")
+def ted(spark, d):
+    return R.edit_distances(labelled(spark, d, "greedy"), labelled(spark, d, "affinity")).select("piece", "ted", "nodes_a", "nodes_b", r6("by_max"), r6("by_sum"))
+
+
+# Matching and metrics
+
+
+def predicted(spark, d):
+    return R.prominent(R.trees(leaves(spark, d), "affinity"), 3).select("piece", "t")
+
+
+def reference(spark, d):
+    return segments(spark, d).where("seg > 0").select("piece", F.col("start").alias("t"))
+
+
+@query("boundary_match")
+def boundary_match(spark, d):
+    return M.boundary_scores(predicted(spark, d), reference(spark, d), 48.0).select("piece", "tp", "fp", "fn", r6("precision"), r6("recall"), r6("f1"), r6("error"))
+
+
+@query("span_match")
+def span_match(spark, d):
+    return M.span_scores(M.spans_of(predicted(spark, d)), M.spans_of(reference(spark, d)), 96.0).select("piece", "tp", "fp", "fn", r6("f1"))
+
+
+@query("projection")
+def projection(spark, d):
+    edges = leaves(spark, d).where("leaf > 0").select("piece", F.col("start").alias("t"))
+    return M.projected(reference(spark, d), edges).select("piece", r6("t"), r6("edge"))
+
+
+@query("greedy_match")
+def greedy_match(spark, d):
+    return M.greedy_matches(predicted(spark, d), reference(spark, d), 48.0).select("piece", r6("r"), r6("p"))
+
+
+@query("interval_iou", f"""WITH {_ISLANDS}, b AS (SELECT piece, onset AS s, onset+dur AS e FROM notes WHERE value>=60), ev AS (SELECT piece, s t, 1 x, 0 y FROM segs WHERE e>s AND seg%2=0 UNION ALL SELECT piece, e, -1, 0 FROM segs WHERE e>s AND seg%2=0 UNION ALL SELECT piece, s, 0, 1 FROM b WHERE e>s UNION ALL SELECT piece, e, 0, -1 FROM b WHERE e>s),
+ net AS (SELECT piece, t, sum(x) x, sum(y) y FROM ev GROUP BY 1,2), r AS (SELECT piece, sum(x) OVER w x, sum(y) OVER w y, lead(t) OVER w - t d FROM net WINDOW w AS (PARTITION BY piece ORDER BY t)) SELECT piece, round(coalesce(sum(d) FILTER (WHERE x>0 AND y>0),0)/sum(d) FILTER (WHERE x>0 OR y>0),6) iou FROM r GROUP BY 1""")
+def interval_iou(spark, d):
+    one = segments(spark, d).where("seg % 2 = 0").select("piece", "start", "end")
+    two = views.notes(spark, d).where("value >= 60").select("piece", F.col("onset").alias("start"), (F.col("onset") + F.col("dur")).alias("end"))
+    return M.union_iou(one, two).select("piece", r6("iou"))
+
+
+@query("best_span_iou", f"WITH {_ISLANDS}, {Q.leaves().replace(Q.NOTES + ', ', '')} SELECT g.piece, seg, round(max(CASE WHEN i<=0 THEN 0 ELSE i/((e-s)+(end_qb-start_qb)-i) END),6)+0.0 iou FROM (SELECT g.piece, seg, s, e, start_qb, end_qb, least(e,end_qb)-greatest(s,start_qb) i FROM segs g JOIN leaves l ON l.piece=g.piece) g GROUP BY 1,2")
+def best_span_iou(spark, d):
+    seg = segments(spark, d).select("piece", "seg", "start", "end")
+    iou = M.best_iou(leaves(spark, d).select("piece", "start", "end"), seg.select("piece", "start", "end").distinct())
+    return seg.join(iou, ["piece", "start", "end"]).select("piece", "seg", r6("iou"))
+
+
+@query("average_precision", f"WITH {Q.NOTES}, x AS (SELECT piece, value>=60 pos, row_number() OVER (PARTITION BY piece ORDER BY midi DESC, event_id) r, sum((value>=60)::int) OVER (PARTITION BY piece ORDER BY midi DESC, event_id ROWS UNBOUNDED PRECEDING) h FROM notes) SELECT piece, round(coalesce(avg(h/r) FILTER (WHERE pos),0),6)+0.0 ap FROM x GROUP BY 1")
+def average_precision(spark, d):
+    rows = views.notes(spark, d).select("piece", F.col("midi").alias("score"), (F.col("value") >= 60).alias("positive"), F.col("event_id").alias("at"))
+    return M.average_precision(rows, "piece").select("piece", r6("ap"))
+
+
+# Statistics and selection
+
+
+@query("work_macro", f"WITH {Q.SCORES}, w AS (SELECT work, cfg, avg(f1) f FROM full_scores GROUP BY 1,2) SELECT cfg, count(DISTINCT work) works, round(avg(f),6) mean, round(stddev_samp(f),6) std FROM w GROUP BY 1")
+def work_macro(spark, d):
+    return T.macro(rated(spark, d), ["cfg"], "f1").select("cfg", "works", r6("mean"), r6("std"))
+
+
+@query("grouped_mean", f"WITH {Q.SCORES} SELECT round(avg(m),6) mean FROM (SELECT work, avg(f1) m FROM full_scores GROUP BY 1)")
+def grouped_mean(spark, d):
+    return T.grouped_mean(rated(spark, d), "work", "f1").select(r6("mean"))
+
+
+@query("micro", f"WITH {Q.SCORES}, s AS (SELECT cfg, sum(tp)::bigint tp, sum(fp)::bigint fp, sum(fn)::bigint fn FROM scores GROUP BY 1) SELECT cfg, tp, fp, fn, round(tp/(tp+fp),6) AS \"precision\", round(tp/(tp+fn),6) recall FROM s")
+def micro(spark, d):
+    return T.micro(views.scores(spark, d), "cfg").select("cfg", "tp", "fp", "fn", r6("precision"), r6("recall"))
+
+
+@query("seed_summary", f"WITH {Q.SCORES}, w AS (SELECT work, cfg, seed, avg(f1) f FROM full_scores GROUP BY 1,2,3), m AS (SELECT cfg, seed, avg(f) f FROM w GROUP BY 1,2) SELECT cfg, round(avg(f),6) mean, round(stddev_samp(f),6) std, count(*) seeds FROM m GROUP BY 1")
+def seed_summary(spark, d):
+    return T.seed_summary(rated(spark, d), ["cfg"], "f1").select("cfg", r6("mean"), r6("std"), "seeds")
+
+
+@query("pivot_gap", f"WITH {Q.SCORES}, p AS (SELECT piece, avg(f1) FILTER (WHERE cfg=0) a, avg(f1) FILTER (WHERE cfg=1) b FROM full_scores GROUP BY 1) SELECT piece, round(a-b,6)+0.0 gap, round(CASE WHEN b=0 THEN NULL ELSE (a-b)/abs(b) END,6)+0.0 relative FROM p")
+def pivot_gap(spark, d):
+    return T.gap(rated(spark, d), ["piece"], "cfg", "0", "1", "f1").select("piece", r6("gap"), r6("relative"))
+
+
+@query("ablation", f"WITH {Q.SCORES}, m AS (SELECT seed, cfg, avg(f) f FROM (SELECT work, seed, cfg, avg(f1) f FROM full_scores GROUP BY 1,2,3) GROUP BY 1,2), x AS (SELECT a.seed, b.cfg, a.f-b.f g FROM m a JOIN m b ON a.seed=b.seed AND a.cfg=0 AND b.cfg>0) SELECT cfg, round(avg(g),6)+0.0 mean, round(stddev_samp(g),6)+0.0 std FROM x GROUP BY 1")
+def ablation(spark, d):
+    one = T.macro(rated(spark, d), ["cfg", "seed"], "f1").select("cfg", "seed", "mean")
+    both = one.where("cfg > 0").join(one.where("cfg = 0").select("seed", F.col("mean").alias("base")), "seed")
+    return both.groupBy("cfg").agg(F.avg(F.col("base") - F.col("mean")).alias("mean"), F.stddev_samp(F.col("base") - F.col("mean")).alias("std")).select("cfg", r6("mean"), r6("std"))
+
+
+@query("sample_weights", f"WITH {Q.NOTES}, r AS (SELECT event_id, 1.0::double/count(*) OVER (PARTITION BY work) raw FROM notes) SELECT event_id, round(raw/avg(raw) OVER (),6) weight FROM r")
+def sample_weights(spark, d):
+    return T.balanced_weights(views.notes(spark, d), "work").select("event_id", r6("weight"))
+
+
+_HOLM = f"{Q.NOTES}, t AS (SELECT work, event_type AS name, count(*) FILTER (WHERE value<60)/count(*)/20 p FROM notes GROUP BY 1,2)"
+
+
+@query("holm", f"WITH {_HOLM}, x AS (SELECT *, least(1.0, p*(count(*) OVER (PARTITION BY work)-row_number() OVER (PARTITION BY work ORDER BY p, name)+1)) raw FROM t) SELECT work, name, round(p,6) p, round(max(raw) OVER (PARTITION BY work ORDER BY p, name ROWS UNBOUNDED PRECEDING),6) adjusted FROM x")
+def holm(spark, d):
+    n = views.notes(spark, d).groupBy("work", F.col("event_type").alias("name")).agg((F.sum((F.col("value") < 60).cast("int")) / F.count("*") / 20).alias("p"))
+    return T.holm(n, "work").select("work", "name", r6("p"), r6("adjusted"))
+
+
+@query("bootstrap")
+def bootstrap(spark, d):
+    works = T.work_means(rated(spark, d), ["cfg"], ["f1"])
+    return T.bootstrap(works, "cfg", "f1").select("cfg", "n", r6("mean"), r6("std"), r6("low"), r6("high"))
+
+
+@query("permutation")
+def permutation(spark, d):
+    works = T.work_means(rated(spark, d), ["cfg"], ["f1"])
+    return T.sign_flips(works, "work", "cfg", "f1", draws=2000).select("a", "b", "n", r6("difference"), r6("p"), r6("adjusted"))
+
+
+_OWN = f"{Q.SCORES}, own AS (SELECT work, cfg, avg(f1) f1, avg(recall) recall, avg(\"precision\") \"precision\" FROM full_scores GROUP BY 1,2)"
+
+
+@query("lowo_select", f"WITH {_OWN}, o AS (SELECT a.work, b.cfg, round(avg(b.f1),9) f, round(avg(b.recall),9) r, round(avg(b.\"precision\"),9) p FROM (SELECT DISTINCT work FROM own) a JOIN own b ON a.work<>b.work GROUP BY 1,2), c AS (SELECT work, cfg FROM o QUALIFY row_number() OVER (PARTITION BY work ORDER BY f DESC, r DESC, p DESC, cfg)=1) SELECT work, cfg, round(f1,6) f1 FROM c JOIN own USING(work, cfg)")
+def lowo_select(spark, d):
+    return C.leave_one_work_out(rated(spark, d), ["cfg"]).select("work", "cfg", r6("f1"))
+
+
+@query("budget_select", f"WITH {_OWN} SELECT work, (cfg+1)*0.1::double AS ratio, least(39, greatest(1, round_even((cfg+1)*0.1::double*39,0)))::int AS budget, round(f1,6) f1 FROM own QUALIFY row_number() OVER (PARTITION BY work ORDER BY round(f1,9) DESC, cfg)=1")
+def budget_select(spark, d):
+    own = T.work_means(rated(spark, d), ["cfg"], ["f1"]).withColumn("f1", F.round("f1", 9)).withColumn("ratio", (F.col("cfg") + 1) * F.lit(0.1))
+    return C.choose_ratio(own, ["work"]).select("work", "ratio", C.budget_of(F.col("ratio"), F.lit(40)).cast("int").alias("budget"), r6("f1"))
+
+
+@query("outer_folds")
+def outer_folds(spark, d):
+    return C.folds(views.notes(spark, d).select("work", "piece").distinct(), "work", 4).groupBy("fold").agg(F.count("*").alias("pieces"), F.countDistinct("work").alias("works"))
+
+
+@query("balanced_sample")
+def balanced_sample(spark, d):
+    rows = views.notes(spark, d).select("work", "event_id", (F.col("value") >= 60).alias("positive"))
+    return C.sample_per_group(rows, "work", "positive", ["event_id"])
+
+
+@query("status_counts", "SELECT coalesce(lang,'none') AS dataset, quality::int AS status, count(*) n FROM documents JOIN labels USING(doc_id) GROUP BY 1,2")
+def status_counts(spark, d):
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    return docs.select("doc_id", F.coalesce("lang", F.lit("none")).alias("dataset")).join(labels.select("doc_id", F.col("quality").alias("status")), "doc_id").groupBy("dataset", "status").agg(F.count("*").alias("n"))
+
+
+@query("label_objects")
+def label_objects(spark, d):
+    """Events of a user as one JSON object of labels, parsed again by the label reader."""
+    n = views.notes(spark, d)
+    item = F.struct(F.when(F.col("event_type") == "click", "Cadence").when(F.col("event_type") == "view", "Pedal").otherwise("S1").alias("type"), F.col("onset").alias("start"), F.col("dur").alias("duration"), F.col("event_type").alias("tag"))
+    texts = n.groupBy("piece").agg(F.to_json(F.struct(F.collect_list(item).alias("labels"))).alias("value"))
+    return parsed_labels(texts).groupBy("piece", "kind").agg(F.count("*").alias("n"), r6(F.sum("duration"), "duration"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    """Exact affinity trees, their three most prominent boundaries, matched with the references, averaged by work."""
+    ship(spark)
+    work = views.notes(spark, sf_dir).select("piece", "work").distinct()
+    scores = M.boundary_scores(predicted(spark, sf_dir), reference(spark, sf_dir), 48.0).join(work, "piece")
+    return T.work_means(scores, [], ["precision", "recall", "f1"]).select("work", r6("precision"), r6("recall"), r6("f1"))
+
+
+@query("flagship_work_scores")
+def flagship_work_scores(spark, d):
+    return flagship(spark, d)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
