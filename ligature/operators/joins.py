@@ -47,4 +47,4 @@ def quarter_beats(rows: DataFrame, measures: DataFrame, beat: float = 1.0) -> Da
     first = measures.groupBy("measure").agg(F.min("offset").alias("offset"))
     b = F.coalesce(F.when(F.trim("beat") == "", F.lit(1.0)).otherwise(F.col("beat").try_cast("double")), F.lit(1.0))
     shift = F.when(b > 0, (b - 1) * beat).otherwise(b * beat)
-    return rows.join(first, "measure", "left").withColumn("t", F.greatest(F.lit(0.0), F.col("offset") + shift))
+    return rows.join(first, "measure", "left").withColumn("t", F.when(F.col("offset").isNotNull(), F.greatest(F.lit(0.0), F.col("offset") + shift)))

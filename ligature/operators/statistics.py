@@ -71,15 +71,15 @@ def bootstrap(values: DataFrame, key: str, value: str, resamples: int = 2000, se
 
     Draws are hashes of (seed, key, resample, draw), so results don't depend on partitioning.
     """
-    packed = values.where(F.col(value).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("x"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
-    n = F.size("x")
+    packed = values.where(F.col(value).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_x"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    n = F.size("_x")
 
     def one(r: Column) -> Column:
-        draw = lambda i: F.get(F.col("x"), F.pmod(F.xxhash64(F.lit(seed), F.col(key), r, i), n).cast("int"))
+        draw = lambda i: F.get(F.col("_x"), F.pmod(F.xxhash64(F.lit(seed), F.col(key), r, i), n).cast("int"))
         return F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, i: a + draw(i)) / n
 
-    means = packed.select(key, n.alias("n"), "mean", F.coalesce("std", F.lit(0.0)).alias("std"), F.sort_array(F.transform(F.sequence(F.lit(1), F.lit(resamples)), one)).alias("m"))
-    return means.select(key, "n", "mean", "std", quantile(F.col("m"), 0.025).alias("low"), quantile(F.col("m"), 0.975).alias("high"))
+    means = packed.select(key, n.alias("n"), "mean", F.coalesce("std", F.lit(0.0)).alias("std"), F.sort_array(F.transform(F.sequence(F.lit(1), F.lit(resamples)), one)).alias("_means"))
+    return means.select(key, "n", "mean", "std", quantile(F.col("_means"), 0.025).alias("low"), quantile(F.col("_means"), 0.975).alias("high"))
 
 
 def sign_flips(scores: DataFrame, unit: str, method: str, value: str, draws: int = 10000, seed: int = 0) -> DataFrame:
