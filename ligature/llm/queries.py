@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_id, lm_score, media, near_dup, packing, quality, secret_scan, sp_codec, suffix_dedup, token_counts
+from . import lang_id, lm_score, media, near_dup, oracles, packing, quality, secret_scan, sp_codec, suffix_dedup, token_counts
 from .common import documents
 
 
@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_adaptive_quality": oracles.QUALITY}
