@@ -251,6 +251,27 @@ def revenue(nodes: DataFrame, aff: DataFrame) -> DataFrame:
     return paid.select("piece", "revenue", share.alias("normalised"))
 
 
+def additive_cost(nodes: DataFrame, leaves: DataFrame, distance: str) -> DataFrame:
+    """(piece, cost): the sum over splits of the distance between the summed vectors of both children, for any tree."""
+    inner = internal(nodes).select("piece", "node", "first", "last", "split")
+    parts = leaves.select("piece", "leaf", F.posexplode("vec").alias("k", "x")).join(inner, "piece").where((F.col("leaf") >= F.col("first")) & (F.col("leaf") <= F.col("last")))
+    side = lambda cond: F.sum(F.when(cond, F.col("x")).otherwise(0.0))
+    sums = parts.groupBy("piece", "node", "k").agg(side(F.col("leaf") < F.col("split")).alias("a"), side(F.col("leaf") >= F.col("split")).alias("b"))
+    rows = sums.groupBy("piece", "node").agg(F.array_sort(F.collect_list(F.struct("k", "a", "b"))).alias("s"))
+    return rows.groupBy("piece").agg(F.sum(V.distance(distance, F.col("s.a"), F.col("s.b"))).alias("cost"))
+
+
+def boundary_objective(nodes: DataFrame, aff: DataFrame, contrast: DataFrame, weight: float, balance: float) -> DataFrame:
+    """(piece, revenue, reward, penalty, objective) of any tree for the boundary-aware objective."""
+    n = nodes.where("parent is null").select("piece", (F.col("last") + 1).alias("n"))
+    size = F.col("last") - F.col("first") + 1
+    inner = internal(nodes).join(contrast.select("piece", "split", "contrast"), ["piece", "split"]).join(n, "piece")
+    uneven = (2 * F.col("split") - F.col("first") - F.col("last") - 1) / size
+    terms = inner.groupBy("piece", "n").agg(F.sum(V.span_weight(size, F.col("n")) * F.col("contrast")).alias("s"), F.sum(uneven * uneven).alias("u"))
+    each = terms.join(revenue(nodes, aff), "piece").select("piece", F.col("normalised").alias("revenue"), (F.col("s") / F.greatest(F.lit(1), F.col("n") - 1)).alias("reward"), (F.col("u") / F.greatest(F.lit(1), F.col("n") - 1)).alias("penalty"))
+    return each.withColumn("objective", (1 - weight) * F.col("revenue") + weight * F.col("reward") - balance * F.col("penalty"))
+
+
 def invalid(nodes: DataFrame) -> DataFrame:
     """Nodes that break an ordered binary tree: children that don't tile their parent. Empty for valid tables."""
     child = nodes.where("parent is not null").groupBy("piece", F.col("parent").alias("node")).agg(F.count("*").alias("children"), F.min("first").alias("f"), F.max("last").alias("l"), F.sum(F.col("last") - F.col("first") + 1).alias("size"))

@@ -10,11 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import encoders as E
 from ..functions import scalars as S
 from ..functions import vectors as V
 from ..operators import affinity as A
 from ..operators import binning as B
 from ..operators import joins as J
+from ..operators import learned as L
 from ..operators import matching as M
 from ..operators import selection as C
 from ..operators import statistics as T
@@ -587,6 +589,51 @@ def label_objects(spark, d):
     return parsed_labels(texts).groupBy("piece", "kind").agg(F.count("*").alias("n"), r6(F.sum("duration"), "duration"))
 
 
+# Learned parts
+
+
+@query("harmonic_embedding")
+def harmonic_embedding(spark, d):
+    """Neighbouring leaves' distances of a seeded harmonic encoder, as they are and with both leaves rolled by 5."""
+    w = E.harmonic_weights(7)
+    rows = leaves(spark, d)
+    one = A.adjacent(L.embedded(rows, "harmonic", w), V.l2)
+    two = A.adjacent(L.embedded(rows.withColumn("vec", V.transposed(F.col("vec"), F.lit(5))), "harmonic", w), V.l2)
+    return one.join(two.withColumnRenamed("dist", "rolled"), ["piece", "split"]).select("piece", "split", r6("dist"), r6("rolled"))
+
+
+@query("policy_rollout")
+def policy_rollout(spark, d):
+    nodes = L.policy_trees(leaves(spark, d), E.harmonic_weights(7), E.policy_weights(8))
+    return R.counts(nodes).join(nodes.where("parent is null").select("piece", r6("objective", "log_probability")), "piece")
+
+
+@query("scorer_fit")
+def scorer_fit(spark, d):
+    """Splits scored by a scorer fitted on two calibrated contrasts, against the nearest reference edges."""
+    edges = leaves(spark, d).where("leaf > 0").select("piece", F.col("leaf").alias("split"), F.col("start").alias("t"))
+    positive = A.nearest_edges(reference(spark, d), edges.select("piece", "t")).select("piece", F.col("edge").alias("t"), F.lit(True).alias("positive"))
+    p = pairs(spark, d)
+    near, wide = (A.calibrated(A.contrasts(p, leaves(spark, d), k), "contrast").select("piece", "split", F.col("calibrated").alias(f"w{k}")) for k in (1, 2))
+    rows = near.join(wide, ["piece", "split"]).join(edges, ["piece", "split"]).join(positive, ["piece", "t"], "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
+    model = L.fit_scorer(rows, ["w1", "w2"], "positive", ["piece", "split"])
+    return L.scored(rows, ["w1", "w2"], model).select("piece", "split", "positive", r6("score"))
+
+
+@query("additive_cost", f"""WITH RECURSIVE {Q.balanced()}, sides AS (SELECT x.piece, x.first f, x.split s, x.last l, pc, sum(CASE WHEN leaf<split THEN v END) a, sum(CASE WHEN leaf>=split THEN v END) b FROM nodes x JOIN dense d ON d.piece=x.piece AND leaf BETWEEN first AND last WHERE split IS NOT NULL GROUP BY 1,2,3,4,5),
+ u AS (SELECT piece, f, s, l, a/sum(a) OVER w - b/sum(b) OVER w g FROM sides WINDOW w AS (PARTITION BY piece,f,s,l)), c AS (SELECT piece, sqrt(sum(g*g)) d FROM u GROUP BY piece,f,s,l) SELECT piece, round(sum(d),6)+0.0 AS cost FROM c GROUP BY 1""")
+def additive_cost(spark, d):
+    return R.additive_cost(balanced(spark, d), leaves(spark, d), "euclidean").select("piece", r6("cost"))
+
+
+@query("boundary_objective", f"""WITH RECURSIVE {Q.balanced()}, {_CONTRAST.replace(Q.leaves() + ', ', '')}, rev AS (SELECT x.piece, sum((n-(last-first+1))*aff) r, any_value(n) n FROM nodes x JOIN aff a ON a.piece=x.piece AND i>=first AND i<split AND j>=split AND j<=last WHERE split IS NOT NULL GROUP BY 1),
+ mass AS (SELECT piece, sum(aff) m FROM aff GROUP BY 1), bon AS (SELECT x.piece, sum(ln(last-first+1)/ln(n)*greatest(0,least(1,c)))/any_value(n-1) b, sum(power((2*x.split-first-last-1)/(last-first+1),2))/any_value(n-1) p FROM nodes x JOIN con ON con.piece=x.piece AND con.split=x.split WHERE x.split IS NOT NULL GROUP BY 1)
+ SELECT piece, round(0.5*(CASE WHEN n>2 THEN r/((n-2)*m) ELSE 0 END)+0.5*b-0.1*p,6)+0.0 AS objective FROM rev JOIN mass USING(piece) JOIN bon USING(piece)""")
+def boundary_objective(spark, d):
+    con = contrasts(spark, d).withColumn("contrast", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("contrast"))))
+    return R.boundary_objective(balanced(spark, d), A.affinity(pairs(spark, d)), con, 0.5, 0.1).select("piece", r6("objective"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact affinity trees, their three most prominent boundaries, matched with the references, averaged by work."""
     ship(spark)
