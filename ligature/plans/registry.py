@@ -14,6 +14,7 @@ from ..functions import encoders as E
 from ..functions import scalars as S
 from ..functions import vectors as V
 from ..operators import affinity as A
+from ..operators import annotations as N
 from ..operators import binning as B
 from ..operators import joins as J
 from ..operators import learned as L
@@ -589,6 +590,89 @@ def label_objects(spark, d):
     return parsed_labels(texts).groupBy("piece", "kind").agg(F.count("*").alias("n"), r6(F.sum("duration"), "duration"))
 
 
+# Annotations by measure and level; a measure is a day of the events
+
+
+def measured(spark, d):
+    n = views.notes(spark, d)
+    pedal = F.when(F.col("value") >= 30, F.col("event_type"))
+    return n.select("piece", F.col("event_id").alias("row"), (F.floor(F.col("onset") / 24) + 1).cast("int").alias("mc"), F.when(F.col("value") >= 10, F.col("event_type")).alias("localkey"), pedal.alias("pedal"))
+
+
+_MEASURED = f"{Q.NOTES}, rows_ AS (SELECT piece, event_id AS rw, (floor(onset/24)+1)::int mc, CASE WHEN value>=10 THEN event_type END lk, CASE WHEN value>=30 THEN event_type END pd FROM notes)"
+_KEYS = f"""{_MEASURED}, k0 AS (SELECT *, lag(lk) OVER (PARTITION BY piece ORDER BY rw) b FROM (SELECT *, max(mc) OVER (PARTITION BY piece) stop FROM rows_) WHERE lk IS NOT NULL),
+ keys AS (SELECT piece, (row_number() OVER w - 1)::int seg, mc s, coalesce(lead(mc) OVER w - 1, stop) e, lk AS label FROM k0 WHERE b IS NULL OR b<>lk WINDOW w AS (PARTITION BY piece ORDER BY rw))"""
+_PEDALS = f"""{_KEYS}, p0 AS (SELECT *, sum(CASE WHEN pd IS DISTINCT FROM b THEN 1 ELSE 0 END) OVER (PARTITION BY piece ORDER BY rw ROWS UNBOUNDED PRECEDING) run FROM (SELECT *, lag(pd) OVER (PARTITION BY piece ORDER BY rw) b FROM rows_)),
+ pedals AS (SELECT piece, run, pd AS label, arg_min(mc, rw) s, arg_max(mc, rw) e FROM p0 WHERE pd IS NOT NULL GROUP BY 1,2,3)"""
+
+
+@query("key_ranges", f"WITH {_KEYS} SELECT piece, seg, s AS start_mc, e AS end_mc, label FROM keys")
+def key_ranges(spark, d):
+    return N.key_ranges(measured(spark, d)).select("piece", "seg", F.col("start").alias("start_mc"), F.col("end").alias("end_mc"), "label")
+
+
+@query("pedal_ranges", f"WITH {_PEDALS} SELECT piece, s AS start_mc, e AS end_mc, label FROM pedals")
+def pedal_ranges(spark, d):
+    return N.pedal_ranges(measured(spark, d)).select("piece", F.col("start").alias("start_mc"), F.col("end").alias("end_mc"), "label")
+
+
+@query("key_tree", f"WITH {_PEDALS} SELECT piece, 0 AS level, min(mc) AS start_mc, max(mc) AS end_mc, 'ROOT' AS label FROM rows_ GROUP BY 1 UNION ALL SELECT piece, 1, s, e, 'LK['||label||']' FROM keys UNION ALL SELECT p.piece, 2, p.s, p.e, 'Ped['||p.label||']' FROM pedals p JOIN keys k ON k.piece=p.piece AND p.s>=k.s AND p.e<=k.e")
+def key_tree(spark, d):
+    return N.key_tree(measured(spark, d)).select("piece", "level", F.col("start").alias("start_mc"), F.col("end").alias("end_mc"), "label")
+
+
+def event_labels(spark, d):
+    kind = F.when(F.col("event_type") == "click", "cadence").when(F.col("event_type") == "view", "pedal").otherwise("other")
+    return views.notes(spark, d).select("piece", kind.alias("kind"), F.col("onset").alias("start"), F.col("dur").alias("duration"), F.col("event_id").cast("string").alias("tag"))
+
+
+_CADENCES = f"""{Q.NOTES}, cad AS (SELECT piece, (row_number() OVER w - 1)::int seg, coalesce(lag(floor(onset)::int) OVER w, 0) s, floor(onset)::int e FROM notes WHERE event_type='click' WINDOW w AS (PARTITION BY piece ORDER BY onset, event_id::varchar)),
+ fin AS (SELECT piece, floor(max(onset+dur))::int stop FROM notes GROUP BY 1), tail AS (SELECT piece, coalesce(max(seg)+1,0)::int seg, coalesce(max(e),0) s, any_value(stop) e FROM fin LEFT JOIN cad USING(piece) GROUP BY 1), secs AS (SELECT * FROM cad UNION ALL SELECT * FROM tail WHERE e>s)"""
+
+
+@query("cadence_sections", f"WITH {_CADENCES} SELECT piece, seg, s AS start_qb, e AS end_qb FROM secs")
+def cadence_sections(spark, d):
+    return N.cadence_sections(event_labels(spark, d)).select("piece", "seg", F.col("start").alias("start_qb"), F.col("end").alias("end_qb"))
+
+
+@query("pedals_in_sections", f"WITH {_CADENCES}, p AS (SELECT DISTINCT piece, floor(onset)::int t FROM notes WHERE event_type='view') SELECT p.piece, t, s AS start_qb, e AS end_qb FROM p JOIN secs c ON c.piece=p.piece AND t>=s AND t<e QUALIFY row_number() OVER (PARTITION BY p.piece, t ORDER BY s, e)=1")
+def pedals_in_sections(spark, d):
+    return N.pedals_in_sections(event_labels(spark, d)).select("piece", "t", F.col("start").alias("start_qb"), F.col("end").alias("end_qb"))
+
+
+@query("level_spans", f"WITH {Q.NOTES}, t AS (SELECT piece, max(onset+dur) total FROM notes GROUP BY 1), x AS (SELECT piece, (event_id%3)::int AS level, round(onset,9) t, total, arg_max(event_type, event_id) AS label FROM notes JOIN t USING(piece) GROUP BY 1,2,3,4), y AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY piece, level ORDER BY t), total) e FROM x) SELECT piece, level, round(t,6) start_qb, round(e,6) end_qb, label FROM y WHERE e>t")
+def level_spans(spark, d):
+    n = views.notes(spark, d)
+    events = n.join(B.totals(n), "piece").select("piece", (F.col("event_id") % 3).cast("int").alias("level"), F.col("onset").alias("t"), F.col("event_type").alias("label"), F.col("event_id").alias("order"), "total")
+    return N.level_spans(events).select("piece", "level", r6("start", "start_qb"), r6("end", "end_qb"), "label")
+
+
+@query("projection_audit")
+def projection_audit(spark, d):
+    edges = leaves(spark, d).where("leaf > 0").select("piece", F.col("start").alias("t"))
+    marks = reference(spark, d)
+    return N.projection_audit(M.projected(marks, edges), marks, 48.0).select("piece", "marks", "edges", "collisions", r6("mean_error"), r6("max_error"), "within")
+
+
+@query("bad_bounds")
+def bad_bounds(spark, d):
+    return N.bad_bounds(leaves(spark, d)).agg(F.count("*").alias("violations"))
+
+
+@query("file_keys", "SELECT DISTINCT url, regexp_extract(url, '^https?://([^/]+)', 1) AS host, try_cast(nullif(regexp_extract(url, '/([0-9]+)(?:[?]|$)', 1), '') AS int) AS item FROM pages")
+def file_keys(spark, d):
+    item = F.nullif(F.regexp_extract("url", "/([0-9]+)(?:[?]|$)", 1), F.lit("")).try_cast("int")
+    return spark.read.parquet(f"{d}/pages.parquet").select("url", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), item.alias("item")).distinct()
+
+
+@query("simplex_scores", f"WITH {_OWN}, g AS (SELECT (a/10.0::double) w1, (b/10.0::double) w2, ((10-a-b)/10.0::double) w3 FROM range(11) x(a) JOIN range(11) y(b) ON a+b<=10), m AS (SELECT cfg, avg(f1) f, avg(recall) r, avg(\"precision\") p FROM own GROUP BY 1) SELECT cfg, round(w1,6) w1, round(w2,6) w2, round(w3,6) w3, round(w1*f+w2*r+w3*p,6) score FROM g CROSS JOIN m")
+def simplex_scores(spark, d):
+    own = T.work_means(rated(spark, d), ["cfg"], ["f1", "recall", "precision"]).groupBy("cfg").agg(*(F.avg(c).alias(c) for c in ("f1", "recall", "precision")))
+    grid = C.simplex_grid(spark, 3, 10)
+    both = own.join(F.broadcast(grid.withColumn("one", F.lit(1))), F.lit(1) == F.col("one"))
+    return both.select("cfg", r6("w1"), r6("w2"), r6("w3"), r6(F.col("w1") * F.col("f1") + F.col("w2") * F.col("recall") + F.col("w3") * F.col("precision"), "score"))
+
+
 # Learned parts
 
 
