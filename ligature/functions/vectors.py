@@ -87,7 +87,7 @@ def key_activation(v: Column) -> Column:
 
     def of(c: Column) -> Column:
         norm = F.sqrt(dot(c, c))
-        return let(norm, lambda n: F.array(*(F.when(n > 0, dot(c, constant(u)) / n).otherwise(F.lit(0.0)) for u in units)))
+        return let(norm, lambda n: F.transform(constant(units), lambda u: F.when(n > 0, dot(c, u) / n).otherwise(F.lit(0.0))))
 
     return let(centred(l1_or_uniform(v)), of)
 

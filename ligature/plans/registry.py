@@ -21,6 +21,7 @@ from ..operators import learned as L
 from ..operators import matching as M
 from ..operators import selection as C
 from ..operators import statistics as T
+from ..operators import training as G
 from ..operators import trees as R
 from ..operators import views
 from ..shipping import ship
@@ -704,6 +705,39 @@ def scorer_fit(spark, d):
     return L.scored(rows, ["w1", "w2"], model).select("piece", "split", "positive", r6("score"))
 
 
+def taught(spark, d):
+    """Pieces with packed leaves and the splits nearest to their references."""
+    rows = leaves(spark, d)
+    edges = rows.where("leaf > 0").select("piece", F.col("leaf").alias("split"), F.col("start").alias("edge"))
+    near = A.nearest_edges(reference(spark, d), edges.select("piece", F.col("edge").alias("t")))
+    marks = near.join(edges, ["piece", "edge"]).groupBy("piece").agg(F.sort_array(F.collect_list("split")).alias("marks"))
+    packed = rows.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("leaf", "start", "end", "vec"))).alias("leaves"))
+    return packed.join(marks, "piece", "left")
+
+
+@query("metric_training")
+def metric_training(spark, d):
+    """Distances of neighbouring leaves after a few epochs of the pair model on all neighbours."""
+    rows = taught(spark, d)
+    pair = F.posexplode(F.zip_with(F.slice("leaves", 1, F.size("leaves") - 1), F.slice("leaves", 2, F.size("leaves") - 1), lambda a, b: F.struct(a["vec"].alias("left"), b["vec"].alias("right")))).alias("k", "p")
+    flat = rows.where(F.size("leaves") > 1).select("piece", "marks", pair)
+    label = F.array_contains(F.coalesce("marks", F.array().cast("array<int>")), (F.col("k") + 1).cast("int"))
+    examples = flat.select(F.concat_ws("|", "piece", "k").alias("id"), "p.left", "p.right", label.cast("double").alias("label"), F.lit(1.0).alias("weight")).cache()
+    weights, _ = G.train_metric(examples, epochs=5)
+    examples.unpersist()
+    return A.adjacent(L.embedded(leaves(spark, d), "harmonic", weights), V.l2).select("piece", "split", F.round("dist", 3).alias("dist"))
+
+
+@query("policy_training")
+def policy_training(spark, d):
+    """Trees of a policy after two epochs of imitation and one of reinforcement."""
+    rows, enc = taught(spark, d).cache(), E.harmonic_weights(7)
+    policy, _ = G.train_policy(rows, enc, epochs=2)
+    policy, _ = G.train_policy(rows, enc, epochs=1, start=policy)
+    rows.unpersist()
+    return R.counts(L.policy_trees(leaves(spark, d), enc, policy))
+
+
 @query("additive_cost", f"""WITH RECURSIVE {Q.balanced()}, sides AS (SELECT x.piece, x.first f, x.split s, x.last l, pc, sum(CASE WHEN leaf<split THEN v END) a, sum(CASE WHEN leaf>=split THEN v END) b FROM nodes x JOIN dense d ON d.piece=x.piece AND leaf BETWEEN first AND last WHERE split IS NOT NULL GROUP BY 1,2,3,4,5),
  u AS (SELECT piece, f, s, l, a/sum(a) OVER w - b/sum(b) OVER w g FROM sides WINDOW w AS (PARTITION BY piece,f,s,l)), c AS (SELECT piece, sqrt(sum(g*g)) d FROM u GROUP BY piece,f,s,l) SELECT piece, round(sum(d),6)+0.0 AS cost FROM c GROUP BY 1""")
 def additive_cost(spark, d):
