@@ -674,6 +674,81 @@ def simplex_scores(spark, d):
     return both.select("cfg", r6("w1"), r6("w2"), r6("w3"), r6(F.col("w1") * F.col("f1") + F.col("w2") * F.col("recall") + F.col("w3") * F.col("precision"), "score"))
 
 
+@query("checkpoint_select", f"WITH {_OWN}, m AS (SELECT cfg, seed, avg(f) ap FROM (SELECT work, cfg, seed, avg(f1) f FROM full_scores GROUP BY 1,2,3) GROUP BY 1,2) SELECT cfg, seed, round(ap,6) ap FROM m QUALIFY row_number() OVER (PARTITION BY cfg ORDER BY round(ap,9) DESC, seed)=1")
+def checkpoint_select(spark, d):
+    """Of the seeds of each configuration the one with the best validation score, the lower seed on ties."""
+    m = T.macro(rated(spark, d), ["cfg", "seed"], "f1").select("cfg", "seed", F.round("mean", 9).alias("ap"))
+    return C.best(m, ["cfg"], F.desc("ap"), F.asc("seed")).select("cfg", "seed", r6("ap"))
+
+
+@query("exactly_once", f"WITH {Q.NOTES} SELECT count(*) FILTER (WHERE n<>1) AS violations, count(*) AS pieces FROM (SELECT piece, count(DISTINCT work) n FROM notes GROUP BY 1)")
+def exactly_once(spark, d):
+    n = views.notes(spark, d).groupBy("piece").agg(F.countDistinct("work").alias("n"))
+    return n.agg(F.sum((F.col("n") != 1).cast("long")).alias("violations"), F.count("*").alias("pieces"))
+
+
+@query("first_value", "SELECT source, arg_min(lang, doc_id) AS lang, min(doc_id) AS doc_id FROM documents WHERE lang IS NOT NULL GROUP BY 1")
+def first_value(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("lang is not null")
+    return docs.groupBy("source").agg(F.min_by("lang", "doc_id").alias("lang"), F.min("doc_id").alias("doc_id"))
+
+
+@query("close_filter", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE abs(l_discount-0.05::double) <= 1e-8+1e-5*abs(0.05::double)")
+def close_filter(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    return rows.where(S.close(F.col("l_discount").cast("double"), F.lit(0.05))).select("l_orderkey", "l_linenumber")
+
+
+@query("metadata_lookup", "SELECT c_custkey, coalesce(n_name, 'unknown') AS nation FROM customer LEFT JOIN nation ON n_nationkey=c_nationkey AND n_regionkey<>1")
+def metadata_lookup(spark, d):
+    nation = spark.read.parquet(f"{d}/nation.parquet").where("n_regionkey <> 1").select("n_nationkey", "n_name")
+    rows = spark.read.parquet(f"{d}/customer.parquet")
+    return rows.join(nation, rows["c_nationkey"] == nation["n_nationkey"], "left").select("c_custkey", F.coalesce("n_name", F.lit("unknown")).alias("nation"))
+
+
+@query("length_weights", f"WITH {Q.bins()}, b AS (SELECT piece, ceil(total/96)::int n FROM totals) SELECT piece, 1.0::double AS w_none, round(ln(1+n),6) AS w_log1p, n::double AS w_linear FROM b")
+def length_weights(spark, d):
+    n = B.totals(views.notes(spark, d)).select("piece", F.ceil(F.col("total") / SIZE).cast("int").alias("n"))
+    return n.select("piece", *((S.length_weight(F.col("n"), k) if k != "log1p" else F.round(S.length_weight(F.col("n"), k), 6)).alias(f"w_{k}") for k in ("none", "log1p", "linear")))
+
+
+@query("candidate_ap")
+def candidate_ap(spark, d):
+    """Average precision of all splits by prominence, positive where a reference takes them within two days."""
+    ranked = R.prominence(R.trees(leaves(spark, d), "affinity"))
+    hit = M.greedy_matches(ranked.select("piece", "t"), reference(spark, d), 48.0).select("piece", F.col("p").alias("t"), F.lit(True).alias("positive")).distinct()
+    rows = ranked.join(hit, ["piece", "t"], "left").select("piece", F.col("prominence").alias("score"), F.coalesce("positive", F.lit(False)).alias("positive"), F.col("t").alias("at"))
+    return M.average_precision(rows, "piece").select("piece", r6("ap"))
+
+
+@query("span_budget_grid")
+def span_budget_grid(spark, d):
+    """Mean f1 over pieces for each budget and tolerance, on one set of trees."""
+    tree = R.trees(leaves(spark, d), "affinity").cache()
+    marks, out = reference(spark, d).cache(), None
+    for k in (2, 4, 6):
+        found = R.prominent(tree, k).select("piece", "t")
+        for tolerance in (24.0, 48.0):
+            one = M.boundary_scores(found, marks, tolerance).agg(F.lit(k).alias("budget"), F.lit(tolerance).alias("tolerance"), r6(F.avg("f1"), "f1"), F.count("*").alias("pieces"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("evaluation_rows")
+def evaluation_rows(spark, d):
+    """One row for each piece and method with boundary scores, tree shape, objective and edit distance to the balanced tree."""
+    work = views.notes(spark, d).select("piece", "work").distinct()
+    base, out = labelled(spark, d, "balanced"), None
+    for method in ("greedy", "affinity"):
+        tree = R.trees(leaves(spark, d), method)
+        s = M.boundary_scores(R.prominent(tree, 3).select("piece", "t"), reference(spark, d), 48.0)
+        ted = R.edit_distances(labelled(spark, d, method), base).select("piece", "ted", r6("by_max"), r6("by_sum"))
+        row = s.join(R.shape(tree).select("piece", "leaves", "max_depth", r6("root_ratio")), "piece").join(ted, "piece").join(work, "piece")
+        one = row.select("piece", "work", F.lit(method).alias("method"), "tp", "fp", "fn", r6("precision"), r6("recall"), r6("f1"), "leaves", "max_depth", "root_ratio", "ted", "by_max", "by_sum")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # Learned parts
 
 
