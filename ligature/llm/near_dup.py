@@ -38,6 +38,7 @@ COMMON_DOCUMENTS = 64
 MOST_COMMON = 1 << 17
 #: A task reports a shingle that this many of its documents hold.
 LOCAL_COMMON = 4
+SHIFT = 1 << 26
 
 
 def retained(n: int) -> int:
@@ -55,9 +56,9 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     """Sorted hashes of shingles that many documents share, as far as single tasks notice it; a bounded number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [h for batch in batches for _, _, h, _ in _sets(batch)]
-        h = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-        at = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0) if len(h) else np.zeros(0, np.int64)
+        h = np.concatenate([np.zeros(0, np.uint64), *(h for batch in batches for _, _, h, _ in _sets(batch))])
+        h.sort()
+        at = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
         n = np.diff(np.append(at, len(h)))
         keep = n >= LOCAL_COMMON
         yield pa.record_batch([pa.array(h[at[keep]].view(np.int64)), pa.array(n[keep])], ["v", "n"])
@@ -148,13 +149,17 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     entries = classes.select("id", "n", share.alias("share"), F.posexplode("kept").alias("i", "v"))
     centre = F.min(F.struct("share", F.col("n").alias("zn"), F.col("id").alias("z"))).alias("c")
     lists = entries.groupBy("v").agg(centre, F.count("*").alias("size")).where("size > 1").select("v", "size", "c.z", "c.zn")
-    listed = cut(entries.join(lists, "v").where("id <> z").select("v", "size", "id", "n", "i", "z", "zn"))
+    # Two numbers to a column, as this table is the largest that is written.
+    packed = entries.select("v", "id", (F.col("n") * SHIFT + F.col("i")).alias("ni"))
+    held = cut(packed.join(lists, "v").where("id <> z").select("v", "id", "ni", "z", (F.col("zn") * 2 + (F.col("size") > 2).cast("long")).alias("zs")))
+    ni, zs = F.col("ni"), F.col("zs")
+    listed = held.select("v", "id", F.shiftright(ni, 26).alias("n"), (ni % SHIFT).alias("i"), "z", F.shiftright(zs, 1).alias("zn"), (zs % 2 == 1).alias("long"))
 
     first = listed.where(sizes_fit(F.col("n"), F.col("zn"))).select(F.col("id").alias("a"), F.col("z").alias("b")).distinct()
     found = verified(estimated(first, sketch), docs)
     label = components(found)
 
-    long_ = listed.where("size > 2").join(label.select("id", F.col("component").alias("k")), "id", "left").withColumn("k", F.coalesce("k", "id"))
+    long_ = listed.where("long").join(label.select("id", F.col("component").alias("k")), "id", "left").withColumn("k", F.coalesce("k", "id"))
     long_ = long_.join(label.select(F.col("id").alias("z"), F.col("component").alias("zk")), "z", "left").withColumn("zk", F.coalesce("zk", "z"))
     outside = long_.where("k <> zk")
     open_ = outside.select("v").distinct()
@@ -175,12 +180,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     a null component. An empty table gives an empty result; other columns aren't read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    base = cut(sketches(rows, common_shingles(rows)))
+    base = cut(sketches(rows, common_shingles(rows))).withColumn("row", F.monotonically_increasing_id())
     sets = base.where("n > 0 and doc_id is not null")
-    groups = sets.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"))
-    named = base.select("doc_id", "n", "f1", "f2").join(groups, ["f1", "f2", "n"], "left").select("doc_id", "n", F.coalesce("id", "doc_id").alias("id"))
-    firsts = groups.select("id", F.col("f1").alias("g1"), F.col("f2").alias("g2"))
-    classes = sets.join(firsts, (F.col("doc_id") == F.col("id")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))).select("id", "n", "rare", "kept", "sketch").dropDuplicates(["id"])
+    groups = sets.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("f1", "f2", "n", F.col("first.doc_id").alias("id"), F.col("first.row").alias("row"))
+    named = base.select("doc_id", "n", "f1", "f2").join(groups.drop("row"), ["f1", "f2", "n"], "left").select("doc_id", "n", F.coalesce("id", "doc_id").alias("id"))
+    classes = sets.drop("doc_id").join(groups.select("row", "id"), "row").select("id", "n", "rare", "kept", "sketch")
     label = components(links(rows, classes))
     out = named.join(label, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

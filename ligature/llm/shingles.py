@@ -8,7 +8,7 @@ from .rolling import Prints, mix
 
 WORDS = 5
 #: Texts are joined up to about this many bytes.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
