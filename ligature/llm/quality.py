@@ -20,6 +20,8 @@ MOST_REPEATED_PERCENT = 20
 LEAST_GROUP = 100
 #: A cutoff lies this many spreads (upper quartile minus median) beyond the upper quartile.
 SPREADS = 5
+#: Up to so many rows of cutoffs are broadcast; beyond, they are joined by a shuffle.
+MOST_BROADCAST = 20_000
 #: measure -> (buckets of its grid, least spread). All are per thousand, but for word length, in tenths.
 MEASURES = {"symbols": (1000, 18), "word_length": (1000, 8), "dup_lines": (1000, 60), "repeats": (1000, 25)}
 
@@ -78,8 +80,9 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 def sketches(table: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, measure, bucket, n): the documents of each bucket; base failures don't count."""
     pairs = F.explode(F.map_from_arrays(F.array(*map(F.lit, MEASURES)), F.array(*(F.col(f"_m.{k}") for k in MEASURES)))).alias("measure", "bucket")
-    some = table.where(~F.col("_m.base_failed"))
-    return some.select(F.col(lang).alias("lang"), F.col(source).alias("source"), pairs).groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
+    # A filter before the aggregation would be pushed below the measures and evaluate them twice.
+    some = table.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col("_m.base_failed").alias("failed"), pairs)
+    return some.groupBy("lang", "source", "measure", "bucket").agg(F.count(F.when(~F.col("failed"), 1)).alias("n")).where("n > 0")
 
 
 def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
@@ -112,12 +115,14 @@ def cutoffs(sketch: DataFrame) -> DataFrame:
 
 def judged(table: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """table with `_kept`; only word length has a lower cutoff."""
-    limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "_least", "_most")
+    limits = cut(limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "_least", "_most"))
+    if limits.count() <= MOST_BROADCAST:
+        limits = F.broadcast(limits)
     joined = table.join(limits, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
     inside = F.col("_m.word_length") >= F.col("_least.word_length")
     for k in MEASURES:
         inside &= F.col(f"_m.{k}") <= F.col(f"_most.{k}")
-    return joined.withColumn("_kept", ~F.col("_m.base_failed") & F.coalesce(inside, F.lit(True))).drop("_lang", "_source", "_least", "_most")
+    return joined.withColumn("_kept", F.when(F.col("_m.base_failed"), F.lit(False)).otherwise(F.coalesce(inside, F.lit(True)))).drop("_lang", "_source", "_least", "_most")
 
 
 def rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
