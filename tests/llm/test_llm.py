@@ -144,6 +144,40 @@ def test_cross_entropy_difference(spark, odd, empty):
     assert lm_score.cross_entropy_difference(empty, good).count() == 0
 
 
+def test_pairs_are_counted_exactly(spark, odd, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 30_000, raising=False)
+    rng = np.random.default_rng(3)
+    words = [f" {a}{b}" for a in "the of and to in is was for on that with as".split() for b in ["", *"abcdefghijklmnopqrstuvwxyz"]] + [f" {k}" for k in range(2000)]
+    more = [(100 + k, "".join(words[w] for w in rng.integers(0, len(words), 12_000))) for k in range(25)]
+    docs = odd.select("doc_id", "text").unionAll(spark.createDataFrame(more, "doc_id long, text string"))
+    marks = {1, 10, 100, 101, 102}
+    code = tokens.coder(tokens.default_path())
+    vocabulary = len(code.widths())
+    one, context, two = ([Counter(), Counter()] for _ in range(3))
+    coded = [(i, code.encode(t).tolist()) for i, t in listed(docs)]
+    for i, ids in coded:
+        for m in [0, 1] if i in marks else [1]:
+            one[m].update(ids)
+            context[m].update([vocabulary, *ids][: len(ids)])
+            two[m].update(zip([vocabulary, *ids], ids, strict=False))
+    assert len(two[1]) > 90_000
+    expect = Counter()
+    for i, ids in coded:
+        loss = []
+        for m in (0, 1):
+            total, x = sum(one[m].values()) + 0.5 * vocabulary, 0.0
+            for before, at in zip([vocabulary, *ids], ids, strict=False):
+                plain = (one[m][at] + 0.5) / total
+                share = two[m][before, at] / context[m][before] if context[m][before] else plain
+                x -= np.log(0.6 * share + 0.4 * plain)
+            loss.append(round(x / len(ids), 6) if ids else None)
+        expect[i, len(ids), *loss] += 1
+    rounded = lambda x: None if x is None else round(x, 6)
+    got = lm_score.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in marks], "doc_id long")).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], rounded(r["ce_target"]), rounded(r["ce_background"])) for r in got) == expect
+    assert all(r["ce_difference"] is None if r["n_tokens"] == 0 else r["ce_difference"] == r["ce_target"] - r["ce_background"] for r in got)
+
+
 # 4
 
 
