@@ -39,6 +39,8 @@ MOST_COMMON = 1 << 17
 #: A task reports a shingle that this many of its documents hold.
 LOCAL_COMMON = 4
 SHIFT = 1 << 26
+#: Sketches hold hashes with this bit flipped, so that their signed order in Spark is the unsigned order of the hashes.
+SIGN = np.uint64(1 << 63)
 
 
 def retained(n: int) -> int:
@@ -95,7 +97,7 @@ def sketches(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 rare = np.bincount(owner[take & ~is_common[order]], minlength=len(n)) if len(h) else np.zeros(len(n), np.int64)
                 few = rank < SKETCH
                 kept = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, most, 0))]).astype(np.int32)), pa.array(values))
-                sketch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.minimum(n, SKETCH))]).astype(np.int32)), pa.array(h[few].view(np.int64)))
+                sketch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.minimum(n, SKETCH))]).astype(np.int32)), pa.array((h[few] ^ SIGN).view(np.int64)))
                 cols = [ids.slice(a, b - a), pa.array(n), pa.array(f1), pa.array(f2), pa.array(rare), kept, sketch]
                 yield pa.record_batch(cols, ["doc_id", "n", "f1", "f2", "rare", "kept", "sketch"])
 

@@ -410,6 +410,37 @@ def test_near_duplicate_chains_and_common_passages(spark, monkeypatch):
     check_classes(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
 
 
+def test_estimates_follow_one_order(spark):
+    sizes = [60, 70, 80, 90, 100, 110, 120] * 40
+    texts, most = [], []
+    for k, n in enumerate(sizes):
+        part = -(-85 * n // 100)
+        words = [f"u{k}x{j}" for j in range(n + 4)]
+        texts += [" ".join(words), " ".join(words[: part + 4])]
+        most.append(part / n)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = near_dup.sketches(docs, np.zeros(0, np.uint64)).select("doc_id", "sketch").collect()
+    sketch = spark.createDataFrame([(r["doc_id"], r["sketch"]) for r in rows], "id long, sketch array<long>")
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(len(sizes))], "a long, b long")
+    hashes, ends = shingles.shingle_sets(texts)
+    sets = [sorted(hashes[a:b].tolist()) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    expect = set()
+    for k in range(len(sizes)):
+        one, two = sets[2 * k], sets[2 * k + 1]
+        assert len(set(one) & set(two)) / len(set(one) | set(two)) == pytest.approx(most[k])
+        union = sorted({*one, *two})[:48]
+        if sum(h in set(one) & set(two) for h in union) >= 0.84 * len(union):
+            expect.add(2 * k)
+    least = near_dup.LEAST_ESTIMATE
+    try:
+        near_dup.LEAST_ESTIMATE = 0.84  # near the middle, so that an estimate of other values shows
+        got = {r["a"] for r in near_dup.estimated(pairs, sketch).collect()}
+    finally:
+        near_dup.LEAST_ESTIMATE = least
+    assert got == expect and 0 < len(expect) < len(sizes)
+    assert near_dup.estimated(pairs, sketch).count() == len(sizes)
+
+
 def test_shingles():
     h, ends = shingles.shingle_sets(["A b c d e f", "a B c d e f", None, "", "one two", "one  two\n", "a a a a a a a"])
     sets = [set(h[a:b].tolist()) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
