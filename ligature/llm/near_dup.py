@@ -1,7 +1,7 @@
 """Near-duplicate documents by bottom-k sketches of word shingles.
 
 One hash function orders the shingles of a document. Documents with equal sets collapse into one class. A class
-retains its first n - ceil(0.85 n) + 1 shingles: two sets as similar as the threshold always share a retained value,
+retains its first n - ceil(p n) + 1 shingles for a threshold p: two sets as similar as it always share a retained value,
 so the inverted lists of retained values miss no link. The order puts shingles that very many documents share last,
 which is only a matter of cost: then a passage that thousands of different documents quote is hardly ever retained.
 
@@ -27,11 +27,11 @@ from .membership import bit_of, has, marked, members
 from .rolling import mix
 from .shingles import blocks, shingle_sets
 
-#: Links have 100 * intersection >= PERCENT * union.
+#: Links have 100 * intersection >= percent * union; this is the percent where none is given.
 PERCENT = 85
 #: Values of the plain bottom-k sketch that estimates similarities.
 SKETCH = 48
-#: Pairs estimated below this (over five standard errors under the threshold) aren't verified.
+#: Pairs estimated below this (over five standard errors under the threshold) aren't verified; it moves with the percent.
 LEAST_ESTIMATE = 0.55
 #: A shingle counts as common from this many documents on; at most so many are put last.
 COMMON_DOCUMENTS = 64
@@ -43,8 +43,8 @@ SHIFT = 1 << 26
 SIGN = np.uint64(1 << 63)
 
 
-def retained(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
+def retained(n, percent: int = PERCENT):
+    return n - -(-percent * n // 100) + 1
 
 
 def _sets(batch: pa.RecordBatch):
@@ -73,7 +73,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 SKETCHES = "doc_id long, n long, f1 long, f2 long, rare long, kept array<long>, sketch array<long>"
 
 
-def sketches(docs: DataFrame, common: np.ndarray) -> DataFrame:
+def sketches(docs: DataFrame, common: np.ndarray, percent: int = PERCENT) -> DataFrame:
     """Per document: set size, two fingerprints of the set, how many retained values are rare, retained values, sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -91,7 +91,7 @@ def sketches(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 owner = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((h, is_common, owner))
                 rank = np.arange(len(h)) - np.repeat(begin, n)
-                most = n - -(-PERCENT * n // 100) + 1
+                most = retained(n, percent)
                 take = rank < np.repeat(most, n)
                 values = h[order][take].view(np.int64)
                 rare = np.bincount(owner[take & ~is_common[order]], minlength=len(n)) if len(h) else np.zeros(len(n), np.int64)
@@ -120,31 +120,32 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", bit_of("doc_id").alias("bit")).mapInArrow(run, "id long, shingles array<long>")
 
 
-def sizes_fit(n: Column, m: Column) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+def sizes_fit(n: Column, m: Column, percent: int = PERCENT) -> Column:
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def estimated(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, sketch: DataFrame, percent: int = PERCENT) -> DataFrame:
     """pairs (a, b) whose similarity, estimated from the sketch of the union, isn't hopeless."""
     one = sketch.select(F.col("id").alias("a"), F.col("sketch").alias("s"))
     two = sketch.select(F.col("id").alias("b"), F.col("sketch").alias("t"))
     union = F.slice(F.sort_array(F.array_union("s", "t")), 1, SKETCH)
     both = F.size(F.array_intersect(union, F.array_intersect("s", "t")))
-    return pairs.join(one, "a").join(two, "b").where(both >= LEAST_ESTIMATE * F.size(union)).select("a", "b")
+    least = LEAST_ESTIMATE - (PERCENT - percent) / 100
+    return pairs.join(one, "a").join(two, "b").where(both >= least * F.size(union)).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """pairs (a, b) whose full sets are similar enough."""
     pairs = cut(pairs)
     sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
     same = F.size(F.array_intersect("s", "t"))
-    enough = same * 100 >= (F.size("s") + F.size("t") - same) * PERCENT
+    enough = same * 100 >= (F.size("s") + F.size("t") - same) * percent
     return cut(pairs.join(one, "a").join(two, "b").where(enough).select("a", "b"))
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Verified links (a, b) that connect every two similar classes (id, n, rare, kept, sketch)."""
     sketch = classes.select("id", "sketch")
     share = (F.col("rare") * 1000 / F.greatest(F.size("kept"), F.lit(1))).cast("int")
@@ -157,8 +158,8 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     ni, zs = F.col("ni"), F.col("zs")
     listed = held.select("v", "id", F.shiftright(ni, 26).alias("n"), (ni % SHIFT).alias("i"), "z", F.shiftright(zs, 1).alias("zn"), (zs % 2 == 1).alias("long"))
 
-    first = listed.where(sizes_fit(F.col("n"), F.col("zn"))).select(F.col("id").alias("a"), F.col("z").alias("b")).distinct()
-    found = verified(estimated(first, sketch), docs)
+    first = listed.where(sizes_fit(F.col("n"), F.col("zn"), percent)).select(F.col("id").alias("a"), F.col("z").alias("b")).distinct()
+    found = verified(estimated(first, sketch, percent), docs, percent)
     label = components(found)
 
     long_ = listed.where("long").join(label.select("id", F.col("component").alias("k")), "id", "left").withColumn("k", F.coalesce("k", "id"))
@@ -167,14 +168,14 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     open_ = outside.select("v").distinct()
     others = long_.join(open_, "v", "left_semi").select("v", F.col("id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("k").alias("bk"), (F.col("k") != F.col("zk")).alias("b_out"))
     room = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
-    enough = room * (100 + PERCENT) >= (F.col("n") + F.col("m")) * PERCENT
+    enough = room * (100 + percent) >= (F.col("n") + F.col("m")) * percent
     once = (F.col("id") < F.col("b")) | ~F.col("b_out")
-    second = outside.select("v", "id", "n", "i", "k").join(others, "v").where((F.col("k") != F.col("bk")) & once & sizes_fit(F.col("n"), F.col("m")) & enough)
+    second = outside.select("v", "id", "n", "i", "k").join(others, "v").where((F.col("k") != F.col("bk")) & once & sizes_fit(F.col("n"), F.col("m"), percent) & enough)
     second = second.select(F.col("id").alias("a"), "b").distinct()
-    return found.unionAll(verified(estimated(second, sketch), docs))
+    return found.unionAll(verified(estimated(second, sketch, percent), docs, percent))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
     Null texts and texts without words have no shingles and are linked with nothing; fewer words than a shingle count
@@ -182,20 +183,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     a null component. An empty table gives an empty result; other columns aren't read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    base = cut(sketches(rows, common_shingles(rows))).withColumn("row", F.monotonically_increasing_id())
+    base = cut(sketches(rows, common_shingles(rows), percent)).withColumn("row", F.monotonically_increasing_id())
     sets = base.where("n > 0 and doc_id is not null")
     groups = sets.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("f1", "f2", "n", F.col("first.doc_id").alias("id"), F.col("first.row").alias("row"))
     named = base.select("doc_id", "n", "f1", "f2").join(groups.drop("row"), ["f1", "f2", "n"], "left").select("doc_id", "n", F.coalesce("id", "doc_id").alias("id"))
     classes = sets.drop("doc_id").join(groups.select("row", "id"), "row").select("id", "n", "rare", "kept", "sketch")
-    label = components(links(rows, classes))
+    label = components(links(rows, classes, percent))
     out = named.join(label, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of docs without those that near_duplicates drops, one row for each doc_id; null ids all stay."""
     plain = docs.select(F.col(doc_id).cast("long").alias("_id"), F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
-    found = cut(near_duplicates(docs, doc_id, text).where("doc_id is not null"))
+    found = cut(near_duplicates(docs, doc_id, text, percent).where("doc_id is not null"))
     some = cut(found.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 or not kept").select(F.col("doc_id").alias("_id"), "kept"))
     both = marked(plain, some, "_id").withColumn("_in", F.col("_in") & F.col("_id").isNotNull())
     checked = both.where("_in").join(some.where("not kept").select("_id"), "_id", "left_anti").dropDuplicates(["_id"])

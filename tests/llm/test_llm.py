@@ -528,6 +528,16 @@ def test_stages_keep_columns_and_take_effect(spark, odd, empty, tmp_path):
     packed_well(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect(), listed(docs), 2048)
 
 
+def test_near_duplicates_of_another_threshold(spark):
+    texts = []
+    for n in (50, 48):  # one changed word: 41 of 51 shingles are common, 39 of 49
+        words = [f"n{n}w{k}" for k in range(n)]
+        texts += [" ".join(words), " ".join([*words[: n // 2], "changed", *words[n // 2 + 1 :]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(i for i, _ in listed(near_dup.keep_one(docs, percent=80))) == [0, 2, 3]
+    assert all(r["kept"] for r in near_dup.near_duplicates(docs).collect())
+
+
 def test_registered_queries():
     names = queries.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
