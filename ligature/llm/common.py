@@ -12,6 +12,7 @@ from ..shipping import ship
 
 #: ASCII white space, the separators of words in every contract of this package.
 SPACE = r"[\x20\x09-\x0D]"
+_STORED: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and cut its lineage; Spark removes the files with the last reference."""
+    """Write df once to the shared folder and cut its lineage; Spark removes the files with the last reference, if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -47,6 +49,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Like cut, for wide tables of numbers: a Parquet table in the shared folder, less than half of a checkpoint's size."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    _STORED.append(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the tables of stored(), once the results that read them are written."""
+    while _STORED:
+        remove(spark, _STORED.pop())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,4 +1,4 @@
-"""Polynomial fingerprints of all substrings of a byte array, by prefix sums modulo 2**64."""
+"""Polynomial fingerprints of all substrings of a row of symbols, by prefix sums modulo 2**64."""
 
 from __future__ import annotations
 
@@ -36,12 +36,18 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Prints:
-    """Fingerprints of the substrings of data (an array of bytes)."""
+    """Fingerprints of the substrings of data: bytes, or symbols that stand for themselves as 64-bit values."""
 
     def __init__(self, data: np.ndarray, base: int = BASES[0]) -> None:
         power, self.inverse = powers(base, len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(VALUES[data] * power[: len(data)], out=self.sums[1:])
+        np.cumsum((VALUES[data] if data.dtype == np.uint8 else data) * power[: len(data)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.inverse[start]
+
+    def all(self, n: int) -> np.ndarray:
+        """Those of every n symbols in a row."""
+        out = self.sums[n:] - self.sums[:-n]
+        out *= self.inverse[: len(out)]
+        return out

@@ -28,22 +28,27 @@ def blocks(texts: list[str | None], size: int = BLOCK):
         yield first, len(texts)
 
 
+def word_prints(texts: list[str | None], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, counts): those of the words of all texts in a row, and the number of words of each text."""
+    coded = [(t or "").encode() for t in texts]
+    data = np.frombuffer(b"\n".join(coded) + b"\n", np.uint8)
+    data = _LOWER[data] if fold else data
+    text_ends = np.cumsum([len(c) + 1 for c in coded])
+    edge = np.diff(_SPACE[data].astype(np.int8), prepend=np.int8(1))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    ends = ends[ends > 0] if len(ends) and ends[0] == 0 else ends
+    word = mix(Prints(data).of(starts, ends) + (ends - starts).astype(np.uint64))
+    return word, np.bincount(np.searchsorted(text_ends, starts, "right"), minlength=len(texts))
+
+
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, ends): the sorted distinct shingle hashes of text i are hashes[ends[i-1]:ends[i]].
 
     Letters A-Z count as lower case. A text of fewer words than a shingle has its whole sequence as one, a text
     without words has none.
     """
-    coded = [(t or "").encode() for t in texts]
-    data = _LOWER[np.frombuffer(b"\n".join(coded) + b"\n", np.uint8)]
-    text_ends = np.cumsum([len(c) + 1 for c in coded])
-    space = _SPACE[data]
-    edge = np.diff(space.astype(np.int8), prepend=np.int8(1))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    ends = ends[ends > 0] if len(ends) and ends[0] == 0 else ends
-    word = mix(Prints(data).of(starts, ends) + (ends - starts).astype(np.uint64))
-    owner = np.searchsorted(text_ends, starts, "right")
-    counts = np.bincount(owner, minlength=len(texts))
+    word, counts = word_prints(texts, fold=True)
+    owner = np.repeat(np.arange(len(texts)), counts)
     n = len(word)
     full = max(0, n - WORDS + 1)
     h = np.zeros(full, np.uint64)
