@@ -1,43 +1,60 @@
-"""Removal of byte strings that occur more than once, by prefix doubling over sampled positions.
-
-A string of LENGTH bytes is a duplicate if it starts anywhere else too. Ranking every position of a corpus would
-shuffle many times its size, so positions are sampled by their content: each window start p goes with the anchor in
-[p, p + SPAN), the place with the least fingerprint, and equal strings have their anchors at equal distances. Ranks are
-fingerprints, which tell equal from unequal, as ranks do; every round pairs the rank of a prefix with the rank of the
-bytes that follow at a larger offset, groups equal pairs, and drops the positions that have become unique:
-
-1. anchors, by the 201 bytes that every string of their windows holds; unique ones are done;
-2. blocks of 16 window starts of the remaining anchors, by the bytes that all strings of the block hold;
-3. single window starts, by all LENGTH bytes.
-
-In each round a group whose members also agree on all bytes that the block's windows cover is wholly duplicated; only
-groups that agree on the common bytes and differ outside go on, with one witness for each distinct block. Groups are
-counted with partial aggregation and joined back, so no group is gathered in one task. The result is exact up to
-collisions of 64-bit fingerprints within groups that agree on another 64-bit fingerprint.
+"""Removal of strings that occur more than once, by prefix doubling over sampled positions.
+
+A string of `length` symbols (bytes or words) is a duplicate if it starts anywhere else too. Ranking every position of a
+corpus would shuffle many times its size, so positions are sampled by their content: each window start p goes with the
+anchor in [p, p + length / 2), the place with the least fingerprint, and equal strings have their anchors at equal
+distances. Ranks are fingerprints, which tell equal from unequal, as ranks do; every round pairs the rank of a prefix
+with the rank of the symbols that follow at a larger offset, groups equal pairs, and drops the positions that have
+become unique, until none is left or the pairs cover the whole length:
+
+1. anchors, by the half of the length that every string of their windows holds; unique ones are done;
+2. blocks of window starts of the remaining anchors, by the symbols that all strings of the block hold;
+3. single window starts, by all symbols.
+
+In each round a group whose members also agree on all symbols that the block's windows cover is wholly duplicated; only
+groups that agree on the common symbols and differ outside go on, with one witness for each distinct block. Groups are
+counted with partial aggregation; a filter of fixed size then keeps unique rows out of the shuffle, and the join that
+marks the rest splits ranks that very many positions share. The result is exact up to collisions of 64-bit fingerprints
+within groups that agree on another 64-bit fingerprint.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .membership import marked
-from .rolling import BASES, Prints, mix
-from .shingles import blocks
+from .common import cut, stored
+from .membership import bit_of_hash, has_hash, marked, members
+from .rolling import BASES, VALUES, Prints, mix
+from .shingles import blocks, word_prints
+from .skew import counted, spread_join
 
-LENGTH = 400
-SPAN = 200
-GRAM = 16
-BLOCKS = (16, 1)
+
+@dataclass(frozen=True)
+class Unit:
+    """What strings are made of: symbols of a gram for anchors, and window starts in the blocks of later rounds."""
+
+    name: str
+    length: int
+    gram: int
+    blocks: tuple[int, ...]
+
+
+BYTES = Unit("bytes", 400, 16, (16, 1))
+#: A passage is fifty words, whatever their length and the white space between them.
+WORDS = Unit("words", 50, 2, (4, 1))
+UNITS = {u.name: u for u in (BYTES, WORDS)}
 KEY = ["h", "crc"]
 ROW = "h long, crc long, a int, lo int, hi int, c long, s long"
 FIELDS = ["h", "crc", "a", "lo", "hi", "c", "s"]
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -52,65 +69,105 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts in a row, and where each ends."""
+def symbols(texts: list[str | None], unit: Unit) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts in a row, and where each text ends."""
+    if unit.name == "words":
+        prints, counts = word_prints(texts)
+        return prints, np.cumsum(counts)
     coded = [(t or "").encode() for t in texts]
-    return np.frombuffer(b"".join(coded), np.uint8), np.cumsum([len(c) for c in coded])
+    return VALUES[np.frombuffer(b"".join(coded), np.uint8)], np.cumsum([len(c) for c in coded])
 
 
-def anchors(texts: list[str | None], length: int = LENGTH, span: int = SPAN):
-    """(text, start of text, anchor, first and last window start, rank of common bytes, rank of all bytes) as arrays.
+def anchors(texts: list[str | None], unit: Unit = BYTES, length: int | None = None):
+    """(text, start of text, anchor, first and last window start, rank of common symbols, rank of all) as arrays.
 
     Anchor and window starts count from the start of all texts joined.
     """
-    data, ends = joined(texts)
+    length = length or unit.length
+    span = length // 2
+    data, ends = symbols(texts, unit)
     none = np.zeros(0, np.int64)
+    nothing = none, none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     if len(data) < length:
-        return none, none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing
     one, two = Prints(data, BASES[0]), Prints(data, BASES[1])
-    at = np.arange(len(data) - GRAM + 1)
-    grams = mix(one.of(at, at + GRAM))
-    best = (window_minima((grams >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64), span) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    p = np.arange(len(data) - length + 1)
-    p = p[p + length <= ends[owner[p]]]
-    if not len(p):
-        return none, none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    begin = np.concatenate([[0], ends[:-1]])
+    windows = np.maximum(ends - begin - length + 1, 0)
+    if not windows.any():
+        return nothing
+    # The high half of a gram's fingerprint, which the multiplication has mixed, above its place.
+    grams = one.all(unit.gram)
+    grams &= np.uint64(0xFFFFFFFF << 32)
+    grams |= np.arange(len(grams), dtype=np.uint64)
+    best = window_minima(grams, span).astype(np.uint32)
+    before = np.cumsum(windows) - windows
+    p = np.arange(windows.sum()) + np.repeat(begin - before, windows)
     anchor = best[p]
     new = np.ones(len(p), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (p[1:] != p[:-1] + 1)
+    np.not_equal(anchor[1:], anchor[:-1], out=new[1:])
+    new[before[windows > 0]] = True
     first = np.flatnonzero(new)
-    lo, hi, a = p[first], p[np.append(first[1:], len(p)) - 1], anchor[first]
+    lo, hi, a = p[first], p[np.append(first[1:], len(p)) - 1], anchor[first].astype(np.int64)
     common = mix(one.of(a, a + length - span + 1))
     every = mix(two.of(lo, hi + length) + mix(((a - lo) * 1000 + hi - lo).astype(np.uint64)))
-    text = owner[lo]
-    return text, np.concatenate([[0], ends[:-1]])[text], a, lo, hi, common, every
+    text = np.searchsorted(ends, lo, "right")
+    return text, begin[text], a, lo, hi, common, every
+
+
+def twice(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The keys and texts of the batch, of equal texts the first two: two are as repeated as more."""
+    h, crc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    met: dict[tuple, int] = {}
+    some = []
+    for i, key in enumerate(zip(h.tolist(), crc.tolist(), strict=True)):
+        met[key] = n = met.get(key, 0) + 1
+        if n <= 2:
+            some.append(i)
+    return h[some], crc[some], batch.column(2).take(pa.array(some, pa.int64())).to_pylist()
+
 
+def anchor_groups(docs: DataFrame, unit: Unit, length: int) -> DataFrame:
+    """(c, n, mixed): ranks of common symbols that n > 1 anchors share, and whether their windows differ elsewhere."""
 
-def anchor_rows(docs: DataFrame, length: int, span: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, crc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            texts = batch.column(2).to_pylist()
+            _, _, texts = twice(batch)
             for b, e in blocks(texts):
-                text, start, a, lo, hi, common, every = anchors(texts[b:e], length, span)
-                place = [pa.array((x - start).astype(np.int32)) for x in (a, lo, hi)]
+                *_, common, every = anchors(texts[b:e], unit, length)
+                yield pa.record_batch([pa.array(common.view(np.int64)), pa.array(every.view(np.int64))], ["c", "s"])
+
+    return groups_of(docs.select(*KEY, "text").mapInArrow(run, "c long, s long"))
+
+
+def anchor_rows(docs: DataFrame, unit: Unit, length: int, repeated: np.ndarray) -> DataFrame:
+    """The anchors whose rank of common symbols may be among the repeated ones."""
+    shared = docs.sparkSession.sparkContext.broadcast(repeated)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            h, crc, texts = twice(batch)
+            for b, e in blocks(texts):
+                text, start, a, lo, hi, common, every = anchors(texts[b:e], unit, length)
+                x = has_hash(bits, common)
+                text, start, common, every = text[x], start[x], common[x], every[x]
+                place = [pa.array((v[x] - start).astype(np.int32)) for v in (a, lo, hi)]
                 yield pa.record_batch([pa.array(h[b:e][text]), pa.array(crc[b:e][text]), *place, pa.array(common.view(np.int64)), pa.array(every.view(np.int64))], FIELDS)
 
     return docs.select(*KEY, "text").mapInArrow(run, ROW)
 
 
-def block_rows(docs: DataFrame, wanted: DataFrame, block: int, length: int) -> DataFrame:
+def block_rows(docs: DataFrame, wanted: DataFrame, unit: Unit, block: int, length: int) -> DataFrame:
     """Rows of the blocks of window starts in the wanted rows, with ranks read from the texts; `single` goes along."""
     lists = wanted.groupBy(*KEY).agg(F.collect_set(F.struct("a", "lo", "hi", "c", "single")).alias("w"))
-    some = needed(docs, wanted).dropDuplicates(KEY).join(lists, KEY)
+    some = marked(docs, wanted, "h").where("_in").drop("_in").dropDuplicates(KEY).join(lists, KEY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[np.ndarray]] = []
             h, crc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for i, (text, w) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), strict=True)):
-                data = np.frombuffer(text.encode(), np.uint8)
+                data, _ = symbols([text], unit)
                 one, two = Prints(data, BASES[0]), Prints(data, BASES[1])
                 table = pa.RecordBatch.from_struct_array(w.values)
                 a, lo, hi = (table.column(k).to_numpy().astype(np.int64) for k in range(3))
@@ -135,33 +192,38 @@ def block_rows(docs: DataFrame, wanted: DataFrame, block: int, length: int) -> D
     return some.select(*KEY, "text", "w").mapInArrow(run, ROW + ", single boolean")
 
 
-def needed(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """docs whose key may be among keys, by a filter of fixed size."""
-    return marked(docs, keys, "h").where("_in").drop("_in")
+def groups_of(rows: DataFrame) -> DataFrame:
+    return cut(counted(rows, ["c"], (F.min("s") != F.max("s")).alias("mixed")).where("n > 1"))
 
 
-def split(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
+def split(rows: DataFrame, groups: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """(duplicated intervals, rows to go on with) of one round; rows: FIELDS and `single`, whether the result counts."""
-    groups = rows.groupBy("c").agg(F.count("*").alias("n"), (F.min("s") != F.max("s")).alias("mixed")).where("n > 1").select("c", "mixed")
+    found = stored(spread_join(rows, groups, ["c"]).drop("n"), "equal-prefixes")
     # A group without a row whose result counts is of no use.
-    found = cut(rows.join(groups, "c"))
     same = found.where("not mixed and single").select(*KEY, "lo", "hi")
     if last:
         return same, None
     mixed = found.where("mixed")
     first = F.min(F.struct(*KEY, "a", "lo", "hi", "single")).alias("r")
-    reps = cut(mixed.groupBy("c", "s").agg(F.count("*").alias("n"), first))
-    equal = mixed.where("single").join(reps.where("n > 1").select("c", "s"), ["c", "s"]).select(*KEY, "lo", "hi")
-    live = reps.where("n = 1 and r.single").select("c").distinct()
-    rest = reps.join(live, "c", "left_semi").select("r.h", "r.crc", "r.a", "r.lo", "r.hi", "c", (F.col("r.single") & (F.col("n") == 1)).alias("single"))
-    return same.unionAll(equal), rest
+    reps = stored(counted(mixed, ["c", "s"], first), "distinct-windows")
+    equal = spread_join(mixed.where("single"), reps.where("n > 1").select("c", "s", "n"), ["c", "s"]).select(*KEY, "lo", "hi")
+    live = cut(counted(reps, ["c"], F.max((F.col("n") == 1) & F.col("r.single")).alias("live")).where("live").select("c", "n"))
+    rest = spread_join(reps.withColumnRenamed("n", "copies"), live, ["c"])
+    return same.unionAll(equal), rest.select("r.h", "r.crc", "r.a", "r.lo", "r.hi", "c", (F.col("r.single") & (F.col("copies") == 1)).alias("single"))
 
 
-def duplicated(docs: DataFrame, length: int = LENGTH, span: int = SPAN) -> DataFrame:
+def duplicated(docs: DataFrame, unit: Unit = BYTES, length: int | None = None) -> DataFrame:
     """(h, crc, lo, hi): intervals of window starts whose strings occur elsewhere; docs: h, crc, text (not null)."""
-    done, rest = split(anchor_rows(docs, length, span).withColumn("single", F.lit(True)), last=False)
-    for k, block in enumerate(BLOCKS):
-        more, rest = split(cut(block_rows(docs, cut(rest), block, length)), last=k == len(BLOCKS) - 1)
+    length = length or unit.length
+    groups = anchor_groups(docs, unit, length)
+    rows = anchor_rows(docs, unit, length, members(groups, bit=bit_of_hash("c"))).withColumn("single", F.lit(True))
+    done, rest = split(rows, groups, last=False)
+    for k, block in enumerate(unit.blocks):
+        wanted = cut(rest)
+        if wanted.isEmpty():
+            break
+        ranked = stored(block_rows(docs, wanted, unit, block, length), "blocks")
+        more, rest = split(ranked, groups_of(ranked), last=k == len(unit.blocks) - 1)
         done = done.unionAll(more)
     return cut(done.distinct())
 
@@ -172,64 +234,98 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({"t": whole, "h": F.xxhash64(whole), "crc": F.crc32(whole.cast("binary"))})
 
 
-def kept_bytes(data: bytes, intervals: list[tuple[int, int]], length: int) -> tuple[bytes, int, int]:
-    """(what is left of data, bytes removed, runs removed) for intervals of window starts."""
+def merged(intervals: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+    """The runs (start, end) of symbols that the windows of length at the intervals of starts cover."""
     runs: list[list[int]] = []
     for lo, hi in sorted(intervals):
         if runs and lo <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], hi + length)
         else:
             runs.append([lo, hi + length])
-    out, at = [], 0
-    for b, e in runs:
-        out.append(data[at:b])
-        at = e
-    return b"".join([*out, data[at:]]), sum(e - b for b, e in runs), len(runs)
+    return [(b, e) for b, e in runs]
+
+
+def byte_runs(data: bytes, intervals: list[tuple[int, int]], unit: Unit, length: int) -> list[tuple[int, int]]:
+    """The runs of bytes of data that the intervals of window starts remove."""
+    runs = merged(intervals, length)
+    if unit.name == "words" and runs:
+        spans = [m.span() for m in WORD.finditer(data)]
+        return [(spans[b][0], spans[e - 1][1]) for b, e in runs]
+    return runs
+
+
+def kept(data: bytes, runs: list[tuple[int, int]]) -> bytes:
+    return b"".join(data[b:e] for b, e in zip([0, *(e for _, e in runs)], [*(b for b, _ in runs), len(data)], strict=True))
 
 
-def with_intervals(docs: DataFrame, length: int = LENGTH, span: int = SPAN) -> DataFrame:
-    """docs (with h, crc, t) and `iv`, the intervals of their text, null if there are none."""
-    found = duplicated(docs.select(*KEY, F.col("t").alias("text")), length, span)
-    lists = found.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("iv"))
+LISTS = "array<struct<u:int,lo:int,hi:int>>"
+
+
+def with_intervals(docs: DataFrame, strings: list[tuple[Unit, int]]) -> DataFrame:
+    """docs (with h, crc, t) and `iv`, the intervals (number in strings, first, last) of their text, null if none."""
+    texts = docs.select(*KEY, F.col("t").alias("text"))
+    found = None
+    for k, (unit, length) in enumerate(strings):
+        one = duplicated(texts, unit, length).withColumn("u", F.lit(k))
+        found = one if found is None else found.unionByName(one)
+    lists = found.groupBy(*KEY).agg(F.collect_list(F.struct("u", "lo", "hi")).alias("iv"))
     both = marked(docs, found, "h")
-    none = both.where("not _in").withColumn("iv", F.lit(None).cast("array<struct<lo:int,hi:int>>"))
-    return none.unionByName(both.where("_in").join(lists, KEY, "left")).drop("_in")
+    copies = cut(counted(both.where("_in"), KEY))
+    none = both.where("not _in").withColumn("iv", F.lit(None).cast(LISTS))
+    some = spread_join(both.where("_in"), lists, KEY, how="left", sizes=copies)
+    return none.unionByName(some).drop("_in")
+
 
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    Null texts count as empty; texts of fewer bytes than LENGTH lose nothing. Repeated rows are separate documents, so
-    they remove each other's strings. An empty table gives an empty result; other columns aren't read.
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = BYTES.length, passage: int = WORDS.length) -> DataFrame:
+    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words.
+
+    Bytes of strings of `length` bytes that start elsewhere too are removed; n_passage_words counts the words in
+    passages of `passage` words that start elsewhere too, which can be shorter. Null texts count as empty; texts below
+    these lengths lose nothing. Repeated rows are separate documents, so they remove each other's strings. An empty
+    table gives an empty result; other columns aren't read.
     """
     rows = keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    table = with_intervals(rows.drop("text"), length)
+    table = with_intervals(rows.drop("text"), [(BYTES, length), (WORDS, passage)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t, iv in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            lists = batch.column(2)
+            u, lo, hi = (x.to_numpy().tolist() for x in lists.values.flatten())
+            ends = lists.offsets.to_numpy().tolist()
+            for t, b, e in zip(batch.column(1).to_pylist(), ends[:-1], ends[1:], strict=True):
                 data = t.encode()
-                left, removed, n = kept_bytes(data, [(x["lo"], x["hi"]) for x in iv or []], length)
-                out.append((len(data), removed, n, hashlib.sha256(left).hexdigest()))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            kinds = [pa.int64()] * 3 + [pa.string()]
-            yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                runs, words = (merged([(lo[k], hi[k]) for k in range(b, e) if u[k] == v], n) for v, n in enumerate((length, passage)))
+                out.append((len(data), sum(e - b for b, e in runs), len(runs), hashlib.sha256(kept(data, runs)).hexdigest(), sum(e - b for b, e in words)))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64()]
+            yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [c.split()[0] for c in RESULT.split(", ")])
+
+    return table.select(F.col("doc_id").cast("long"), "t", "iv").mapInArrow(run, RESULT)
 
-    return table.select(F.col("doc_id").cast("long"), "t", "iv").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
+def strip(docs: DataFrame, text: str = "text", length: int | None = None, unit: Unit = BYTES) -> DataFrame:
+    """docs with the duplicated strings cut out of their texts; letters cut in two are dropped. Null texts stay null.
 
-def strip(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """docs with the duplicated strings cut out of their texts; letters cut in two are dropped. Null texts stay null."""
-    names = docs.columns
+    In units of words a run goes from the start of its first word to the end of its last; the white space around it
+    stays. Rows are judged as in dedup; all columns are kept.
+    """
+    names, length = docs.columns, length or unit.length
     plain = docs.select(F.col(text).alias("text"), F.struct(*(F.col(c) for c in names)).alias("row"))
-    table = with_intervals(keyed(plain).drop("text"), length)
+    table = with_intervals(keyed(plain).drop("text"), [(unit, length)])
 
     @F.pandas_udf("string")
     def left(t, iv):
         import pandas as pd
 
-        return pd.Series([kept_bytes(x.encode(), [(v["lo"], v["hi"]) for v in i], length)[0].decode("utf-8", "ignore") for x, i in zip(t, iv, strict=True)], dtype=object)
+        out = []
+        for x, found in zip(t, iv, strict=True):
+            data = x.encode()
+            out.append(kept(data, byte_runs(data, [(v["lo"], v["hi"]) for v in found], unit, length)).decode("utf-8", "ignore"))
+        return pd.Series(out, dtype=object)
 
-    clean = F.when(F.col("iv").isNull(), F.col("row")[text]).otherwise(left(F.col("t"), F.coalesce("iv", F.array().cast("array<struct<lo:int,hi:int>>"))))
+    clean: Column = F.when(F.col("iv").isNull(), F.col("row")[text]).otherwise(left(F.col("t"), F.coalesce("iv", F.array().cast(LISTS))))
     return table.withColumn("clean", clean).select(*(F.col("clean").alias(c) if c == text else F.col("row")[c].alias(c) for c in names))
