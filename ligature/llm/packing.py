@@ -2,15 +2,16 @@
 
 The length histogram (one count for each length up to the capacity, so of bounded size) goes to the driver. There a
 covering program over bin configurations is solved by multiplicative weights: each length has a price that falls
-as the length gets covered, and a knapsack dynamic program finds the dearest configuration. Its fractional uses are
-rounded down, and best fit on the histogram fills what is left. The plan is a list of configurations with
-multiplicities; documents find their places by their rank among the pieces of their length, without any shuffle of
-text and without a list of documents on the driver.
+as the length gets covered, and a knapsack dynamic program finds the dearest configurations. Its fractional uses are
+rounded and the program is solved again for what they leave over; best fit on the histogram only closes the few pieces
+at the end. The plan is a list of configurations with multiplicities; documents find their places by their rank among
+the pieces of their length, without any shuffle of text and without a list of documents on the driver.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -20,13 +21,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .tokens import coder, default_path
+from .tokens import coder, default_path, special_tokens
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Lengths that occur less often than this are left to best fit.
-LEAST_COUNT = 4
-ROUNDS = 500
+ROUNDS = 8
+#: How often the program is solved again for what rounding left over; best fit takes the rest.
+PASSES = 40
+STEP = 0.5
+DECAY = 2.0
 MOST_SHARDS = 4096
 SHARD_ROWS = 64
 
@@ -42,18 +45,22 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pieces of each document with the checksum of their ids. A null text counts as empty, with one token."""
+    """The pieces of each document with the checksum of their ids. A null text counts as empty, with one token.
+
+    Strings of special tokens in a text get those tokens' ids, as the tokenizer's own encoding has it. A null doc_id
+    stays null.
+    """
     path = tokenizer or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(path)
+        code, special = coder(path), special_tokens()
         end = np.array([SEPARATOR], "<u4").tobytes()
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
                 rows: list[tuple] = []
                 for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = code.encode(t).tobytes() + end
+                    ids = code.encode(t, special).tobytes() + end
                     for j, (s, n) in enumerate(cut_points(len(ids) // 4, capacity)):
                         rows.append((i, j, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])))
                 cols = list(zip(*rows, strict=True))
@@ -63,59 +70,89 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
 
 
-def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """The dearest multiset of sizes (ascending) that fits, as index -> copies."""
-    best = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1)
-    fits = np.searchsorted(sizes, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if k := fits[c]:
-            value = best[c - sizes[:k]] + prices[:k]
-            j = int(value.argmax())
-            if value[j] > best[c] + 1e-12:
-                best[c], took[c] = value[j], j
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if (j := int(took[c])) < 0:
-            c -= 1
-        else:
-            out[j] = out.get(j, 0) + 1
-            c -= int(sizes[j])
-    return out
+class Knapsack:
+    """The dearest multisets of sizes (ascending) for every room up to capacity, by dynamic programming."""
 
+    def __init__(self, sizes: np.ndarray, prices: np.ndarray, capacity: int) -> None:
+        self.sizes = sizes
+        self.value = np.zeros(capacity + 1)
+        self.took = np.full(capacity + 1, -1)
+        fits = np.searchsorted(sizes, np.arange(capacity + 1), "right")
+        for c in range(1, capacity + 1):
+            self.value[c] = self.value[c - 1]
+            if k := fits[c]:
+                value = self.value[c - sizes[:k]] + prices[:k]
+                j = int(value.argmax())
+                if value[j] > self.value[c] + 1e-12:
+                    self.value[c], self.took[c] = value[j], j
 
-def configurations(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Configurations (length -> copies) and how often to use them, together within the histogram."""
-    lengths = np.array(sorted(n for n, k in histogram.items() if k >= LEAST_COUNT and n < capacity), dtype=np.int64)
-    if not len(lengths):
-        return []
-    counts = np.array([histogram[int(n)] for n in lengths], dtype=float)
+    def content(self, room: int) -> dict[int, int]:
+        """What fills the room, as index -> copies."""
+        out: dict[int, int] = {}
+        while room > 0:
+            if (j := int(self.took[room])) < 0:
+                room -= 1
+            else:
+                out[j] = out.get(j, 0) + 1
+                room -= int(self.sizes[j])
+        return out
+
+
+def program(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) -> dict[tuple, float]:
+    """Fractional uses of configurations ((index, copies), ...) that together cover counts at most once.
+
+    A length's weight falls by a constant factor each time its whole count is covered once. In a round one dynamic
+    program prices all rooms, and each length that is still open gets the dearest configuration that holds it.
+    """
     covered = np.zeros(len(lengths))
     used: dict[tuple, float] = {}
     for _ in range(rounds):
-        open_ = np.flatnonzero(covered < 1)
+        open_ = np.flatnonzero(covered < 1 - 1e-9)
         if not len(open_):
             break
-        # A bounded price can't put more copies into a configuration than a few rounds can use.
-        price = lengths[open_] * np.exp(-2.0 * covered[open_])
-        pick = knapsack(lengths[open_], price, capacity)
-        pick = {int(open_[j]): min(c, int(counts[open_[j]])) for j, c in pick.items()}
-        if not pick:
+        # Large lengths are a little dearer, since less fits beside them.
+        sizes = lengths[open_]
+        table = Knapsack(sizes, sizes * (1 + 0.1 * sizes / capacity) * np.exp(-DECAY * covered[open_]), capacity)
+        left = counts[open_] * (1 - covered[open_])
+        for j in range(len(open_) - 1, -1, -1):
+            if left[j] <= 1e-9 * counts[open_[j]]:
+                continue
+            pick = table.content(capacity - int(sizes[j]))
+            pick[j] = pick.get(j, 0) + 1
+            step = STEP * min(left[i] / c for i, c in pick.items())
+            if step <= 1e-6:
+                continue
+            key = tuple(sorted((int(open_[i]), c) for i, c in pick.items()))
+            used[key] = used.get(key, 0.0) + step
+            for i, c in pick.items():
+                left[i] -= step * c
+        covered[open_] = 1 - left / counts[open_]
+    return used
+
+
+def configurations(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+    """Configurations (length -> copies) and how often to use them, together within the histogram.
+
+    The program's uses are rounded up in the order of their fill, as far as pieces are left, and the program is solved
+    again for what is left over, until everything has a place or the passes end.
+    """
+    left = {n: k for n, k in histogram.items() if k and n <= capacity}
+    out: dict[tuple, int] = {}
+    for _ in range(PASSES):
+        lengths = np.array(sorted(n for n, k in left.items() if k), dtype=np.int64)
+        if not len(lengths):
+            break
+        uses = program(lengths, np.array([left[int(n)] for n in lengths], dtype=float), capacity, rounds)
+        named = [(tuple((int(lengths[j]), c) for j, c in key), x) for key, x in uses.items()]
+        before = sum(left.values())
+        for content, x in sorted(named, key=lambda kx: (-sum(n * c for n, c in kx[0]), -kx[1], kx[0])):
+            if n := min(math.ceil(x - 1e-6), *(left[k] // c for k, c in content)):
+                out[content] = out.get(content, 0) + n
+                for k, c in content:
+                    left[k] -= c * n
+        if sum(left.values()) == before:
             break
-        step = max(1.0, 0.5 * min(counts[j] / c for j, c in pick.items()))
-        key = tuple(sorted(pick.items()))
-        used[key] = used.get(key, 0.0) + step
-        for j, c in pick.items():
-            covered[j] += step * c / counts[j]
-    out = []
-    for key, x in sorted(used.items(), key=lambda kx: (-sum(int(lengths[j]) * c for j, c in kx[0]), kx[0])):
-        fill = sum(int(lengths[j]) * c for j, c in key)
-        n = int(x / max(1.0, *(covered[j] for j, _ in key)) + 1e-9)
-        if n and fill >= 0.998 * capacity:
-            out.append(({int(lengths[j]): c for j, c in key}, n))
-    return out
+    return [(dict(content), n) for content, n in out.items()]
 
 
 def best_fit(histogram: dict[int, int], capacity: int, bins: list[tuple[dict[int, int], int]]) -> list[tuple[dict[int, int], int]]:
@@ -156,13 +193,14 @@ def best_fit(histogram: dict[int, int], capacity: int, bins: list[tuple[dict[int
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Bins (length -> copies, number of such bins) that hold the histogram exactly."""
+    """Bins (length -> copies, number of such bins) that hold the histogram exactly; by best fit alone if that needs fewer."""
     first = configurations(histogram, capacity, rounds)
     left = dict(histogram)
     for content, n in first:
         for length, c in content.items():
             left[length] -= c * n
-    return best_fit({k: v for k, v in left.items() if v}, capacity, first)
+    ours, plain = best_fit({k: v for k, v in left.items() if v}, capacity, first), best_fit(histogram, capacity, [])
+    return ours if sum(n for _, n in ours) <= sum(n for _, n in plain) else plain
 
 
 def slots(bins: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:

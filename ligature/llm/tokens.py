@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import base64
+import functools
+import json
 import os
+import re
 
 import numpy as np
 
@@ -36,8 +39,14 @@ class Coder:
             self.tokens = {k: len(b) for b, k in tokenizer.get_vocab().items()}  # a letter stands for a byte
             self.plain = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
-    def encode(self, text: str | None) -> np.ndarray:
-        return np.array(self.plain(text) if text else [], "<u4")
+    def encode(self, text: str | None, special: dict[str, int] | None = None) -> np.ndarray:
+        """Ids of text; strings in special get the ids given there instead of those of ordinary text."""
+        if not text or not special or not any(k in text for k in special):
+            return np.array(self.plain(text) if text else [], "<u4")
+        ids: list[int] = []
+        for k, part in enumerate(re.split(f"({'|'.join(map(re.escape, special))})", text)):
+            ids += [special[part]] if k % 2 else self.plain(part) if part else []
+        return np.array(ids, "<u4")
 
     def widths(self) -> np.ndarray:
         """The number of bytes of each token."""
@@ -56,3 +65,12 @@ def default_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@functools.lru_cache
+def special_tokens(path: str | None = None) -> dict[str, int]:
+    """The added tokens of a tokenizers file, by default that of the vocabulary of default_path()."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
