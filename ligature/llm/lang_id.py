@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .pieces import default_path
-from .segments import PART, expected, log_words, table
+from .segments import expected, log_words, table
 
-#: The fit reads about this many labelled documents of each language, chosen by a hash of their text.
+#: The fit reads about this many different labelled texts of each language, chosen by their hash.
 SAMPLE_DOCUMENTS = 400
 ROUNDS = 3
-#: Added to the expected count of every piece.
-SMOOTHING = 0.05
+#: This part of every language's probability is shared out evenly over all pieces, so unseen pieces favour none.
+FLOOR = 0.01
 UNDETERMINED = "und"
 #: The first words that a worker meets are remembered, up to this number.
 MEMO_WORDS = 150_000
@@ -36,13 +36,8 @@ RUN = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> Counter:
-    """Runs of letters in lower case, long ones in parts."""
-    if not text:
-        return Counter()
-    found = RUN.findall(text.lower())
-    if len(text) > PART and max(map(len, found), default=0) > PART:
-        found = [w[k : k + PART] for w in found for k in range(0, len(w), PART)]
-    return Counter(found)
+    """Runs of letters in lower case, whole however long."""
+    return Counter(RUN.findall(text.lower())) if text else Counter()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -60,7 +55,8 @@ def fit(labelled: DataFrame, path: str | None = None, rounds: int = ROUNDS, samp
     """Piece probabilities of each language of labelled; rows without text or language don't count."""
     path = path or default_path()
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # Copies of a text count once, so that no group of copies fills the sample.
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).collect()}
     languages = sorted(totals)
     if not languages:
         return Model([], np.zeros((0, 0)))
@@ -76,9 +72,9 @@ def fit(labelled: DataFrame, path: str | None = None, rounds: int = ROUNDS, samp
                     found[k, w] += n
             yield pa.record_batch([pa.array([k for k, _ in found], pa.string()), pa.array([w for _, w in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
 
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).dropDuplicates(["lang", "text"])
     counts = cut(some.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    size, none = table(path).size, table(path).none
+    size, none, lone = table(path).size, table(path).none, table(path).mark
     p = np.full((size, len(languages)), 1.0 / size)
     p[none] = 0.0
     for _ in range(rounds):
@@ -96,10 +92,13 @@ def fit(labelled: DataFrame, path: str | None = None, rounds: int = ROUNDS, samp
             yield pa.record_batch([pa.array(j.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[piece, j])], ["lang", "piece", "n"])
 
         sums = counts.mapInArrow(expect, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-        p = np.full((size, len(languages)), SMOOTHING)
-        p[none] = 0.0
-        p[sums["piece"].to_numpy(), sums["lang"].to_numpy()] += sums["n"].to_numpy()
-        p /= p.sum(axis=0)
+        p = np.zeros((size, len(languages)))
+        p[sums["piece"].to_numpy(), sums["lang"].to_numpy()] = sums["n"].to_numpy()
+        # The mark of a word's start alone is equally likely in all languages: it says nothing about letters.
+        mark = float(np.mean(p[lone] / np.maximum(p.sum(axis=0), 1e-300)))
+        p[lone] = 0.0
+        p = (1 - FLOOR - mark) * p / np.maximum(p.sum(axis=0), 1e-300) + FLOOR / (size - 2)
+        p[lone], p[none] = max(mark, FLOOR / size), 0.0
     return Model(languages, p)
 
 
