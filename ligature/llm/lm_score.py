@@ -4,9 +4,9 @@ Both are interpolated bigram models over the ids of one public tokenizer, with t
 counted over all documents, the target over those that the labels call good. Unigrams and contexts, of the size of the
 vocabulary, are gathered and broadcast. Pairs are counted exactly, however many there are, and never leave the
 executors: rows are dealt into blocks, each block counts its distinct pairs, sums over the blocks of each pair give the
-table, and a block gets the sums of its own pairs back to score its rows. The score of a document is the difference of
-its mean losses in nats a token. `fit` and `score` keep the pairs in a hashed table of fixed size instead, for callers
-who need models of a bound size and can bear that pairs share cells.
+table, and a block gets the sums of its own pairs back to score its rows. A document's own counts are taken out of the models that counted
+it, so that the target doesn't know its own documents by heart. The score of a document is the difference of its mean
+losses in nats a token.
 """
 
 from __future__ import annotations
@@ -23,66 +23,13 @@ from .common import cut
 from .membership import marked
 from .tokens import coder, default_path
 
-CELLS = 1 << 20
 BIGRAM_WEIGHT = 0.6
 SMOOTHING = 0.5
 #: A block of rows closes at so many tokens; rows are scored about so many tokens at a time.
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 21
 SLICE_TOKENS = 1 << 18
 
 
-def cells(ids: np.ndarray, vocabulary: int, size: int = CELLS) -> np.ndarray:
-    """The cell of each token with its predecessor; the first token follows a start mark."""
-    before = np.concatenate([[vocabulary], ids[:-1]]).astype(np.uint64)
-    h = (before * np.uint64(vocabulary + 1) + ids.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(24)).astype(np.int64) % size
-
-
-class Models:
-    """Counts of target (row 0) and background (row 1): unigrams, contexts, bigram cells."""
-
-    def __init__(self, one: np.ndarray, context: np.ndarray, two: np.ndarray) -> None:
-        self.one, self.context, self.two = one, context, two
-
-    def losses(self, ids: np.ndarray) -> np.ndarray:
-        """[model, token]: negative log probabilities."""
-        vocabulary = self.one.shape[1]
-        before = np.concatenate([[vocabulary], ids[:-1]]).astype(np.int64)
-        plain = (self.one[:, ids] + SMOOTHING) / (self.one.sum(axis=1) + SMOOTHING * vocabulary)[:, None]
-        seen = self.context[:, before]
-        pair = np.minimum(self.two[:, cells(ids, vocabulary, self.two.shape[1])], np.minimum(seen, self.one[:, ids]))
-        share = np.divide(pair, seen, out=plain.astype(np.float64).copy(), where=seen > 0)
-        return -np.log(BIGRAM_WEIGHT * share + (1 - BIGRAM_WEIGHT) * plain)
-
-
-def counted(flagged: DataFrame, path: str, size: int = CELLS) -> DataFrame:
-    """(model, kind, cell, n) over rows (text, good); kinds: 0 unigram, 1 context, 2 bigram cell."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(path)
-        vocabulary = len(code.widths())
-        sums = [[np.zeros(vocabulary, np.int64), np.zeros(vocabulary + 1, np.int64), np.zeros(size, np.int64)] for _ in range(2)]
-        for batch in batches:
-            for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = code.encode(text).astype(np.int64)
-                if not len(ids):
-                    continue
-                at = cells(ids, vocabulary, size)
-                for one, context, two in sums[:2] if good else sums[1:]:
-                    np.add.at(one, ids, 1)
-                    np.add.at(context, ids[:-1], 1)
-                    context[vocabulary] += 1
-                    np.add.at(two, at, 1)
-        for m, tables in enumerate(sums):
-            for kind, table in enumerate(tables):
-                at = np.flatnonzero(table)
-                for k in range(0, len(at), 100_000):
-                    some = at[k : k + 100_000]
-                    yield pa.record_batch([pa.array(np.full(len(some), m, np.int8)), pa.array(np.full(len(some), kind, np.int8)), pa.array(some.astype(np.int32)), pa.array(table[some])], ["model", "kind", "cell", "n"])
-
-    return flagged.mapInArrow(run, "model byte, kind byte, cell int, n long").groupBy("model", "kind", "cell").agg(F.sum("n").alias("n"))
-
-
 def with_marks(docs: DataFrame, good: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(_good, text, good) of the rows of docs: their doc_id, text, and whether good holds the doc_id."""
     marks = good.select(F.col("doc_id").alias("_good")).distinct()
@@ -92,44 +39,6 @@ def with_marks(docs: DataFrame, good: DataFrame, doc_id: str, text: str) -> Data
     return rows.where("not _in").select("_good", "text", F.lit(False).alias("good")).unionAll(exact)
 
 
-def fit(docs: DataFrame, good: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", size: int = CELLS) -> Models:
-    """Models of docs; good: the doc_id of target documents. The sums of cells, of bounded number, go to the driver."""
-    path = path or default_path()
-    flagged = with_marks(docs, good, doc_id, text).select("text", "good")
-    vocabulary = len(coder(path).widths())
-    tables = [np.zeros((2, n), np.float32) for n in (vocabulary, vocabulary + 1, size)]
-    sums = counted(flagged, path, size).toArrow()
-    m, kind, cell, n = (sums.column(c).to_numpy() for c in range(4))
-    for k, table in enumerate(tables):
-        table[m[kind == k], cell[kind == k]] = n[kind == k]
-    return Models(*tables)
-
-
-def score(docs: DataFrame, models: Models, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ce_target, ce_background, ce_difference; low differences are like the target.
-
-    A null or empty text has no tokens and null losses. Repeated rows are scored separately; an empty table gives an
-    empty result; other columns aren't read.
-    """
-    path = path or default_path()
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, fitted = coder(path), shared.value
-        for batch in batches:
-            counts, rows = [], []
-            for t in batch.column(1).to_pylist():
-                ids = code.encode(t).astype(np.int64)
-                counts.append(len(ids))
-                rows.append(fitted.losses(ids).mean(axis=1) if len(ids) else (None, None))
-            a, b = (pa.array([None if r[k] is None else float(r[k]) for r in rows], pa.float64()) for k in (0, 1))
-            d = pa.array([None if r[0] is None else float(r[0] - r[1]) for r in rows], pa.float64())
-            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), a, b, d], ["doc_id", "n_tokens", "ce_target", "ce_background", "ce_difference"])
-
-    schema = "doc_id long, n_tokens long, ce_target double, ce_background double, ce_difference double"
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
-
-
 def encoded(flagged: DataFrame, path: str) -> DataFrame:
     """(block, doc_id, good, ids) of rows (doc_id, text, good): token ids as bytes, and a block that one task fills."""
     most = BLOCK_TOKENS
@@ -235,8 +144,19 @@ def pair_counts(coded: DataFrame, path: str) -> DataFrame:
 SCORES = "doc_id long, n_tokens long, ce_target double, ce_background double, ce_difference double"
 
 
-def cross_entropy_difference(docs: DataFrame, good: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of score, by models of docs whose pairs are counted exactly; good: the doc_id of target documents."""
+def repeats(owner: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """How often each value occurs in its owner's row."""
+    _, at, n = np.unique(owner * size + values, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def cross_entropy_difference(docs: DataFrame, good: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", leave_out: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ce_target, ce_background, ce_difference; low differences are like the target.
+
+    good: the doc_id of target documents. With leave_out a document is scored without its own counts (those of its
+    copies stay). A null or empty text has no tokens and null losses. Rows that repeat a doc_id are counted and scored
+    separately; a null doc_id is never good. An empty table gives an empty result; other columns aren't read.
+    """
     path = path or default_path()
     flagged = with_marks(docs, good, doc_id, text).select(F.col("_good").cast("long").alias("doc_id"), "text", "good")
     # The bytes of all tokens are written once, so that blocks stay as they are and nothing is encoded again.
@@ -248,12 +168,13 @@ def cross_entropy_difference(docs: DataFrame, good: DataFrame, path: str | None
         kind = id_type(coder(path))
         one, context = shared.value
         vocabulary = one.shape[1]
-        total = one.sum(axis=1) + SMOOTHING * vocabulary
+        totals = one.sum(axis=1)
         values = pairs.column("pair").to_numpy()
         order = np.argsort(values)
         values = values[order]
         counts = [pairs.column(c).to_numpy()[order] for c in ("target", "background")]
         coded_rows = rows.column("ids").combine_chunks()
+        good = rows.column("good").to_numpy().astype(bool)
         sizes = np.array([len(x) for x in coded_rows.to_pylist()], np.int64) // np.dtype(kind).itemsize
         means = np.zeros((2, len(sizes)))
         part = (np.cumsum(sizes) - sizes) // SLICE_TOKENS
@@ -266,14 +187,20 @@ def cross_entropy_difference(docs: DataFrame, good: DataFrame, path: str | None
             at = np.searchsorted(values, before * (vocabulary + 1) + ids)
             some = lengths > 0
             begin = (np.cumsum(lengths) - lengths)[some]
+            owner = np.repeat(np.arange(b - a), lengths)
+            if leave_out:
+                own_one, own_seen, own_pair = repeats(owner, ids, vocabulary + 1), repeats(owner, before, vocabulary + 1), repeats(owner, at, len(values))
             for m in range(2):
-                plain = (one[m][ids] + SMOOTHING) / total[m]
-                seen = context[m][before]
-                share = np.divide(counts[m][at], seen, out=plain.copy(), where=seen > 0)
+                single, seen, pair, total = one[m][ids], context[m][before], counts[m][at], np.full(len(ids), totals[m])
+                if leave_out:
+                    mine = np.ones(len(ids), bool) if m else good[a:b][owner]
+                    single, seen, pair, total = single - own_one * mine, seen - own_seen * mine, pair - own_pair * mine, total - lengths[owner] * mine
+                plain = (single + SMOOTHING) / (total + SMOOTHING * vocabulary)
+                share = np.divide(pair, seen, out=plain.copy(), where=seen > 0)
                 loss = -np.log(BIGRAM_WEIGHT * share + (1 - BIGRAM_WEIGHT) * plain)
                 means[m, a:b][some] = np.add.reduceat(loss, begin) / lengths[some]
         none = sizes == 0
         losses = [pa.array(x, mask=none) for x in (means[0], means[1], means[0] - means[1])]
         return pa.table([rows.column("doc_id"), pa.array(sizes), *losses], [c.split()[0] for c in SCORES.split(", ")])
 
-    return coded.select("block", "doc_id", "ids").groupBy("block").cogroup(pair_counts(coded, path).groupBy("block")).applyInArrow(run, SCORES)
+    return coded.select("block", "doc_id", "good", "ids").groupBy("block").cogroup(pair_counts(coded, path).groupBy("block")).applyInArrow(run, SCORES)
