@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import new_folder, shared_dir
+from .common import cut, new_folder, remove, shared_dir
 
 UNIT = 192
 PAD = b" "
@@ -240,6 +240,15 @@ def store(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
 
 
 def media_columns(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store the texts of docs as media and describe what is read back, one row for each row of docs."""
-    shared_dir(docs.sparkSession)
-    return described(store(docs, path or new_folder(docs.sparkSession, "media"), doc_id, text))
+    """Store the texts of docs as media and describe what is read back, one row for each row of docs.
+
+    Without a path the archives go to a folder of their own, which is removed once they are described.
+    """
+    spark = docs.sparkSession
+    shared_dir(spark)
+    if path:
+        return described(store(docs, path, doc_id, text))
+    folder = new_folder(spark, "media")
+    out = cut(described(store(docs, folder, doc_id, text)))
+    remove(spark, folder)
+    return out
