@@ -7,25 +7,7 @@ import numpy as np
 import corpus_pipeline
 from ligature.llm import secret_scan
 
-from .test_llm import classes, measures, packed_well
-
-
-def cut_out(texts, length=400):
-    """Texts without the byte strings of a length that start more than once among them."""
-    data = [(t or "").encode() for t in texts]
-    seen, twice = set(), set()
-    for b in data:
-        for k in range(len(b) - length + 1):
-            h = hash(b[k : k + length])
-            (twice if h in seen else seen).add(h)
-    out = []
-    for b in data:
-        gone = np.zeros(len(b), bool)
-        for k in range(len(b) - length + 1):
-            if hash(b[k : k + length]) in twice:
-                gone[k : k + length] = True
-        out.append(bytes(np.frombuffer(b, np.uint8)[~gone]).decode("utf-8", "ignore"))
-    return out
+from .test_llm import classes, measures, packed_well, without_passages
 
 
 def test_pipeline_stage_by_stage(spark, tiny, tmp_path):
@@ -45,9 +27,9 @@ def test_pipeline_stage_by_stage(spark, tiny, tmp_path):
     fine = [i for i in labels.index[labels["quality"] == 1] if (m := measures(raw["text"].get(i)))[0] >= 10 and 5 * m[4] <= m[0]]
     assert np.mean([i in good.index for i in fine]) > 0.98
 
-    groups = classes(list(good["text"].items()))
+    groups = classes(list(good["text"].items()), 80)
     assert list(single.index) == [i for i, (_, root) in groups.items() if i == root]
-    assert list(cut["text"]) == cut_out(list(single["text"]))
+    assert list(cut["text"]) == [t for t, _ in without_passages(list(single["text"]))]
     assert list(cut.index) == list(clean.index) == list(single.index)
     for i, t in cut["text"].items():
         if t != clean["text"][i]:
