@@ -51,6 +51,9 @@ BYTES = Unit("bytes", 400, 16, (16, 1))
 #: A passage is fifty words, whatever their length and the white space between them.
 WORDS = Unit("words", 50, 2, (4, 1))
 UNITS = {u.name: u for u in (BYTES, WORDS)}
+#: Texts are handled so many at a time, and about so many rows go out together, so that a batch of Spark's stays small.
+SLICE_TEXTS = 500
+SLICE_ROWS = 100_000
 KEY = ["h", "crc"]
 ROW = "h long, crc long, a int, lo int, hi int, c long, s long"
 FIELDS = ["h", "crc", "a", "lo", "hi", "c", "s"]
@@ -114,6 +117,12 @@ def anchors(texts: list[str | None], unit: Unit = BYTES, length: int | None = No
     return text, begin[text], a, lo, hi, common, every
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, SLICE_TEXTS):
+            yield batch.slice(k, SLICE_TEXTS)
+
+
 def twice(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """The keys and texts of the batch, of equal texts the first two: two are as repeated as more."""
     h, crc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
@@ -130,7 +139,7 @@ def anchor_groups(docs: DataFrame, unit: Unit, length: int) -> DataFrame:
     """(c, n, mixed): ranks of common symbols that n > 1 anchors share, and whether their windows differ elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             _, _, texts = twice(batch)
             for b, e in blocks(texts):
                 *_, common, every = anchors(texts[b:e], unit, length)
@@ -145,7 +154,7 @@ def anchor_rows(docs: DataFrame, unit: Unit, length: int, repeated: np.ndarray)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             h, crc, texts = twice(batch)
             for b, e in blocks(texts):
                 text, start, a, lo, hi, common, every = anchors(texts[b:e], unit, length)
@@ -162,8 +171,14 @@ def block_rows(docs: DataFrame, wanted: DataFrame, unit: Unit, block: int, lengt
     lists = wanted.groupBy(*KEY).agg(F.collect_set(F.struct("a", "lo", "hi", "c", "single")).alias("w"))
     some = marked(docs, wanted, "h").where("_in").drop("_in").dropDuplicates(KEY).join(lists, KEY)
 
+    def put(out: list[list[np.ndarray]]) -> pa.RecordBatch:
+        cols = [np.concatenate(x) for x in zip(*out, strict=True)]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        arrays = [pa.array(x.astype(t.to_pandas_dtype()), t) for x, t in zip(cols, kinds, strict=False)]
+        return pa.record_batch([*arrays, pa.array(cols[5].view(np.int64)), pa.array(cols[6].view(np.int64)), pa.array(cols[7])], [*FIELDS, "single"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list[np.ndarray]] = []
             h, crc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for i, (text, w) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), strict=True)):
@@ -183,11 +198,11 @@ def block_rows(docs: DataFrame, wanted: DataFrame, unit: Unit, block: int, lengt
                 common = mix(one.of(np.minimum(right, len(data)), np.maximum(np.minimum(left + length, len(data)), np.minimum(right, len(data)))) ^ tag)
                 every = mix(two.of(begin, end) + mix(((begin - left) * 1000 + (right + length - end)).astype(np.uint64)) + tag)
                 out.append([np.full(len(row), h[i]), np.full(len(row), crc[i]), a[row], np.maximum(left, lo[row]), np.minimum(right, hi[row]), common, every, single[row]])
+                if sum(len(x[0]) for x in out) >= SLICE_ROWS:
+                    yield put(out)
+                    out = []
             if out:
-                cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                arrays = [pa.array(x.astype(t.to_pandas_dtype()), t) for x, t in zip(cols, kinds, strict=False)]
-                yield pa.record_batch([*arrays, pa.array(cols[5].view(np.int64)), pa.array(cols[6].view(np.int64)), pa.array(cols[7])], [*FIELDS, "single"])
+                yield put(out)
 
     return some.select(*KEY, "text", "w").mapInArrow(run, ROW + ", single boolean")
 
@@ -291,7 +306,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     table = with_intervals(rows.drop("text"), [(BYTES, length), (WORDS, passage)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             lists = batch.column(2)
             u, lo, hi = (x.to_numpy().tolist() for x in lists.values.flatten())
