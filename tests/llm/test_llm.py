@@ -535,8 +535,8 @@ def test_rows_of_one_id_are_judged_by_their_texts(spark):
     assert [(r["component_id"], r["kept"]) for r in near_dup.near_duplicates(docs).where("doc_id is null").collect()] == [(None, True)]
 
 
-def test_the_estimate_loses_no_link(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
+def test_the_estimate_loses_no_link(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
     one, two = (near_dup.near_duplicates(docs, estimate=e).select("doc_id", "component_id").collect() for e in (True, False))
     assert sorted(map(tuple, one)) == sorted(map(tuple, two))
 
