@@ -134,7 +134,10 @@ def resolution_pick(spark, d):
     return B.pick_resolution(views.notes(spark, d), [24.0, 48.0, 96.0], 16)
 
 
-@query("resolution_pick_collapsed")
+_SOUNDING = " UNION ALL ".join(f"SELECT piece, {k}.0::double AS size, count(DISTINCT bin) n FROM (SELECT * FROM (WITH {Q.bins(k)} SELECT piece, bin, weight FROM cells)) WHERE weight>0 GROUP BY 1" for k in (24, 48, 96))
+
+
+@query("resolution_pick_collapsed", f"SELECT piece, min(size) AS size, arg_min(n, size)::bigint AS n FROM ({_SOUNDING}) WHERE n<=14 GROUP BY 1")
 def resolution_pick_collapsed(spark, d):
     return B.pick_resolution(views.notes(spark, d), [24.0, 48.0, 96.0], 14, collapsed=True)
 
@@ -582,7 +585,7 @@ def status_counts(spark, d):
     return docs.select("doc_id", F.coalesce("lang", F.lit("none")).alias("dataset")).join(labels.select("doc_id", F.col("quality").alias("status")), "doc_id").groupBy("dataset", "status").agg(F.count("*").alias("n"))
 
 
-@query("label_objects")
+@query("label_objects", f"WITH {Q.NOTES} SELECT piece, CASE event_type WHEN 'click' THEN 'cadence' WHEN 'view' THEN 'pedal' ELSE 'motive' END AS kind, count(*) n, round(sum(dur),6)+0.0 AS duration FROM notes GROUP BY 1,2")
 def label_objects(spark, d):
     """Events of a user as one JSON object of labels, parsed again by the label reader."""
     n = views.notes(spark, d)
@@ -655,7 +658,7 @@ def projection_audit(spark, d):
     return N.projection_audit(M.projected(marks, edges), marks, 48.0).select("piece", "marks", "edges", "collisions", r6("mean_error"), r6("max_error"), "within")
 
 
-@query("bad_bounds")
+@query("bad_bounds", f"WITH {Q.leaves()}, x AS (SELECT *, lead(start_qb) OVER (PARTITION BY piece ORDER BY leaf) nxt FROM leaves) SELECT count(*) AS violations FROM x WHERE start_qb IS NULL OR end_qb IS NULL OR isnan(start_qb) OR isnan(end_qb) OR end_qb<=start_qb OR abs(nxt-end_qb)>1e-9")
 def bad_bounds(spark, d):
     return N.bad_bounds(leaves(spark, d)).agg(F.count("*").alias("violations"))
 
