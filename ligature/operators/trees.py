@@ -8,6 +8,8 @@ that is too long or invalid becomes a status row instead of an error.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -46,19 +48,48 @@ def fifths_transform(v: np.ndarray) -> np.ndarray:
 TRANSFORMS |= {"euclidean": unit, "key_profile": profile_transform, "circle_of_fifths": fifths_transform}
 
 
-def matrix(vectors: np.ndarray, name: str) -> np.ndarray:
+class Metric:
+    """A distance function of two vectors, given by the caller; only methods on affinities take it."""
+
+    def __init__(self, function: Callable[[np.ndarray, np.ndarray], float]) -> None:
+        self.function = function
+
+
+#: The name of a transform, a caller's transform of rows of vectors to rows of coordinates, or a caller's metric.
+Distance = str | Callable[[np.ndarray], np.ndarray] | Metric
+
+
+def transform_of(name: Distance) -> Callable[[np.ndarray], np.ndarray]:
+    if isinstance(name, Metric):
+        raise ValueError("this method needs a transform instead of a metric")
+    return name if callable(name) else TRANSFORMS[name]
+
+
+def all_distances(vectors: np.ndarray, name: Distance) -> np.ndarray:
+    if isinstance(name, Metric):
+        n = len(vectors)
+        d = np.zeros((n, n))
+        for i in range(n):
+            for j in range(i + 1, n):
+                d[i, j] = d[j, i] = float(name.function(vectors[i], vectors[j]))
+        if not (np.isfinite(d).all() and (d >= 0).all()):
+            raise ValueError("a metric must give finite distances of at least 0")
+        return d
+    reps = transform_of(name)(vectors)
+    return np.linalg.norm(reps[:, None] - reps[None], axis=2)
+
+
+def matrix(vectors: np.ndarray, name: Distance) -> np.ndarray:
     """Affinities with the piece's own scale."""
-    reps = TRANSFORMS[name](vectors)
-    d = np.linalg.norm(reps[:, None] - reps[None], axis=2)
+    d = all_distances(vectors, name)
     some = d[np.triu_indices(len(d), 1)]
     some = some[some > 1e-12]
     return np.exp(-0.5 * (d / (np.median(some) if len(some) else 1.0)) ** 2)
 
 
-def contrast_of(vectors: np.ndarray, name: str, context: int) -> np.ndarray:
+def contrast_of(vectors: np.ndarray, name: Distance, context: int) -> np.ndarray:
     """Unscaled contrast of each split, cut to [0, 1]."""
-    reps, n = TRANSFORMS[name](vectors), len(vectors)
-    d = np.linalg.norm(reps[:, None] - reps[None], axis=2)
+    d, n = all_distances(vectors, name), len(vectors)
     out = []
     for k in range(1, n):
         left, right = np.arange(max(0, k - context), k), np.arange(k, min(n, k + context))
@@ -67,16 +98,16 @@ def contrast_of(vectors: np.ndarray, name: str, context: int) -> np.ndarray:
     return np.clip(np.array(out), 0, 1)
 
 
-def build(method: str, vectors: np.ndarray, name: str, piece: str, options: dict) -> tuple[list[K.Node], float | None]:
+def build(method: str, vectors: np.ndarray, name: Distance, piece: str, options: dict) -> tuple[list[K.Node], float | None]:
     n = len(vectors)
     if method == "balanced":
         return K.balanced(n), None
     if method == "random":
         return K.random_merges(n, f"{options.get('seed', 0)}|{piece}"), None
     if method == "greedy":
-        return K.greedy_distance(vectors, TRANSFORMS[name]), None
+        return K.greedy_distance(vectors, transform_of(name)), None
     if method == "additive":
-        nodes, best = K.additive(vectors, TRANSFORMS[name], options.get("balance", 0.0), options.get("length_weight", "none"))
+        nodes, best = K.additive(vectors, transform_of(name), options.get("balance", 0.0), options.get("length_weight", "none"))
         return nodes, -float(best[0, n])
     aff = matrix(vectors, name)
     if method == "linkage":
@@ -115,8 +146,8 @@ def node_rows(piece: str, nodes: list[K.Node], edges: np.ndarray, aff: np.ndarra
     return rows
 
 
-def trees(leaves: DataFrame, method: str, distance: str = "euclidean", most: int = MOST_LEAVES, **options) -> DataFrame:
-    """The node table of each piece; leaves: (piece, leaf, start, end, vec).
+def trees(leaves: DataFrame, method: str, distance: Distance = "euclidean", most: int = MOST_LEAVES, **options) -> DataFrame:
+    """The node table of each piece; leaves: (piece, leaf, start, end, vec). The distance may be the caller's own.
 
     The leaves of a piece are packed by one aggregation; pieces over `most` leaves are reported before any vector is
     shipped to Python. Other failures become a row with their message as status.
@@ -304,9 +335,39 @@ def postorder(nodes: list[tuple[int, int, str]]) -> list[tuple[str, int]]:
     return out
 
 
+def flat_tree(segments: DataFrame) -> DataFrame:
+    """(piece, node, parent, depth, first, last, start, end, label): segments (piece, seg, start, end, label) below one root."""
+    root = segments.groupBy("piece").agg(F.min("seg").alias("first"), F.max("seg").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"))
+    top = root.select("piece", F.lit(0).alias("node"), F.lit(None).cast("int").alias("parent"), F.lit(0).alias("depth"), "first", "last", "start", "end", F.lit("ROOT").alias("label"))
+    below = segments.select("piece", (F.col("seg") + 1).cast("int").alias("node"), F.lit(0).alias("parent"), F.lit(1).alias("depth"), F.col("seg").alias("first"), F.col("seg").alias("last"), "start", "end", "label")
+    return top.unionByName(below)
+
+
+def tree_pairs(a: DataFrame, b: DataFrame | None = None, dataset: str = "dataset") -> DataFrame:
+    """(dataset, piece_a, piece_b, ted, nodes_a, nodes_b, by_max, by_sum) of all pairs of trees in each dataset.
+
+    Rows are (dataset, piece, node, depth, label). With b, each tree of a meets each of b with the same dataset; without,
+    each unordered pair of a's trees comes once. The result is quadratic in the trees of a dataset, as asked for, and
+    pairs are dealt over tasks by both pieces, so that a large dataset is no single task's.
+    """
+    whole = lambda df, p, c: df.groupBy(dataset, F.col("piece").alias(p)).agg(F.array_sort(F.collect_list(F.struct("node", "depth", "label"))).alias(c))
+    pairs = whole(a, "piece_a", "a").join(whole(a if b is None else b, "piece_b", "b"), dataset)
+    if b is None:
+        pairs = pairs.where("piece_a < piece_b")
+    named = pairs.select(F.struct(F.col(dataset).alias("dataset"), "piece_a", "piece_b").alias("key"), "a", "b").repartition("key")
+    found = packed_distances(named.select(F.to_json("key").alias("piece"), "a", "b"))
+    key = F.from_json("piece", "dataset string, piece_a string, piece_b string")
+    return found.select(key["dataset"].alias(dataset), key["piece_a"].alias("piece_a"), key["piece_b"].alias("piece_b"), "ted", "nodes_a", "nodes_b", "by_max", "by_sum")
+
+
 def edit_distances(a: DataFrame, b: DataFrame) -> DataFrame:
     """(piece, ted, nodes_a, nodes_b, by_max, by_sum) of the trees of a and b with equal piece; rows (piece, node, depth, label)."""
     pack = lambda df, c: df.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("node", "depth", "label"))).alias(c))
+    return packed_distances(pack(a, "a").join(pack(b, "b"), "piece"))
+
+
+def packed_distances(pairs: DataFrame) -> DataFrame:
+    """Edit distances of rows (piece, a, b) with two packed trees."""
 
     def run(batches):
         for f in batches:
@@ -317,4 +378,4 @@ def edit_distances(a: DataFrame, b: DataFrame) -> DataFrame:
                 rows.append((piece, d, len(p), len(q), d / max(1, len(p), len(q)), d / max(1, len(p) + len(q))))
             yield pd.DataFrame(rows, columns=["piece", "ted", "nodes_a", "nodes_b", "by_max", "by_sum"])
 
-    return pack(a, "a").join(pack(b, "b"), "piece").mapInPandas(run, "piece string, ted long, nodes_a long, nodes_b long, by_max double, by_sum double")
+    return pairs.mapInPandas(run, "piece string, ted long, nodes_a long, nodes_b long, by_max double, by_sum double")

@@ -16,9 +16,11 @@ from ..functions import vectors as V
 from ..operators import affinity as A
 from ..operators import annotations as N
 from ..operators import binning as B
+from ..operators import diagonal as D
 from ..operators import joins as J
 from ..operators import learned as L
 from ..operators import matching as M
+from ..operators import nested as X
 from ..operators import selection as C
 from ..operators import statistics as T
 from ..operators import training as G
@@ -424,11 +426,44 @@ def invalid_nodes(spark, d):
     return R.invalid(R.trees(leaves(spark, d), "greedy")).groupBy().agg(F.count("*").alias("violations"))
 
 
-@query("tree_edges")
+_PREORDER = f"{Q.balanced()}, pre AS (SELECT *, (row_number() OVER (PARTITION BY piece ORDER BY first, depth)-1)::int node FROM nodes)"
+
+
+@query("tree_edges", f"""WITH RECURSIVE {_PREORDER} SELECT x.piece, x.node, round((x.s+x.e)/2,6) centre, round(x.e-x.s,6) width, x.depth::int AS depth, round((p.s+p.e)/2,6) parent_centre, round(p.e-p.s,6) parent_width
+ FROM pre x LEFT JOIN pre p ON p.piece=x.piece AND p.depth=x.depth-1 AND p.first<=x.first AND p.last>=x.last WHERE x.depth<=3""")
 def tree_edges(spark, d):
     return R.edges(balanced(spark, d), 3).select("piece", "node", r6("centre"), r6("width"), "depth", r6("parent_centre"), r6("parent_width"))
 
 
+@query("outline", f"WITH RECURSIVE {_PREORDER} SELECT piece, node, repeat(' ', (2*depth)::int)||'['||first||','||last||']' AS line FROM pre")
+def outline(spark, d):
+    return R.outline(balanced(spark, d))
+
+
+@query("flat_tree", f"WITH {_ISLANDS} SELECT piece, 0 AS node, NULL::int AS parent, 0 AS depth, min(seg) AS first, max(seg) AS last, 'ROOT' AS label FROM segs GROUP BY 1 UNION ALL SELECT piece, seg+1, 0, 1, seg, seg, label FROM segs")
+def flat_tree(spark, d):
+    return R.flat_tree(segments(spark, d)).drop("start", "end")
+
+
+@query("own_metric")
+def own_metric(spark, d):
+    """Trees of a distance given as a function: the sum of absolute differences of the shares."""
+    city = R.Metric(lambda a, b: float(abs(a / max(a.sum(), 1e-12) - b / max(b.sum(), 1e-12)).sum()))
+    nodes = R.trees(leaves(spark, d), "affinity", city)
+    return nodes.where("parent is null").select("piece", "split", r6("objective"))
+
+
+@query("tree_pairs")
+def tree_pairs(spark, d):
+    """Mean edit distance, over both sizes, of all pairs of trees in each work, and between a work and the next."""
+    work = views.notes(spark, d).select("piece", "work").distinct()
+    rows = labelled(spark, d, "affinity").join(work, "piece").withColumnRenamed("work", "dataset").cache()
+    number = F.substring("dataset", 2, 9).cast("int")
+    after = rows.withColumn("dataset", F.concat(F.lit("w"), (F.pmod(number - 1, F.lit(16))).cast("string")))
+    found = R.tree_pairs(rows).withColumn("kind", F.lit("within")).unionByName(R.tree_pairs(rows, after).withColumn("kind", F.lit("next")))
+    return found.groupBy("kind", "dataset").agg(F.count("*").alias("pairs"), r6(F.avg("by_sum"), "mean"))
+
+
 def labelled(spark, d, method):
     total = B.totals(views.notes(spark, d))
     nodes = R.trees(leaves(spark, d), method).join(total, "piece")
@@ -568,6 +603,29 @@ def budget_select(spark, d):
     return C.choose_ratio(own, ["work"]).select("work", "ratio", C.budget_of(F.col("ratio"), F.lit(40)).cast("int").alias("budget"), r6("f1"))
 
 
+@query("inner_folds", f"WITH {Q.NOTES}, w AS (SELECT DISTINCT work FROM notes) SELECT a.work AS outer_work, b.work AS work, (ntile(3) OVER (PARTITION BY a.work ORDER BY sha256('0|'||a.work||'|'||b.work), b.work)-1)::int AS fold FROM w a JOIN w b ON a.work<>b.work")
+def inner_folds(spark, d):
+    return X.inner_folds(views.notes(spark, d), 3)
+
+
+@query("nested_select", f"""WITH {Q.SCORES}, own AS (SELECT work, seed, cfg, avg(f1) f, avg(recall) r, avg("precision") p FROM full_scores GROUP BY 1,2,3), inn AS (SELECT a.work outer_work, seed, cfg, round(avg(f),9) f, round(avg(r),9) r, round(avg(p),9) p FROM (SELECT DISTINCT work FROM own) a JOIN own b ON a.work<>b.work GROUP BY 1,2,3),
+ ch AS (SELECT * FROM inn QUALIFY row_number() OVER (PARTITION BY outer_work, seed ORDER BY f DESC, r DESC, p DESC, CASE WHEN seed=0 THEN -cfg ELSE cfg END)=1) SELECT outer_work, CASE WHEN ch.seed=0 THEN 'threshold' ELSE 'budget' END AS mode, ch.cfg::double AS "value", round(ch.f,6) inner_f1, round(round(own.f,9),6) f1 FROM ch JOIN own ON own.work=outer_work AND own.seed=ch.seed AND own.cfg=ch.cfg""")
+def nested_select(spark, d):
+    """The choice alone: seeds stand for the two modes and configurations for their candidates."""
+    rows = rated(spark, d).select("work", "piece", F.when(F.col("seed") == 0, X.MODES[0]).otherwise(X.MODES[1]).alias("mode"), F.col("cfg").cast("double").alias("value"), "f1", "recall", "precision")
+    works = rows.select(F.col("work").alias("outer_work")).distinct()
+    inner = rows.join(works, F.col("outer_work") != F.col("work")).withColumn("stage", F.lit("inner"))
+    outer = rows.withColumn("outer_work", F.col("work")).withColumn("stage", F.lit("outer"))
+    return X.nested_select(inner.unionByName(outer)).select("outer_work", "mode", "value", r6("inner_f1"), r6("f1"))
+
+
+@query("access_audit", f"WITH {Q.NOTES}, x AS (SELECT piece, event_type, coalesce(max((event_type='click')::int) OVER (PARTITION BY piece ORDER BY onset, event_id ROWS UNBOUNDED PRECEDING),0) f FROM notes) SELECT piece, count(*) FILTER (WHERE event_type='view') AS tests, count(*) FILTER (WHERE event_type='view' AND f=0) AS violations FROM x GROUP BY 1")
+def access_audit(spark, d):
+    """A click stands for the freeze of a run, a view for an access to its test data."""
+    event = F.when(F.col("event_type") == "click", "freeze").when(F.col("event_type") == "view", "test").otherwise("other")
+    return X.misused(views.notes(spark, d).select("piece", "onset", "event_id", event.alias("event")), ["piece"], ["onset", "event_id"])
+
+
 @query("outer_folds")
 def outer_folds(spark, d):
     return C.folds(views.notes(spark, d).select("work", "piece").distinct(), "work", 4).groupBy("fold").agg(F.count("*").alias("pieces"), F.countDistinct("work").alias("works"))
@@ -771,14 +829,44 @@ def policy_rollout(spark, d):
     return R.counts(nodes).join(nodes.where("parent is null").select("piece", r6("objective", "log_probability")), "piece")
 
 
-@query("scorer_fit")
-def scorer_fit(spark, d):
-    """Splits scored by a scorer fitted on two calibrated contrasts, against the nearest reference edges."""
+def split_examples(spark, d):
+    """Splits with two calibrated contrasts, positive where they are the nearest edge of a reference."""
     edges = leaves(spark, d).where("leaf > 0").select("piece", F.col("leaf").alias("split"), F.col("start").alias("t"))
-    positive = A.nearest_edges(reference(spark, d), edges.select("piece", "t")).select("piece", F.col("edge").alias("t"), F.lit(True).alias("positive"))
+    positive = A.nearest_edges(reference(spark, d), edges.select("piece", "t")).select("piece", F.col("edge").alias("t"), F.lit(True).alias("positive")).distinct()
     p = pairs(spark, d)
     near, wide = (A.calibrated(A.contrasts(p, leaves(spark, d), k), "contrast").select("piece", "split", F.col("calibrated").alias(f"w{k}")) for k in (1, 2))
-    rows = near.join(wide, ["piece", "split"]).join(edges, ["piece", "split"]).join(positive, ["piece", "t"], "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
+    return near.join(wide, ["piece", "split"]).join(edges, ["piece", "split"]).join(positive, ["piece", "t"], "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
+
+
+@query("nested_validation")
+def nested_validation(spark, d):
+    """Each work under the selection that its inner folds chose, with a scorer refitted on all other works."""
+    work = views.notes(spark, d).select("piece", "work").distinct()
+    rows = split_examples(spark, d).select("piece", "split", "positive", "w1", "w2").join(work, "piece").cache()
+    members, trials = X.assignments(X.inner_folds(work, 3))
+    models = X.fit_scorers(rows, ["w1", "w2"], "positive", members, epochs=10)
+    counts = X.candidate_counts(X.scored_by(rows, ["w1", "w2"], trials, models), [0.4, 0.5, 0.6], [0.2, 0.4, 0.6])
+    return X.nested_select(M.with_rates(counts)).select("outer_work", "mode", "value", r6("inner_f1"), r6("f1"), r6("recall"), r6("precision"))
+
+
+@query("diagonal_training")
+def diagonal_training(spark, d):
+    """Distances of neighbouring leaves under twelve weights after ten contrastive epochs on all neighbours."""
+    edges = split_examples(spark, d).select("piece", "split", "positive")
+    one = leaves(spark, d)
+    right = one.select("piece", F.col("leaf").alias("split"), F.col("vec").alias("right"))
+    rows = one.select("piece", (F.col("leaf") + 1).alias("split"), F.col("vec").alias("left")).join(right, ["piece", "split"]).join(edges, ["piece", "split"])
+    rows = rows.select("piece", "split", "left", "right", F.col("positive").cast("int").alias("label")).cache()
+    weights, _, _ = D.train_diagonal(rows, epochs=10)
+    w = V.constant(weights.tolist())
+    terms = F.zip_with(F.zip_with(V.l1_or_zero(F.col("left")), V.l1_or_zero(F.col("right")), lambda a, b: (a - b) * (a - b)), w, lambda s, x: s * x)
+    return rows.select("piece", "split", "label", F.round(F.sqrt(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)), 4).alias("dist"))
+
+
+@query("scorer_fit")
+def scorer_fit(spark, d):
+    """Splits scored by a scorer fitted on two calibrated contrasts, against the nearest reference edges."""
+    rows = split_examples(spark, d)
     model = L.fit_scorer(rows, ["w1", "w2"], "positive", ["piece", "split"])
     return L.scored(rows, ["w1", "w2"], model).select("piece", "split", "positive", r6("score"))
 
