@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
+from .near_dup import PERCENT
 from .quality import LEAST_GROUP, MEASURES, SPREADS
 
 _SPREAD = "CASE " + " ".join(f"WHEN measure='{k}' THEN greatest(q.high-q.mid, q.mid-q.low, {least})" for k, (_, least) in MEASURES.items()) + " END"
@@ -30,3 +33,40 @@ limits AS (SELECT lang, source, measure, q.low-{SPREADS}*({_SPREAD}) lo, q.high+
 wide AS (SELECT lang, source, max(hi) FILTER (WHERE measure='symbols') h1, max(hi) FILTER (WHERE measure='word_length') h2, max(lo) FILTER (WHERE measure='word_length') l2, max(hi) FILTER (WHERE measure='dup_lines') h3, max(hi) FILTER (WHERE measure='repeats') h4 FROM limits GROUP BY 1,2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(word_length>=l2 AND symbols<=h1 AND word_length<=h2 AND dup_lines<=h3 AND repeats<=h4, true) kept
 FROM m LEFT JOIN wide ON m.lang IS NOT DISTINCT FROM wide.lang AND m.source IS NOT DISTINCT FROM wide.source"""
+
+
+#: Distinct texts' shingle sets are joined by shingle; components are the rows reachable through links.
+_NEXT = "||' '||".join(f"lead(w,{i}) OVER o" for i in range(1, 5))
+NEAR_DUPLICATES = rf"""WITH RECURSIVE texts AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text,''), '{ascii_uppercase}', '{ascii_lowercase}'), '[\x20\x09-\x0D]+'), lambda w: w<>'') w FROM documents),
+words AS (SELECT doc_id, len(w) n, unnest(w) w, generate_subscripts(w, 1) i FROM texts),
+grams AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, w||' '||{_NEXT} g FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE g IS NOT NULL
+ UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM texts WHERE len(w) BETWEEN 1 AND 4),
+sizes AS (SELECT doc_id, count(*) n, md5(string_agg(g, chr(10) ORDER BY g)) f FROM grams GROUP BY 1),
+classes AS (SELECT f, min(doc_id) id FROM sizes GROUP BY 1),
+lists AS (SELECT id, n, md5_number(g) g FROM classes JOIN sizes ON sizes.doc_id=id JOIN grams ON grams.doc_id=id),
+shared AS (SELECT a.id x, b.id y, any_value(a.n) n, any_value(b.n) m, count(*) hits FROM lists a JOIN lists b ON a.g=b.g AND a.id<b.id AND 100*a.n>={PERCENT}*b.n AND 100*b.n>={PERCENT}*a.n GROUP BY 1,2),
+links AS (SELECT x, y FROM shared WHERE 100*hits>={PERCENT}*(n+m-hits)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT id x, id y FROM classes UNION SELECT r.x, e.y FROM reach r JOIN edges e ON e.x=r.y),
+least AS (SELECT x id, min(y) component FROM reach GROUP BY 1)
+SELECT texts.doc_id, coalesce(n,0)::bigint n_shingles, coalesce(component, texts.doc_id) component_id, coalesce(component, texts.doc_id)=texts.doc_id kept
+FROM texts LEFT JOIN sizes USING(doc_id) LEFT JOIN classes USING(f) LEFT JOIN least USING(id)"""
+
+
+#: Strings of bytes are slices of the hexadecimal text, cut in parts first, as a slice of a long one costs its whole length.
+REPEATED_STRINGS = rf"""WITH base AS (SELECT row_number() OVER () k, doc_id, coalesce(text,'') t FROM documents),
+bytes AS (SELECT k, doc_id, hex(encode(t)) x, strlen(t) n FROM base),
+parts AS (SELECT k, b, least(n-399-b, 256) m, substr(x, 2*b+1, 1310) x FROM (SELECT k, n, x, unnest(range(0, n-399, 256)) b FROM bytes WHERE n>=400)),
+windows AS (SELECT k, b+i i, hash(substr(x, 2*i+1, 800)) h FROM (SELECT k, b, x, unnest(range(m)) i FROM parts)),
+twice AS (SELECT k, i FROM windows SEMI JOIN (SELECT h FROM windows GROUP BY h HAVING count(*)>1) USING(h)),
+starts AS (SELECT k, i, coalesce(i-lag(i) OVER (PARTITION BY k ORDER BY i)>400, true) fresh FROM twice),
+runs AS (SELECT k, min(i) b, max(i)+400 e FROM (SELECT k, i, sum(fresh::int) OVER (PARTITION BY k ORDER BY i) run FROM starts) GROUP BY k, run),
+cuts AS (SELECT k, count(*) n_spans, sum(e-b) n_removed, list(b ORDER BY b) b, list(e ORDER BY b) e FROM runs GROUP BY k),
+gaps AS (SELECT k, x, unnest(list_zip(list_concat([0], e), list_concat(b, [n]))) g FROM cuts JOIN bytes USING(k)),
+rest AS (SELECT k, string_agg(substr(x, 2*g[1]+1, 2*(g[2]-g[1])), '' ORDER BY g[1]) y FROM gaps GROUP BY k),
+words AS (SELECT k, unnest(w) w, generate_subscripts(w, 1) i FROM (SELECT k, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w<>'') w FROM base)),
+passages AS (SELECT k, i, md5_number(string_agg(w, ' ') OVER o) h, count(*) OVER o n FROM words WINDOW o AS (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+again AS (SELECT k, i FROM passages WHERE n=50 QUALIFY count(*) OVER (PARTITION BY h)>1),
+told AS (SELECT k, sum(least(50, coalesce(later-i, 50))) n FROM (SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) later FROM again) GROUP BY k)
+SELECT doc_id, bytes.n::bigint n_bytes, coalesce(n_removed,0)::bigint n_removed, coalesce(n_spans,0)::bigint n_spans, sha256(unhex(coalesce(y, x))) kept_sha256, coalesce(told.n,0)::bigint n_passage_words
+FROM bytes LEFT JOIN cuts USING(k) LEFT JOIN rest USING(k) LEFT JOIN told USING(k)"""

@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_adaptive_quality": oracles.QUALITY}
+    return {"op2_adaptive_quality": oracles.QUALITY, "op7_prefix_doubling_dedup": oracles.REPEATED_STRINGS, "op8_bottom_k_near_duplicates": oracles.NEAR_DUPLICATES}

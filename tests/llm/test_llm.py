@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -662,3 +663,14 @@ def test_registered_queries():
     names = queries.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
     assert set(queries.oracle_sql()) <= set(names)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_its_sql(spark, tiny, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tiny}/documents.parquet')")
+    result = con.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in result.description]
+    df = queries.queries()[name](spark, tiny)
+    assert sorted(df.columns) == sorted(names)
+    assert Counter(map(tuple, df.select(*names).collect())) == Counter(result.fetchall())
