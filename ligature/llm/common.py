@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from ..shipping import ship
 
 #: ASCII white space, the separators of words in every contract of this package.
 SPACE = r"[\x20\x09-\x0D]"
+#: Texts are handled so many at a time, so that a batch of Spark's, which can be of megabytes, stays small.
+SLICE_TEXTS = 500
 _STORED: list[str] = []
 
 
@@ -74,3 +78,8 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, at most SLICE_TEXTS together."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, SLICE_TEXTS):
+            yield batch.slice(k, SLICE_TEXTS)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sliced
 from .membership import marked
 from .tokens import coder, default_path
 
@@ -47,7 +47,7 @@ def encoded(flagged: DataFrame, path: str) -> DataFrame:
         code, held = coder(path), 0
         kind = id_type(code)
         block = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in sliced(batches):
             names, rows = [], []
             for t in batch.column(1).to_pylist():
                 ids = code.encode(t)
@@ -86,7 +86,7 @@ def singles(coded: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = id_type(coder(path))
         sums = np.zeros((2, 2, vocabulary + 1), np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             good = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
             ids, lengths = flat(batch.column(1), kind)
             before, of = predecessors(ids, lengths, vocabulary), np.repeat(good, lengths)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, sliced, stored
 from .membership import bit_of_hash, has_hash, marked, members
 from .rolling import BASES, VALUES, Prints, mix
 from .shingles import blocks, word_prints
@@ -51,8 +51,7 @@ BYTES = Unit("bytes", 400, 16, (16, 1))
 #: A passage is fifty words, whatever their length and the white space between them.
 WORDS = Unit("words", 50, 2, (4, 1))
 UNITS = {u.name: u for u in (BYTES, WORDS)}
-#: Texts are handled so many at a time, and about so many rows go out together, so that a batch of Spark's stays small.
-SLICE_TEXTS = 500
+#: About so many rows go out together.
 SLICE_ROWS = 100_000
 KEY = ["h", "crc"]
 ROW = "h long, crc long, a int, lo int, hi int, c long, s long"
@@ -117,12 +116,6 @@ def anchors(texts: list[str | None], unit: Unit = BYTES, length: int | None = No
     return text, begin[text], a, lo, hi, common, every
 
 
-def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, SLICE_TEXTS):
-            yield batch.slice(k, SLICE_TEXTS)
-
-
 def twice(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """The keys and texts of the batch, of equal texts the first two: two are as repeated as more."""
     h, crc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
