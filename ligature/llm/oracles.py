@@ -70,3 +70,20 @@ again AS (SELECT k, i FROM passages WHERE n=50 QUALIFY count(*) OVER (PARTITION
 told AS (SELECT k, sum(least(50, coalesce(later-i, 50))) n FROM (SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) later FROM again) GROUP BY k)
 SELECT doc_id, bytes.n::bigint n_bytes, coalesce(n_removed,0)::bigint n_removed, coalesce(n_spans,0)::bigint n_spans, sha256(unhex(coalesce(y, x))) kept_sha256, coalesce(told.n,0)::bigint n_passage_words
 FROM bytes LEFT JOIN cuts USING(k) LEFT JOIN rest USING(k) LEFT JOIN told USING(k)"""
+
+
+#: Every lag of every two equal words, as islands of consecutive words; the checksum of the id is computed bit by bit.
+PERIODIC_RUNS = r"""WITH ids AS (SELECT row_number() OVER () k, doc_id, list_filter(string_split_regex(coalesce(text,''), '[\x20\x09-\x0D]+'), lambda w: w<>'') w,
+ xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda r, c: list_reduce(list_prepend(xor(r, c), range(8)), lambda x, j: xor(x>>1, 3988292384*(x&1))))) h FROM documents),
+base AS (SELECT k, doc_id, w, len(w) n, coalesce(h%10=0 AND len(w)>0, false) again, (h//10)%greatest(len(w),1) a, h//10%8 g FROM ids),
+placed AS (SELECT k, doc_id, n, CASE WHEN again THEN list_transform(range(n), lambda i: w[1+CASE WHEN i<a THEN i ELSE a+(i-a)%(1+(n-a)//(3+g)) END]) ELSE w END w FROM base),
+words AS (SELECT k, n, unnest(w) w, generate_subscripts(w, 1)-1 i FROM placed),
+pairs AS (SELECT y.k, y.i, y.i-x.i q FROM words x JOIN words y ON x.k=y.k AND x.w=y.w AND x.i<y.i AND (y.i-x.i)*4<=y.n),
+diagonals AS (SELECT k, q, i, i-row_number() OVER (PARTITION BY k, q ORDER BY i) d FROM pairs),
+stretches AS (SELECT k, q, min(i)-q s, count(*)+q n FROM diagonals GROUP BY k, q, d HAVING count(*)+q>=greatest(6, 4*q)),
+runs AS (SELECT k, s, n, min(q) q FROM stretches GROUP BY k, s, n),
+told AS (SELECT k, count(*) n_runs, arg_min({'s': s, 'n': n, 'q': q}, (-n, s, q)) r, sha256(string_agg(s||','||n||','||q||chr(10), '' ORDER BY s, q)) runs FROM runs GROUP BY k),
+dropped AS (SELECT DISTINCT k, unnest(range(s+q, s+n)) i FROM runs),
+rest AS (SELECT k, string_agg(w, ' ' ORDER BY i) t FROM words ANTI JOIN dropped USING(k, i) GROUP BY k)
+SELECT doc_id, coalesce(n_runs, 0)::bigint n_runs, r.s::bigint AS start, r.n::bigint AS length, r.q::bigint AS period, (1000*r.n//r.q)::bigint exponent_milli, coalesce(runs, sha256('')) runs_sha256, sha256(coalesce(t, '')) collapsed_sha256
+FROM placed LEFT JOIN told USING(k) LEFT JOIN rest USING(k)"""
