@@ -16,7 +16,6 @@ from ..shipping import ship
 SPACE = r"[\x20\x09-\x0D]"
 #: Texts are handled so many at a time, so that a batch of Spark's, which can be of megabytes, stays small.
 SLICE_TEXTS = 500
-_STORED: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,18 +52,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like cut, for wide tables of numbers: a Parquet table in the shared folder, less than half of a checkpoint's size."""
-    folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    _STORED.append(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+class Tables:
+    """Parquet tables of one call in a shared folder of their own; the folder goes when the with block ends.
 
+    For wide tables of numbers, which take less than half of a checkpoint's size. What the block returns must not read
+    them any more: it ends with cut() or numbers.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, new_folder(spark, "tables")
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written once and read again."""
+        folder = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def __enter__(self) -> Tables:
+        return self
 
-def clear(spark: SparkSession) -> None:
-    """Remove the tables of stored(), once the results that read them are written."""
-    while _STORED:
-        remove(spark, _STORED.pop())
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.folder)
 
 
 def remove(spark: SparkSession, path: str) -> None:

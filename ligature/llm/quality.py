@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, let, stored
+from .common import SPACE, cut, let
 from .skew import counted, spread_join
 
 WINDOW = 5
@@ -144,8 +144,9 @@ def rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of docs that the rules keep, with all their columns.
 
-    The measures are written once beside the rows, as finding them costs far more than writing and reading the texts.
+    The measures are written once beside the rows, as finding them costs far more than writing and reading the texts;
+    the checkpoint goes with its last reader.
     """
-    table = stored(measured(docs, text), "measured")
+    table = cut(measured(docs, text))
     limits = cutoffs(sketches(table.select(lang, source, "_m"), lang, source))
     return judged(table, limits, lang, source).where("_kept").select(*(F.col(c) for c in docs.columns))

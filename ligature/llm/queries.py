@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_id, lm_score, media, near_dup, oracles, packing, periodic, quality, secret_scan, sp_codec, suffix_dedup, token_counts
+from . import lang_id, lm_score, media, near_dup, oracles, packing, periodic, quality, secret_scan, sp_codec, suffix_dedup, token_counts, whiten
+from ..shipping import ship
 from .common import documents
 
 
@@ -55,8 +56,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(documents(spark, sf_dir))
 
 
+def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return whiten.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_marginal_unigrams": op1_marginal_unigrams, "op2_adaptive_quality": op2_adaptive_quality, "op3_cross_entropy_difference": op3_cross_entropy_difference, "op4_section_tokens": op4_section_tokens, "op5_sentencepiece_codec": op5_sentencepiece_codec, "op6_best_fit_packing": op6_best_fit_packing, "op7_prefix_doubling_dedup": op7_prefix_doubling_dedup, "op8_bottom_k_near_duplicates": op8_bottom_k_near_duplicates, "op9_markov_secrets": op9_markov_secrets, "op10_media_columns": op10_media_columns, "op11_periodic_runs": op11_periodic_runs}
+    return {"op1_marginal_unigrams": op1_marginal_unigrams, "op2_adaptive_quality": op2_adaptive_quality, "op3_cross_entropy_difference": op3_cross_entropy_difference, "op4_section_tokens": op4_section_tokens, "op5_sentencepiece_codec": op5_sentencepiece_codec, "op6_best_fit_packing": op6_best_fit_packing, "op7_prefix_doubling_dedup": op7_prefix_doubling_dedup, "op8_bottom_k_near_duplicates": op8_bottom_k_near_duplicates, "op9_markov_secrets": op9_markov_secrets, "op10_media_columns": op10_media_columns, "op11_periodic_runs": op11_periodic_runs, "op12_whitened_embeddings": op12_whitened_embeddings}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sliced, stored
+from .common import Tables, cut, sliced
 from .membership import bit_of_hash, has_hash, marked, members
 from .rolling import BASES, VALUES, Prints, mix
 from .shingles import blocks, word_prints
@@ -204,16 +204,16 @@ def groups_of(rows: DataFrame) -> DataFrame:
     return cut(counted(rows, ["c"], (F.min("s") != F.max("s")).alias("mixed")).where("n > 1"))
 
 
-def split(rows: DataFrame, groups: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
+def split(rows: DataFrame, groups: DataFrame, tables: Tables, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """(duplicated intervals, rows to go on with) of one round; rows: FIELDS and `single`, whether the result counts."""
-    found = stored(spread_join(rows, groups, ["c"]).drop("n"), "equal-prefixes")
+    found = tables.put(spread_join(rows, groups, ["c"]).drop("n"), "equal-prefixes")
     # A group without a row whose result counts is of no use.
     same = found.where("not mixed and single").select(*KEY, "lo", "hi")
     if last:
         return same, None
     mixed = found.where("mixed")
     first = F.min(F.struct(*KEY, "a", "lo", "hi", "single")).alias("r")
-    reps = stored(counted(mixed, ["c", "s"], first), "distinct-windows")
+    reps = tables.put(counted(mixed, ["c", "s"], first), "distinct-windows")
     equal = spread_join(mixed.where("single"), reps.where("n > 1").select("c", "s", "n"), ["c", "s"]).select(*KEY, "lo", "hi")
     live = cut(counted(reps, ["c"], F.max((F.col("n") == 1) & F.col("r.single")).alias("live")).where("live").select("c", "n"))
     rest = spread_join(reps.withColumnRenamed("n", "copies"), live, ["c"])
@@ -223,17 +223,18 @@ def split(rows: DataFrame, groups: DataFrame, last: bool) -> tuple[DataFrame, Da
 def duplicated(docs: DataFrame, unit: Unit = BYTES, length: int | None = None) -> DataFrame:
     """(h, crc, lo, hi): intervals of window starts whose strings occur elsewhere; docs: h, crc, text (not null)."""
     length = length or unit.length
-    groups = anchor_groups(docs, unit, length)
-    rows = anchor_rows(docs, unit, length, members(groups, bit=bit_of_hash("c"))).withColumn("single", F.lit(True))
-    done, rest = split(rows, groups, last=False)
-    for k, block in enumerate(unit.blocks):
-        wanted = cut(rest)
-        if wanted.isEmpty():
-            break
-        ranked = stored(block_rows(docs, wanted, unit, block, length), "blocks")
-        more, rest = split(ranked, groups_of(ranked), last=k == len(unit.blocks) - 1)
-        done = done.unionAll(more)
-    return cut(done.distinct())
+    with Tables(docs.sparkSession) as tables:
+        groups = anchor_groups(docs, unit, length)
+        rows = anchor_rows(docs, unit, length, members(groups, bit=bit_of_hash("c"))).withColumn("single", F.lit(True))
+        done, rest = split(rows, groups, tables, last=False)
+        for k, block in enumerate(unit.blocks):
+            wanted = cut(rest)
+            if wanted.isEmpty():
+                break
+            ranked = tables.put(block_rows(docs, wanted, unit, block, length), "blocks")
+            more, rest = split(ranked, groups_of(ranked), tables, last=k == len(unit.blocks) - 1)
+            done = done.unionAll(more)
+        return cut(done.distinct())
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
