@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ligature.llm import near_dup, packing, quality, secret_scan, suffix_dedup
-from ligature.llm.common import clear, documents, new_folder, remove
+from ligature.llm.common import documents, new_folder, remove
 from ligature.shipping import ship
 
 
@@ -60,7 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = new_folder(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
-        clear(spark)
         if before:
             remove(spark, before)
         before = folder
