@@ -87,3 +87,13 @@ dropped AS (SELECT DISTINCT k, unnest(range(s+q, s+n)) i FROM runs),
 rest AS (SELECT k, string_agg(w, ' ' ORDER BY i) t FROM words ANTI JOIN dropped USING(k, i) GROUP BY k)
 SELECT doc_id, coalesce(n_runs, 0)::bigint n_runs, r.s::bigint AS start, r.n::bigint AS length, r.q::bigint AS period, (1000*r.n//r.q)::bigint exponent_milli, coalesce(runs, sha256('')) runs_sha256, sha256(coalesce(t, '')) collapsed_sha256
 FROM placed LEFT JOIN told USING(k) LEFT JOIN rest USING(k)"""
+
+
+#: Windows of 13 words by their whole text, against the smallest document that has them.
+EARLIER_PASSAGES = r"""WITH texts AS (SELECT row_number() OVER () k, doc_id, list_filter(string_split_regex(coalesce(text,''), '[\x20\x09-\x0D]+'), lambda w: w<>'') w FROM documents),
+words AS (SELECT k, doc_id, unnest(w) w, generate_subscripts(w, 1) i FROM texts),
+windows AS (SELECT k, doc_id, i, string_agg(w, ' ') OVER o g, count(*) OVER o n FROM words WINDOW o AS (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+later AS (SELECT k, i FROM windows WHERE n=13 QUALIFY doc_id>min(doc_id) OVER (PARTITION BY md5_number(g))),
+gone AS (SELECT DISTINCT k, i+d i FROM later CROSS JOIN range(13) r(d)),
+rest AS (SELECT k, count(*) n, string_agg(w, ' ' ORDER BY i) t FROM words ANTI JOIN gone USING(k, i) GROUP BY k)
+SELECT doc_id, len(w)::bigint n_words, (len(w)-coalesce(rest.n, 0))::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 FROM texts LEFT JOIN rest USING(k)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_id, lm_score, media, near_dup, oracles, packing, periodic, quality, secret_scan, sp_codec, suffix_dedup, token_counts, whiten
+from . import lang_id, lm_score, media, near_dup, oracles, packing, periodic, quality, secret_scan, sp_codec, substrings, suffix_dedup, token_counts, whiten
 from ..shipping import ship
 from .common import documents
 
@@ -61,9 +61,13 @@ def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_recompressed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.first_kept(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_marginal_unigrams": op1_marginal_unigrams, "op2_adaptive_quality": op2_adaptive_quality, "op3_cross_entropy_difference": op3_cross_entropy_difference, "op4_section_tokens": op4_section_tokens, "op5_sentencepiece_codec": op5_sentencepiece_codec, "op6_best_fit_packing": op6_best_fit_packing, "op7_prefix_doubling_dedup": op7_prefix_doubling_dedup, "op8_bottom_k_near_duplicates": op8_bottom_k_near_duplicates, "op9_markov_secrets": op9_markov_secrets, "op10_media_columns": op10_media_columns, "op11_periodic_runs": op11_periodic_runs, "op12_whitened_embeddings": op12_whitened_embeddings}
+    return {"op1_marginal_unigrams": op1_marginal_unigrams, "op2_adaptive_quality": op2_adaptive_quality, "op3_cross_entropy_difference": op3_cross_entropy_difference, "op4_section_tokens": op4_section_tokens, "op5_sentencepiece_codec": op5_sentencepiece_codec, "op6_best_fit_packing": op6_best_fit_packing, "op7_prefix_doubling_dedup": op7_prefix_doubling_dedup, "op8_bottom_k_near_duplicates": op8_bottom_k_near_duplicates, "op9_markov_secrets": op9_markov_secrets, "op10_media_columns": op10_media_columns, "op11_periodic_runs": op11_periodic_runs, "op12_whitened_embeddings": op12_whitened_embeddings, "op13_recompressed_passages": op13_recompressed_passages}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_adaptive_quality": oracles.QUALITY, "op7_prefix_doubling_dedup": oracles.REPEATED_STRINGS, "op8_bottom_k_near_duplicates": oracles.NEAR_DUPLICATES, "op11_periodic_runs": oracles.PERIODIC_RUNS}
+    return {"op2_adaptive_quality": oracles.QUALITY, "op7_prefix_doubling_dedup": oracles.REPEATED_STRINGS, "op8_bottom_k_near_duplicates": oracles.NEAR_DUPLICATES, "op11_periodic_runs": oracles.PERIODIC_RUNS, "op13_recompressed_passages": oracles.EARLIER_PASSAGES}
