@@ -4,10 +4,11 @@ A window of `length` words is removed where the same words start in a document w
 window would shuffle many times the input, so Spark asks for symbols of the recompressed texts (`recompress.py`) instead,
 whose names equal stretches share, from short ones to long ones and back to single windows:
 
-1. low symbols, of about three words: which names do documents share? A window whose words alone decide on a symbol (its
-   interior symbols) holds the same symbol wherever it stands, so it can only repeat if documents share all of them. The
-   windows left are joined to areas, written as lists of word names. A filter of fixed size tells shared names; where it
-   lets others pass, or a window has no interior symbol, that costs work, not correctness.
+1. low symbols, of about three words. Where eight words alone decide that a symbol stands at their start (an interior
+   symbol), equal stretches hold it too. A window's anchor is its first interior symbol, with the words that decide on
+   it. Which anchors do documents share? Only windows with a shared anchor can repeat; they are joined to areas, written
+   as lists of word names. A filter of fixed size tells shared anchors; where it lets others pass, or a window has no
+   anchor, that costs work, not correctness.
 2. high symbols, of about thirty words, of the areas: each two in a row are named together. If a smaller doc_id has the
    same name, all windows within go at once: this settles long repeats with few rows.
 3. the windows of the areas that are still open, by the name of all their words. A window settled before is in the
@@ -37,9 +38,11 @@ from .suffix_dedup import merged
 
 #: A window is so many words.
 LENGTH = 13
+#: An anchor lies at most this part of a window behind its start; the rest of the window's words name it.
+LEAD = 5 / 13
 #: Rounds of pairs for low symbols, after one of runs, and further rounds for high ones.
-LOW_ROUNDS = 4
-HIGH_ROUNDS = 8
+LOW_ROUNDS = 3
+HIGH_ROUNDS = 9
 KEY = ["doc_id", "h"]
 AREAS = "doc_id long, h long, area int, w array<long>"
 NAMED = "name long, doc_id long, h long, area int, lo int, hi int"
@@ -63,21 +66,34 @@ def texts_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np
         yield ids[b:e], h[b:e], *word_prints(texts[b:e])
 
 
+def anchors(prints: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, text, name): where interior symbols begin, in order, named by the words from there that all windows hold."""
+    own = length - int(length * LEAD)
+    s = low_symbols(prints, counts)
+    inner = np.flatnonzero(s.high - s.low <= own)
+    inner = inner[np.append(True, np.diff(s.low[inner]) > 0)[: len(inner)]]
+    text = s.text[inner]
+    word = s.low[inner] - 2 * text - 1
+    ends = np.cumsum(counts)
+    inside = (word >= (ends - counts)[text]) & (word + own <= ends[text])
+    word, text = word[inside], text[inside]
+    return word, text, mix(Prints(prints).of(word, word + own))
+
+
 def shared_names(docs: DataFrame, length: int) -> np.ndarray:
-    """A filter of the low symbols' names that several documents share; symbols no window can hold are left out."""
+    """A filter of the names of anchors that several documents share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             for ids, _, prints, counts in texts_of(batch):
-                s = low_symbols(prints, counts)
-                inner = s.high - s.low <= length
-                name, doc = s.name[inner], ids[s.text[inner]]
+                _, text, name = anchors(prints, counts, length)
+                doc = ids[text]
                 order = np.lexsort((doc, name))
                 name, doc = name[order], doc[order]
                 new = np.ones(len(name), bool)
                 new[1:] = name[1:] != name[:-1]
                 # The least and the largest document of each name.
-                take = np.flatnonzero(new | np.append(new[1:], True))
+                take = np.flatnonzero(new | np.append(new[1:], True)[: len(new)])
                 yield pa.record_batch([pa.array(name[take].view(np.int64)), pa.array(doc[take])], ["name", "doc_id"])
 
     rows = docs.select(*KEY, "t").mapInArrow(run, "name long, doc_id long")
@@ -86,17 +102,14 @@ def shared_names(docs: DataFrame, length: int) -> np.ndarray:
 
 
 def open_windows(prints: np.ndarray, counts: np.ndarray, bits: np.ndarray, length: int) -> np.ndarray:
-    """Whether each word starts a window of its text all of whose interior symbols may be shared."""
-    s = low_symbols(prints, counts)
-    inner = np.flatnonzero(s.high - s.low <= length)
-    low, high = s.low[inner], s.high[inner]
-    alone = np.concatenate([[0], np.cumsum(~has_hash(bits, s.name[inner]))])
-    ends = np.cumsum(counts)
-    text = np.repeat(np.arange(len(counts)), counts)
-    out = np.arange(len(prints)) + length <= ends[text]
-    at = (np.arange(len(prints)) + 2 * text + 1)[out]
-    first, past = np.searchsorted(low, at), np.searchsorted(high, at + length, "right")
-    out[out] = alone[np.maximum(past, first)] == alone[first]
+    """Whether each word starts a window of its text whose anchor, if it has one, may be shared."""
+    word, _, name = anchors(prints, counts, length)
+    shared = np.append(has_hash(bits, name), True)
+    out = np.arange(len(prints)) + length <= np.repeat(np.cumsum(counts), counts)
+    at = np.flatnonzero(out)
+    first = np.searchsorted(word, at)
+    far = np.append(word, np.iinfo(np.int64).max)[first] - at > int(length * LEAD)
+    out[at] = far | shared[first]
     return out
 
 
