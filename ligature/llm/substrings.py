@@ -2,20 +2,21 @@
 
 A window of `length` words is removed where the same words start in a document with a smaller doc_id. One row for each
 window would shuffle many times the input, so Spark asks for symbols of the recompressed texts (`recompress.py`) instead,
-whose names equal stretches share, from short ones to long ones and back to single windows:
-
-1. low symbols, of about three words. Where eight words alone decide that a symbol stands at their start (an interior
-   symbol), equal stretches hold it too. A window's anchor is its first interior symbol, with the words that decide on
-   it. Which anchors do documents share? Only windows with a shared anchor can repeat; they are joined to areas, written
-   as lists of word names. A filter of fixed size tells shared anchors; where it lets others pass, or a window has no
-   anchor, that costs work, not correctness.
-2. high symbols, of about thirty words, of the areas: each two in a row are named together. If a smaller doc_id has the
-   same name, all windows within go at once: this settles long repeats with few rows.
-3. the windows of the areas that are still open, by the name of all their words. A window settled before is in the
-   smallest document that holds it too, where it is never settled, so no witness is missing.
-
-Each round counts names with partial aggregation, and joins the least doc_id back; names that very many rows share are
-split. Names are fingerprints of 64 bits, so the result is exact up to collisions.
+whose names equal stretches share, from long ones to short ones and at last single windows:
+
+1. high symbols, of about forty words: each two in a row are named together. If a smaller doc_id has the same name, all
+   windows within are settled at once: long repeats take few rows.
+2. low symbols, of about two words. Where eight words alone decide that a symbol stands at their start (an interior
+   symbol), equal stretches hold it too. A window's anchor is the interior symbol with the least name near its start,
+   named by those words. Which anchors do documents share? Only windows with a shared anchor can repeat. A filter of
+   fixed size tells shared anchors; where it lets others pass, or a window has no anchor, that costs work, not
+   correctness.
+3. the windows that are still open, by the name of all their words: Spark finds the first document of each name, and each
+   document gets the list of names it is the first of. Its other open windows are repeats. A window settled before is
+   never settled in the smallest document that holds it, so no witness is missing.
+
+Each round counts names with partial aggregation. Texts are read by each round, as their words' names take more room. Names are
+fingerprints of 64 bits, so the result is exact up to collisions.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from .recompress import Symbols, pairs, rounds, runs, words
 from .rolling import Prints, mix
 from .shingles import blocks, word_prints
 from .skew import counted, spread_join
-from .suffix_dedup import merged
+from .suffix_dedup import merged, window_minima
 
 #: A window is so many words.
 LENGTH = 13
@@ -44,8 +45,9 @@ LEAD = 5 / 13
 LOW_ROUNDS = 3
 HIGH_ROUNDS = 9
 KEY = ["doc_id", "h"]
-AREAS = "doc_id long, h long, area int, w array<long>"
-NAMED = "name long, doc_id long, h long, area int, lo int, hi int"
+SPANS = "array<struct<lo:int,hi:int>>"
+NAMED = "name long, doc_id long, h long, lo int, hi int"
+NONE = np.iinfo(np.uint64).max
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -57,162 +59,131 @@ def low_symbols(prints: np.ndarray, counts: np.ndarray) -> Symbols:
     return s
 
 
-def texts_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_ids, hashes, word names, words of each text) by blocks of texts; a repeated row counts once in a batch."""
+def batch_texts(batch: pa.RecordBatch, once: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], list[str]]]:
+    """(rows, doc_ids, word names, words of each text, settled spans of each text, texts) by blocks of texts.
+
+    Of rows repeated within a batch only one comes, if once is true.
+    """
     ids, h = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-    some = list({key: i for i, key in enumerate(zip(ids.tolist(), h.tolist(), strict=True))}.values())
-    ids, h, texts = ids[some], h[some], batch.column(2).take(pa.array(some, pa.int64())).to_pylist()
+    some = np.array(list({key: i for i, key in enumerate(zip(ids.tolist(), h.tolist(), strict=True))}.values()) if once else range(batch.num_rows), np.int64)
+    batch = batch.take(pa.array(some))
+    texts, ends = batch.column(2).to_pylist(), batch.column(3).offsets.to_numpy() - batch.column(3).offsets[0].as_py()
+    lo, hi = (x.to_numpy(zero_copy_only=False) for x in batch.column(3).flatten().flatten())
     for b, e in blocks(texts):
-        yield ids[b:e], h[b:e], *word_prints(texts[b:e])
+        yield some[b:e], ids[some[b:e]], *word_prints(texts[b:e]), [np.stack([lo[x:y], hi[x:y]]) for x, y in zip(ends[b:e], ends[b + 1 : e + 1], strict=True)], texts[b:e]
 
 
-def anchors(prints: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, text, name): where interior symbols begin, in order, named by the words from there that all windows hold."""
-    own = length - int(length * LEAD)
+def unsettled(counts: np.ndarray, spans: list[np.ndarray], length: int) -> np.ndarray:
+    """Whether each word starts a window of its text that no settled span [lo, hi] of window starts holds."""
+    ends = np.cumsum(counts)
+    n = int(ends[-1]) if len(ends) else 0
+    depth = np.zeros(n + 1, np.int64)
+    for begin, (lo, hi) in zip((ends - counts).tolist(), spans, strict=True):
+        if len(lo):
+            np.add.at(depth, lo + begin, 1)
+            np.add.at(depth, hi + begin + 1, -1)
+    return (np.cumsum(depth)[:-1] == 0) & (np.arange(n) + length <= np.repeat(ends, counts))
+
+
+def anchors(prints: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the word of the anchor of the window that starts there, -1 without any, and the anchors' names by word."""
+    lead = int(length * LEAD)
+    own = length - lead
     s = low_symbols(prints, counts)
     inner = np.flatnonzero(s.high - s.low <= own)
-    inner = inner[np.append(True, np.diff(s.low[inner]) > 0)[: len(inner)]]
     text = s.text[inner]
     word = s.low[inner] - 2 * text - 1
     ends = np.cumsum(counts)
     inside = (word >= (ends - counts)[text]) & (word + own <= ends[text])
-    word, text = word[inside], text[inside]
-    return word, text, mix(Prints(prints).of(word, word + own))
+    word = word[inside]
+    names = np.full(len(prints) + lead, NONE)
+    names[word] = np.minimum(mix(Prints(prints).of(word, word + own)), NONE - np.uint64(1))
+    least = window_minima(names, lead + 1)
+    # The place of the least name among the next lead + 1 words.
+    at = np.full(len(prints), -1)
+    for k in range(lead, -1, -1):
+        here = names[k : k + len(prints)] == least
+        at = np.where(here & (least != NONE), np.arange(len(prints)) + k, at)
+    return at, names
 
 
-def shared_names(docs: DataFrame, length: int) -> np.ndarray:
-    """A filter of the names of anchors that several documents share."""
+def high_pairs(rows: DataFrame, length: int) -> DataFrame:
+    """Each two high symbols in a row, or a symbol alone in its text, with the window starts [lo, hi] that lie within."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            for ids, _, prints, counts in texts_of(batch):
-                _, text, name = anchors(prints, counts, length)
-                doc = ids[text]
-                order = np.lexsort((doc, name))
-                name, doc = name[order], doc[order]
-                new = np.ones(len(name), bool)
-                new[1:] = name[1:] != name[:-1]
-                # The least and the largest document of each name.
-                take = np.flatnonzero(new | np.append(new[1:], True)[: len(new)])
-                yield pa.record_batch([pa.array(name[take].view(np.int64)), pa.array(doc[take])], ["name", "doc_id"])
-
-    rows = docs.select(*KEY, "t").mapInArrow(run, "name long, doc_id long")
-    both = rows.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    return members(both, bit=bit_of_hash("name"))
+            for some, _, prints, counts, _, _ in batch_texts(batch):
+                s = rounds(low_symbols(prints, counts), HIGH_ROUNDS, LOW_ROUNDS)
+                if not len(s):
+                    continue
+                before = np.zeros(len(s), bool)
+                before[1:] = s.text[1:] == s.text[:-1]
+                after = np.append(before[1:], False)
+                head = np.flatnonzero(after | ~before & ~after)
+                tail = np.where(after[head], np.minimum(head + 1, len(s) - 1), head)
+                name = np.where(after[head], mix(mix(s.name[head]) + s.name[tail] * np.uint64(3)), s.name[head])
+                begin = np.cumsum(counts) - counts + 2 * np.arange(len(counts)) + 1
+                text = s.text[head]
+                lo, hi = s.start[head] - begin[text], s.end[tail] - begin[text] - length
+                x = hi >= lo
+                of = pa.array(some[text[x]])
+                yield pa.record_batch([pa.array(name[x].view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array(lo[x].astype(np.int32)), pa.array(hi[x].astype(np.int32))], [c.split()[0] for c in NAMED.split(", ")])
+
+    return rows.mapInArrow(run, NAMED)
 
 
-def open_windows(prints: np.ndarray, counts: np.ndarray, bits: np.ndarray, length: int) -> np.ndarray:
-    """Whether each word starts a window of its text whose anchor, if it has one, may be shared."""
-    word, _, name = anchors(prints, counts, length)
-    shared = np.append(has_hash(bits, name), True)
-    out = np.arange(len(prints)) + length <= np.repeat(np.cumsum(counts), counts)
-    at = np.flatnonzero(out)
-    first = np.searchsorted(word, at)
-    far = np.append(word, np.iinfo(np.int64).max)[first] - at > int(length * LEAD)
-    out[at] = far | shared[first]
-    return out
+def repeated(rows: DataFrame) -> DataFrame:
+    """The rows whose name a smaller doc_id has too."""
+    least = counted(rows, ["name"], F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    least = cut(least.where("least < most").select("name", "least", "n"))
+    return spread_join(rows, least, ["name"], deal=F.xxhash64(*KEY)).where("least < doc_id").drop("least", "n", "name")
 
 
-def areas(docs: DataFrame, bits: np.ndarray, length: int) -> DataFrame:
-    """(doc_id, h, area, w): stretches of open windows, from word number area on, as names of words."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def shared_names(rows: DataFrame, length: int) -> np.ndarray:
+    """A filter of the names of anchors of unsettled windows that several documents share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            for ids, h, prints, counts in texts_of(batch):
-                is_open = open_windows(prints, counts, shared.value, length)
-                text = np.repeat(np.arange(len(counts)), counts)
-                edge = np.diff(is_open.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
-                first, past = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                if not len(first):
-                    continue
-                past = past + length - 1
-                n = past - first
-                take = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(prints[take].view(np.int64)))
-                of = text[first]
-                place = (first - (np.cumsum(counts) - counts)[of]).astype(np.int32)
-                yield pa.record_batch([pa.array(ids[of]), pa.array(h[of]), pa.array(place), lists], ["doc_id", "h", "area", "w"])
+            for _, ids, prints, counts, spans, _ in batch_texts(batch):
+                at, names = anchors(prints, counts, length)
+                used = np.unique(at[unsettled(counts, spans, length) & (at >= 0)])
+                name, doc = names[used], ids[np.repeat(np.arange(len(counts)), counts)[used]]
+                order = np.lexsort((doc, name))
+                name, doc = name[order], doc[order]
+                new = np.ones(len(name), bool)
+                new[1:] = name[1:] != name[:-1]
+                # The least and the largest document of each name.
+                take = np.flatnonzero(new | np.append(new[1:], True)[: len(new)])
+                yield pa.record_batch([pa.array(name[take].view(np.int64)), pa.array(doc[take])], ["name", "doc_id"])
 
-    return docs.select(*KEY, "t").mapInArrow(run, AREAS)
+    found = rows.mapInArrow(run, "name long, doc_id long").groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    return members(found.where("a < b"), bit=bit_of_hash("name"))
 
 
-def listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(values, lengths) of a column of lists without nulls."""
-    ends = column.offsets.to_numpy()
-    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.diff(ends)
+def open_windows(prints: np.ndarray, counts: np.ndarray, spans: list[np.ndarray], bits: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, name): the unsettled windows whose anchor, if they have one, may be shared."""
+    at, names = anchors(prints, counts, length)
+    shared = np.append(has_hash(bits, names), True)
+    word = np.flatnonzero(unsettled(counts, spans, length) & shared[at])
+    return word, mix(Prints(prints).of(word, word + length))
 
 
-def high_pairs(table: DataFrame, length: int) -> DataFrame:
-    """Each two high symbols in a row, or a symbol alone in its area, with the window starts [lo, hi] that lie within."""
+def first_names(rows: DataFrame, bits: np.ndarray, length: int) -> DataFrame:
+    """(doc_id, name): the first document of each open window."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            prints, counts = listed(batch.column(3))
-            s = rounds(low_symbols(prints, counts), HIGH_ROUNDS, LOW_ROUNDS)
-            if not len(s):
-                continue
-            before = np.zeros(len(s), bool)
-            before[1:] = s.text[1:] == s.text[:-1]
-            after = np.append(before[1:], False)
-            head = np.flatnonzero(after | ~before & ~after)
-            tail = np.where(after[head], np.minimum(head + 1, len(s) - 1), head)
-            name = np.where(after[head], mix(mix(s.name[head]) + s.name[tail] * np.uint64(3)), s.name[head])
-            begin = np.cumsum(counts) - counts + 2 * np.arange(len(counts)) + 1
-            text = s.text[head]
-            lo, hi = s.start[head] - begin[text], s.end[tail] - begin[text] - length
-            x = hi >= lo
-            text = pa.array(text[x])
-            keys = [batch.column(k).take(text) for k in range(3)]
-            yield pa.record_batch([pa.array(name[x].view(np.int64)), *keys, pa.array(lo[x].astype(np.int32)), pa.array(hi[x].astype(np.int32))], [c.split()[0] for c in NAMED.split(", ")])
-
-    return table.mapInArrow(run, NAMED)
-
-
-def repeated(rows: DataFrame) -> DataFrame:
-    """The rows whose name a smaller doc_id has too."""
-    least = counted(rows, ["name"], F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    least = cut(least.where("least < most").select("name", "least", "n"))
-    return spread_join(rows, least, ["name"], deal=F.xxhash64(*KEY)).where("least < doc_id").drop("least", "n", "name")
+            for _, ids, prints, counts, spans, _ in batch_texts(batch):
+                word, name = open_windows(prints, counts, spans, shared.value, length)
+                doc = ids[np.repeat(np.arange(len(counts)), counts)[word]]
+                order = np.lexsort((doc, name))
+                name, doc = name[order], doc[order]
+                new = np.ones(len(name), bool)
+                new[1:] = name[1:] != name[:-1]
+                yield pa.record_batch([pa.array(name[new].view(np.int64)), pa.array(doc[new])], ["name", "doc_id"])
 
-
-def windows(table: DataFrame, settled: DataFrame, length: int) -> DataFrame:
-    """(name, doc_id, h, lo): the windows of the areas that are not settled."""
-    lists = settled.groupBy(*KEY, "area").agg(F.collect_list(F.struct("lo", "hi")).alias("done"))
-    rows = table.join(lists, [*KEY, "area"], "left")
-    none = F.array().cast("array<struct<lo:int,hi:int>>")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            prints, counts = listed(batch.column(3))
-            if not len(prints):
-                continue
-            begin = np.cumsum(counts) - counts
-            spans = batch.column(4)
-            of = np.repeat(np.arange(len(counts)), np.diff(spans.offsets.to_numpy()))
-            lo, hi = (x.to_numpy().astype(np.int64) + begin[of] for x in spans.flatten().flatten())
-            # +1 where a settled span begins, -1 past its end.
-            depth = np.bincount(lo, minlength=len(prints) + 1) - np.bincount(hi + 1, minlength=len(prints) + 1)
-            text = np.repeat(np.arange(len(counts)), counts)
-            left = (np.cumsum(depth)[:-1] == 0) & (np.arange(len(prints)) + length <= (begin + counts)[text])
-            at = np.flatnonzero(left)
-            name = mix(Prints(prints).of(at, at + length))
-            text = text[at]
-            keys = [batch.column(k).take(pa.array(text)) for k in range(2)]
-            place = at - begin[text] + batch.column(2).to_numpy()[text]
-            yield pa.record_batch([pa.array(name.view(np.int64)), *keys, pa.array(place.astype(np.int32))], ["name", "doc_id", "h", "lo"])
-
-    return rows.select(*KEY, "area", "w", F.coalesce("done", none)).mapInArrow(run, "name long, doc_id long, h long, lo int")
-
-
-def passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, h, lo, hi): window starts of docs (doc_id, h, t; none null) whose words an earlier document holds too."""
-    with Tables(docs.sparkSession) as tables:
-        table = tables.put(areas(docs, shared_names(docs, length), length), "areas")
-        settled = tables.put(repeated(tables.put(high_pairs(table, length), "high-symbols")), "settled")
-        single = repeated(tables.put(windows(table, settled, length), "windows"))
-        long_ = settled.select(*KEY, (F.col("lo") + F.col("area")).alias("lo"), (F.col("hi") + F.col("area")).alias("hi"))
-        return cut(long_.unionByName(single.select(*KEY, "lo", F.col("lo").alias("hi"))))
+    return rows.mapInArrow(run, "name long, doc_id long").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
 
 
 def first_kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -224,29 +195,49 @@ def first_kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
     table gives an empty result; other columns aren't read. Texts of any length are taken whole.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("h"), whole.alias("t"))
-    found = passages(rows.where("doc_id is not null"), length)
-    lists = found.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("iv"))
-    both = marked(rows, found, "h")
+    every = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("h"), whole.alias("t"))
+    named, none = every.where("doc_id is not null"), F.array().cast(SPANS)
+    with Tables(docs.sparkSession) as tables:
+        settled = cut(repeated(tables.put(high_pairs(named.withColumn("done", none), length), "high-symbols")))
+    # Only texts with settled spans meet these in a shuffle.
+    lists = settled.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("done"))
+    both = marked(named, settled, "h")
     copies = cut(counted(both.where("_in"), KEY))
-    some = spread_join(both.where("_in"), lists, KEY, how="left", sizes=copies)
-    none = both.where("not _in").withColumn("iv", F.lit(None).cast("array<struct<lo:int,hi:int>>"))
+    some = cut(spread_join(both.where("_in"), lists, KEY, how="left", sizes=copies).select(*KEY, "t", F.coalesce("done", none).alias("done")))
+    rows = both.where("not _in").select(*KEY, "t", none.alias("done")).unionByName(some)
+
+    bits = shared_names(rows, length)
+    firsts = cut(first_names(rows, bits, length))
+    own = firsts.groupBy("doc_id").agg(F.collect_list("name").alias("own"))
+    judged = marked(rows, firsts, "doc_id", "_first")
+    alone = judged.where("not _first").select(*KEY, "t", "done", F.array().cast("array<long>").alias("own"))
+    owners = judged.where("_first").join(own, "doc_id", "left").select(*KEY, "t", "done", F.coalesce("own", F.array().cast("array<long>")).alias("own"))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            out = []
-            spans = batch.column(2)
-            lo, hi = (x.to_numpy().tolist() for x in spans.flatten().flatten())
-            n = np.diff(spans.offsets.to_numpy())
-            ends = np.cumsum(n)
-            for t, b, e in zip(batch.column(1).to_pylist(), (ends - n).tolist(), ends.tolist(), strict=True):
-                w = t.encode().split()
-                total = len(w)
-                for x, y in reversed(merged(list(zip(lo[b:e], hi[b:e], strict=True)), length)):
-                    del w[x:y]
-                out.append((total, total - len(w), hashlib.sha256(b" ".join(w)).hexdigest()))
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            kinds = [pa.int64(), pa.int64(), pa.string()]
-            yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [c.split()[0] for c in RESULT.split(", ")])
-
-    return none.unionByName(some).select("doc_id", "t", "iv").mapInArrow(run, RESULT)
+            lists = batch.column(4)
+            names, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            for some, _, prints, counts, spans, texts in batch_texts(batch, once=False):
+                word, name = open_windows(prints, counts, spans, shared.value, length)
+                begin = np.cumsum(counts) - counts
+                bounds = np.searchsorted(word, np.append(begin, len(prints)))
+                out = []
+                for k, (row, t) in enumerate(zip(some.tolist(), texts, strict=True)):
+                    x = slice(bounds[k], bounds[k + 1])
+                    again = word[x][~np.isin(name[x], names[ends[row] : ends[row + 1]])] - begin[k]
+                    w = t.encode().split()
+                    total = len(w)
+                    gone = [*zip(again.tolist(), again.tolist(), strict=True), *zip(*spans[k].tolist(), strict=True)]
+                    for b, e in reversed(merged(gone, length)):
+                        del w[b:e]
+                    out.append((total, total - len(w), hashlib.sha256(b" ".join(w)).hexdigest()))
+                cols = list(zip(*out, strict=True)) or [()] * 3
+                kinds = [pa.int64(), pa.int64(), pa.string()]
+                yield pa.record_batch([batch.column(0).take(pa.array(some)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [c.split()[0] for c in RESULT.split(", ")])
+
+    nameless = every.where("doc_id is null").select(
+        "doc_id", F.size(F.regexp_extract_all("t", F.lit(r"([^\x20\x09-\x0D]+)"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"),
+        F.sha2(F.array_join(F.regexp_extract_all("t", F.lit(r"([^\x20\x09-\x0D]+)")), " ").cast("binary"), 256).alias("kept_sha256"),
+    )
+    return alone.unionByName(owners).mapInArrow(run, RESULT).unionByName(nameless)
