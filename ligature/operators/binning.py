@@ -15,18 +15,32 @@ def totals(notes: DataFrame) -> DataFrame:
     return notes.where(F.col("onset").isNotNull()).groupBy("piece").agg(F.max(F.col("onset") + F.col("dur")).alias("total"))
 
 
-def histogram(notes: DataFrame, size: float) -> DataFrame:
-    """(piece, bin, pc, weight): how long each pitch class sounds in each bin; cells without a note are absent."""
-    if size <= 0:
+def histogram(notes: DataFrame, size: float | str) -> DataFrame:
+    """(piece, bin, pc, weight): how long each pitch class sounds in each bin; cells without a note are absent.
+
+    size may name a column of notes, which then is a key of the result too: several sizes take one shuffle.
+    """
+    if not isinstance(size, str) and size <= 0:
         raise ValueError("bin size must be positive")
-    n = F.ceil(F.col("total") / size).cast("int")
+    step, keys = step_of(size)
+    n = F.ceil(F.col("total") / step).cast("int")
     end = F.col("onset") + F.col("dur")
-    first = F.greatest(F.lit(0), F.floor(F.col("onset") / size).cast("int"))
-    last = F.least(n - 1, F.floor(F.least(end, F.col("total") - 1e-9) / size).cast("int"))
+    first = F.greatest(F.lit(0), F.floor(F.col("onset") / step).cast("int"))
+    last = F.least(n - 1, F.floor(F.least(end, F.col("total") - 1e-9) / step).cast("int"))
     rows = notes.where(F.col("onset").isNotNull()).join(totals(notes), "piece").where(first <= last)
-    rows = rows.select("piece", F.pmod("midi", F.lit(12)).cast("int").alias("pc"), "onset", end.alias("end"), "total", F.explode(F.sequence(first, last)).alias("bin"))
-    overlap = F.least(F.col("end"), F.least((F.col("bin") + 1) * size, F.col("total"))) - F.greatest(F.col("onset"), F.col("bin") * size)
-    return rows.groupBy("piece", "bin", "pc").agg(F.sum(F.greatest(F.lit(0.0), overlap)).alias("weight"))
+    rows = rows.select(*keys, F.pmod("midi", F.lit(12)).cast("int").alias("pc"), "onset", end.alias("end"), "total", F.explode(F.sequence(first, last)).alias("bin"))
+    overlap = F.least(F.col("end"), F.least((F.col("bin") + 1) * step, F.col("total"))) - F.greatest(F.col("onset"), F.col("bin") * step)
+    return rows.groupBy(*keys, "bin", "pc").agg(F.sum(F.greatest(F.lit(0.0), overlap)).alias("weight"))
+
+
+def step_of(size: float | str) -> tuple[Column, list[str]]:
+    """The bin size as a column, and the keys of bins."""
+    return (F.col(size), ["piece", size]) if isinstance(size, str) else (F.lit(float(size)), ["piece"])
+
+
+def of_sizes(notes: DataFrame, sizes: list[float]) -> DataFrame:
+    """notes once for each bin size, in the column `size`."""
+    return notes.withColumn("size", F.explode(F.array(*(F.lit(float(s)) for s in sizes))))
 
 
 def bounds(notes: DataFrame, size: float) -> DataFrame:
@@ -43,16 +57,20 @@ def dense(cells: DataFrame, *keys: str) -> DataFrame:
     return cells.groupBy(*keys).agg(F.array(*sums).alias("vec"))
 
 
-def leaves(notes: DataFrame, size: float) -> DataFrame:
-    """(piece, leaf, start, end, vec): sounding bins; silence goes to the nearer neighbour, cut between centres."""
-    active = dense(histogram(notes, size).where("weight > 0"), "piece", "bin")
+def leaves(notes: DataFrame, size: float | str) -> DataFrame:
+    """(piece, leaf, start, end, vec): sounding bins; silence goes to the nearer neighbour, cut between centres.
+
+    size may name a column of notes, as in histogram.
+    """
+    step, keys = step_of(size)
+    active = dense(histogram(notes, size).where("weight > 0"), *keys, "bin")
     rows = active.join(totals(notes), "piece")
-    low, high = F.col("bin") * F.lit(float(size)), F.least((F.col("bin") + 1) * F.lit(float(size)), F.col("total"))
+    low, high = F.col("bin") * step, F.least((F.col("bin") + 1) * step, F.col("total"))
     rows = rows.withColumn("centre", (low + high) / 2)
-    order = Window.partitionBy("piece").orderBy("bin")
+    order = Window.partitionBy(*keys).orderBy("bin")
     left = (F.lag("centre").over(order) + F.col("centre")) / 2
     right = (F.lead("centre").over(order) + F.col("centre")) / 2
-    return rows.select("piece", (F.row_number().over(order) - 1).alias("leaf"), F.coalesce(left, F.lit(0.0)).alias("start"), F.coalesce(right, F.col("total")).alias("end"), "vec")
+    return rows.select(*keys, (F.row_number().over(order) - 1).alias("leaf"), F.coalesce(left, F.lit(0.0)).alias("start"), F.coalesce(right, F.col("total")).alias("end"), "vec")
 
 
 def sweep(notes: DataFrame) -> DataFrame:

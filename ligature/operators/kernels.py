@@ -135,6 +135,63 @@ def boundary_program(affinity: np.ndarray, contrast: np.ndarray, weight: float,
     return interval_program(n, gain, tie)
 
 
+def interval_grid(n: int, size: int, gain: Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray], tie: str) -> tuple[list[list[Node]], np.ndarray]:
+    """The trees and values of `size` interval programs at once.
+
+    gain(length, i, k, j) gives the gains of all splits k of all intervals [i, j) of a length, with one leading axis for
+    the programs. Tables have that axis too, so a length is one step whatever the number of programs.
+    """
+    best = np.zeros((size, n + 1, n + 1))
+    cut = np.zeros((size, n + 1, n + 1), np.int32)
+    for length in range(2, n + 1):
+        i = np.arange(n - length + 1)[:, None]
+        step = np.arange(1, length)
+        k, j = i + step, i + length
+        values = best[:, i, k] + best[:, k, j] + gain(length, i, k, j)
+        near = values >= values.max(axis=2, keepdims=True) - 1e-12
+        order = {"earliest": step, "latest": -step, "midpoint": np.abs(2 * step - length) * length + step}[tie]
+        at = np.where(near, order, np.iinfo(np.int64).max).argmin(axis=2)
+        best[:, i[:, 0], j[:, 0]] = np.take_along_axis(values, at[:, :, None], 2)[:, :, 0]
+        cut[:, i[:, 0], j[:, 0]] = i[:, 0] + 1 + at
+    return [unfold(n, lambda a, b, c=c: int(c[a, b])) for c in cut], best[:, 0, n]
+
+
+def boundary_grid(affinity: np.ndarray, contrast: np.ndarray, grid: list[tuple[float, float]], tie: str = "midpoint") -> tuple[list[list[Node]], np.ndarray]:
+    """boundary_program for each (weight, balance) of grid."""
+    n, prefix, whole = len(affinity), prefix2(affinity), denominator(affinity)
+    weight, balance = (np.array([g[x] for g in grid])[:, None, None] for x in (0, 1))
+
+    def gain(length: int, i: np.ndarray, k: np.ndarray, j: np.ndarray) -> np.ndarray:
+        cross = prefix[k, j] - prefix[i, j] - prefix[k, k] + prefix[i, k]
+        revenue = (n - length) * cross / whole if whole > 0 else np.zeros(k.shape)
+        uneven = (2 * k - i - j) / length
+        return (1 - weight) * revenue + (weight * np.log(length) / np.log(n) * contrast[k - 1] - balance * uneven**2) / max(1, n - 1)
+
+    return interval_grid(n, len(grid), gain, tie)
+
+
+def mixture_grid(vectors: np.ndarray, transforms: list[Callable[[np.ndarray], np.ndarray]], scales: list[float], weights: np.ndarray) -> tuple[list[list[Node]], np.ndarray]:
+    """Additive programs, and their costs, for each row of weights of scaled distances; each distance is found once."""
+    n = len(vectors)
+    if (vectors < 0).any():
+        raise ValueError("the additive program needs non-negative vectors")
+    sums = np.vstack([np.zeros(vectors.shape[1]), vectors.cumsum(0)])
+    a, b = np.triu_indices(n + 1, 1)
+    tables = []
+    for transform in transforms:
+        reps = transform(sums[b] - sums[a])
+        table = np.zeros((n + 1, n + 1, reps.shape[1]))
+        table[a, b] = reps
+        tables.append(table)
+
+    def gain(length: int, i: np.ndarray, k: np.ndarray, j: np.ndarray) -> np.ndarray:
+        each = [np.linalg.norm(t[i, k] - t[k, j], axis=2) / s for t, s in zip(tables, scales, strict=True)]
+        return -np.tensordot(weights, np.stack(each), axes=1)
+
+    trees, best = interval_grid(n, len(weights), gain, "earliest")
+    return trees, -best
+
+
 def average_linkage(affinity: np.ndarray) -> list[Node]:
     """Merge the neighbours with the largest mean affinity, the first on ties."""
     return boundary_linkage(affinity, np.zeros(max(0, len(affinity) - 1)), 0.0)

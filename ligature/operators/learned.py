@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encoders as E
 from ..functions import vectors as V
+from .dealing import dealt
 from .trees import NODES, node_rows
 
 ENCODERS = {"harmonic": E.harmonic, "plain": E.plain}
@@ -35,7 +36,7 @@ def boundary_logit(distance, raw_scale: float, bias: float):
 def policy_trees(leaves: DataFrame, encoder: dict[str, np.ndarray], merge: dict[str, np.ndarray]) -> DataFrame:
     """Node tables of the likeliest merges of a policy."""
     shared = leaves.sparkSession.sparkContext.broadcast((encoder, merge))
-    packed = leaves.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("leaf", "start", "end", F.col("vec").cast("array<double>").alias("vec")))).alias("leaves"))
+    packed = dealt(leaves, "piece").groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("leaf", "start", "end", F.col("vec").cast("array<double>").alias("vec")))).alias("leaves"))
 
     def run(batches):
         for f in batches:

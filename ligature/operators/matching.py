@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from .dealing import dealt
 
 
 def ordered_match(predicted: list, reference: list, cost) -> list[tuple[int, int]]:
@@ -49,8 +50,8 @@ def assignment(short: list[float], long_: list[float]) -> list[int]:
 
 def packed(predicted: DataFrame, reference: DataFrame, column: str) -> DataFrame:
     """(piece, p, r): sorted arrays; predictions without repeats, references with theirs."""
-    p = predicted.groupBy("piece").agg(F.sort_array(F.collect_set(column)).alias("p"))
-    r = reference.groupBy("piece").agg(F.sort_array(F.collect_list(column)).alias("r"))
+    p = dealt(predicted, "piece").groupBy("piece").agg(F.sort_array(F.collect_set(column)).alias("p"))
+    r = dealt(reference, "piece").groupBy("piece").agg(F.sort_array(F.collect_list(column)).alias("r"))
     none = lambda c, df: F.coalesce(c, F.array().cast(df.schema[c if isinstance(c, str) else "p"].dataType))
     return p.join(r, "piece", "full").select("piece", none("p", p), none("r", r)).toDF("piece", "p", "r")
 

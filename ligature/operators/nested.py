@@ -77,20 +77,20 @@ def fit_scorers(examples: DataFrame, features: list[str], label: str, members: D
     pos, neg = sizes["pos"].to_numpy() @ held, (sizes["n"] - sizes["pos"]).to_numpy() @ held
     # weight[class] of each model, and its row of weights for each work
     each = [np.divide(0.5, n, out=np.zeros(len(models)), where=n > 0) for n in (neg, pos)]
-    table = {work: (held[k] * each[0], held[k] * each[1]) for k, work in enumerate(works)}
+    table = np.stack([held * w for w in each])
     w = {"logits": np.zeros((len(models), len(features))), "raw_gain": np.full(len(models), 1.0), "intercept": np.zeros(len(models))}
     adam = G.Adam(rate)
     rows = examples.where(F.col("work").isin(works)).select("work", F.col(label).cast("int").alias("_y"), *features)
     for _ in range(epochs):
-        shared = spark.sparkContext.broadcast((w, table))
+        shared = spark.sparkContext.broadcast((w, table, works))
 
         def work(batches, shared=shared):
-            now, weights = shared.value
+            now, weights, names = shared.value
             n, loss, g = 0.0, 0.0, np.zeros(sum(np.size(x) for x in now.values()))
             for f in batches:
                 if len(f):
                     y = f["_y"].to_numpy()
-                    c = np.array([weights[name][k] for name, k in zip(f["work"], y, strict=True)])
+                    c = weights[y, np.searchsorted(names, f["work"].to_numpy(str))]
                     one, d = scorer_gradient(f[features].to_numpy(float), y.astype(float), c, now)
                     n, loss, g = n + len(f), loss + one, g + G.flat(d)
             return n, loss, g

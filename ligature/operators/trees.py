@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from . import kernels as K
+from .dealing import dealt
 
 MOST_LEAVES = 350
 NODES = "piece string, node int, parent int, depth int, first int, last int, split int, start double, end double, merge_order int, mean_affinity double, objective double, status string"
@@ -154,7 +155,7 @@ def trees(leaves: DataFrame, method: str, distance: Distance = "euclidean", most
     """
     if method not in METHODS:
         raise ValueError(f"no such method: {method}")
-    packed = leaves.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("leaf", "start", "end", F.col("vec").cast("array<double>").alias("vec")))).alias("leaves"))
+    packed = dealt(leaves, "piece").groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("leaf", "start", "end", F.col("vec").cast("array<double>").alias("vec")))).alias("leaves"))
     small = packed.where(F.size("leaves") <= most)
 
     def run(batches):

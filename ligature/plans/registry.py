@@ -17,6 +17,7 @@ from ..operators import affinity as A
 from ..operators import annotations as N
 from ..operators import binning as B
 from ..operators import diagonal as D
+from ..operators import grids as H
 from ..operators import joins as J
 from ..operators import learned as L
 from ..operators import matching as M
@@ -849,6 +850,77 @@ def nested_validation(spark, d):
     return X.nested_select(M.with_rates(counts)).select("outer_work", "mode", "value", r6("inner_f1"), r6("f1"), r6("recall"), r6("precision"))
 
 
+@query("nested_trees")
+def nested_trees(spark, d):
+    """Nested validation with trees built anew: each work under the weights and selection its inner folds chose, and oracle rows."""
+    work = views.notes(spark, d).select("piece", "work").distinct()
+    rows = split_examples(spark, d).select("piece", "split", "positive", "w1", "w2").join(work, "piece").cache()
+    members, trials = X.assignments(X.inner_folds(work, 3))
+    models = X.fit_scorers(rows, ["w1", "w2"], "positive", members, epochs=10)
+    keys = ["stage", "outer_work", "work", "piece", "split"]
+    fitted = X.scored_by(rows, ["w1", "w2"], trials, models).select(F.lit(H.KINDS[2]).alias("kind"), *keys, "score")
+    plain = rows.join(trials.drop("model"), "work")
+    mean = plain.select(F.lit(H.KINDS[1]).alias("kind"), *keys, ((F.col("w1") + F.col("w2")) / 2).alias("score"))
+    none = plain.select(F.lit(H.KINDS[0]).alias("kind"), *keys, F.lit(1.0).alias("score"))
+    grid = [(w, b) for w in (0.0, 0.3, 0.6) for b in (0.0, 0.1)]
+    counted = H.trial_counts(leaves(spark, d), reference(spark, d), fitted.unionByName(mean).unionByName(none), grid, [0.2, 0.4], [0.25, 0.5], 48.0)
+    return H.grid_select(M.with_rates(counted)).select("kind", "outer_work", "mode", "weight", "balance", "value", r6("inner_f1"), "search", r6("f1"), r6("recall"), r6("precision"))
+
+
+@query("grid_select", f"""WITH {Q.SCORES}, own AS (SELECT work, seed, cfg, avg(f1) f, avg(recall) r, avg("precision") p FROM full_scores GROUP BY 1,2,3), inn AS (SELECT a.work outer_work, seed, cfg, round(avg(f),9) f, round(avg(r),9) r, round(avg(p),9) p FROM (SELECT DISTINCT work FROM own) a JOIN own b ON a.work<>b.work GROUP BY 1,2,3),
+ ch AS (SELECT * FROM inn QUALIFY row_number() OVER (PARTITION BY outer_work ORDER BY f DESC, r DESC, p DESC, seed, cfg)=1) SELECT outer_work, m AS mode, ch.cfg*0.5::double AS weight, ch.seed*0.1::double AS balance, CASE WHEN m='budget' THEN 0.5::double END AS "value", round(ch.f,6) inner_f1, round(own.f,6) f1 FROM ch JOIN own ON own.work=outer_work AND own.seed=ch.seed AND own.cfg=ch.cfg CROSS JOIN (VALUES ('budget'),('oracle')) v(m)""")
+def grid_select(spark, d):
+    """The choice alone: configurations stand for contrast weights and seeds for balance weights; oracle rows take the budget's."""
+    rows = rated(spark, d).select("work", "piece", (F.col("cfg") * F.lit(0.5)).alias("weight"), (F.col("seed") * F.lit(0.1)).alias("balance"), "f1", "recall", "precision")
+    rows = rows.withColumns({"kind": F.lit(H.KINDS[2]), "search": F.lit("exact"), "mode": F.lit(H.MODES[1]), "value": F.lit(0.5)})
+    works = rows.select(F.col("work").alias("outer_work")).distinct()
+    inner = rows.join(works, F.col("outer_work") != F.col("work")).withColumn("stage", F.lit("inner"))
+    outer = rows.withColumn("outer_work", F.col("work")).withColumn("stage", F.lit("outer"))
+    oracle = outer.withColumns({"mode": F.lit(H.MODES[2]), "value": F.lit(None).cast("double")})
+    found = H.grid_select(inner.unionByName(outer).unionByName(oracle))
+    return found.select("outer_work", "mode", F.col("weight"), "balance", "value", r6("inner_f1"), r6("f1"))
+
+
+@query("configuration_grid")
+def configuration_grid(spark, d):
+    """Mean boundary scores of every bin size, distance, depth, budget and tolerance, by work first, from one kernel call a piece and size."""
+    n = views.notes(spark, d)
+    rows = B.leaves(B.of_sizes(n, [48.0, 96.0]), "size")
+    counted = H.configurations(rows, reference(spark, d), ["euclidean", "circle_of_fifths", "key_profile"], [1, 2, 3], [2, 4], [24.0, 48.0], replicates=2)
+    keys = ["size", "method", "kind", "budget", "tolerance"]
+    one = M.with_rates(counted).withColumn("budget", F.when(F.col("kind") != "oracle", F.col("budget")))
+    by_piece = one.groupBy("piece", *keys).agg(*(F.avg(c).alias(c) for c in ("f1", "recall", "precision")))
+    by_work = by_piece.join(n.select("piece", "work").distinct(), "piece").groupBy("work", *keys).agg(*(F.avg(c).alias(c) for c in ("f1", "recall", "precision")))
+    return by_work.groupBy(*keys).agg(F.count("*").alias("works"), r6(F.avg("f1"), "f1"), r6(F.avg("recall"), "recall"), r6(F.avg("precision"), "precision"))
+
+
+@query("leaves_of_sizes", f"SELECT * FROM (WITH {Q.leaves(48)} SELECT piece, 48.0::double AS size, leaf, round(start_qb,6) start_qb, round(end_qb,6) end_qb, round(mass,6) mass FROM leaves) UNION ALL SELECT * FROM (WITH {Q.leaves(96)} SELECT piece, 96.0::double, leaf, round(start_qb,6), round(end_qb,6), round(mass,6) FROM leaves)")
+def leaves_of_sizes(spark, d):
+    rows = B.leaves(B.of_sizes(views.notes(spark, d), [48.0, 96.0]), "size")
+    return rows.select("piece", "size", "leaf", r6("start", "start_qb"), r6("end", "end_qb"), r6(V.total(F.col("vec")), "mass"))
+
+
+MIXED = ["euclidean", "circle_of_fifths", "key_profile"]
+
+
+@query("mixture_search")
+def mixture_search(spark, d):
+    """The mixture of three distances whose exact additive trees match the references best, over the whole simplex."""
+    work, rows = views.notes(spark, d).select("piece", "work").distinct(), leaves(spark, d)
+    near = [A.adjacent(rows, lambda a, b, k=k: V.distance(k, a, b)).select(F.lit(k).alias("k"), "dist") for k in MIXED]
+    medians = near[0].unionByName(near[1]).unionByName(near[2]).where("dist > 1e-12").groupBy("k").agg(F.median("dist").alias("m"))
+    scales = {r["k"]: r["m"] for r in medians.collect()}
+    counted = H.mixture_counts(rows, reference(spark, d), MIXED, [scales.get(k, 1.0) for k in MIXED], 4, 3, 48.0)
+    return H.choose_mixture(M.with_rates(counted).join(work, "piece")).select("weights", r6("f1"), r6("recall"), r6("objective"))
+
+
+@query("mixture_choice", f"WITH {Q.SCORES}, own AS (SELECT work, cfg, avg(f1) f, avg(recall) r, avg(tp+fp) o FROM full_scores GROUP BY 1,2), m AS (SELECT cfg, round(avg(f),9) f, round(avg(r),9) r, round(avg(o),9) o FROM own GROUP BY 1) SELECT round(cfg/2.0::double,6) w1, round(1-cfg/2.0::double,6) w2, round(f,6) f1, round(r,6) recall, round(o,6) objective FROM m QUALIFY row_number() OVER (ORDER BY f DESC, r DESC, o, cfg)=1")
+def mixture_choice(spark, d):
+    """The choice alone: configurations stand for weights, and the number of predictions for the objective."""
+    rows = rated(spark, d).select("work", "piece", F.array(F.col("cfg") / 2, 1 - F.col("cfg") / 2).alias("weights"), "f1", "recall", (F.col("tp") + F.col("fp")).cast("double").alias("objective"))
+    return H.choose_mixture(rows).select(r6(F.col("weights")[0], "w1"), r6(F.col("weights")[1], "w2"), r6("f1"), r6("recall"), r6("objective"))
+
+
 @query("diagonal_training")
 def diagonal_training(spark, d):
     """Distances of neighbouring leaves under twelve weights after ten contrastive epochs on all neighbours."""
