@@ -82,6 +82,39 @@ def policy_back(x: np.ndarray, w: dict, out: np.ndarray) -> dict:
     return {"w2": h1.T @ d2, "b2": d2.sum(0), "w1": h0.T @ d1, "b1": d1.sum(0), "w0": x.T @ d0, "b0": d0.sum(0)}
 
 
+def policy_input_back(x: np.ndarray, w: dict, out: np.ndarray) -> np.ndarray:
+    """The gradient of sum(out * E.policy(x, w)) in x."""
+    h0 = E.relu(x @ w["w0"] + w["b0"])
+    h1 = E.relu(h0 @ w["w1"] + w["b1"])
+    d1 = (out[:, None] @ w["w2"].T) * (h1 > 0)
+    return ((d1 @ w["w1"].T) * (h0 > 0)) @ w["w0"].T
+
+
+def pair_features_back(left: np.ndarray, right: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gradients of sum(out * E.pair_features(left, right)) in left and right."""
+    a, b = (x.reshape(len(x), E.PAIRS, 2) for x in (left, right))
+    own_a, own_b, apart = (out[:, k * E.PAIRS : (k + 1) * E.PAIRS, None] for k in range(3))
+    turn = out[:, 3 * E.PAIRS : 5 * E.PAIRS].reshape(len(out), E.PAIRS, 2)
+    unit = lambda z: z / np.maximum(np.linalg.norm(z, axis=2, keepdims=True), 1e-12)
+    real, imag = turn[..., :1], turn[..., 1:]
+    swap = lambda z: np.concatenate([-z[..., 1:], z[..., :1]], axis=2)
+    away = apart * unit(a - b)
+    d_a = own_a * unit(a) + away + real * b + imag * swap(b)
+    d_b = own_b * unit(b) - away + real * a - imag * swap(a)
+    return d_a.reshape(left.shape), d_b.reshape(right.shape)
+
+
+def candidates_back(vectors: np.ndarray, clusters: list[tuple[int, int]], w: dict, out: np.ndarray) -> dict:
+    """The gradient of sum(out * E.candidates(vectors, clusters, w)) in w: through the merged vectors of the clusters."""
+    merged = np.array([vectors[i:j].sum(axis=0) for i, j in clusters])
+    emb = E.harmonic(merged, w)
+    d = np.zeros_like(emb)
+    left, right = pair_features_back(emb[:-1], emb[1:], out[:, : E.PAIR_FEATURES])
+    d[:-1] += left
+    d[1:] += right
+    return harmonic_back(merged, w, d)
+
+
 class Adam:
     """Steps of Adam with decoupled weight decay."""
 

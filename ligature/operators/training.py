@@ -12,12 +12,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import encoders as E
 from ..functions import gradients as G
 from . import kernels as K
+from .dealing import dealt
+from .matching import average_precision as ranked_precision
 from .trees import matrix
 
 
@@ -33,34 +35,96 @@ def summed(rows: DataFrame, work: Callable[[Iterator[pd.DataFrame]], tuple[float
     return (float(x[0]), float(x[1]), x[2:]) if len(x) else (0.0, 0.0, np.zeros(0))
 
 
+def metric_weights(seed: int) -> dict:
+    return E.harmonic_weights(seed) | {"raw_scale": np.asarray(0.0), "bias": np.asarray(0.0)}
+
+
+def metric_step(examples: DataFrame, seed: int, epoch: int, w: dict, adam: G.Adam) -> tuple[dict, float, float]:
+    """(new weights, loss, weight of the examples) of one step on all examples, each rolled by a hash of the example."""
+    shared = examples.sparkSession.sparkContext.broadcast(w)
+
+    def work(batches):
+        n, loss, g = 0.0, 0.0, np.zeros(sum(np.size(x) for x in shared.value.values()))
+        for f in batches:
+            if len(f):
+                shift = f["shift"].to_numpy()
+                at = (np.arange(12)[None, :] - shift[:, None]) % 12
+                left, right = (np.take_along_axis(np.array(f[c].tolist(), float), at, 1) for c in ("left", "right"))
+                one, d = G.pair_loss(left, right, f["label"].to_numpy(float), f["weight"].to_numpy(float), shared.value)
+                n, loss, g = n + float(f["weight"].sum()), loss + one, g + G.flat(d)
+        return n, loss, g
+
+    rows = examples.select("left", "right", "label", "weight", F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), "id"), F.lit(12)).cast("int").alias("shift"))
+    n, loss, g = summed(rows, work)
+    return (adam.step(w, G.shaped(g / n, w)) if n > 0 else w), loss, n
+
+
 def train_metric(examples: DataFrame, seed: int = 0, epochs: int = 20, rate: float = 1e-2, decay: float = 1e-4) -> tuple[dict, list[float]]:
-    """Weights of the harmonic pair model and the mean loss of each epoch.
+    """Weights of the harmonic pair model and the mean loss of each epoch, of one step on all examples.
 
     Examples are rows (id, left, right, label, weight); in each epoch both vectors are rolled by a hash of the example.
     """
-    w = E.harmonic_weights(seed) | {"raw_scale": np.asarray(0.0), "bias": np.asarray(0.0)}
-    adam, losses = G.Adam(rate, decay), []
+    w, adam, losses = metric_weights(seed), G.Adam(rate, decay), []
     for epoch in range(epochs):
-        shared = examples.sparkSession.sparkContext.broadcast(w)
-
-        def work(batches, shared=shared):
-            n, loss, g = 0.0, 0.0, np.zeros(sum(np.size(x) for x in shared.value.values()))
-            for f in batches:
-                if len(f):
-                    shift = f["shift"].to_numpy()
-                    at = (np.arange(12)[None, :] - shift[:, None]) % 12
-                    left, right = (np.take_along_axis(np.array(f[c].tolist(), float), at, 1) for c in ("left", "right"))
-                    one, d = G.pair_loss(left, right, f["label"].to_numpy(float), f["weight"].to_numpy(float), shared.value)
-                    n, loss, g = n + float(f["weight"].sum()), loss + one, g + G.flat(d)
-            return n, loss, g
-
-        rows = examples.select("left", "right", "label", "weight", F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), "id"), F.lit(12)).cast("int").alias("shift"))
-        n, loss, g = summed(rows, work)
+        w, loss, n = metric_step(examples, seed, epoch, w, adam)
         losses.append(loss / max(n, 1e-12))
-        w = adam.step(w, G.shaped(g / max(n, 1e-12), w))
     return w, losses
 
 
+def pair_logits(examples: DataFrame, w: dict) -> DataFrame:
+    """examples with `score`, the logit of a boundary between left and right."""
+    shared = examples.sparkSession.sparkContext.broadcast(w)
+
+    @F.pandas_udf("double")
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        now = shared.value
+        a, b = (E.harmonic(np.array(x.tolist(), float), now) for x in (left, right))
+        return pd.Series(np.logaddexp(0, now["raw_scale"]) * np.linalg.norm(a - b, axis=1) + now["bias"])
+
+    return examples.withColumn("score", run("left", "right"))
+
+
+def metric_validation(examples: DataFrame, w: dict) -> float:
+    """The mean over works of the average precision of the model's logits; examples: (id, work, left, right, label)."""
+    rows = pair_logits(examples, w).select("work", "score", (F.col("label") == 1).alias("positive"), F.col("id").alias("at"))
+    return float(ranked_precision(rows, "work").agg(F.avg("ap")).first()[0] or 0.0)
+
+
+def work_weights(examples: DataFrame) -> DataFrame:
+    """examples with `weight`: equal for all works together, with mean one."""
+    sizes = examples.groupBy("work").agg(F.count("*").alias("_n"))
+    whole = sizes.agg(F.sum("_n").alias("_all"), F.count("*").alias("_works"), F.lit(1).alias("_one"))
+    weights = sizes.withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one").select("work", (F.col("_all") / (F.col("_n") * F.col("_works"))).alias("weight"))
+    return examples.drop("weight").join(weights, "work")
+
+
+def fit_metric(examples: DataFrame, validation: DataFrame, seed: int = 0, epochs: int = 150, steps: int = 8, rate: float = 1e-3, decay: float = 1e-4, patience: int = 20) -> tuple[dict, list[tuple[int, float, float]]]:
+    """Weights of the best epoch by validation, and rows (epoch, mean loss, validation score).
+
+    Each epoch takes `steps` steps; a hash of (seed, epoch, id) deals each example to one of them, so batches don't
+    depend on partitions and each example counts once an epoch. Training stops after `patience` epochs without a better
+    score. Both tables are rows (id, work, left, right, label), read once for each step or epoch: keep them cached.
+    """
+    w, adam, history = metric_weights(seed), G.Adam(rate, decay), []
+    kept, best, stale = w, -np.inf, 0
+    rows = work_weights(examples)
+    for epoch in range(1, epochs + 1):
+        losses = []
+        for step in range(steps):
+            batch = rows.where(F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.lit("step"), "id"), F.lit(steps)) == step)
+            w, loss, n = metric_step(batch, seed, epoch, w, adam)
+            if n:
+                losses.append(loss / n)
+        score = metric_validation(validation, w)
+        history.append((epoch, float(np.mean(losses)) if losses else 0.0, score))
+        stale += 1
+        if score > best + 1e-8:
+            kept, best, stale = w, score, 0
+        if stale >= patience:
+            break
+    return kept, history
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max())
     return e / e.sum()
@@ -106,27 +170,110 @@ def average_precision(nodes: list[K.Node], edges: np.ndarray, marks: set[int]) -
 
 
 def reinforce(vectors: np.ndarray, edges: np.ndarray, marks: set[int], encoder: dict, policy: dict, rng: np.random.Generator, entropy: float) -> tuple[float, float, dict]:
-    """(reward, loss, gradient) of one sampled episode against the likeliest one."""
+    """(reward, loss, gradient in the policy) of one sampled episode against the likeliest one."""
+    reward, _, loss, g, _ = episode(vectors, edges, marks, encoder, policy, rng, entropy, joint=False)
+    return reward, loss, g
+
+
+def episode(vectors: np.ndarray, edges: np.ndarray, marks: set[int], encoder: dict, policy: dict, rng: np.random.Generator, entropy: float, joint: bool) -> tuple[float, float, float, dict, dict]:
+    """(reward, baseline, loss, gradient in the policy, gradient in the encoder) of one sampled episode.
+
+    The loss is the log probability of the merges times how far the reward falls short of the likeliest episode's, less
+    the mean entropy of the steps. If joint, it is followed through the merged vectors into the encoder too; else that
+    gradient is empty.
+    """
     base = average_precision(E.rollout(vectors, encoder, policy)[0], edges, marks)
     clusters, steps, nodes = [(i, i + 1) for i in range(len(vectors))], [], []
     while len(clusters) > 1:
         x = E.candidates(vectors, clusters, encoder)
         p = softmax(E.policy(x, policy))
         at = int(rng.choice(len(p), p=p))
-        steps.append((x, p, at))
+        steps.append((list(clusters), x, p, at))
         (i, k), (_, j) = clusters[at], clusters[at + 1]
         nodes.append((i, j, k))
         clusters[at : at + 2] = [(i, j)]
     reward = average_precision(nodes, edges, marks)
     g, loss = {k: np.zeros_like(v) for k, v in policy.items()}, 0.0
-    for x, p, at in steps:
+    deep = {k: np.zeros_like(v) for k, v in encoder.items()} if joint else {}
+    for then, x, p, at in steps:
         logs = np.log(np.maximum(p, 1e-12))
         own = -(p * logs).sum()
         loss += -(reward - base) * logs[at] - entropy * own / len(steps)
         out = (reward - base) * (p - (np.arange(len(p)) == at)) + entropy / len(steps) * p * (logs + own)
         d = G.policy_back(x, policy, out)
         g = {k: g[k] + d[k] for k in g}
-    return reward, loss, g
+        if joint:
+            d = G.candidates_back(vectors, then, encoder, G.policy_input_back(x, policy, out))
+            deep = {k: deep[k] + d[k] for k in deep}
+    return reward, base, loss, g, deep
+
+
+def policy_score(pieces: DataFrame, encoder: dict, policy: dict) -> float:
+    """The mean over works of the mean average precision of the likeliest episodes; pieces: (work, piece, leaves, marks)."""
+    shared = pieces.sparkSession.sparkContext.broadcast((encoder, policy))
+
+    def run(batches):
+        for f in batches:
+            rows = []
+            for work, items, marks in zip(f["work"], f["leaves"], f["marks"], strict=True):
+                nodes, _ = E.rollout(np.array([list(x["vec"]) for x in items]), *shared.value)
+                rows.append((work, average_precision(nodes, np.array([x["start"] for x in items] + [items[-1]["end"]]), set() if marks is None else {int(m) for m in marks})))
+            yield pd.DataFrame(rows, columns=["work", "ap"])
+
+    found = pieces.select("work", "leaves", "marks").mapInPandas(run, "work string, ap double")
+    return float(found.groupBy("work").agg(F.avg("ap").alias("ap")).agg(F.avg("ap")).first()[0] or 0.0)
+
+
+def train_jointly(pieces: DataFrame, validation: DataFrame, encoder: dict, policy: dict, joint: bool = True, seed: int = 0, epochs: int = 100, rate: float = 1e-3, encoder_rate: float = 1e-4, entropy: float = 0.01, every: int = 5, patience: int = 20) -> tuple[dict, dict, list[dict]]:
+    """(encoder, policy, history) after reinforcement of the policy alone, or of both.
+
+    Both tables are rows (work, piece, leaves, marks). Each epoch takes one piece of each work, by a hash of (seed, epoch,
+    work), and one step on their mean gradient, cut to a norm of 5 for each network. Every so many epochs and at the
+    end the likeliest episodes of the validation pieces are scored; the best scored weights are returned, and training
+    stops after `patience` epochs without a better score. History rows have epoch, loss, reward, baseline, validation.
+    """
+    order = Window.partitionBy("work").orderBy("piece")
+    numbered = pieces.select("work", "piece", "leaves", "marks", (F.row_number().over(order) - 1).alias("_k"), F.count("*").over(Window.partitionBy("work")).alias("_n"))
+    numbered = dealt(numbered, "piece").cache()
+    adams, history = (G.Adam(rate), G.Adam(encoder_rate)), []
+    kept, best, stale = (encoder, policy), -np.inf, 0
+    for epoch in range(1, epochs + 1):
+        shared = pieces.sparkSession.sparkContext.broadcast((encoder, policy))
+
+        def work(batches, shared=shared, epoch=epoch):
+            enc, pol = shared.value
+            sizes = [sum(np.size(x) for x in w.values()) for w in (pol, enc)]
+            n, loss, g = 0.0, 0.0, np.zeros(2 + sizes[0] + (sizes[1] if joint else 0))
+            for f in batches:
+                for piece, items, marks in zip(f["piece"], f["leaves"], f["marks"], strict=True):
+                    key = hashlib.sha256(f"{seed}|{epoch}|{piece}".encode()).digest()[:8]
+                    vectors, edges = np.array([list(x["vec"]) for x in items]), np.array([x["start"] for x in items] + [items[-1]["end"]])
+                    found = set() if marks is None else {int(m) for m in marks}
+                    reward, base, one, d, deep = episode(vectors, edges, found, enc, pol, np.random.default_rng(int.from_bytes(key, "little")), entropy, joint)
+                    n, loss = n + 1, loss + one
+                    g += np.concatenate([[reward, base], G.flat(d), *([G.flat(deep)] if joint else [])])
+            return n, loss, g
+
+        chosen = numbered.where(F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), "work"), F.col("_n")) == F.col("_k")).select("piece", "leaves", "marks")
+        n, loss, g = summed(chosen, work)
+        if not n:
+            break
+        size = sum(np.size(x) for x in policy.values())
+        mean = g[2:] / n
+        now = adams[0].step(policy, G.shaped(mean[:size], policy), most=5.0)
+        if joint:
+            encoder = adams[1].step(encoder, G.shaped(mean[size:], encoder), most=5.0)
+        policy, score = now, None
+        if epoch % every == 0 or epoch == epochs:
+            score = policy_score(validation, encoder, policy)
+            stale += every
+            if score > best + 1e-8:
+                kept, best, stale = (encoder, policy), score, 0
+        history.append({"epoch": epoch, "loss": loss / n, "reward": float(g[0] / n), "baseline": float(g[1] / n), "validation": score})
+        if stale >= patience:
+            break
+    numbered.unpersist()
+    return *kept, history
 
 
 def train_policy(pieces: DataFrame, encoder: dict, seed: int = 0, epochs: int = 10, rate: float = 1e-3, start: dict | None = None, entropy: float = 0.01) -> tuple[dict, list[float]]:

@@ -69,3 +69,90 @@ def test_scorer_learns(spark):
     got = L.scored(data, ["a", "b"], model).groupBy("y").agg(F.avg("score").alias("s"))
     means = {r["y"]: r["s"] for r in got.collect()}
     assert means[True] > means[False]
+
+
+def test_joint_gradients_reach_the_encoder():
+    """The sampled episode's gradient in both networks equals finite differences of its loss with the merges held."""
+    v, edges = RNG.random((6, 12)), np.arange(7.0)
+    enc, pol = E.harmonic_weights(4), E.policy_weights(5)
+
+    def held(e, p, merges, gain, entropy):
+        clusters, loss = [(i, i + 1) for i in range(6)], 0.0
+        for at in merges:
+            q = T.softmax(E.policy(E.candidates(v, clusters, e), p))
+            loss += -gain * np.log(q[at]) + entropy / len(merges) * (q * np.log(q)).sum()
+            clusters[at : at + 2] = [(clusters[at][0], clusters[at + 1][1])]
+        return loss
+
+    for seed in range(30):
+        reward, base, loss, g, deep = T.episode(v, edges, {2, 4}, enc, pol, np.random.default_rng(seed), 0.05, joint=True)
+        if abs(reward - base) > 0.01:
+            break
+    rng, clusters, merges = np.random.default_rng(seed), [(i, i + 1) for i in range(6)], []
+    while len(clusters) > 1:
+        q = T.softmax(E.policy(E.candidates(v, clusters, enc), pol))
+        merges.append(int(rng.choice(len(q), p=q)))
+        clusters[merges[-1] : merges[-1] + 2] = [(clusters[merges[-1]][0], clusters[merges[-1] + 1][1])]
+    assert held(enc, pol, merges, reward - base, 0.05) == pytest.approx(loss)
+    check(lambda w: held(enc, w, merges, reward - base, 0.05), g, pol, pol)
+    check(lambda w: held(w, pol, merges, reward - base, 0.05), deep, enc, enc)
+    assert T.episode(v, edges, {2}, enc, pol, np.random.default_rng(0), 0.05, joint=False)[4] == {}
+
+
+def test_pair_feature_gradients():
+    a, b, out = RNG.random((4, 16)), RNG.random((4, 16)), RNG.random((4, 40))
+    d_a, d_b = G.pair_features_back(a, b, out)
+    check(lambda w: (out * E.pair_features(w["a"], w["b"])).sum(), {"a": d_a, "b": d_b}, {"a": a, "b": b}, "ab")
+
+
+def piece_rows(spark, seed, works=3):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for p in range(2 * works):
+        first, second = rng.random(12) ** 6, rng.random(12) ** 6
+        vec = [((first if i < 3 else second) + 0.02 * rng.random(12)).tolist() for i in range(6)]
+        rows.append((f"w{p % works}", f"p{p}", [(i, float(i), float(i + 1), vec[i]) for i in range(6)], [3]))
+    return spark.createDataFrame(rows, "work string, piece string, leaves array<struct<leaf:int,start:double,end:double,vec:array<double>>>, marks array<int>")
+
+
+def test_joint_training_keeps_the_best_weights(spark):
+    train, held = piece_rows(spark, 1), piece_rows(spark, 2)
+    enc, pol = E.harmonic_weights(1), E.policy_weights(2)
+    frozen, only, history = T.train_jointly(train, held, enc, pol, joint=False, epochs=6, every=2, patience=100, rate=1e-2)
+    assert all((frozen[k] == enc[k]).all() for k in enc) and any((only[k] != pol[k]).any() for k in pol)
+    assert [h["validation"] is not None for h in history] == [False, True] * 3
+    both, policy, history = T.train_jointly(train, held, enc, pol, joint=True, epochs=6, every=1, patience=100, rate=1e-2, encoder_rate=1e-2)
+    best = max(h["validation"] for h in history)
+    assert T.policy_score(held, both, policy) == pytest.approx(best) and any((both[k] != enc[k]).any() for k in enc)
+    again = T.train_jointly(train.repartition(5), held, enc, pol, joint=True, epochs=6, every=1, patience=100, rate=1e-2, encoder_rate=1e-2)
+    assert [h["loss"] for h in again[2]] == pytest.approx([h["loss"] for h in history], abs=1e-6)
+    _, _, short = T.train_jointly(train, held.where("false"), enc, pol, epochs=20, every=1, patience=3)
+    assert len(short) == 4  # the first score is kept, and three more are not better
+    assert T.train_jointly(train.where("false"), held, enc, pol, epochs=3)[2] == []
+
+
+def test_metric_training_in_batches_stops_early(spark):
+    """Labels of the training pairs are noise that can only be learned by heart, so the held-out score doesn't last."""
+    rng = np.random.default_rng(8)
+
+    def rows(n, start, honest):
+        out = []
+        for k in range(n):
+            x = rng.random(12)
+            label = k % 2
+            y = (rng.random(12) ** 4 if label else x + 0.01 * rng.random(12)) if honest else rng.random(12)
+            out.append((start + k, f"w{k % 3}", x.tolist(), y.tolist(), float(label)))
+        return spark.createDataFrame(out, "id int, work string, left array<double>, right array<double>, label double")
+
+    noise, good, held = rows(24, 0, False).cache(), rows(60, 100, True).cache(), rows(30, 200, True).cache()
+    w, history = T.fit_metric(good, held, epochs=4, steps=3, rate=1e-2, patience=5)
+    scores = [s for _, _, s in history]
+    assert len(history) == 4 and T.metric_validation(held, w) == pytest.approx(max(scores)) and max(scores) > 0.9
+    _, other = T.fit_metric(good.repartition(5), held, epochs=4, steps=3, rate=1e-2, patience=5)
+    assert [x for _, x, _ in other] == pytest.approx([x for _, x, _ in history], abs=1e-6)
+    w, history = T.fit_metric(noise, held, epochs=30, steps=2, rate=3e-2, patience=2)
+    scores = [s for _, _, s in history]
+    assert len(history) < 30 and scores.index(max(scores)) == len(scores) - 3
+    assert T.metric_validation(held, w) == pytest.approx(max(scores))
+    means = {r["work"]: r["m"] for r in T.work_weights(good).groupBy("work").agg(F.sum("weight").alias("m")).collect()}
+    assert list(means.values()) == pytest.approx([20.0] * 3)
