@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def fraction(text: Column) -> Column:
-    """A number written plainly or as a/b."""
+    """A number written plainly or as a/b; null where it can't be read."""
     parts = F.split(text, "/")
-    return F.when(text.contains("/"), parts[0].cast("double") / F.try_element_at(parts, F.lit(2)).cast("double")).otherwise(text.try_cast("double"))
+    return F.when(text.contains("/"), F.try_divide(F.get(parts, 0).try_cast("double"), F.get(parts, 1).try_cast("double"))).otherwise(text.try_cast("double"))
 
 
 def work_of(piece: Column) -> Column:

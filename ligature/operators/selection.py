@@ -58,6 +58,20 @@ def blocked_split(works: list[str], parts: tuple[int, ...], seed: int) -> list[l
     return [named[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def split_works(works: DataFrame, parts: dict[str, int], seed: int = 0) -> DataFrame:
+    """(work, part): distinct works in the order of a hash, the first so many for each part; what is left over goes to the last.
+
+    The order is one window over the works, which are names and few; rows aren't in it.
+    """
+    key = F.sha2(F.concat_ws("|", F.lit(str(seed)), "work"), 256)
+    numbered = works.select("work").distinct().withColumn("_r", F.row_number().over(Window.orderBy(key, "work")))
+    names, upto = list(parts), np.cumsum(list(parts.values())).tolist()
+    part = F.lit(names[-1])
+    for name, most in reversed(list(zip(names[:-1], upto, strict=False))):
+        part = F.when(F.col("_r") <= most, F.lit(name)).otherwise(part)
+    return numbered.select("work", part.alias("part"))
+
+
 def folds(rows: DataFrame, work: str, n: int, seed: int = 0) -> DataFrame:
     """rows with `fold`: works in the order of a hash are dealt to n folds, each work to one."""
     works = rows.select(work).distinct().withColumn("_h", F.xxhash64(F.lit(seed), F.col(work)))

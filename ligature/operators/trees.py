@@ -344,21 +344,101 @@ def flat_tree(segments: DataFrame) -> DataFrame:
     return top.unionByName(below)
 
 
-def tree_pairs(a: DataFrame, b: DataFrame | None = None, dataset: str = "dataset") -> DataFrame:
+#: Trees of a dataset are dealt to blocks of about so many; a task compares two blocks.
+PAIR_BLOCK = 32
+PAIRS = "piece_a string, piece_b string, ted long, nodes_a long, nodes_b long, by_max double, by_sum double"
+
+
+def pair_blocks(a: DataFrame, b: DataFrame | None = None, dataset: str = "dataset", block: int = PAIR_BLOCK) -> DataFrame:
+    """(dataset, i, j, trees): packed trees of block i of a and block j of b (or a, for i <= j), each with its side.
+
+    A tree goes to as many rows as the other side has blocks, and a row holds about two blocks, however large a dataset.
+    """
+
+    def dealt_trees(df: DataFrame) -> DataFrame:
+        trees = df.groupBy(dataset, "piece").agg(F.array_sort(F.collect_list(F.struct("node", "depth", "label"))).alias("tree"))
+        sizes = trees.groupBy(dataset).agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+        return trees.join(sizes, dataset).withColumn("own", F.pmod(F.xxhash64("piece"), F.col("n")).cast("int"))
+
+    one = dealt_trees(a)
+    if b is None:
+        rows = one.select(dataset, "piece", "tree", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+        rows = rows.select(dataset, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "piece", "tree")
+    else:
+        two = dealt_trees(b)
+        n = lambda df: df.select(dataset, F.col("n").alias("m")).distinct()
+        spread = lambda x, y, own, other, side: x.join(n(y), dataset).select(dataset, F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias(other), F.col("own").alias(own), F.lit(side).alias("side"), "piece", "tree").select(dataset, "i", "j", "side", "piece", "tree")
+        rows = spread(one, two, "i", "j", 0).unionByName(spread(two, one, "j", "i", 1))
+    return dealt(rows, dataset, "i", "j").groupBy(dataset, "i", "j").agg(F.array_sort(F.collect_list(F.struct("side", "piece", "tree"))).alias("trees"))
+
+
+def tree_pairs(a: DataFrame, b: DataFrame | None = None, dataset: str = "dataset", block: int = PAIR_BLOCK) -> DataFrame:
     """(dataset, piece_a, piece_b, ted, nodes_a, nodes_b, by_max, by_sum) of all pairs of trees in each dataset.
 
     Rows are (dataset, piece, node, depth, label). With b, each tree of a meets each of b with the same dataset; without,
-    each unordered pair of a's trees comes once. The result is quadratic in the trees of a dataset, as asked for, and
-    pairs are dealt over tasks by both pieces, so that a large dataset is no single task's.
+    each unordered pair of a's trees comes once. The result is quadratic in the trees of a dataset, as asked for; blocks
+    of trees meet blocks of trees, so a task's work is bounded by the square of a block, not of a dataset.
     """
-    whole = lambda df, p, c: df.groupBy(dataset, F.col("piece").alias(p)).agg(F.array_sort(F.collect_list(F.struct("node", "depth", "label"))).alias(c))
-    pairs = whole(a, "piece_a", "a").join(whole(a if b is None else b, "piece_b", "b"), dataset)
-    if b is None:
-        pairs = pairs.where("piece_a < piece_b")
-    named = pairs.select(F.struct(F.col(dataset).alias("dataset"), "piece_a", "piece_b").alias("key"), "a", "b").repartition("key")
-    found = packed_distances(named.select(F.to_json("key").alias("piece"), "a", "b"))
-    key = F.from_json("piece", "dataset string, piece_a string, piece_b string")
-    return found.select(key["dataset"].alias(dataset), key["piece_a"].alias("piece_a"), key["piece_b"].alias("piece_b"), "ted", "nodes_a", "nodes_b", "by_max", "by_sum")
+
+    alone = b is None
+
+    def run(batches):
+        for f in batches:
+            for name, i, j, trees in zip(f["dataset"], f["i"], f["j"], f["trees"], strict=True):
+                known = [(t["side"], t["piece"], postorder([(r["depth"], r["node"], r["label"]) for r in t["tree"]])) for t in trees]
+                left = [x for x in known if x[0] == 0]
+                right = left if alone and i == j else [x for x in known if x[0] == 1]
+                rows = []
+                for _, p, x in left:
+                    for _, q, y in right:
+                        if alone and i == j and p >= q:
+                            continue
+                        u, v, s, t = (q, p, y, x) if alone and p > q else (p, q, x, y)
+                        d = K.edit_distance(s, t)
+                        rows.append((name, u, v, d, len(s), len(t), d / max(1, len(s), len(t)), d / max(1, len(s) + len(t))))
+                yield pd.DataFrame(rows, columns=["dataset", *(c.split()[0] for c in PAIRS.split(", "))])
+
+    found = pair_blocks(a, b, dataset, block).select(F.col(dataset).cast("string").alias("dataset"), "i", "j", "trees").mapInPandas(run, f"dataset string, {PAIRS}")
+    return found.withColumnRenamed("dataset", dataset)
+
+
+BUNDLE = "piece string, raw_ted long, pruned_ted long, raw_by_max double, pruned_by_max double, raw_by_sum double, pruned_by_sum double, nodes long, reference_nodes long, pruned_nodes long, pruned_leaves long, segments long, depth int, centres int, widths int"
+
+
+def edit_bundles(nodes: DataFrame, segments: DataFrame, totals: DataFrame, centres: int = 20, widths: int = 10) -> DataFrame:
+    """Edit distances of each piece's tree, whole and pruned, to the flat tree of its segments, with all sizes, in one call.
+
+    nodes: a node table, segments: (piece, seg, start, end), totals: (piece, total). The tree is pruned at the depth whose
+    leaves are nearest in number to the segments, the shallower on ties. Labels are buckets of centre and width.
+    Pieces without segments are left out.
+    """
+    tree = dealt(nodes.where("node is not null"), "piece").groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("node", "depth", "start", "end", F.col("split").isNull().alias("leaf")))).alias("nodes"))
+    flat = dealt(segments, "piece").groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("seg", "start", "end"))).alias("segs"))
+    rows = tree.join(flat, "piece").join(totals.select("piece", "total"), "piece")
+
+    def run(batches):
+        for f in batches:
+            out = []
+            for piece, some, segs, total in zip(f["piece"], f["nodes"], f["segs"], f["total"], strict=True):
+
+                def labelled(items, total=total):
+                    bucket = lambda x, n: max(0, min(n - 1, int(np.floor(x * n / total)))) if total else 0
+                    return postorder([(d, 0, f"c{bucket((s + e) / 2, centres)}w{bucket(e - s, widths)}") for d, s, e in items])
+
+                target = len(segs)
+                deepest = max(x["depth"] for x in some)
+                size = [sum(x["depth"] == d or (x["leaf"] and x["depth"] < d) for x in some) for d in range(deepest + 1)]
+                depth = min(range(deepest + 1), key=lambda d: (abs(size[d] - target), d))
+                whole = labelled([(x["depth"], x["start"], x["end"]) for x in some])
+                short = labelled([(x["depth"], x["start"], x["end"]) for x in some if x["depth"] <= depth])
+                ref = labelled([(0, min(x["start"] for x in segs), max(x["end"] for x in segs)), *((1, x["start"], x["end"]) for x in segs)])
+                raw, cut = K.edit_distance(whole, ref), K.edit_distance(short, ref)
+                most = lambda d, t: d / max(1, len(t), len(ref))  # noqa: E731,B023
+                both = lambda d, t: d / max(1, len(t) + len(ref))  # noqa: E731,B023
+                out.append((piece, raw, cut, most(raw, whole), most(cut, short), both(raw, whole), both(cut, short), len(whole), len(ref), len(short), size[depth], target, depth, centres, widths))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in BUNDLE.split(", ")])
+
+    return rows.select("piece", "nodes", "segs", "total").mapInPandas(run, BUNDLE)
 
 
 def edit_distances(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from ..operators import affinity as A
 from ..operators import annotations as N
 from ..operators import binning as B
 from ..operators import diagonal as D
+from ..operators import examples as Y
 from ..operators import grids as H
 from ..operators import joins as J
 from ..operators import learned as L
@@ -28,6 +29,7 @@ from ..operators import training as G
 from ..operators import trees as R
 from ..operators import views
 from ..shipping import ship
+from ..sources import forms
 from ..sources.tables import parsed_labels
 from . import sql as Q
 
@@ -458,7 +460,7 @@ def own_metric(spark, d):
 def tree_pairs(spark, d):
     """Mean edit distance, over both sizes, of all pairs of trees in each work, and between a work and the next."""
     work = views.notes(spark, d).select("piece", "work").distinct()
-    rows = labelled(spark, d, "affinity").join(work, "piece").withColumnRenamed("work", "dataset").cache()
+    rows = labelled(spark, d, "affinity").join(work, "piece").withColumnRenamed("work", "dataset")
     number = F.substring("dataset", 2, 9).cast("int")
     after = rows.withColumn("dataset", F.concat(F.lit("w"), (F.pmod(number - 1, F.lit(16))).cast("string")))
     found = R.tree_pairs(rows).withColumn("kind", F.lit("within")).unionByName(R.tree_pairs(rows, after).withColumn("kind", F.lit("next")))
@@ -471,6 +473,26 @@ def labelled(spark, d, method):
     return nodes.select("piece", "node", "depth", S.label_bucket((F.col("start") + F.col("end")) / 2, F.col("end") - F.col("start"), F.col("total"), 20, 10).alias("label"))
 
 
+@query("node_labels", f"WITH RECURSIVE {Q.balanced()}, x AS (SELECT piece, first, last, depth, s, e, max(e) OVER (PARTITION BY piece) t FROM nodes), tot AS (SELECT piece, max(onset+dur) total FROM notes GROUP BY 1) SELECT x.piece, first, last, depth::int AS depth, 'c'||greatest(0, least(19, floor((s+e)/2*20/total)::int))||'w'||greatest(0, least(9, floor((e-s)*10/total)::int)) AS label FROM x JOIN tot USING(piece)")
+def node_labels(spark, d):
+    """Balanced trees with the labels that edit distances compare."""
+    return labelled(spark, d, "balanced").join(balanced(spark, d).select("piece", "node", "first", "last"), ["piece", "node"]).select("piece", "first", "last", "depth", "label")
+
+
+@query("ted_bundle")
+def ted_bundle(spark, d):
+    n = views.notes(spark, d)
+    found = R.edit_bundles(R.trees(leaves(spark, d), "affinity"), segments(spark, d), B.totals(n))
+    return found.select(*(r6(c) if "_by_" in c else c for c in found.columns))
+
+
+@query("ted_bundle_sizes", f"""WITH RECURSIVE {Q.balanced()}, {_ISLANDS.replace(Q.NOTES + ', ', '')}, want AS (SELECT piece, count(*) c FROM segs GROUP BY 1), sized AS (SELECT x.piece, d, count(*) FILTER (WHERE q.depth=d OR q.split IS NULL) k, count(*) nodes FROM (SELECT piece, max(depth) m FROM nodes GROUP BY 1) x JOIN range(40) r(d) ON d<=m JOIN nodes q ON q.piece=x.piece AND q.depth<=d GROUP BY 1,2)
+ SELECT z.piece, d::int AS depth, k AS pruned_leaves, nodes AS pruned_nodes, c AS segments, c+1 AS reference_nodes, (SELECT count(*) FROM nodes q WHERE q.piece=z.piece) AS nodes FROM sized z JOIN want USING(piece) QUALIFY row_number() OVER (PARTITION BY z.piece ORDER BY abs(k-c), d)=1""")
+def ted_bundle_sizes(spark, d):
+    """The sizes of the bundle alone, of balanced trees."""
+    return R.edit_bundles(balanced(spark, d), segments(spark, d), B.totals(views.notes(spark, d))).select("piece", "depth", "pruned_leaves", "pruned_nodes", "segments", "reference_nodes", "nodes")
+
+
 @query("ted")
 def ted(spark, d):
     return R.edit_distances(labelled(spark, d, "greedy"), labelled(spark, d, "affinity")).select("piece", "ted", "nodes_a", "nodes_b", r6("by_max"), r6("by_sum"))
@@ -653,7 +675,81 @@ def label_objects(spark, d):
     return parsed_labels(texts).groupBy("piece", "kind").agg(F.count("*").alias("n"), r6(F.sum("duration"), "duration"))
 
 
-# Annotations by measure and level; a measure is a day of the events
+# Readers, on texts that Spark writes from the given tables; a measure is a day of the events
+
+
+def form_texts(spark, d):
+    """Each user's form table: the first event type of a day at level 1, that of events over 100 s at level 2, and the first three days copied to days 101 to 103."""
+    n = views.notes(spark, d).select("piece", (F.floor(F.col("onset") / 24) + 1).cast("int").alias("m"), "event_id", "event_type", "value")
+    days = n.groupBy("piece", "m").agg(F.min_by("event_type", "event_id").alias("one"), F.min_by("event_type", F.when(F.col("value") > 100, F.col("event_id"))).alias("two"), F.count("*").alias("n"))
+    line = F.concat_ws(",", F.col("m").cast("string"), F.col("n").cast("string"), "one", F.coalesce("two", F.lit("")))
+    table = days.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("m", line.alias("line")))).alias("rows"))
+    lines = F.concat(F.array(F.lit("measure,beat,level 1,level 2")), F.col("rows.line"), F.array(F.lit("101-103=1-3,,,"), F.lit("Repeat: 1-104,,,")))
+    return table.select("piece", F.array_join(lines, "\n").alias("value"))
+
+
+_FORMS = f"""{Q.NOTES}, days AS (SELECT piece, (floor(onset/24)+1)::int m, arg_min(event_type, event_id) one, arg_min(event_type, event_id) FILTER (WHERE value>100) two, count(*) n FROM notes GROUP BY 1,2),
+ told AS (SELECT piece, m, n::varchar beat, 1 AS level, one AS label FROM days UNION ALL SELECT piece, m, n::varchar, 2, two FROM days WHERE two IS NOT NULL),
+ placed AS (SELECT piece, m AS measure, beat, level, label, 'explicit' AS provenance, NULL::int AS source_measure FROM told UNION ALL SELECT piece, m+100, beat, level, label, 'copy', m FROM told WHERE m<=3)"""
+
+
+@query("form_events", f"WITH {_FORMS} SELECT *, 104 AS last_measure FROM placed")
+def form_events(spark, d):
+    return forms.read_forms(form_texts(spark, d)).where("issue is null").drop("issue")
+
+
+@query("form_trees", f"""WITH {_FORMS}, o AS (SELECT *, row_number() OVER w node, lead(measure) OVER w after, max(CASE WHEN level=1 THEN measure END) OVER w up FROM placed WINDOW w AS (PARTITION BY piece ORDER BY measure, level)),
+ k AS (SELECT *, CASE WHEN level=1 THEN lead(measure) OVER (PARTITION BY piece, level ORDER BY measure) ELSE after END stop FROM o)
+ SELECT piece, 0 AS node, NULL::int AS parent, 0 AS level, 'ROOT' AS label, 1 AS "start", 104 AS "end" FROM placed GROUP BY 1 UNION ALL
+ SELECT k.piece, k.node::int, CASE WHEN k.level=1 THEN 0 ELSE coalesce(p.node, 0) END::int, k.level, k.label, k.measure, CASE WHEN k.stop IS NULL THEN 104 ELSE greatest(k.measure, k.stop-1) END FROM k LEFT JOIN k p ON p.piece=k.piece AND p.level=1 AND p.measure=k.up AND k.level=2""")
+def form_trees(spark, d):
+    return forms.form_trees(forms.read_forms(form_texts(spark, d)))
+
+
+@query("form_issues", "SELECT doc_id::varchar AS piece, count(*) AS issues FROM (SELECT doc_id, unnest(string_split(source||'-'||coalesce(lang,'x'), '-')) t FROM documents) WHERE NOT regexp_full_match(trim(t), '[0-9]+[A-Za-z]?') GROUP BY 1")
+def form_issues(spark, d):
+    """Names of sources and languages taken for measures: each that isn't one is an issue, and nothing else fails."""
+    parts = F.split(F.concat(F.col("source"), F.lit("-"), F.coalesce("lang", F.lit("x"))), "-")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("piece"), F.concat(F.lit("1,,A\n"), F.array_join(F.transform(parts, lambda t: F.concat(t, F.lit(",,B"))), "\n")).alias("value"))
+    return forms.read_forms(docs).where("issue is not null").groupBy("piece").agg(F.count("*").alias("issues"))
+
+
+@query("bracket_nodes", """WITH f AS (SELECT *, CASE WHEN row_number() OVER w=1 OR lag(role) OVER w<>role THEN 1 ELSE 0 END new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+ g AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) seg FROM f), s AS (SELECT conv_id::varchar AS piece, seg, any_value(role) AS role FROM g GROUP BY 1,2),
+ t AS (SELECT conv_id::varchar AS piece, turn, seg, row_number() OVER (PARTITION BY conv_id ORDER BY turn) n FROM g), h AS (SELECT piece, seg, (seg+min(n)-1)::int node FROM t GROUP BY 1,2)
+ SELECT DISTINCT piece, 0 AS node, NULL::int AS parent, 0 AS level, 'talk' AS label FROM s UNION ALL SELECT s.piece, node, 0, 1, role FROM s JOIN h USING(piece, seg) UNION ALL SELECT t.piece, (t.seg+n)::int, node, 2, 'turn'||turn FROM t JOIN h USING(piece, seg)""")
+def bracket_nodes(spark, d):
+    """Conversations written as bracketed trees of roles and turns, and read again."""
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").cast("string").alias("piece"), "turn", "role")
+    order = Window.partitionBy("piece").orderBy("turn")
+    new = ~F.lag("role").over(order).eqNullSafe(F.col("role"))
+    opened = F.when(F.lag("role").over(order).isNull(), F.concat(F.lit("["), "role")).when(new, F.concat(F.lit("] ["), "role")).otherwise(F.lit(""))
+    words = rows.withColumn("w", F.concat(opened, F.lit(" turn"), F.col("turn").cast("string")))
+    texts = words.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("turn", "w"))).alias("x"))
+    return forms.read_brackets(texts.select("piece", F.concat(F.lit("[talk "), F.array_join("x.w", ""), F.lit("]]")).alias("value")))
+
+
+@query("quarter_beats", f"WITH {Q.NOTES}, o AS (SELECT (floor(onset/24)+1)::int m, min(onset) off FROM notes WHERE value<200 GROUP BY 1) SELECT n.event_id, round(greatest(0, off + CASE WHEN event_id%7=0 THEN 0 WHEN event_id%5>0 THEN (event_id%5-1)*2.0 ELSE 0 END),6)+0.0 t FROM notes n LEFT JOIN o ON o.m=(floor(onset/24)+1)::int")
+def quarter_beats(spark, d):
+    """Events at a beat of their day, blank for each seventh; a day starts at its first event."""
+    n = views.notes(spark, d).withColumn("measure", (F.floor(F.col("onset") / 24) + 1).cast("int"))
+    rows = n.select("event_id", "measure", F.when(F.col("event_id") % 7 == 0, "").otherwise((F.col("event_id") % 5).cast("string")).alias("beat"))
+    return J.quarter_beats(rows, n.where("value < 200").select("measure", F.col("onset").alias("offset")), 2.0).select("event_id", r6("t"))
+
+
+@query("fractions", "SELECT l_orderkey, l_linenumber, round(l_orderkey/l_linenumber,6) AS written, round(l_quantity::double,6) AS plain, NULL::double AS unreadable FROM lineitem")
+def fractions(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    text = F.concat(F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"))
+    return rows.select("l_orderkey", "l_linenumber", r6(S.fraction(text), "written"), r6(S.fraction(F.col("l_quantity").cast("string")), "plain"), S.fraction(F.lit("n/a")).alias("unreadable"))
+
+
+@query("split_works", f"WITH {Q.NOTES}, w AS (SELECT work, row_number() OVER (ORDER BY sha256('7|'||work), work) r FROM (SELECT DISTINCT work FROM notes)) SELECT work, CASE WHEN r<=10 THEN 'train' WHEN r<=13 THEN 'validation' ELSE 'test' END AS part FROM w")
+def split_works(spark, d):
+    return C.split_works(views.notes(spark, d), {"train": 10, "validation": 3, "test": 3}, 7)
+
+
+# Annotations by measure and level
 
 
 def measured(spark, d):
@@ -814,6 +910,67 @@ def evaluation_rows(spark, d):
 # Learned parts
 
 
+_PAIRED = f"""{_ISLANDS}, {Q.leaves().replace(Q.NOTES + ', ', '')}, marks AS (SELECT DISTINCT piece, s t FROM segs WHERE seg>0), near AS (SELECT m.piece, t, l.leaf split, row_number() OVER (PARTITION BY m.piece, t ORDER BY abs(start_qb-t), start_qb) r FROM marks m JOIN leaves l ON l.piece=m.piece AND leaf>0), pos AS (SELECT DISTINCT piece, split FROM near WHERE r=1),
+ ends AS (SELECT piece, max(leaf)+1 n FROM leaves GROUP BY 1), places AS (SELECT piece, leaf split, c FROM leaves JOIN ends USING(piece) CROSS JOIN (VALUES (1),(2),(4)) v(c) WHERE leaf>=c AND leaf+c<=n),
+ sides AS (SELECT a.piece, a.split, c, pc, sum(v) FILTER (WHERE leaf<a.split) l, sum(v) FILTER (WHERE leaf>=a.split) r FROM places a JOIN dense d ON d.piece=a.piece AND leaf>=a.split-c AND leaf<a.split+c GROUP BY 1,2,3,4)"""
+
+
+@query("interval_pairs", f"WITH {_PAIRED} SELECT s.piece, s.split::int AS split, c AS context, pc, round(l,6)+0.0 AS left_sum, round(r,6)+0.0 AS right_sum, (p.split IS NOT NULL)::int AS label FROM sides s LEFT JOIN pos p ON p.piece=s.piece AND p.split=s.split")
+def interval_pairs(spark, d):
+    rows = Y.interval_pairs(leaves(spark, d), reference(spark, d), (1, 2, 4))
+    each = rows.select("piece", "split", "context", "label", F.posexplode(F.arrays_zip("left", "right")).alias("pc", "x"))
+    return each.select("piece", "split", "context", "pc", r6("x.left", "left_sum"), r6("x.right", "right_sum"), "label")
+
+
+@query("interval_pair_counts", f"WITH {_PAIRED}, x AS (SELECT DISTINCT s.piece, s.split, c, p.split IS NOT NULL h FROM sides s LEFT JOIN pos p ON p.piece=s.piece AND p.split=s.split), w AS (SELECT work, count(*) FILTER (WHERE h) a, count(*) FILTER (WHERE NOT h) b FROM x JOIN (SELECT DISTINCT piece, work FROM notes) USING(piece) GROUP BY 1) SELECT work, v.label, least(a,b) n FROM w CROSS JOIN (VALUES (0),(1)) v(label) WHERE least(a,b)>0")
+def interval_pair_counts(spark, d):
+    """How many pairs of either label the balanced sample takes of each work."""
+    rows = Y.training_pairs(leaves(spark, d), reference(spark, d), views.notes(spark, d), (1, 2, 4))
+    return rows.groupBy("work", "label").agg(F.count("*").alias("n"))
+
+
+@query("projected_pairs")
+def projected_pairs(spark, d):
+    """Labels by projection: pairs of a balanced sample with their distance."""
+    rows = Y.training_pairs(leaves(spark, d), reference(spark, d), views.notes(spark, d), labels="projected", seed=3)
+    return rows.select("work", "id", "label", r6(V.distance("euclidean", F.col("left"), F.col("right")), "dist"))
+
+
+@query("boundary_logit", f"WITH {Q.leaves()} SELECT a.piece, b.leaf AS split, round(1/(1+exp(-(ln(1+exp(0.3::double))*sqrt(sum((a.u-b.u)*(a.u-b.u)))-0.2::double))),6) AS probability FROM unit a JOIN unit b ON a.piece=b.piece AND a.leaf+1=b.leaf AND a.pc=b.pc GROUP BY 1,2")
+def boundary_logit(spark, d):
+    near = A.adjacent(leaves(spark, d), lambda a, b: V.distance("euclidean", a, b))
+    return near.select("piece", "split", r6(V.sigmoid(L.boundary_logit(F.col("dist"), 0.3, -0.2)), "probability"))
+
+
+@query("plain_embedding")
+def plain_embedding(spark, d):
+    """Distances of neighbouring leaves by a seeded plain encoder."""
+    return A.adjacent(L.embedded(leaves(spark, d), "plain", E.plain_weights(7)), V.l2).select("piece", "split", r6("dist"))
+
+
+@query("metric_in_batches")
+def metric_in_batches(spark, d):
+    """Scores of the validation works' pairs by a metric trained in batches on the training works', with patience."""
+    work = views.notes(spark, d).select("piece", "work").distinct()
+    part = C.split_works(work, {"train": 12, "validation": 4}, 7)
+    rows = Y.training_pairs(leaves(spark, d), reference(spark, d), work, (1, 2)).join(part, "work").cache()
+    train, held = (rows.where(F.col("part") == k) for k in ("train", "validation"))
+    weights, _ = G.fit_metric(train, held, epochs=3, steps=2, rate=1e-2, patience=2)
+    return G.pair_logits(held, weights).select("work", "id", "label", F.round("score", 3).alias("score"))
+
+
+@query("joint_training")
+def joint_training(spark, d):
+    """Trees of the validation works by an encoder and a policy trained jointly on the others."""
+    work = views.notes(spark, d).select("piece", "work").distinct()
+    part = C.split_works(work, {"train": 12, "validation": 4}, 7)
+    rows = taught(spark, d).join(work, "piece").join(part, "work").cache()
+    train, held = (rows.where(F.col("part") == k) for k in ("train", "validation"))
+    encoder, policy, _ = G.train_jointly(train, held, E.harmonic_weights(7), E.policy_weights(8), epochs=2, every=1)
+    names = held.select("piece")
+    return R.counts(L.policy_trees(leaves(spark, d).join(names, "piece"), encoder, policy))
+
+
 @query("harmonic_embedding")
 def harmonic_embedding(spark, d):
     """Neighbouring leaves' distances of a seeded harmonic encoder, as they are and with both leaves rolled by 5."""

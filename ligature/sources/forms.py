@@ -8,6 +8,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,40 +21,60 @@ REPEAT = re.compile(r"\s*Repeat:\s*(\d+)(?:-(\d+))?\s*", re.I)
 EVENTS = "piece string, measure int, beat string, level int, label string, provenance string, source_measure int, last_measure int, issue string"
 
 
-def form_events(piece: str, text: str) -> list[tuple]:
-    """Events by measure and level; a copied range fills only free places. Tokens that don't parse become issues."""
-    table = [[c.strip() for c in row] for row in csv.reader(io.StringIO(text)) if row]
-    if table and not any(p.fullmatch(table[0][0]) for p in (PLAIN, COPY, REPEAT)):
-        table = table[1:]
-    placed: dict[tuple[int, int], tuple] = {}
-    issues, last = [], 0
-    for number, (token, *rest) in enumerate(table, 1):
-        if m := REPEAT.fullmatch(token):
-            last = max(last, int(m[2] or m[1]))
-        elif m := COPY.fullmatch(token):
-            to, start = int(m[1]), int(m[3])
-            to_end, end = int(m[2] or to), int(m[4] or start)
-            if to_end - to != end - start or start >= to:
-                issues.append(f"row {number}: {'unequal ranges' if to_end - to != end - start else 'source is not earlier'}")
-                continue
-            for (at, level), (beat, label, *_) in sorted(placed.items()):
-                if start <= at <= end:
-                    placed.setdefault((to + at - start, level), (beat, label, "copy", at))
-            last = max(last, to_end)
-            explicit(placed, to, rest)
-        elif m := PLAIN.fullmatch(token):
-            last = max(last, int(m[1]))
-            explicit(placed, int(m[1]), rest)
-        else:
-            issues.append(f"row {number}: unsupported measure {token!r}")
-    rows = [(piece, at, beat, level, label, how, source, last, None) for (at, level), (beat, label, how, source) in sorted(placed.items())]
-    return rows + [(piece, None, None, None, None, None, None, last, i) for i in issues]
+@dataclass(frozen=True)
+class Line:
+    """A line of a form table: what its token says, the measures [to, end] it is about, and its cells."""
+
+    number: int
+    kind: str
+    to: int = 0
+    end: int = 0
+    source: tuple[int, int] | None = None
+    cells: tuple[str, ...] = ()
+    issue: str | None = None
+
+    @property
+    def labels(self) -> dict[int, str]:
+        """The labels by level; blank ones are none."""
+        return {level: c for level, c in enumerate(self.cells[1:], 1) if c and c.lower() != "nan"}
 
 
-def explicit(placed: dict, measure: int, cells: list[str]) -> None:
-    for level, label in enumerate(cells[1:], 1):
-        if label and label.lower() != "nan":
-            placed[measure, level] = (cells[0], label, "explicit", None)
+def line_of(number: int, cells: list[str]) -> Line:
+    token, rest = cells[0], tuple(cells[1:])
+    for kind, pattern in (("plain", PLAIN), ("copy", COPY), ("repeat", REPEAT)):
+        if m := pattern.fullmatch(token):
+            first, last, *source = (int(x) if x else None for x in (*m.groups(), None)[: 4 if kind == "copy" else 2])
+            end = last or first
+            if kind != "copy":
+                return Line(number, kind, first, end, cells=rest)
+            begin, stop = source[0], source[1] or source[0]
+            fault = "the ranges differ in length" if stop - begin != end - first else "it copies from itself or later" if begin >= first else None
+            return Line(number, kind, first, end, (begin, stop), rest, fault and f"line {number}: {fault}")
+    return Line(number, "unknown", issue=f"line {number}: {token!r} names no measure")
+
+
+def form_events(piece: str, text: str) -> list[tuple]:
+    """Events by measure and level; a copied range fills only free places. Tokens that don't parse become issues.
+
+    Lines are parsed first; then each adds a layer to the levels of its measures. Of a copied layer the levels that a
+    measure has stay as they are, a line's own labels replace them.
+    """
+    lines = [line_of(k, row) for k, row in enumerate(([c.strip() for c in row] for row in csv.reader(io.StringIO(text)) if row), 1)]
+    if lines and lines[0].kind == "unknown":  # a header
+        lines = [replace(x, number=x.number - 1, issue=x.issue and x.issue.replace(f"line {x.number}:", f"line {x.number - 1}:")) for x in lines[1:]]
+    measures: dict[int, dict[int, tuple]] = {}
+    good = [x for x in lines if not x.issue]
+    for x in good:
+        if x.source:
+            layers = {x.to + m - x.source[0]: {level: (beat, label, "copy", m) for level, (beat, label, *_) in measures[m].items()} for m in range(x.source[0], x.source[1] + 1) if m in measures}
+            for m, layer in layers.items():
+                measures[m] = layer | measures.get(m, {})
+        if x.kind != "repeat":
+            beat = x.cells[0] if x.cells else ""
+            measures[x.to] = measures.get(x.to, {}) | {level: (beat, label, "explicit", None) for level, label in x.labels.items()}
+    last = max((x.end for x in good), default=0)
+    rows = [(piece, m, beat, level, label, how, source, last, None) for m in sorted(measures) for level, (beat, label, how, source) in sorted(measures[m].items())]
+    return rows + [(piece, None, None, None, None, None, None, last, x.issue) for x in lines if x.issue]
 
 
 def read_forms(texts: DataFrame) -> DataFrame:
@@ -88,7 +109,7 @@ def form_tree(piece: str, events: list[tuple[int, int, str]], last: int) -> list
 def form_trees(events: DataFrame) -> DataFrame:
     """Node rows of each piece's events; pieces with an issue have no tree."""
 
-    def run(key, f: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         rows = [] if f["issue"].notna().any() else form_tree(key[0], list(f.sort_values(["measure", "level"])[["measure", "level", "label"]].itertuples(index=False, name=None)), int(f["last_measure"].max()))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in TREE.split(", ")]).astype({"parent": "Int32"})
 

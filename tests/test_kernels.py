@@ -118,7 +118,7 @@ def test_forms_and_brackets():
     placed = {(m, level): (label, how, source) for _, m, _, level, label, how, source, _, issue in events if issue is None}
     assert placed[10, 1] == ("A", "copy", 1) and placed[10, 2] == ("x", "copy", 1) and placed[12, 2] == ("y", "copy", 3)
     assert placed[11, 1] == ("Z", "explicit", None)
-    assert [r[-1] for r in events if r[-1]] == ["row 5: unsupported measure 'bad'"] and events[0][7] == 20
+    assert [r[-1] for r in events if r[-1]] == ["line 5: 'bad' names no measure"] and events[0][7] == 20
     tree = forms.form_tree("p", [(1, 1, "A"), (1, 2, "a"), (5, 2, "b"), (9, 1, "B")], 12)
     assert [(r[4], r[2], r[5], r[6]) for r in tree] == [("ROOT", None, 1, 12), ("A", 0, 1, 8), ("a", 1, 1, 4), ("b", 1, 5, 8), ("B", 0, 9, 12)]
     rows = forms.brackets("p", "[Exp [S~I [Th.i 4 4] [Th.ii 4]] [Tr 4]]")
