@@ -39,7 +39,7 @@ from .skew import counted, spread_join
 
 @dataclass(frozen=True)
 class Unit:
-    """What strings are made of: symbols of a gram for anchors, and window starts in the blocks of later rounds."""
+    """What strings are made of: symbols of a gram for anchors, and window starts in the blocks of the two later rounds."""
 
     name: str
     length: int
@@ -54,8 +54,8 @@ UNITS = {u.name: u for u in (BYTES, WORDS)}
 #: About so many rows go out together.
 SLICE_ROWS = 100_000
 KEY = ["h", "crc"]
-ROW = "h long, crc long, a int, lo int, hi int, c long, s long"
-FIELDS = ["h", "crc", "a", "lo", "hi", "c", "s"]
+ROW = "h long, crc long, u int, a int, lo int, hi int, c long, s long"
+FIELDS = ["h", "crc", "u", "a", "lo", "hi", "c", "s"]
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -128,20 +128,35 @@ def twice(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return h[some], crc[some], batch.column(2).take(pa.array(some, pa.int64())).to_pylist()
 
 
-def anchor_groups(docs: DataFrame, unit: Unit, length: int) -> DataFrame:
+#: Units and lengths that are searched for together; rows have the number of theirs in `u`.
+Strings = list[tuple[Unit, int]]
+
+
+def ranked(texts: list[str | None], strings: Strings) -> Iterator[tuple]:
+    """(u, anchors) of the texts for each of strings; ranks of different units never agree."""
+    for u, (unit, length) in enumerate(strings):
+        text, start, a, lo, hi, common, every = anchors(texts, unit, length)
+        yield u, text, start, a, lo, hi, common ^ tag_of(u), every
+
+
+def tag_of(u: int) -> np.uint64:
+    return mix(np.array([u + 1], np.uint64))[0]
+
+
+def anchor_groups(docs: DataFrame, strings: Strings) -> DataFrame:
     """(c, n, mixed): ranks of common symbols that n > 1 anchors share, and whether their windows differ elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             _, _, texts = twice(batch)
             for b, e in blocks(texts):
-                *_, common, every = anchors(texts[b:e], unit, length)
-                yield pa.record_batch([pa.array(common.view(np.int64)), pa.array(every.view(np.int64))], ["c", "s"])
+                for *_, common, every in ranked(texts[b:e], strings):
+                    yield pa.record_batch([pa.array(common.view(np.int64)), pa.array(every.view(np.int64))], ["c", "s"])
 
     return groups_of(docs.select(*KEY, "text").mapInArrow(run, "c long, s long"))
 
 
-def anchor_rows(docs: DataFrame, unit: Unit, length: int, repeated: np.ndarray) -> DataFrame:
+def anchor_rows(docs: DataFrame, strings: Strings, repeated: np.ndarray) -> DataFrame:
     """The anchors whose rank of common symbols may be among the repeated ones."""
     shared = docs.sparkSession.sparkContext.broadcast(repeated)
 
@@ -150,47 +165,58 @@ def anchor_rows(docs: DataFrame, unit: Unit, length: int, repeated: np.ndarray)
         for batch in sliced(batches):
             h, crc, texts = twice(batch)
             for b, e in blocks(texts):
-                text, start, a, lo, hi, common, every = anchors(texts[b:e], unit, length)
-                x = has_hash(bits, common)
-                text, start, common, every = text[x], start[x], common[x], every[x]
-                place = [pa.array((v[x] - start).astype(np.int32)) for v in (a, lo, hi)]
-                yield pa.record_batch([pa.array(h[b:e][text]), pa.array(crc[b:e][text]), *place, pa.array(common.view(np.int64)), pa.array(every.view(np.int64))], FIELDS)
+                for u, text, start, a, lo, hi, common, every in ranked(texts[b:e], strings):
+                    x = has_hash(bits, common)
+                    text, start, common, every = text[x], start[x], common[x], every[x]
+                    place = [pa.array((v[x] - start).astype(np.int32)) for v in (a, lo, hi)]
+                    yield pa.record_batch([pa.array(h[b:e][text]), pa.array(crc[b:e][text]), pa.array(np.full(len(text), u, np.int32)), *place, pa.array(common.view(np.int64)), pa.array(every.view(np.int64))], FIELDS)
 
     return docs.select(*KEY, "text").mapInArrow(run, ROW)
 
 
-def block_rows(docs: DataFrame, wanted: DataFrame, unit: Unit, block: int, length: int) -> DataFrame:
-    """Rows of the blocks of window starts in the wanted rows, with ranks read from the texts; `single` goes along."""
-    lists = wanted.groupBy(*KEY).agg(F.collect_set(F.struct("a", "lo", "hi", "c", "single")).alias("w"))
+def block_rows(docs: DataFrame, wanted: DataFrame, strings: Strings, turn: int) -> DataFrame:
+    """Rows of the blocks of window starts in the wanted rows, with ranks read from the texts; `single` goes along.
+
+    turn numbers the round, which has a size of blocks for each unit.
+    """
+    lists = wanted.groupBy(*KEY).agg(F.collect_set(F.struct("u", "a", "lo", "hi", "c", "single")).alias("w"))
     some = marked(docs, wanted, "h").where("_in").drop("_in").dropDuplicates(KEY).join(lists, KEY)
 
     def put(out: list[list[np.ndarray]]) -> pa.RecordBatch:
         cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
         arrays = [pa.array(x.astype(t.to_pandas_dtype()), t) for x, t in zip(cols, kinds, strict=False)]
-        return pa.record_batch([*arrays, pa.array(cols[5].view(np.int64)), pa.array(cols[6].view(np.int64)), pa.array(cols[7])], [*FIELDS, "single"])
+        return pa.record_batch([*arrays, pa.array(cols[6].view(np.int64)), pa.array(cols[7].view(np.int64)), pa.array(cols[8])], [*FIELDS, "single"])
+
+    def of_text(text: str, h: int, crc: int, u: int, a: np.ndarray, lo: np.ndarray, hi: np.ndarray, c: np.ndarray, single: np.ndarray) -> list[np.ndarray]:
+        unit, length = strings[u]
+        block = unit.blocks[turn]
+        data, _ = symbols([text], unit)
+        one, two = Prints(data, BASES[0]), Prints(data, BASES[1])
+        # Blocks are counted by distance from the anchor, so that they agree between texts.
+        near, far = (a - hi) // block, (a - lo) // block
+        n = far - near + 1
+        row = np.repeat(np.arange(len(a)), n)
+        j = near[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        left, right = a[row] - j * block - block + 1, a[row] - j * block
+        begin, end = np.maximum(left, 0), np.minimum(right + length, len(data))
+        tag = mix(c[row] + mix(j.astype(np.uint64) + np.uint64(block << 20)))
+        common = mix(one.of(np.minimum(right, len(data)), np.maximum(np.minimum(left + length, len(data)), np.minimum(right, len(data)))) ^ tag)
+        every = mix(two.of(begin, end) + mix(((begin - left) * 1000 + (right + length - end)).astype(np.uint64)) + tag)
+        return [np.full(len(row), h), np.full(len(row), crc), np.full(len(row), u), a[row], np.maximum(left, lo[row]), np.minimum(right, hi[row]), common, every, single[row]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             out: list[list[np.ndarray]] = []
             h, crc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for i, (text, w) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), strict=True)):
-                data, _ = symbols([text], unit)
-                one, two = Prints(data, BASES[0]), Prints(data, BASES[1])
                 table = pa.RecordBatch.from_struct_array(w.values)
-                a, lo, hi = (table.column(k).to_numpy().astype(np.int64) for k in range(3))
-                c, single = table.column(3).to_numpy().view(np.uint64), table.column(4).to_numpy(zero_copy_only=False)
-                # Blocks are counted by distance from the anchor, so that they agree between texts.
-                near, far = (a - hi) // block, (a - lo) // block
-                n = far - near + 1
-                row = np.repeat(np.arange(len(a)), n)
-                j = near[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                left, right = a[row] - j * block - block + 1, a[row] - j * block
-                begin, end = np.maximum(left, 0), np.minimum(right + length, len(data))
-                tag = mix(c[row] + mix(j.astype(np.uint64) + np.uint64(block << 20)))
-                common = mix(one.of(np.minimum(right, len(data)), np.maximum(np.minimum(left + length, len(data)), np.minimum(right, len(data)))) ^ tag)
-                every = mix(two.of(begin, end) + mix(((begin - left) * 1000 + (right + length - end)).astype(np.uint64)) + tag)
-                out.append([np.full(len(row), h[i]), np.full(len(row), crc[i]), a[row], np.maximum(left, lo[row]), np.minimum(right, hi[row]), common, every, single[row]])
+                of = table.column(0).to_numpy()
+                a, lo, hi = (table.column(k).to_numpy().astype(np.int64) for k in (1, 2, 3))
+                c, single = table.column(4).to_numpy().view(np.uint64), table.column(5).to_numpy(zero_copy_only=False)
+                for u in np.unique(of).tolist():
+                    x = of == u
+                    out.append(of_text(text, h[i], crc[i], u, a[x], lo[x], hi[x], c[x], single[x]))
                 if sum(len(x[0]) for x in out) >= SLICE_ROWS:
                     yield put(out)
                     out = []
@@ -206,33 +232,37 @@ def groups_of(rows: DataFrame) -> DataFrame:
 
 def split(rows: DataFrame, groups: DataFrame, tables: Tables, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """(duplicated intervals, rows to go on with) of one round; rows: FIELDS and `single`, whether the result counts."""
+    interval = [*KEY, "u", "lo", "hi"]
     found = tables.put(spread_join(rows, groups, ["c"]).drop("n"), "equal-prefixes")
     # A group without a row whose result counts is of no use.
-    same = found.where("not mixed and single").select(*KEY, "lo", "hi")
+    same = found.where("not mixed and single").select(*interval)
     if last:
         return same, None
     mixed = found.where("mixed")
-    first = F.min(F.struct(*KEY, "a", "lo", "hi", "single")).alias("r")
+    first = F.min(F.struct(*KEY, "u", "a", "lo", "hi", "single")).alias("r")
     reps = tables.put(counted(mixed, ["c", "s"], first), "distinct-windows")
-    equal = spread_join(mixed.where("single"), reps.where("n > 1").select("c", "s", "n"), ["c", "s"]).select(*KEY, "lo", "hi")
+    equal = spread_join(mixed.where("single"), reps.where("n > 1").select("c", "s", "n"), ["c", "s"]).select(*interval)
     live = cut(counted(reps, ["c"], F.max((F.col("n") == 1) & F.col("r.single")).alias("live")).where("live").select("c", "n"))
     rest = spread_join(reps.withColumnRenamed("n", "copies"), live, ["c"])
-    return same.unionAll(equal), rest.select("r.h", "r.crc", "r.a", "r.lo", "r.hi", "c", (F.col("r.single") & (F.col("copies") == 1)).alias("single"))
+    return same.unionAll(equal), rest.select(*(f"r.{k}" for k in (*KEY, "u", "a", "lo", "hi")), "c", (F.col("r.single") & (F.col("copies") == 1)).alias("single"))
 
 
-def duplicated(docs: DataFrame, unit: Unit = BYTES, length: int | None = None) -> DataFrame:
-    """(h, crc, lo, hi): intervals of window starts whose strings occur elsewhere; docs: h, crc, text (not null)."""
-    length = length or unit.length
+def duplicated(docs: DataFrame, strings: Strings) -> DataFrame:
+    """(h, crc, u, lo, hi): intervals of window starts whose strings occur elsewhere; docs: h, crc, text (not null).
+
+    All of strings are searched for in the same rounds, so the texts are read and ranks are counted once a round.
+    """
     with Tables(docs.sparkSession) as tables:
-        groups = anchor_groups(docs, unit, length)
-        rows = anchor_rows(docs, unit, length, members(groups, bit=bit_of_hash("c"))).withColumn("single", F.lit(True))
+        groups = anchor_groups(docs, strings)
+        rows = anchor_rows(docs, strings, members(groups, bit=bit_of_hash("c"))).withColumn("single", F.lit(True))
         done, rest = split(rows, groups, tables, last=False)
-        for k, block in enumerate(unit.blocks):
+        turns = len(BYTES.blocks)
+        for turn in range(turns):
             wanted = cut(rest)
             if wanted.isEmpty():
                 break
-            ranked = tables.put(block_rows(docs, wanted, unit, block, length), "blocks")
-            more, rest = split(ranked, groups_of(ranked), tables, last=k == len(unit.blocks) - 1)
+            found = tables.put(block_rows(docs, wanted, strings, turn), "blocks")
+            more, rest = split(found, groups_of(found), tables, last=turn == turns - 1)
             done = done.unionAll(more)
         return cut(done.distinct())
 
@@ -270,13 +300,9 @@ def kept(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 LISTS = "array<struct<u:int,lo:int,hi:int>>"
 
 
-def with_intervals(docs: DataFrame, strings: list[tuple[Unit, int]]) -> DataFrame:
+def with_intervals(docs: DataFrame, strings: Strings) -> DataFrame:
     """docs (with h, crc, t) and `iv`, the intervals (number in strings, first, last) of their text, null if none."""
-    texts = docs.select(*KEY, F.col("t").alias("text"))
-    found = None
-    for k, (unit, length) in enumerate(strings):
-        one = duplicated(texts, unit, length).withColumn("u", F.lit(k))
-        found = one if found is None else found.unionByName(one)
+    found = duplicated(docs.select(*KEY, F.col("t").alias("text")), strings)
     lists = found.groupBy(*KEY).agg(F.collect_list(F.struct("u", "lo", "hi")).alias("iv"))
     both = marked(docs, found, "h")
     copies = cut(counted(both.where("_in"), KEY))
