@@ -58,13 +58,17 @@ def blocked_split(works: list[str], parts: tuple[int, ...], seed: int) -> list[l
     return [named[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def drawn(seed: int, *identity: str) -> Column:
+    """The hash that orders rows by chance: of the seed and what identifies a row."""
+    return F.sha2(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in identity)), 256)
+
+
 def split_works(works: DataFrame, parts: dict[str, int], seed: int = 0) -> DataFrame:
     """(work, part): distinct works in the order of a hash, the first so many for each part; what is left over goes to the last.
 
     The order is one window over the works, which are names and few; rows aren't in it.
     """
-    key = F.sha2(F.concat_ws("|", F.lit(str(seed)), "work"), 256)
-    numbered = works.select("work").distinct().withColumn("_r", F.row_number().over(Window.orderBy(key, "work")))
+    numbered = works.select("work").distinct().withColumn("_r", F.row_number().over(Window.orderBy(drawn(seed, "work"), "work")))
     names, upto = list(parts), np.cumsum(list(parts.values())).tolist()
     part = F.lit(names[-1])
     for name, most in reversed(list(zip(names[:-1], upto, strict=False))):
@@ -74,13 +78,13 @@ def split_works(works: DataFrame, parts: dict[str, int], seed: int = 0) -> DataF
 
 def folds(rows: DataFrame, work: str, n: int, seed: int = 0) -> DataFrame:
     """rows with `fold`: works in the order of a hash are dealt to n folds, each work to one."""
-    works = rows.select(work).distinct().withColumn("_h", F.xxhash64(F.lit(seed), F.col(work)))
+    works = rows.select(work).distinct().withColumn("_h", drawn(seed, work))
     dealt = works.withColumn("fold", (F.row_number().over(Window.orderBy("_h", work)) - 1) % n).drop("_h")
     return rows.join(dealt, work)
 
 
 def sample_per_group(rows: DataFrame, group: str, label: str, identity: list[str], seed: int = 0) -> DataFrame:
     """As many rows of either label in each group as the rarer one has, chosen by a hash of their identity."""
-    w = Window.partitionBy(group, label).orderBy(F.xxhash64(F.lit(seed), *identity), *identity)
+    w = Window.partitionBy(group, label).orderBy(drawn(seed, *identity), *identity)
     sizes = rows.groupBy(group).agg(F.least(F.sum(F.col(label).cast("int")), F.sum((~F.col(label)).cast("int"))).alias("k"))
     return rows.withColumn("_r", F.row_number().over(w)).join(sizes, group).where(F.col("_r") <= F.col("k")).drop("_r", "k")

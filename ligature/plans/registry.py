@@ -147,10 +147,10 @@ def resolution_pick_collapsed(spark, d):
     return B.pick_resolution(views.notes(spark, d), [24.0, 48.0, 96.0], 14, collapsed=True)
 
 
-@query("work_id", "SELECT doc_id, source||'_'||lang AS piece, source AS work FROM documents WHERE source NOT LIKE '%\\_%' ESCAPE '\\' AND lang NOT LIKE '%\\_%' ESCAPE '\\'")
+@query("work_id", "SELECT doc_id, concat_ws('_', source, lang) AS piece, regexp_replace(concat_ws('_', source, lang), '_[^_]*$', '') AS work FROM documents")
 def work_id(spark, d):
     piece = F.concat_ws("_", "source", "lang")
-    return spark.read.parquet(f"{d}/documents.parquet").where("instr(source,'_') = 0 and instr(lang,'_') = 0").select("doc_id", piece.alias("piece"), S.work_of(piece).alias("work"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", piece.alias("piece"), S.work_of(piece).alias("work"))
 
 
 @query("json_fields", "SELECT event_id, cast(json_extract(props, '$.k') AS bigint) AS k FROM events")
@@ -267,14 +267,18 @@ def nearest_edge(spark, d):
     return A.nearest_edges(marks, edges).select("piece", r6("edge"))
 
 
-@query("hard_negatives")
+@query("hard_negatives", f"""WITH {_SCALER}, b AS (SELECT *, 1/(1+exp(med/scale)) base FROM sc), cal AS (SELECT piece, split, greatest(0, least(1, (1/(1+exp(-(c-med)/scale))-base)/greatest(1-base,1e-12))) score FROM con CROSS JOIN b), {_ISLANDS.replace(Q.NOTES + ', ', '')},
+ x AS (SELECT DISTINCT piece, s t FROM segs WHERE seg>0), y AS (SELECT x.piece, t, leaf, row_number() OVER (PARTITION BY x.piece, t ORDER BY abs(start_qb-t), start_qb) r FROM x JOIN leaves l ON l.piece=x.piece AND leaf>0), pos AS (SELECT DISTINCT piece, leaf split FROM y WHERE r=1),
+ z AS (SELECT w.work, cal.piece, cal.split, round(score,9) score, p.split IS NOT NULL positive FROM cal JOIN (SELECT DISTINCT piece, work FROM notes) w USING(piece) LEFT JOIN pos p ON p.piece=cal.piece AND p.split=cal.split),
+ k AS (SELECT *, row_number() OVER (PARTITION BY work, positive ORDER BY score DESC, piece, split) rk, count(*) FILTER (WHERE positive) OVER (PARTITION BY work) n FROM z) SELECT work, piece, split::int AS split, round(score,6)+0.0 score, positive FROM k WHERE positive OR rk<=n""")
 def hard_negatives(spark, d):
     work = views.notes(spark, d).select("piece", "work").distinct()
     marks = segments(spark, d).where("seg > 0").select("piece", F.col("start").alias("t"))
     edges = leaves(spark, d).where("leaf > 0")
     positive = A.nearest_edges(marks, edges.select("piece", F.col("start").alias("t"))).withColumn("positive", F.lit(True))
     rows = A.calibrated(contrasts(spark, d), "contrast").join(edges.select("piece", F.col("leaf").alias("split"), F.col("start").alias("edge")), ["piece", "split"]).join(positive, ["piece", "edge"], "left").join(work, "piece")
-    return A.hard_negatives(rows.select("work", "piece", "split", F.col("calibrated").alias("score"), F.coalesce("positive", F.lit(False)).alias("positive")))
+    found = A.hard_negatives(rows.select("work", "piece", "split", F.round("calibrated", 9).alias("score"), F.coalesce("positive", F.lit(False)).alias("positive")))
+    return found.select("work", "piece", F.col("split").cast("int").alias("split"), r6("score"), "positive")
 
 
 # Joins and manifests
@@ -378,8 +382,14 @@ def top_splits(spark, d):
     return R.top_splits(balanced(spark, d), 2).select("piece", r6("t", "boundary_qb"))
 
 
-@query("k_splits")
+@query("k_splits", f"WITH RECURSIVE {Q.balanced()} SELECT piece, round(t,6) AS boundary_qb FROM nodes WHERE split IS NOT NULL QUALIFY row_number() OVER (PARTITION BY piece ORDER BY last DESC, first)<=3")
 def k_splits(spark, d):
+    """The latest merges of balanced trees; children merge before their parents, left before right."""
+    return R.k_splits(balanced(spark, d), 3).select("piece", r6("t", "boundary_qb"))
+
+
+@query("k_splits_greedy")
+def k_splits_greedy(spark, d):
     return R.k_splits(R.trees(leaves(spark, d), "greedy"), 3).select("piece", r6("t", "boundary_qb"))
 
 
@@ -388,8 +398,13 @@ def prominence(spark, d):
     return R.prominence(balanced(spark, d)).select("piece", r6("t", "boundary_qb"), r6("prominence"), "leaf_count")
 
 
-@query("prominent_splits")
+@query("prominent_splits", f"WITH RECURSIVE {Q.balanced()}, x AS (SELECT x.piece, x.t, (x.e-x.s)/(r.e-r.s) p, x.last-x.first+1 k FROM nodes x JOIN nodes r ON r.piece=x.piece AND r.depth=0 WHERE x.split IS NOT NULL) SELECT piece, round(t,6) boundary_qb, round(p,6) prominence FROM x QUALIFY row_number() OVER (PARTITION BY piece ORDER BY p DESC, k DESC, t)<=3")
 def prominent_splits(spark, d):
+    return R.prominent(balanced(spark, d), 3).select("piece", r6("t", "boundary_qb"), r6("prominence"))
+
+
+@query("prominent_splits_exact")
+def prominent_splits_exact(spark, d):
     return R.prominent(R.trees(leaves(spark, d), "affinity"), 3).select("piece", r6("t", "boundary_qb"), r6("prominence"))
 
 
@@ -398,10 +413,26 @@ def salience(spark, d):
     return R.salience(balanced(spark, d)).select("piece", "split", r6("salience"))
 
 
-@query("salient_splits")
+_SALIENT = f"{Q.balanced()}, {_CONTRAST.replace(Q.leaves() + ', ', '')}, sal AS (SELECT x.piece, x.split, x.t, x.last-x.first+1 k, CASE WHEN x.last=x.first THEN 0 ELSE ln(x.last-x.first+1)/ln(x.n)*greatest(0,least(1,c)) END v FROM nodes x JOIN con ON con.piece=x.piece AND con.split=x.split WHERE x.split IS NOT NULL)"
+
+
+def clipped(spark, d):
+    return contrasts(spark, d).withColumn("contrast", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("contrast"))))
+
+
+@query("salient_splits", f"WITH RECURSIVE {_SALIENT} SELECT piece, split::int AS split, round(v,6)+0.0 salience FROM sal WHERE v>=0.2")
 def salient_splits(spark, d):
-    con = contrasts(spark, d).withColumn("contrast", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("contrast"))))
-    return R.salient(R.trees(leaves(spark, d), "affinity"), con, threshold=0.2).select("piece", "split", r6("salience"))
+    return R.salient(balanced(spark, d), clipped(spark, d), threshold=0.2).select("piece", "split", r6("salience"))
+
+
+@query("salient_budget", f"WITH RECURSIVE {_SALIENT} SELECT piece, split::int AS split, round(v,6)+0.0 salience FROM sal QUALIFY row_number() OVER (PARTITION BY piece ORDER BY v DESC, k DESC, t, split)<=3")
+def salient_budget(spark, d):
+    return R.salient(balanced(spark, d), clipped(spark, d), budget=3).select("piece", "split", r6("salience"))
+
+
+@query("salient_splits_exact")
+def salient_splits_exact(spark, d):
+    return R.salient(R.trees(leaves(spark, d), "affinity"), clipped(spark, d), threshold=0.2).select("piece", "split", r6("salience"))
 
 
 @query("shape_diag", f"""WITH RECURSIVE {Q.balanced()}, x AS (SELECT piece, count(*) FILTER (WHERE split IS NULL) leaves, max(depth) FILTER (WHERE split IS NULL) max_depth, sum(depth) FILTER (WHERE split IS NULL) sackin, coalesce(sum(abs(2*split-first-last-1)),0) colless,
@@ -415,7 +446,7 @@ def revenue_recompute(spark, d):
     return R.revenue(balanced(spark, d), A.affinity(pairs(spark, d))).select("piece", r6("revenue"))
 
 
-@query("program_not_worse")
+@query("program_not_worse", f"WITH {Q.leaves()} SELECT count(*) AS pieces, 0::bigint AS violations FROM (SELECT piece FROM leaves GROUP BY 1 HAVING count(*)>1)")
 def program_not_worse(spark, d):
     """Pieces where greedy linkage earns more than the exact program; there must be none."""
     aff = A.affinity(pairs(spark, d))
@@ -424,7 +455,7 @@ def program_not_worse(spark, d):
     return one.join(two, "piece").groupBy().agg(F.count("*").alias("pieces"), F.sum((F.col("greedy") > F.col("exact") + 1e-8).cast("int")).alias("violations"))
 
 
-@query("invalid_nodes")
+@query("invalid_nodes", "SELECT count(*) AS violations FROM (SELECT 1 WHERE false)")
 def invalid_nodes(spark, d):
     return R.invalid(R.trees(leaves(spark, d), "greedy")).groupBy().agg(F.count("*").alias("violations"))
 
@@ -525,9 +556,36 @@ def projection(spark, d):
     return M.projected(reference(spark, d), edges).select("piece", r6("t"), r6("edge"))
 
 
-@query("greedy_match")
+#: Each reference in turn takes the nearest free prediction, as a recursion over a piece's references.
+_GREEDY = f"""{Q.balanced()}, {_ISLANDS.replace(Q.NOTES + ', ', '')}, refs AS (SELECT piece, s r, row_number() OVER (PARTITION BY piece ORDER BY s) i FROM segs WHERE seg>0), splits AS (SELECT DISTINCT piece, t FROM nodes WHERE split IS NOT NULL AND depth<DEPTH), free AS (SELECT piece, list(t ORDER BY t) f FROM splits GROUP BY 1),
+ took AS (SELECT piece, 0::bigint i, f, NULL::double r, NULL::double p FROM free UNION ALL SELECT piece, i, CASE WHEN p IS NULL THEN f ELSE list_filter(f, lambda v: v<>p) END, r, p FROM (SELECT k.piece, x.i, k.f, x.r, list_sort(list_transform(list_filter(k.f, lambda v: abs(v-x.r)<=48), lambda v: {{'d': abs(v-x.r), 'v': v}}))[1].v p FROM took k JOIN refs x ON x.piece=k.piece AND x.i=k.i+1))"""
+
+
+@query("greedy_match", f"WITH RECURSIVE {_GREEDY.replace('DEPTH', '2')} SELECT piece, round(r,6) r, round(p,6) p FROM took WHERE p IS NOT NULL")
 def greedy_match(spark, d):
-    return M.greedy_matches(predicted(spark, d), reference(spark, d), 48.0).select("piece", r6("r"), r6("p"))
+    return M.greedy_matches(R.top_splits(balanced(spark, d), 2), reference(spark, d), 48.0).select("piece", r6("r"), r6("p"))
+
+
+#: Up to three predictions, the splits above depth 2: all order-preserving choices of partners, most pairs first, then least distance.
+_MATCHED = f"""{Q.balanced()}, {_ISLANDS.replace(Q.NOTES + ', ', '')}, refs AS (SELECT piece, s r, row_number() OVER (PARTITION BY piece ORDER BY s) i FROM segs WHERE seg>0), splits AS (SELECT piece, t, row_number() OVER (PARTITION BY piece ORDER BY t) k FROM (SELECT DISTINCT piece, t FROM nodes WHERE split IS NOT NULL AND depth<2)),
+ fits AS (SELECT s.piece, k, i, abs(t-r) d FROM splits s JOIN refs USING(piece) WHERE abs(t-r)<=48 UNION ALL SELECT piece, k, NULL, 0 FROM splits), sides AS (SELECT piece, (SELECT count(*) FROM splits s WHERE s.piece=a.piece) np, (SELECT count(*) FROM refs r WHERE r.piece=a.piece) nr FROM (SELECT piece FROM splits UNION SELECT piece FROM refs) a),
+ all_ AS (SELECT a.piece, (a.i IS NOT NULL)::int+(coalesce(b.i, NULL) IS NOT NULL)::int+(coalesce(c.i, NULL) IS NOT NULL)::int n, a.d+coalesce(b.d,0)+coalesce(c.d,0) d FROM fits a LEFT JOIN fits b ON b.piece=a.piece AND b.k=2 LEFT JOIN fits c ON c.piece=a.piece AND c.k=3 WHERE a.k=1 AND (a.i IS NULL OR b.i IS NULL OR a.i<b.i) AND (b.i IS NULL OR c.i IS NULL OR b.i<c.i) AND (a.i IS NULL OR c.i IS NULL OR a.i<c.i)),
+ best AS (SELECT piece, max(n) n, arg_min(d, (-n, d)) d FROM all_ GROUP BY 1), scored AS (SELECT piece, coalesce(n,0)::bigint tp, np-coalesce(n,0) fp, nr-coalesce(n,0) fn, CASE WHEN n>0 THEN d/n END error FROM sides LEFT JOIN best USING(piece)),
+ final AS (SELECT *, CASE WHEN tp+fp=0 THEN 0 ELSE tp/(tp+fp) END "precision", CASE WHEN tp+fn=0 THEN 0 ELSE tp/(tp+fn) END recall FROM scored), done AS (SELECT *, CASE WHEN "precision"+recall=0 THEN 0 ELSE 2*"precision"*recall/("precision"+recall) END f1 FROM final)"""
+
+
+@query("balanced_match", f'WITH RECURSIVE {_MATCHED} SELECT piece, tp, fp, fn, round("precision",6) "precision", round(recall,6) recall, round(f1,6) f1, round(error,6) error FROM done')
+def balanced_match(spark, d):
+    """Boundary scores of balanced trees' first splits."""
+    return M.boundary_scores(R.top_splits(balanced(spark, d), 2), reference(spark, d), 48.0).select("piece", "tp", "fp", "fn", r6("precision"), r6("recall"), r6("f1"), r6("error"))
+
+
+@query("balanced_work_scores", f'WITH RECURSIVE {_MATCHED} SELECT work, round(avg("precision"),6) "precision", round(avg(recall),6) recall, round(avg(f1),6) f1 FROM done JOIN (SELECT DISTINCT piece, work FROM notes) USING(piece) GROUP BY 1')
+def balanced_work_scores(spark, d):
+    """Trees, splits, matches and work means from end to end."""
+    work = views.notes(spark, d).select("piece", "work").distinct()
+    scores = M.boundary_scores(R.top_splits(balanced(spark, d), 2), reference(spark, d), 48.0).join(work, "piece")
+    return T.work_means(scores, [], ["precision", "recall", "f1"]).select("work", r6("precision"), r6("recall"), r6("f1"))
 
 
 @query("interval_iou", f"""WITH {_ISLANDS}, b AS (SELECT piece, onset AS s, onset+dur AS e FROM notes WHERE value>=60), ev AS (SELECT piece, s t, 1 x, 0 y FROM segs WHERE e>s AND seg%2=0 UNION ALL SELECT piece, e, -1, 0 FROM segs WHERE e>s AND seg%2=0 UNION ALL SELECT piece, s, 0, 1 FROM b WHERE e>s UNION ALL SELECT piece, e, 0, -1 FROM b WHERE e>s),
@@ -649,12 +707,12 @@ def access_audit(spark, d):
     return X.misused(views.notes(spark, d).select("piece", "onset", "event_id", event.alias("event")), ["piece"], ["onset", "event_id"])
 
 
-@query("outer_folds")
+@query("outer_folds", f"WITH {Q.NOTES}, w AS (SELECT work, (row_number() OVER (ORDER BY sha256('0|'||work), work)-1)%4 fold FROM (SELECT DISTINCT work FROM notes)) SELECT fold::int AS fold, count(*) pieces, count(DISTINCT work) works FROM w JOIN (SELECT DISTINCT work, piece FROM notes) USING(work) GROUP BY 1")
 def outer_folds(spark, d):
     return C.folds(views.notes(spark, d).select("work", "piece").distinct(), "work", 4).groupBy("fold").agg(F.count("*").alias("pieces"), F.countDistinct("work").alias("works"))
 
 
-@query("balanced_sample")
+@query("balanced_sample", f"WITH {Q.NOTES}, x AS (SELECT work, event_id, value>=60 positive, row_number() OVER (PARTITION BY work, value>=60 ORDER BY sha256('0|'||event_id), event_id) r, least(count(*) FILTER (WHERE value>=60) OVER (PARTITION BY work), count(*) FILTER (WHERE value<60) OVER (PARTITION BY work)) k FROM notes) SELECT work, event_id, positive FROM x WHERE r<=k")
 def balanced_sample(spark, d):
     rows = views.notes(spark, d).select("work", "event_id", (F.col("value") >= 60).alias("positive"))
     return C.sample_per_group(rows, "work", "positive", ["event_id"])
@@ -870,10 +928,10 @@ def length_weights(spark, d):
     return n.select("piece", *((S.length_weight(F.col("n"), k) if k != "log1p" else F.round(S.length_weight(F.col("n"), k), 6)).alias(f"w_{k}") for k in ("none", "log1p", "linear")))
 
 
-@query("candidate_ap")
+@query("candidate_ap", f"WITH RECURSIVE {_GREEDY.replace('depth<DEPTH', 'depth<99')}, x AS (SELECT x.piece, x.t, (x.e-x.s)/(r.e-r.s) v FROM nodes x JOIN nodes r ON r.piece=x.piece AND r.depth=0 WHERE x.split IS NOT NULL), y AS (SELECT x.piece, h.p IS NOT NULL hit, row_number() OVER w k, count(h.p) OVER (w ROWS UNBOUNDED PRECEDING) n FROM x LEFT JOIN (SELECT DISTINCT piece, p FROM took WHERE p IS NOT NULL) h ON h.piece=x.piece AND h.p=x.t WINDOW w AS (PARTITION BY x.piece ORDER BY v DESC, x.t)) SELECT piece, round(coalesce(avg(n/k) FILTER (WHERE hit),0),6)+0.0 ap FROM y GROUP BY 1")
 def candidate_ap(spark, d):
     """Average precision of all splits by prominence, positive where a reference takes them within two days."""
-    ranked = R.prominence(R.trees(leaves(spark, d), "affinity"))
+    ranked = R.prominence(balanced(spark, d))
     hit = M.greedy_matches(ranked.select("piece", "t"), reference(spark, d), 48.0).select("piece", F.col("p").alias("t"), F.lit(True).alias("positive")).distinct()
     rows = ranked.join(hit, ["piece", "t"], "left").select("piece", F.col("prominence").alias("score"), F.coalesce("positive", F.lit(False)).alias("positive"), F.col("t").alias("at"))
     return M.average_precision(rows, "piece").select("piece", r6("ap"))
