@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,17 @@ SCORE_WORDS = 10.0
 RUN = re.compile(r"[^\W\d_]+")
 
 
+def letter_runs(text: str) -> list[str]:
+    """The runs of letters (Unicode category L) of text; other numeric signs, such as fractions, aren't letters."""
+    runs = RUN.findall(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return ["".join(g) for w in runs for k, g in groupby(w, str.isalpha) if k]
+
+
 def words_of(text: str | None) -> Counter:
     """Runs of letters in lower case, whole however long."""
-    return Counter(RUN.findall(text.lower())) if text else Counter()
+    return Counter(letter_runs(text.lower())) if text else Counter()
 
 
 def held_out(doc_id: Column) -> Column:

@@ -252,3 +252,61 @@ def test_calls_remove_their_own_tables_only(spark, tiny):
 def test_new_queries_are_registered():
     names = queries.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
+
+
+# Earlier operators
+
+
+def test_only_letters_make_a_language(spark, tiny):
+    from ligature.llm import lang_id
+
+    assert lang_id.letter_runs("½²Ⅻ①x²y über日本_a1b") == ["x", "y", "über日本", "a", "b"]
+    docs = common.documents(spark, tiny)
+    odd = spark.createDataFrame([(10**6, "½ ² Ⅻ ① 123 _"), (10**6 + 1, "the ½ of it"), (10**6 + 2, None), (10**6 + 3, "")], "doc_id long, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.lit(1).cast("long")})
+    got = {r["doc_id"]: r["lang_pred"] for r in lang_id.identify(docs.unionByName(odd)).where("doc_id >= 1000000").collect()}
+    assert {got[10**6 + k] for k in (0, 2, 3)} == {"und"} and got[10**6 + 1] != "und"
+
+
+def test_the_sketch_filter_is_far_below_the_threshold():
+    """A pair at the threshold stays under the filter with a probability of less than one in ten billion."""
+    from math import comb
+
+    from ligature.llm import near_dup
+
+    for percent in (80, 85):
+        least, j = near_dup.LEAST_ESTIMATE - (near_dup.PERCENT - percent) / 100, percent / 100
+        upto = int(np.ceil(least * near_dup.SKETCH)) - 1
+        assert sum(comb(near_dup.SKETCH, k) * j**k * (1 - j) ** (near_dup.SKETCH - k) for k in range(upto + 1)) < 1e-10
+
+
+def test_members_that_fail_and_members_that_fail_once(spark, odd, tmp_path, monkeypatch):
+    from ligature.llm import media
+
+    path = str(tmp_path / "a")
+    whole = media.store(odd, path)
+    want = media.described(whole)
+    bad = whole.where("doc_id = 10").first()
+    with open(bad["archive"], "r+b") as f:
+        f.seek(bad["at"] + 300)
+        f.write(b"\0" * 40)
+    again = spark.read.format("media_archive").option("path", path).load()
+    assert [r["doc_id"] for r in media.described(again).collect() if r["error"]] == [10]
+    with pytest.raises(Exception, match="can't be read"):
+        media.described(again, on_error="fail").collect()
+    with pytest.raises(ValueError):
+        media.described(again, on_error="skip")
+    assert want.columns == media.described(again, on_error="fail").columns
+    # A failure that passes is tried again, for its member alone.
+    reader, files = media.ArchiveReader(path, 1 << 20), media.filesystem(path)[0]
+    calls, honest = [], media.ArchiveReader.payload
+
+    def payload(files, archive, info):
+        calls.append(info.filename)
+        if calls.count(info.filename) == 1:
+            raise OSError("the store doesn't answer")
+        return honest(files, archive, info)
+
+    monkeypatch.setattr(reader, "payload", payload)
+    rows = [r for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist()]
+    assert files is not None and len(rows) == odd.count() and sum(r["error"] is not None for r in rows) == 1
+    assert Counter(calls).most_common(1)[0][1] == media.TRIES and sorted(Counter(calls).values())[-2] == 2
