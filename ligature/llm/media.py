@@ -205,13 +205,21 @@ def feature(values: np.ndarray) -> str:
 RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
 
-def described(media: DataFrame) -> DataFrame:
-    """Digests and features of stored members (rows of `media_archive`), computed from their bytes."""
+def described(media: DataFrame, on_error: str = "row") -> DataFrame:
+    """Digests and features of stored members (rows of `media_archive`), computed from their bytes.
+
+    A member that can't be read after all tries becomes a row of nulls with its error, or, with on_error `fail`, ends
+    the job: then a result is complete.
+    """
+    if on_error not in ("row", "fail"):
+        raise ValueError("on_error must be row or fail")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, n, body, error in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if body is None and on_error == "fail":
+                    raise OSError(f"the member of document {doc_id} can't be read: {error}")
                 if body is None:
                     rows.append((doc_id, n, None, None, None, None, None, None, error))
                     continue
@@ -239,16 +247,18 @@ def store(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     return spark.read.format("media_archive").option("path", path).load()
 
 
-def media_columns(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def media_columns(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", on_error: str = "fail") -> DataFrame:
     """Store the texts of docs as media and describe what is read back, one row for each row of docs.
 
+    A member that can't be read back ends the job, unless on_error is `row`.
+
     Without a path the archives go to a folder of their own, which is removed once they are described.
     """
     spark = docs.sparkSession
     shared_dir(spark)
     if path:
-        return described(store(docs, path, doc_id, text))
+        return described(store(docs, path, doc_id, text), on_error)
     folder = new_folder(spark, "media")
-    out = cut(described(store(docs, folder, doc_id, text)))
+    out = cut(described(store(docs, folder, doc_id, text), on_error))
     remove(spark, folder)
     return out
