@@ -32,8 +32,9 @@ from .skew import counted, spread_join
 PERCENT = 85
 #: Values of the plain bottom-k sketch that estimates similarities.
 SKETCH = 48
-#: Pairs estimated below this (over five standard errors under the threshold) aren't verified; it moves with the percent.
-LEAST_ESTIMATE = 0.55
+#: Pairs estimated below this aren't verified; it moves with the percent. At the threshold that is over seven standard errors,
+#: a chance of less than one in ten billion; without the estimate every pair of a list is verified.
+LEAST_ESTIMATE = 0.4
 #: A shingle counts as common from this many documents on; at most so many are put last.
 COMMON_DOCUMENTS = 64
 MOST_COMMON = 1 << 17
