@@ -301,8 +301,8 @@ def test_members_that_fail_and_members_that_fail_once(spark, odd, tmp_path, monk
     calls, honest = [], media.ArchiveReader.payload
 
     def payload(files, archive, info):
-        calls.append(info.filename)
-        if calls.count(info.filename) == 1:
+        calls.append((archive, info.filename))
+        if calls.count(calls[-1]) == 1:
             raise OSError("the store doesn't answer")
         return honest(files, archive, info)
 
