@@ -144,9 +144,9 @@ def rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of docs that the rules keep, with all their columns.
 
-    The measures are written once beside the rows, as finding them costs far more than writing and reading the texts;
-    the checkpoint goes with its last reader.
+    The measures are found twice, for the cutoffs and for the rows, so no text is written in between and nothing has to
+    be removed later. Repeated rows are separate documents; an empty table gives an empty result.
     """
-    table = cut(measured(docs, text))
-    limits = cutoffs(sketches(table.select(lang, source, "_m"), lang, source))
+    table = measured(docs, text)
+    limits = cutoffs(cut(sketches(table.select(lang, source, "_m"), lang, source)))
     return judged(table, limits, lang, source).where("_kept").select(*(F.col(c) for c in docs.columns))
