@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
+from .media import RATE, UNIT
 from .near_dup import PERCENT
 from .quality import LEAST_GROUP, MEASURES, SPREADS
 
@@ -97,3 +98,25 @@ later AS (SELECT k, i FROM windows WHERE n=13 QUALIFY doc_id>min(doc_id) OVER (P
 gone AS (SELECT DISTINCT k, i+d i FROM later CROSS JOIN range(13) r(d)),
 rest AS (SELECT k, count(*) n, string_agg(w, ' ' ORDER BY i) t FROM words ANTI JOIN gone USING(k, i) GROUP BY k)
 SELECT doc_id, len(w)::bigint n_words, (len(w)-coalesce(rest.n, 0))::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 FROM texts LEFT JOIN rest USING(k)"""
+
+
+def _little(n: str, size: int) -> str:
+    """SQL for the little-endian hexadecimal digits of n."""
+    return "printf('" + "%02x" * size + "', " + ", ".join(f"({n}>>{8 * k})&255" for k in range(size)) + ")"
+
+
+#: The stored file is its head, by the fields of the format, and the padded bytes; features count its bytes one by one.
+_HEAD = f"'52494646'||{_little('size+36', 4)}||'57415645666d7420'||'1000000001000100'||'{RATE.to_bytes(4, 'little').hex() * 2}'||'01000800'||'64617461'||{_little('size', 4)}"
+MEDIA_COLUMNS = rf"""WITH texts AS (SELECT row_number() OVER () k, doc_id, coalesce(text,'') t, strlen(coalesce(text,'')) n FROM documents),
+padded AS (SELECT k, doc_id, n, greatest({UNIT}, (n+{UNIT}-1)//{UNIT}*{UNIT}) size, hex(encode(t)) x, t FROM texts),
+stored AS (SELECT k, doc_id, n, size, x||repeat('20', size-n) x, encode(t||repeat(' ', size-n)) payload FROM padded),
+parts AS (SELECT k, b, substr(x, 2*b+1, 512) x FROM (SELECT k, x, unnest(range(0, size, 256)) b FROM stored)),
+bytes AS (SELECT k, b+i i, ('0x'||substr(x, 2*i+1, 2))::bigint v FROM (SELECT k, b, x, unnest(range(len(x)//2)) i FROM parts)),
+sides AS (SELECT k, i, v*size<total low FROM bytes JOIN (SELECT k, count(*) size, sum(v) total FROM bytes GROUP BY k) USING(k)),
+turns AS (SELECT k, count(*) FILTER (WHERE low<>before) crossings FROM (SELECT k, low, lag(low) OVER (PARTITION BY k ORDER BY i) before FROM sides) GROUP BY k),
+loud AS (SELECT k, sum((v-128)*(v-128)) squares FROM bytes GROUP BY k),
+busy AS (SELECT k, arg_max(level, (n, -level)) level FROM (SELECT k, v>>4 level, count(*) n FROM bytes GROUP BY ALL) GROUP BY k),
+tails AS (SELECT k, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(16), lambda i: ('0x'||substr(x[-32:], 2*i+1, 2))::bigint)), lambda r, c: list_reduce(list_prepend(xor(r, c), range(8)), lambda y, j: xor(y>>1, 3988292384*(y&1))))) crc FROM stored)
+SELECT doc_id, n::bigint n_bytes, size::bigint payload_bytes, sha256(payload) payload_sha256, crc::bigint tail_crc32, (size+44)::bigint media_bytes, sha256(unhex({_HEAD})||payload) media_sha256,
+ printf('rms=%.4f;crossings=%d;level=%d', sqrt(squares::double/size), (1000*crossings//size)::bigint, level) feature, NULL::varchar error
+FROM stored JOIN turns USING(k) JOIN loud USING(k) JOIN busy USING(k) JOIN tails USING(k)"""

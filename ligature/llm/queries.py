@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_adaptive_quality": oracles.QUALITY, "op7_prefix_doubling_dedup": oracles.REPEATED_STRINGS, "op8_bottom_k_near_duplicates": oracles.NEAR_DUPLICATES, "op11_periodic_runs": oracles.PERIODIC_RUNS, "op13_recompressed_passages": oracles.EARLIER_PASSAGES}
+    return {"op2_adaptive_quality": oracles.QUALITY, "op7_prefix_doubling_dedup": oracles.REPEATED_STRINGS, "op8_bottom_k_near_duplicates": oracles.NEAR_DUPLICATES, "op10_media_columns": oracles.MEDIA_COLUMNS, "op11_periodic_runs": oracles.PERIODIC_RUNS, "op13_recompressed_passages": oracles.EARLIER_PASSAGES}
