@@ -342,10 +342,16 @@ def _tree(method: str, view: Callable, distance: str = "euclidean", **options):
     return lambda spark, d: R.trees(view(spark, d), method, distance, **options).select(*(c if c not in ("start", "end", "mean_affinity", "objective") else r6(c) for c in (x.split()[0] for x in R.NODES.split(", "))))
 
 
-for _m in ("greedy", "random"):
-    query(f"tree_{_m}")(_tree(_m, leaves))
-for _m in ("linkage", "boundary_greedy", "boundary"):
-    query(f"tree_{_m}")(_tree(_m, views.sequences, "plain"))
+_MEAN = "f.x/((split-first)*(last+1-split))"
+_LINKAGE = Q.merges("triples", "g.x/((g.k-g.i)*(g.j-g.k)) DESC")
+_LINKED = f"joined AS (SELECT t.piece, i, k, j, 0.5*x/((k-i)*(j-k))-0.5*c v FROM triples t JOIN con ON con.piece=t.piece AND con.split=k), {Q.merges('joined', 'g.v DESC')}"
+_BOUNDARY = f"""whole AS (SELECT piece, n, (n-2)*sum(aff) w FROM ends JOIN aff USING(piece) GROUP BY 1,2),
+ gains AS (SELECT t.piece, i, k, j, 0.5*CASE WHEN w>0 THEN (n-(j-i))*x/w ELSE 0 END+0.5*ln(j-i)/ln(n)*c/greatest(1,n-1) g FROM triples t JOIN whole USING(piece) JOIN con ON con.piece=t.piece AND con.split=k), {Q.cuts("gains", 25)}, {Q.UNFOLD}"""
+query("tree_greedy", f"WITH RECURSIVE {Q.greedy()} {Q.node_table()}")(_tree("greedy", leaves))
+query("tree_random")(_tree("random", leaves))
+query("tree_linkage", f"WITH RECURSIVE {Q.SEQUENCES}, {_LINKAGE}, {Q.DEPTHS} {Q.node_table(_MEAN)}")(_tree("linkage", views.sequences, "plain"))
+query("tree_boundary_greedy", f"WITH RECURSIVE {Q.SEQUENCES}, {_LINKED}, {Q.DEPTHS} {Q.node_table(_MEAN)}")(_tree("boundary_greedy", views.sequences, "plain"))
+query("tree_boundary", f"WITH RECURSIVE {Q.SEQUENCES}, {_BOUNDARY}, {Q.DEPTHS} {Q.node_table(_MEAN, 'o.v')}")(_tree("boundary", views.sequences, "plain"))
 
 
 @query("tree_balanced", f"WITH RECURSIVE {Q.balanced()} SELECT piece, first, last, depth::int AS depth, split::int AS split, round(s,6) start_qb, round(e,6) end_qb FROM nodes")
@@ -388,7 +394,7 @@ def k_splits(spark, d):
     return R.k_splits(balanced(spark, d), 3).select("piece", r6("t", "boundary_qb"))
 
 
-@query("k_splits_greedy")
+@query("k_splits_greedy", f"WITH RECURSIVE {Q.greedy()} SELECT p.piece, round(start_qb,6) AS boundary_qb FROM placed p JOIN leaves l ON l.piece=p.piece AND l.leaf=split QUALIFY row_number() OVER (PARTITION BY p.piece ORDER BY m DESC)<=3")
 def k_splits_greedy(spark, d):
     return R.k_splits(R.trees(leaves(spark, d), "greedy"), 3).select("piece", r6("t", "boundary_qb"))
 
@@ -403,7 +409,11 @@ def prominent_splits(spark, d):
     return R.prominent(balanced(spark, d), 3).select("piece", r6("t", "boundary_qb"), r6("prominence"))
 
 
-@query("prominent_splits_exact")
+#: The three most prominent splits of the exact trees.
+_PROMINENT = f"{Q.exact()}, ranked AS (SELECT x.piece, x.t, (x.e-x.s)/(r.e-r.s) p FROM nodes x JOIN nodes r ON r.piece=x.piece AND r.depth=0 WHERE x.split IS NOT NULL QUALIFY row_number() OVER (PARTITION BY x.piece ORDER BY p DESC, x.last-x.first DESC, x.x, x.last DESC, x.first, x.t)<=3)"
+
+
+@query("prominent_splits_exact", f"WITH RECURSIVE {_PROMINENT} SELECT piece, round(t,6) boundary_qb, round(p,6) prominence FROM ranked")
 def prominent_splits_exact(spark, d):
     return R.prominent(R.trees(leaves(spark, d), "affinity"), 3).select("piece", r6("t", "boundary_qb"), r6("prominence"))
 
@@ -413,7 +423,8 @@ def salience(spark, d):
     return R.salience(balanced(spark, d)).select("piece", "split", r6("salience"))
 
 
-_SALIENT = f"{Q.balanced()}, {_CONTRAST.replace(Q.leaves() + ', ', '')}, sal AS (SELECT x.piece, x.split, x.t, x.last-x.first+1 k, CASE WHEN x.last=x.first THEN 0 ELSE ln(x.last-x.first+1)/ln(x.n)*greatest(0,least(1,c)) END v FROM nodes x JOIN con ON con.piece=x.piece AND con.split=x.split WHERE x.split IS NOT NULL)"
+_SAL = "sal AS (SELECT x.piece, x.split, x.t, x.last-x.first+1 k, CASE WHEN x.last=x.first THEN 0 ELSE ln(x.last-x.first+1)/ln(x.n)*greatest(0,least(1,c)) END v FROM nodes x JOIN con ON con.piece=x.piece AND con.split=x.split WHERE x.split IS NOT NULL)"
+_SALIENT = f"{Q.balanced()}, {_CONTRAST.replace(Q.leaves() + ', ', '')}, {_SAL}"
 
 
 def clipped(spark, d):
@@ -430,7 +441,7 @@ def salient_budget(spark, d):
     return R.salient(balanced(spark, d), clipped(spark, d), budget=3).select("piece", "split", r6("salience"))
 
 
-@query("salient_splits_exact")
+@query("salient_splits_exact", f"WITH RECURSIVE {Q.exact()}, {_CONTRAST.replace(Q.pair_distances() + ', ', '')}, {_SAL} SELECT piece, split::int AS split, round(v,6)+0.0 salience FROM sal WHERE v>=0.2")
 def salient_splits_exact(spark, d):
     return R.salient(R.trees(leaves(spark, d), "affinity"), clipped(spark, d), threshold=0.2).select("piece", "split", r6("salience"))
 
@@ -479,7 +490,7 @@ def flat_tree(spark, d):
     return R.flat_tree(segments(spark, d)).drop("start", "end")
 
 
-@query("own_metric")
+@query("own_metric", f"WITH RECURSIVE {Q.exact('sum(abs(a.u-b.u))')} SELECT x.piece, split::int AS split, round(v,6)+0.0 objective FROM nodes x LEFT JOIN best o ON o.piece=x.piece AND o.i=0 AND o.j=n WHERE depth=0")
 def own_metric(spark, d):
     """Trees of a distance given as a function: the sum of absolute differences of the shares."""
     city = R.Metric(lambda a, b: float(abs(a / max(a.sum(), 1e-12) - b / max(b.sum(), 1e-12)).sum()))
