@@ -410,7 +410,7 @@ def prominent_splits(spark, d):
 
 
 #: The three most prominent splits of the exact trees.
-_PROMINENT = f"{Q.exact()}, ranked AS (SELECT x.piece, x.t, (x.e-x.s)/(r.e-r.s) p FROM nodes x JOIN nodes r ON r.piece=x.piece AND r.depth=0 WHERE x.split IS NOT NULL QUALIFY row_number() OVER (PARTITION BY x.piece ORDER BY p DESC, x.last-x.first DESC, x.x, x.last DESC, x.first, x.t)<=3)"
+_PROMINENT = f"{Q.exact()}, ranked AS (SELECT x.piece, x.t, (x.e-x.s)/(r.e-r.s) p, row_number() OVER (PARTITION BY x.piece ORDER BY (x.e-x.s)/(r.e-r.s) DESC, x.last-x.first DESC, x.x, x.last DESC, x.first, x.t) place FROM nodes x JOIN nodes r ON r.piece=x.piece AND r.depth=0 WHERE x.split IS NOT NULL QUALIFY place<=3)"
 
 
 @query("prominent_splits_exact", f"WITH RECURSIVE {_PROMINENT} SELECT piece, round(t,6) boundary_qb, round(p,6) prominence FROM ranked")
@@ -551,17 +551,34 @@ def reference(spark, d):
     return segments(spark, d).where("seg > 0").select("piece", F.col("start").alias("t"))
 
 
-@query("boundary_match")
+_REFS = f"{_ISLANDS.replace(Q.NOTES + ', ', '')}, refs AS (SELECT piece, s r, row_number() OVER (PARTITION BY piece ORDER BY s) i FROM segs WHERE seg>0)"
+
+
+def _budgets(budgets: list[int], tolerances: list[float]) -> str:
+    """done of the exact trees' most prominent splits for each budget and tolerance."""
+    grid = ", ".join(f"({{'budget': {k}, 'tolerance': {x}::double}}, {k}, {x})" for k in budgets for x in tolerances)
+    return f"""{_PROMINENT.replace("place<=3", f"place<={max(budgets)}")}, {_REFS}, grid(g, most, near) AS (VALUES {grid}), chosen_ AS (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY place) r FROM ranked),
+ preds AS (SELECT g, near, piece, t, row_number() OVER (PARTITION BY g, piece ORDER BY t) k FROM chosen_ JOIN grid ON r<=most), fits AS (SELECT g, p.piece, k, i, abs(t-r) c FROM preds p JOIN refs USING(piece) WHERE abs(t-r)<=near),
+ sides AS (SELECT g, a.piece, (SELECT count(*) FROM preds p WHERE p.g=b.g AND p.piece=a.piece) np, (SELECT count(*) FROM refs r WHERE r.piece=a.piece) nr FROM (SELECT piece FROM ranked UNION SELECT piece FROM refs) a CROSS JOIN grid b), {Q.MATCHED}"""
+
+
+@query("boundary_match", f'WITH RECURSIVE {_budgets([3], [48.0])} SELECT piece, tp, fp, fn, round("precision",6) "precision", round(recall,6) recall, round(f1,6) f1, round(error,6) error FROM done')
 def boundary_match(spark, d):
     return M.boundary_scores(predicted(spark, d), reference(spark, d), 48.0).select("piece", "tp", "fp", "fn", r6("precision"), r6("recall"), r6("f1"), r6("error"))
 
 
-@query("span_match")
+@query("span_match", f"""WITH RECURSIVE {_PROMINENT}, {_REFS}, mine AS (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY a) k FROM (SELECT piece, t a, lead(t) OVER (PARTITION BY piece ORDER BY t) b FROM (SELECT DISTINCT piece, t FROM ranked)) WHERE b IS NOT NULL),
+ theirs AS (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY a) i FROM (SELECT piece, r a, lead(r) OVER (PARTITION BY piece ORDER BY r) b FROM (SELECT DISTINCT piece, r FROM refs)) WHERE b IS NOT NULL),
+ fits AS (SELECT 0 g, m.piece, k, i, abs(m.a-t.a)+abs(m.b-t.b) c FROM mine m JOIN theirs t ON t.piece=m.piece AND abs(m.a-t.a)<=96 AND abs(m.b-t.b)<=96),
+ sides AS (SELECT 0 g, piece, (SELECT count(*) FROM mine m WHERE m.piece=a.piece) np, (SELECT count(*) FROM theirs t WHERE t.piece=a.piece) nr FROM (SELECT piece FROM mine UNION SELECT piece FROM theirs) a), {Q.MATCHED} SELECT piece, tp, fp, fn, round(f1,6) f1 FROM done""")
 def span_match(spark, d):
     return M.span_scores(M.spans_of(predicted(spark, d)), M.spans_of(reference(spark, d)), 96.0).select("piece", "tp", "fp", "fn", r6("f1"))
 
 
-@query("projection")
+_MOVED = f"{Q.leaves()}, {_REFS}, marks AS (SELECT piece, r t FROM refs), edges AS (SELECT piece, start_qb t FROM leaves WHERE leaf>0), {Q.PROJECTED}"
+
+
+@query("projection", f"WITH RECURSIVE {_MOVED} SELECT piece, round(t,6)+0.0 t, round(edge,6)+0.0 edge FROM moved")
 def projection(spark, d):
     edges = leaves(spark, d).where("leaf > 0").select("piece", F.col("start").alias("t"))
     return M.projected(reference(spark, d), edges).select("piece", r6("t"), r6("edge"))
@@ -875,7 +892,7 @@ def level_spans(spark, d):
     return N.level_spans(events).select("piece", "level", r6("start", "start_qb"), r6("end", "end_qb"), "label")
 
 
-@query("projection_audit")
+@query("projection_audit", f"WITH RECURSIVE {_MOVED} SELECT m.piece, marks, coalesce(e,0) edges, marks-coalesce(e,0) collisions, round(mean,6)+0.0 mean_error, round(most,6)+0.0 max_error, coalesce(near,0)::bigint AS within FROM (SELECT piece, count(*) marks FROM marks GROUP BY 1) m LEFT JOIN (SELECT piece, count(DISTINCT edge) e, avg(abs(t-edge)) mean, max(abs(t-edge)) most, count(*) FILTER (WHERE abs(t-edge)<=48) near FROM moved GROUP BY 1) x USING(piece)")
 def projection_audit(spark, d):
     edges = leaves(spark, d).where("leaf > 0").select("piece", F.col("start").alias("t"))
     marks = reference(spark, d)
@@ -948,7 +965,7 @@ def candidate_ap(spark, d):
     return M.average_precision(rows, "piece").select("piece", r6("ap"))
 
 
-@query("span_budget_grid")
+@query("span_budget_grid", f"WITH RECURSIVE {_budgets([2, 4, 6], [24.0, 48.0])} SELECT g.budget::int budget, g.tolerance tolerance, round(avg(f1),6) f1, count(*) pieces FROM done GROUP BY 1,2")
 def span_budget_grid(spark, d):
     """Mean f1 over pieces for each budget and tolerance, on one set of trees."""
     tree = R.trees(leaves(spark, d), "affinity").cache()
@@ -1224,7 +1241,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.work_means(scores, [], ["precision", "recall", "f1"]).select("work", r6("precision"), r6("recall"), r6("f1"))
 
 
-@query("flagship_work_scores")
+@query("flagship_work_scores", f'WITH RECURSIVE {_budgets([3], [48.0])} SELECT work, round(avg("precision"),6) "precision", round(avg(recall),6) recall, round(avg(f1),6) f1 FROM done JOIN (SELECT DISTINCT piece, work FROM notes) USING(piece) GROUP BY 1')
 def flagship_work_scores(spark, d):
     return flagship(spark, d)
 

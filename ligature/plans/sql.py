@@ -144,3 +144,21 @@ SEQUENCES = f"""leaves AS (SELECT 's'||(vec_id//25) piece, (vec_id%25)::int leaf
  pairs AS (SELECT a.piece, a.leaf i, b.leaf j, list_distance(a.v, b.v) d FROM leaves a JOIN leaves b ON a.piece=b.piece AND a.leaf<b.leaf), scales AS (SELECT piece, coalesce(median(d) FILTER (WHERE d>1e-12), 1.0) scale FROM pairs GROUP BY 1),
  aff AS (SELECT piece, i, j, exp(-0.5*(d/scale)*(d/scale)) aff FROM pairs JOIN scales USING(piece)), {TRIPLES},
  con AS (SELECT s.piece, s.leaf split, greatest(0, least(1, avg(d) FILTER (WHERE i<s.leaf AND j>=s.leaf) - (coalesce(avg(d) FILTER (WHERE j<s.leaf),0)+coalesce(avg(d) FILTER (WHERE i>=s.leaf),0))/2)) c FROM leaves s JOIN pairs p ON p.piece=s.piece AND i>=s.leaf-2 AND j<s.leaf+2 WHERE s.leaf>0 GROUP BY 1,2)"""
+
+#: done(g, piece, tp, fp, fn, error, precision, recall, f1): matches in order, most first, then least distance, from
+#: fits(g, piece, k, i, c), what prediction k may be matched with at which cost, and sides(g, piece, np, nr), their numbers.
+MATCHED = """may AS (SELECT g, piece, k, i, c FROM fits UNION ALL SELECT g, piece, unnest(range(1, np+1)), NULL, 0 FROM sides),
+ walk AS (SELECT g, piece, 0::bigint k, 0::bigint i, 0::bigint n, 0.0::double d FROM sides UNION ALL SELECT g, piece, k, i, s.n, s.d FROM (SELECT w.g, w.piece, m.k::bigint k, coalesce(m.i, w.i)::bigint i, min({'n': w.n-(m.i IS NOT NULL)::bigint, 'd': w.d+m.c}) s FROM walk w JOIN may m ON m.g=w.g AND m.piece=w.piece AND m.k=w.k+1 AND (m.i IS NULL OR m.i>w.i) GROUP BY ALL)),
+ ended AS (SELECT g, piece, min({'n': n, 'd': d}) s FROM walk JOIN sides USING(g, piece) WHERE k=np GROUP BY 1,2),
+ told AS (SELECT g, piece, (-s.n)::bigint tp, np+s.n fp, nr+s.n fn, CASE WHEN s.n<0 THEN s.d/-s.n END error FROM ended JOIN sides USING(g, piece)),
+ rates AS (SELECT *, CASE WHEN tp+fp=0 THEN 0 ELSE tp/(tp+fp) END "precision", CASE WHEN tp+fn=0 THEN 0 ELSE tp/(tp+fn) END recall FROM told), done AS (SELECT *, CASE WHEN "precision"+recall=0 THEN 0 ELSE 2*"precision"*recall/("precision"+recall) END f1 FROM rates)"""
+
+#: moved(piece, t, edge) from marks(piece, t), with repeats, and edges(piece, t): each of the shorter list at one of the
+#: longer, in order, with the least total distance, leftmost; traced back from the last.
+PROJECTED = """lists AS (SELECT piece, 1 kind, t, row_number() OVER (PARTITION BY piece ORDER BY t) k FROM marks UNION ALL SELECT piece, 0, t, row_number() OVER (PARTITION BY piece ORDER BY t) FROM (SELECT DISTINCT piece, t FROM edges)),
+ counts_ AS (SELECT piece, count(*) FILTER (WHERE kind=1) nm, count(*) FILTER (WHERE kind=0) ne FROM lists GROUP BY 1 HAVING nm>0 AND ne>0),
+ sided AS (SELECT l.piece, (kind=1)=(nm<=ne) short, t, k, least(nm, ne) n FROM lists l JOIN counts_ USING(piece)),
+ cost_ AS (SELECT a.piece, a.k a, b.k b, a.n n, abs(a.t-b.t) c FROM sided a JOIN sided b ON b.piece=a.piece AND a.short AND NOT b.short),
+ ahead AS (SELECT piece, a, b, n, c v FROM cost_ WHERE a=1 UNION ALL SELECT c.piece, c.a, c.b, c.n, min(f.v)+c.c FROM ahead f JOIN cost_ c ON c.piece=f.piece AND c.a=f.a+1 AND c.b>f.b GROUP BY c.piece, c.a, c.b, c.n, c.c),
+ trace AS (SELECT piece, n a, arg_min(b, {'v': v, 'b': b}) b FROM ahead WHERE a=n GROUP BY 1,2 UNION ALL SELECT t.piece, t.a-1, arg_min(f.b, {'v': f.v, 'b': f.b}) FROM trace t JOIN ahead f ON f.piece=t.piece AND f.a=t.a-1 AND f.b<t.b GROUP BY 1,2),
+ moved AS (SELECT r.piece, CASE WHEN nm<=ne THEN s.t ELSE l.t END t, CASE WHEN nm<=ne THEN l.t ELSE s.t END edge FROM trace r JOIN counts_ USING(piece) JOIN sided s ON s.piece=r.piece AND s.short AND s.k=r.a JOIN sided l ON l.piece=r.piece AND NOT l.short AND l.k=r.b)"""
