@@ -29,7 +29,7 @@ from ..operators import training as G
 from ..operators import trees as R
 from ..operators import views
 from ..shipping import ship
-from ..sources import forms
+from ..sources import forms, manifests
 from ..sources.tables import parsed_labels
 from . import sql as Q
 
@@ -302,6 +302,21 @@ def manifest_cardinality(spark, d):
     return J.checked_lookup(left, right, "key").select("c_custkey", "matches", "reason", "status")
 
 
+#: Documents stand for annotations and pages for scores; pages of one number modulo 150 share a key.
+_LISTED = """a AS (SELECT 'd'||doc_id piece, coalesce(source,'') work, CASE WHEN lang IS NOT NULL THEN doc_id END k, 'documents/'||doc_id p, sha256(coalesce(text,'')) h, CASE WHEN coalesce(text,'')='' THEN 'no text' END issue FROM documents),
+ s AS (SELECT page_id%150 k, count(*) n, min({'p': 'pages/'||page_id, 'h': sha256(coalesce(html,''))}) s FROM pages WHERE page_id IS NOT NULL GROUP BY 1)"""
+
+
+@query("data_manifest", f"""WITH {_LISTED}, x AS (SELECT *, CASE WHEN issue IS NOT NULL THEN 'annotation_invalid: '||issue WHEN a.k IS NULL THEN 'annotation_filename_unrecognised' WHEN n IS NULL THEN 'paired_score_missing' WHEN n>1 THEN 'paired_score_ambiguous' ELSE '' END reason FROM a LEFT JOIN s ON a.k=s.k)
+ SELECT 'given' dataset, work, piece, p annotation_path, CASE WHEN n=1 THEN s.p ELSE '' END score_path, CASE WHEN reason='' THEN 'included' ELSE 'excluded' END status, reason, h annotation_sha256, CASE WHEN n=1 THEN s.h ELSE '' END score_sha256, 'r1' annotation_revision, '' score_revision FROM x""")
+def data_manifest(spark, d):
+    """Documents paired with pages, with reasons, checksums and revisions."""
+    sha = lambda c: F.sha2(F.coalesce(F.col(c), F.lit("")), 256).alias("sha256")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("d"), "doc_id").alias("piece"), F.coalesce("source", F.lit("")).alias("work"), F.when(F.col("lang").isNotNull(), F.col("doc_id")).alias("key"), F.concat(F.lit("documents/"), "doc_id").alias("path"), sha("text"), F.when(F.coalesce("text", F.lit("")) == "", "no text").alias("issue"))
+    pages = spark.read.parquet(f"{d}/pages.parquet").select((F.col("page_id") % 150).alias("key"), F.concat(F.lit("pages/"), "page_id").alias("path"), sha("html"))
+    return manifests.with_revisions(manifests.looked_up(docs, pages, "given"), {"given": ("r1", "")})
+
+
 @query("contain_join", f"WITH {_ISLANDS} SELECT n.piece, event_id, seg FROM notes n JOIN segs g ON g.piece=n.piece AND n.onset>=s AND n.onset+n.dur<=e")
 def contain_join(spark, d):
     inner = views.notes(spark, d).select("piece", "event_id", F.col("onset").alias("s"), (F.col("onset") + F.col("dur")).alias("e"))
@@ -1146,7 +1161,22 @@ def leaves_of_sizes(spark, d):
 MIXED = ["euclidean", "circle_of_fifths", "key_profile"]
 
 
-@query("mixture_search")
+_WEIGHTS = [(a / 4, b / 4, (4 - a - b) / 4) for a in range(5) for b in range(5 - a)]
+#: Distances of summed neighbours for each of MIXED, scaled; one program for each piece and weights, whose names are joined.
+_MIXTURES = f"""{Q.leaves()}, {Q.ANGLES}, {Q.SUMMED.replace("gaps AS", "gaps1 AS")}, circle AS (SELECT s.piece, s.i, s.j, sum(u*cos(a)) x, sum(u*sin(a)) y FROM units s JOIN angles USING(pc) GROUP BY 1,2,3), {Q.activations("units", "piece, i, j")},
+ far AS (SELECT 0 m, piece, i, k, j, d FROM gaps1 UNION ALL SELECT 1, a.piece, a.i, a.j, b.j, sqrt((a.x-b.x)**2+(a.y-b.y)**2) FROM circle a JOIN circle b ON a.piece=b.piece AND a.j=b.i
+  UNION ALL SELECT 2, a.piece, a.i, a.j, b.j, sqrt(sum((a.r-b.r)*(a.r-b.r))) FROM acts a JOIN acts b ON a.piece=b.piece AND a.j=b.i AND a.k=b.k GROUP BY a.piece, a.i, a.j, b.j),
+ scale_ AS (SELECT m, coalesce(median(d) FILTER (WHERE d>1e-12 AND k=i+1 AND j=k+1), 1.0) s FROM far GROUP BY 1),
+ w(id, w0, w1, w2) AS (VALUES {", ".join(str((i, *x)) for i, x in enumerate(_WEIGHTS))}), ends AS (SELECT piece||'|'||id piece, n FROM (SELECT piece, max(leaf)+1 n FROM leaves GROUP BY 1) CROSS JOIN w),
+ gains AS (SELECT piece||'|'||id piece, i, k, j, -sum(d/s*CASE m WHEN 0 THEN w0 WHEN 1 THEN w1 ELSE w2 END) g FROM far JOIN scale_ USING(m) CROSS JOIN w GROUP BY ALL), {Q.cuts("gains", 8, "k")}, {Q.UNFOLD}, {_REFS},
+ upper AS (SELECT a.piece, a.k, count(b.k) depth FROM split_ a LEFT JOIN split_ b ON b.piece=a.piece AND b.i<=a.i AND b.j>=a.j AND b.k<>a.k GROUP BY 1,2 HAVING count(b.k)<3),
+ preds AS (SELECT split_part(u.piece,'|',2)::int g, l.piece, start_qb t, row_number() OVER (PARTITION BY u.piece ORDER BY u.k) k FROM upper u JOIN leaves l ON l.piece=split_part(u.piece,'|',1) AND l.leaf=u.k), fits AS (SELECT g, p.piece, k, i, abs(t-r) c FROM preds p JOIN refs USING(piece) WHERE abs(t-r)<=48),
+ sides AS (SELECT id g, a.piece, (SELECT count(*) FROM preds p WHERE p.g=id AND p.piece=a.piece) np, (SELECT count(*) FROM refs r WHERE r.piece=a.piece) nr FROM (SELECT DISTINCT piece FROM leaves) a CROSS JOIN w), {Q.MATCHED},
+ by_work AS (SELECT work, d.g, avg(f1) f1, avg(recall) recall, avg(-v) objective FROM done d JOIN (SELECT DISTINCT piece, work FROM notes) USING(piece) JOIN best o ON o.piece=d.piece||'|'||d.g JOIN ends e ON e.piece=o.piece AND o.i=0 AND o.j=n GROUP BY 1,2),
+ means AS (SELECT g, round(avg(f1),9) f1, round(avg(recall),9) recall, round(avg(objective),9) objective FROM by_work GROUP BY 1)"""
+
+
+@query("mixture_search", f"WITH RECURSIVE {_MIXTURES} SELECT w0::double euclidean, w1::double circle_of_fifths, w2::double key_profile, round(f1,6) f1, round(recall,6) recall, round(objective,6)+0.0 objective FROM means JOIN w ON id=g ORDER BY means.f1 DESC, means.recall DESC, means.objective, id LIMIT 1")
 def mixture_search(spark, d):
     """The mixture of three distances whose exact additive trees match the references best, over the whole simplex."""
     work, rows = views.notes(spark, d).select("piece", "work").distinct(), leaves(spark, d)
@@ -1154,7 +1184,7 @@ def mixture_search(spark, d):
     medians = near[0].unionByName(near[1]).unionByName(near[2]).where("dist > 1e-12").groupBy("k").agg(F.median("dist").alias("m"))
     scales = {r["k"]: r["m"] for r in medians.collect()}
     counted = H.mixture_counts(rows, reference(spark, d), MIXED, [scales.get(k, 1.0) for k in MIXED], 4, 3, 48.0)
-    return H.choose_mixture(M.with_rates(counted).join(work, "piece")).select("weights", r6("f1"), r6("recall"), r6("objective"))
+    return H.choose_mixture(M.with_rates(counted).join(work, "piece")).select(*(F.col("weights")[i].alias(k) for i, k in enumerate(MIXED)), r6("f1"), r6("recall"), r6("objective"))
 
 
 @query("mixture_choice", f"WITH {Q.SCORES}, own AS (SELECT work, cfg, avg(f1) f, avg(recall) r, avg(tp+fp) o FROM full_scores GROUP BY 1,2), m AS (SELECT cfg, round(avg(f),9) f, round(avg(r),9) r, round(avg(o),9) o FROM own GROUP BY 1) SELECT round(cfg/2.0::double,6) w1, round(1-cfg/2.0::double,6) w2, round(f,6) f1, round(r,6) recall, round(o,6) objective FROM m QUALIFY row_number() OVER (ORDER BY f DESC, r DESC, o, cfg)=1")
