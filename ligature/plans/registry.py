@@ -1030,6 +1030,12 @@ def interval_pair_counts(spark, d):
     return rows.groupBy("work", "label").agg(F.count("*").alias("n"))
 
 
+@query("projected_splits", f"WITH RECURSIVE {_MOVED} SELECT DISTINCT m.piece, leaf split FROM moved m JOIN leaves l ON l.piece=m.piece AND leaf>0 AND start_qb=edge")
+def projected_splits(spark, d):
+    """The positive splits of the pairs below, before any sampling."""
+    return Y.positive_splits(leaves(spark, d), reference(spark, d), "projected").select("piece", F.col("split").cast("int").alias("split"))
+
+
 @query("projected_pairs")
 def projected_pairs(spark, d):
     """Labels by projection: pairs of a balanced sample with their distance."""
