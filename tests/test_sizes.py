@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ligature.operators import affinity as A
 from ligature.operators import binning as B
 from ligature.operators import dealing, views
+from ligature.operators import kernels as K
+from ligature.operators import trees as R
 from ligature.plans import registry
 
 
@@ -18,3 +20,26 @@ def test_tasks_grow_with_the_events(spark, tiny, monkeypatch):
             at = rows.select("piece", F.spark_partition_id().alias("at"))
             assert rows.rdd.getNumPartitions() == tasks
             assert at.groupBy("piece").agg(F.countDistinct("at").alias("n")).where("n > 1").count() == 0
+
+
+def test_equal_trees_are_compared_once(spark, monkeypatch):
+    """Classes and their counts give what all pairs of trees give, with the distances of few pairs."""
+    forms = [[(0, 0, "r"), (1, 1, "a"), (2, 1, "b")], [(0, 0, "r"), (1, 1, "a"), (2, 2, "b")], [(0, 0, "r"), (1, 1, "c")]]
+    rows = [(f"w{k % 2}", f"p{k}", *x) for k in range(24) for x in forms[(k // 2) % 3]]
+    one = spark.createDataFrame(rows, "dataset string, piece string, node int, depth int, label string")
+    two = one.where("dataset = 'w1'").withColumn("dataset", F.lit("w0"))
+    mean = lambda df, n: {tuple(r) for r in df.groupBy("dataset").agg(F.sum(n).cast("long"), F.sum(F.col("ted") * n).cast("long"), F.round(F.sum(F.col("by_sum") * n), 9), F.round(F.sum(F.col("by_max") * n), 9)).collect()}
+    classes = R.tree_classes(one)
+    assert classes.select("form").distinct().count() == 3
+    after = classes.where("dataset = 'w1'").withColumn("dataset", F.lit("w0"))
+    for pairs, all_ in ((R.class_pairs(classes), R.tree_pairs(one)), (R.class_pairs(classes, after), R.tree_pairs(one, two))):
+        found = R.class_distances(pairs, classes)
+        assert found.count() <= 12 < all_.count()
+        assert mean(found, F.col("pairs")) == mean(all_, F.lit(1))
+
+
+def test_edit_distance_of_a_million_cells():
+    """Two chains of a thousand nodes."""
+    chain = lambda k: R.postorder([(d, 0, str(d % k)) for d in range(1000)])
+    assert K.edit_distance(chain(1), chain(1)) == 0
+    assert K.edit_distance(chain(1), chain(2)) == 500
