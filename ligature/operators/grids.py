@@ -130,6 +130,153 @@ def trial_counts(leaves: DataFrame, marks: DataFrame, contrasts: DataFrame, grid
     return rows.select("piece", "leaves", "marks", "trials").mapInPandas(run, COUNTED)
 
 
+def spans_of(cut: np.ndarray) -> np.ndarray:
+    """[program, split - 1]: leaves of the node that each split divides, from cuts [program, first, past the last]."""
+    size, n = len(cut), cut.shape[1] - 1
+    out, used = np.zeros((size, n - 1), np.int64), np.zeros(cut.shape, bool)
+    used[:, 0, n] = True
+    for length in range(n, 1, -1):
+        for i in range(n - length + 1):
+            at = np.flatnonzero(used[:, i, i + length])
+            k = cut[at, i, i + length]
+            out[at, k - 1] = length
+            used[at, i, k] = used[at, k, i + length] = True
+    return out
+
+
+def exact_spans(prefix: np.ndarray, whole: np.ndarray, of: np.ndarray, contrast: np.ndarray, weight: np.ndarray, balance: np.ndarray) -> np.ndarray:
+    """spans_of the boundary programs of pieces of one length; prefix, whole: one for each piece; `of`: the piece of each program."""
+    n, w, b = prefix.shape[1] - 1, weight[:, None, None], balance[:, None, None]
+    some = whole > 0
+
+    def gain(length: int, i: np.ndarray, k: np.ndarray, j: np.ndarray) -> np.ndarray:
+        cross = prefix[:, k, j] - prefix[:, i, j] - prefix[:, k, k] + prefix[:, i, k]
+        revenue = np.where(some[:, None, None], (n - length) * cross / np.where(some, whole, 1.0)[:, None, None], 0.0)[of]
+        uneven = (2 * k - i - j) / length
+        return (1 - w) * revenue + (w * np.log(length) / np.log(n) * contrast[:, k - 1] - b * uneven**2) / max(1, n - 1)
+
+    return spans_of(K.interval_cuts(n, len(of), gain, "midpoint")[0])
+
+
+def greedy_spans(prefix: np.ndarray, of: np.ndarray, contrast: np.ndarray, weight: np.ndarray, balance: np.ndarray) -> np.ndarray:
+    """As exact_spans, of boundary linkage."""
+    n, row, w, b = prefix.shape[1] - 1, np.arange(len(of))[:, None], weight[:, None], balance[:, None]
+    edges, out, p = np.tile(np.arange(n + 1), (len(of), 1)), np.zeros((len(of), n - 1), np.int64), of[:, None]
+    while edges.shape[1] > 2:
+        i, k, j = edges[:, :-2], edges[:, 1:-1], edges[:, 2:]
+        mean = (prefix[p, k, j] - prefix[p, i, j] - prefix[p, k, k] + prefix[p, i, k]) / ((k - i) * (j - k))
+        value = (1 - w) * mean - w * contrast[row, k - 1] - b * ((2 * k - i - j) / (j - i)) ** 2
+        at = value.argmax(axis=1)
+        one = row[:, 0]
+        out[one, k[one, at] - 1] = j[one, at] - i[one, at]
+        keep = np.ones(edges.shape, bool)
+        keep[one, at + 1] = False
+        edges = edges[keep].reshape(len(of), -1)
+    return out
+
+
+SUMMED = "kind string, stage string, outer_work string, work string, search string, weight double, balance double, mode string, value double, pieces long, f1 double, recall double, precision double"
+#: Cells of the tables of programs that run at once.
+CELLS = 2_000_000
+
+
+def trial_sums(leaves: DataFrame, marks: DataFrame, features: DataFrame, names: list[str], trials: list[dict], grid: list[tuple[float, float]], thresholds: list[float], ratios: list[float], tolerance: float, distance: str = "euclidean", searches: tuple[str, ...] = SEARCHES, most: int = MOST_LEAVES) -> DataFrame:
+    """What trial_counts counts, for the trials of fitted scorers and both plain kinds, as sums of rates over the pieces of a work.
+
+    features: (piece, work, split, names), trials: dicts of stage, outer_work, work, weights, gain, intercept. A task adds up
+    its pieces, so the rows that leave it don't grow with them: (..., pieces, f1, recall, precision). Trees of all trials and
+    settings of pieces of one length are built at once, those without weight on contrasts for all trials in common.
+    """
+    one = features.groupBy("piece", "work").agg(F.array_sort(F.collect_list(F.struct("split", F.array(*names).cast("array<double>").alias("x")))).alias("c"))
+    rows = dealt(packed(leaves, ["piece"], marks, most).join(one, "piece"), "piece")
+    rows = rows.where((F.size("leaves") > 1) & (F.size("c") == F.size("leaves") - 1))
+    tried: dict[str, list[dict]] = {}
+    for t in sorted(trials, key=lambda t: (t["work"], t["stage"] == "outer", t["outer_work"])):
+        tried.setdefault(t["work"], []).append(t)
+    candidates = [(MODES[0], float(v)) for v in thresholds] + [(MODES[1], float(v)) for v in ratios] + [(MODES[2], None)]
+    plain, zero = [g for g in grid if g[0] == 0], {g: at for at, g in enumerate(g for g in grid if g[0] == 0)}
+
+    def rates(vectors, edges, times, x, fitted):
+        """[contrast, setting, search, candidate, rate] of each piece; all have the same number of leaves and trials."""
+        size, n = len(vectors), len(edges[0]) - 1
+        aff = [matrix(v, distance) for v in vectors]
+        prefix, whole = np.stack([K.prefix2(a) for a in aff]), np.array([K.denominator(a) for a in aff])
+        x = np.stack(x)
+        logit = fitted[2][:, :, None] + fitted[1][:, :, None] * (np.einsum("psf,ptf->pts", x, fitted[0]) - 0.5)
+        score = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
+        # Contrasts of a piece: none, the mean, and those of its trials.
+        contrast = np.concatenate([np.ones((size, 1, n - 1)), x.mean(axis=2)[:, None], score], axis=1)
+        kinds = contrast.shape[1]
+        # Programs: the settings without weight once, then the others for each contrast but the first.
+        other = [g for g in grid if g[0] != 0]
+        jobs = [(0, *g) for g in plain] + [(c, *g) for c in range(1, kinds) for g in other]
+        of, c = np.repeat(np.arange(size), len(jobs)), np.tile([j[0] for j in jobs], size)
+        weight, balance = (np.tile(np.array([j[k] for j in jobs], float), size) for k in (1, 2))
+        own = contrast[of, c]
+        # The program of each contrast and setting; the first contrast takes only settings without weight.
+        uses = [(c, s, zero[g] if g[0] == 0 else len(plain) + (c - 1) * len(other) + other.index(g)) for c in range(kinds) for s, g in enumerate(grid) if c or g[0] == 0]
+        span = np.array([0.0, *(np.log(m) / np.log(n) for m in range(1, n + 1))])
+        counts = np.array([len(t) for t in times])
+        out = np.zeros((size, kinds, len(grid), len(searches), len(candidates), 3))
+        for a, search in enumerate(searches):
+            leaf = exact_spans(prefix, whole, of, own, weight, balance) if search == "exact" else greedy_spans(prefix, of, own, weight, balance)
+            leaf = leaf.reshape(size, len(jobs), n - 1)[:, [u[2] for u in uses]]
+            value = span[leaf] * contrast[:, [u[0] for u in uses]]
+            rank = np.lexsort((np.broadcast_to(np.arange(n - 1), value.shape), -leaf, -value), axis=-1).argsort(axis=-1)
+            masks = []
+            for mode, v in candidates:
+                if mode == MODES[0]:
+                    masks.append(value >= v)
+                else:
+                    masks.append(rank < (counts[:, None, None] if mode == MODES[2] else min(n - 1, max(1, round(v * (n - 1))))))
+            bits = np.packbits(np.stack(masks, axis=2), axis=-1)
+            for p in range(size):
+                kept, back = np.unique(bits[p].reshape(-1, bits.shape[-1]), axis=0, return_inverse=True)
+                found = []
+                for row in np.unpackbits(kept, axis=1, count=n - 1):
+                    tp, fp, fn = matches([float(edges[p][k + 1]) for k in np.flatnonzero(row)], times[p], tolerance)
+                    pr, re = tp / (tp + fp) if tp + fp else 0.0, tp / (tp + fn) if tp + fn else 0.0
+                    found.append((2 * pr * re / (pr + re) if pr + re else 0.0, re, pr))
+                out[p][[u[0] for u in uses], [u[1] for u in uses], a] = np.array(found)[back.ravel()].reshape(len(uses), len(candidates), 3)
+        return out
+
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+        number: dict[str, int] = {}
+        for f in batches:
+            groups: dict[tuple[int, int], list[tuple]] = {}
+            for work, items, times, c in zip(f["work"], f["leaves"], f["marks"], f["c"], strict=True):
+                if tried.get(work):
+                    groups.setdefault((len(items), len(tried[work])), []).append((work, *arrays(items), list(times), np.array([list(s["x"]) for s in c])))
+            for (n, t), pieces in groups.items():
+                step = max(1, CELLS // ((t + 2) * len(grid) * (n + 1) ** 2))
+                for at in range(0, len(pieces), step):
+                    works, vectors, edges, times, x = zip(*pieces[at : at + step], strict=True)
+                    fitted = [np.array([[m[k] for m in tried[w]] for w in works], float) for k in ("weights", "gain", "intercept")]
+                    for w, r in zip(works, rates(vectors, edges, times, x, fitted), strict=True):
+                        sums[w] = sums[w] + r if w in sums else r
+                        number[w] = number.get(w, 0) + 1
+        out = []
+        for work, r in sums.items():
+            for t, m in enumerate(tried[work]):
+                for kind, c in zip(KINDS, (0, 1, t + 2), strict=True):
+                    for s, (weight, balance) in enumerate(grid):
+                        if kind != KINDS[0] or weight == 0:
+                            for a, search in enumerate(searches):
+                                for b, (mode, value) in enumerate(candidates):
+                                    if mode != MODES[2] or m["stage"] == "outer":
+                                        out.append((kind, m["stage"], m["outer_work"], work, search, float(weight), float(balance), mode, value, number[work], *r[c, s, a, b].tolist()))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in SUMMED.split(", ")])
+
+    return rows.select("work", "leaves", "marks", "c").mapInPandas(run, SUMMED)
+
+
+def summed_select(sums: DataFrame) -> DataFrame:
+    """grid_select of rows of trial_sums."""
+    keys = ["stage", "kind", "outer_work", "mode", "weight", "balance", "value", "search", "work"]
+    return work_select(sums.groupBy(*keys).agg(*((F.sum(c) / F.sum("pieces")).alias(c) for c in ("f1", "recall", "precision"))))
+
+
 def grid_select(rated: DataFrame) -> DataFrame:
     """(kind, outer_work, mode, weight, balance, value, inner_f1, search, f1, recall, precision): outer scores of inner choices.
 
@@ -137,9 +284,14 @@ def grid_select(rated: DataFrame) -> DataFrame:
     searches of means over pieces. On ties of all three the smaller budget or higher threshold is taken, then the smaller
     balance, then the smaller weight. Oracle rows stand on the trees that the budget's choice built.
     """
+    keys = ["stage", "kind", "outer_work", "mode", "weight", "balance", "value", "search", "work"]
+    return work_select(rated.groupBy(*keys).agg(*(F.avg(c).alias(c) for c in ("f1", "recall", "precision"))))
+
+
+def work_select(by_work: DataFrame) -> DataFrame:
+    """grid_select of means over the pieces of each work."""
     names, dims = ("f1", "recall", "precision"), ["weight", "balance", "value"]
     keys, inner = ["kind", "outer_work", "mode"], F.col("stage") == "inner"
-    by_work = rated.groupBy("stage", *keys, *dims, "search", "work").agg(*(F.avg(c).alias(c) for c in names))
     # One table of means, over searches only within; windows then choose and hand the choice to the outer rows.
     means = by_work.withColumn("search", F.when(~inner, F.col("search"))).groupBy("stage", *keys, *dims, "search").agg(*(F.avg(c).alias(c) for c in names))
     means = means.withColumns({c: F.when(inner, F.round(c, 9)).otherwise(F.col(c)) for c in names})

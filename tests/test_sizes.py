@@ -1,11 +1,14 @@
 """What must not grow with the tables: the rows of a task, the trees built, the pairs compared."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ligature.operators import affinity as A
 from ligature.operators import binning as B
 from ligature.operators import dealing, views
+from ligature.operators import grids as H
 from ligature.operators import kernels as K
+from ligature.operators import matching as M
 from ligature.operators import trees as R
 from ligature.plans import registry
 
@@ -43,3 +46,26 @@ def test_edit_distance_of_a_million_cells():
     chain = lambda k: R.postorder([(d, 0, str(d % k)) for d in range(1000)])
     assert K.edit_distance(chain(1), chain(1)) == 0
     assert K.edit_distance(chain(1), chain(2)) == 500
+
+
+def test_sums_of_trials_leave_a_task_by_work(spark):
+    """trial_sums gives the rates of trial_counts, in rows that don't grow with the pieces."""
+    rng = np.random.default_rng(5)
+    pieces = [(f"p{k}", f"w{k % 2}", 2 + k % 5) for k in range(12)]
+    leaves = spark.createDataFrame([(p, i, float(i), i + 1.0, rng.uniform(0, 1, 12).tolist()) for p, _, n in pieces for i in range(n)], "piece string, leaf int, start double, end double, vec array<double>")
+    marks = spark.createDataFrame([(p, float(t)) for p, _, n in pieces for t in rng.uniform(0, n, 2)], "piece string, t double")
+    found = [(p, w, k, *rng.uniform(0, 1, 2).tolist()) for p, w, n in pieces for k in range(1, n)]
+    rows = spark.createDataFrame(found, "piece string, work string, split int, w1 double, w2 double")
+    trials = [dict(stage=s, outer_work=o, work=w, weights=[0.3, 0.7], gain=g, intercept=0.1) for s, o, w, g in (("inner", "w1", "w0", 2.0), ("outer", "w0", "w0", 1.0), ("inner", "w0", "w1", 0.5), ("outer", "w1", "w1", 3.0))]
+    grid = [(w, b) for w in (0.0, 0.5) for b in (0.0, 0.1)]
+    scores = []
+    for p, w, k, x, y in found:
+        for t in (t for t in trials if t["work"] == w):
+            logistic = 1 / (1 + np.exp(-(t["intercept"] + t["gain"] * (0.3 * x + 0.7 * y - 0.5))))
+            scores += [(kind, t["stage"], t["outer_work"], w, p, k, float(v)) for kind, v in zip(H.KINDS, (1.0, (x + y) / 2, logistic), strict=True)]
+    contrasts = spark.createDataFrame(scores, "kind string, stage string, outer_work string, work string, piece string, split int, score double")
+    args = grid, [0.1, 0.3], [0.25, 0.5], 0.6
+    keys = ["kind", "stage", "outer_work", "work", "search", "weight", "balance", "mode", "value"]
+    one = M.with_rates(H.trial_counts(leaves, marks, contrasts, *args)).groupBy(*keys).agg(F.count("*"), *(F.round(F.sum(c), 9) for c in ("f1", "recall", "precision")))
+    two = H.trial_sums(leaves, marks, rows, ["w1", "w2"], trials, *args).groupBy(*keys).agg(F.sum("pieces"), *(F.round(F.sum(c), 9) for c in ("f1", "recall", "precision")))
+    assert {tuple(r) for r in one.collect()} == {tuple(r) for r in two.collect()}
