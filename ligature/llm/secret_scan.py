@@ -28,8 +28,6 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-
 #: Tokens that the models judge.
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 WORD = r"[A-Za-z0-9+/_.=-]{4,}"
-#: Ordinary words are counted in about this many different texts, chosen by their hash.
-SAMPLE_DOCUMENTS = 4000
 #: One in so many held-out ordinary words may reach the cut, which is never below LEAST_RATIO (nats a step).
 MOST_FALSE = 2000
 LEAST_RATIO = 0.7
@@ -91,9 +89,8 @@ def samples(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
     any_base = F.col("t").rlike(ASSIGN) | F.col("t").rlike(ACCESS) | F.col("t").rlike(HEX)
     values = whole.where(any_base).select(F.explode(base_spans(F.col("t"))["value"]).alias("s")).groupBy("s").agg(F.lit(1).cast("long").alias("n"))
-    share = min(1.0, SAMPLE_DOCUMENTS / max(1, docs.count()))
-    # Copies of a text count once, so that no group of copies fills the sample.
-    some = whole.where((F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(share * 1_000_000)) & ~any_base).dropDuplicates(["t"])
+    # Copies of a text count once, so that no group of copies outweighs the others.
+    some = whole.where(~any_base).dropDuplicates(["t"])
     words = some.select(F.explode(F.regexp_extract_all("t", F.lit(WORD), F.lit(0))).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
     both = values.select(F.lit(True).alias("random"), "s", "n").unionByName(words.select(F.lit(False).alias("random"), "s", "n"))
     return both.withColumn("held", F.pmod(F.xxhash64("s"), F.lit(4)) == 3)
@@ -102,8 +99,8 @@ def samples(docs: DataFrame, text: str = "text") -> DataFrame:
 def fit(docs: DataFrame, text: str = "text") -> Model:
     """The models and their cut.
 
-    Random values come from all documents, ordinary words from a bounded sample of documents. At most one number for
-    each pair of symbols, and one for each step of the grid, reaches the driver.
+    Random values and ordinary words come from all documents. At most one number for each pair of symbols, and one for
+    each step of the grid, reaches the driver.
     """
     rows = cut(samples(docs, text))
     train = rows.where("not held")

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from ligature.llm import secret_scan
 from ligature.operators import affinity as A
 from ligature.operators import binning as B
 from ligature.operators import dealing, views
@@ -69,3 +70,11 @@ def test_sums_of_trials_leave_a_task_by_work(spark):
     one = M.with_rates(H.trial_counts(leaves, marks, contrasts, *args)).groupBy(*keys).agg(F.count("*"), *(F.round(F.sum(c), 9) for c in ("f1", "recall", "precision")))
     two = H.trial_sums(leaves, marks, rows, ["w1", "w2"], trials, *args).groupBy(*keys).agg(F.sum("pieces"), *(F.round(F.sum(c), 9) for c in ("f1", "recall", "precision")))
     assert {tuple(r) for r in one.collect()} == {tuple(r) for r in two.collect()}
+
+
+def test_secret_models_count_all_texts(spark):
+    """Ordinary words come from every different text, however many there are."""
+    docs = spark.range(6000).select(F.concat(F.lit("plainword "), F.lit("unique"), F.translate(F.col("id").cast("string"), "0123456789", "ghijklmnop")).alias("text"))
+    words = secret_scan.samples(docs.unionByName(docs)).where("not random")
+    assert words.where("s = 'plainword'").first()["n"] == 6000
+    assert words.count() == 6001
