@@ -11,11 +11,13 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .dealing import dealt
+from .packs import CELLS, arrow_schema, by_length, lists, padded
 from .selection import best, by_scores
 from .trees import MOST_LEAVES, TRANSFORMS, matrix
 
@@ -58,6 +60,39 @@ def matches(predicted: list[float], marks: list[float], tolerance: float) -> tup
     return tp, len(predicted) - tp, len(marks) - tp
 
 
+def match_counts(times: np.ndarray, chosen: np.ndarray, marks: np.ndarray, tolerance: float) -> np.ndarray:
+    """(tp, fp, fn) of `matches` for each choice of predictions of each piece, [piece, choice, 3].
+
+    times: [piece, place], rising; chosen: [piece, choice, place]; marks: [piece, place], rising, infinity after the last.
+    Equal predictions count once.
+    """
+    size, choices = chosen.shape[:2]
+    new = np.ones(times.shape, bool)
+    new[:, 1:] = times[:, 1:] != times[:, :-1]
+    if not new.all():
+        # The first of equal times stands for all.
+        first = np.maximum.accumulate(np.where(new, np.arange(times.shape[1]), 0), axis=1)
+        chosen = np.stack([(chosen & (first == k)[:, None]).any(axis=2) for k in range(times.shape[1])], axis=2)
+    end = lambda x: np.concatenate([x, np.full((*x.shape[:-1], 1), np.inf)], axis=-1)
+    found = end(np.sort(np.where(chosen, times[:, None], np.inf), axis=2)).reshape(size * choices, -1)
+    marks, who = end(marks), np.repeat(np.arange(size), choices)
+    row = np.arange(len(found))
+    tp, i, j = (np.zeros(len(found), np.int64) for _ in range(3))
+    for _ in range(found.shape[1] + marks.shape[1]):
+        x, y = found[row, i], marks[who, j]
+        live = np.isfinite(x) & np.isfinite(y)
+        if not live.any():
+            break
+        gap = np.subtract(x, y, out=np.zeros(len(x)), where=live)
+        hit = live & (np.abs(gap) <= tolerance)
+        early = live & ~hit & (gap < 0)
+        tp += hit
+        i += hit | early
+        j += live & ~early
+    n, m = np.isfinite(found).sum(axis=1), np.isfinite(marks).sum(axis=1)[who]
+    return np.stack([tp, n - tp, m - tp], axis=1).reshape(size, choices, 3)
+
+
 def above(nodes: list[K.Node], depth: int) -> list[int]:
     """The splits of the nodes above a depth."""
     at = {(i, j): k for i, j, k in nodes}
@@ -176,8 +211,6 @@ def greedy_spans(prefix: np.ndarray, of: np.ndarray, contrast: np.ndarray, weigh
 
 
 SUMMED = "kind string, stage string, outer_work string, work string, search string, weight double, balance double, mode string, value double, pieces long, f1 double, recall double, precision double"
-#: Cells of the tables of programs that run at once.
-CELLS = 2_000_000
 
 
 def trial_sums(leaves: DataFrame, marks: DataFrame, features: DataFrame, names: list[str], trials: list[dict], grid: list[tuple[float, float]], thresholds: list[float], ratios: list[float], tolerance: float, distance: str = "euclidean", searches: tuple[str, ...] = SEARCHES, most: int = MOST_LEAVES) -> DataFrame:
@@ -311,6 +344,42 @@ def seeded(*parts) -> str:
 
 
 CONFIGURED = "piece string, size double, method string, replicate int, kind string, budget int, tolerance double, tp long, fp long, fn long"
+SUMMED_SIZES = "work string, size double, method string, kind string, budget int, tolerance double, pieces long, f1 double, recall double, precision double"
+
+
+class Grid:
+    """The settings of configurations: trees, ways to take their splits, and tolerances."""
+
+    def __init__(self, distances: list[str], depths: list[int], budgets: list[int], tolerances: list[float], replicates: int, seed: int) -> None:
+        self.distances, self.depths, self.budgets, self.tolerances, self.replicates, self.seed = distances, depths, budgets, tolerances, replicates, seed
+        self.trees = [(name, 0) for name in distances] + [("balanced", 0)] + [("random", r) for r in range(replicates)]
+        self.kinds = [("depth", d) for d in depths] + [("budget", b) for b in budgets] + [("oracle", None)]
+
+    def counts(self, pieces: list[str], sizes: list[float], vectors: np.ndarray, edges: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """[piece, tree, kind, tolerance, (tp, fp, fn)] of pieces of one length; marks have infinity after the last."""
+        size, n = vectors.shape[:2]
+        number = np.isfinite(marks).sum(axis=1)
+        out = np.zeros((size, len(self.trees), len(self.kinds), len(self.tolerances), 3), np.int64)
+        for t, (name, r) in enumerate(self.trees):
+            if name == "balanced":
+                nodes = np.broadcast_to(np.array(K.balanced(n), np.int64).reshape(1, n - 1, 3), (size, n - 1, 3))
+            elif name == "random":
+                nodes = np.array([K.random_merges(n, seeded(self.seed, p, s, r)) for p, s in zip(pieces, sizes, strict=True)], np.int64).reshape(size, n - 1, 3)
+            else:
+                nodes = K.greedy_distances(vectors, TRANSFORMS[name])
+            deep, late = K.depths(nodes), np.arange(n - 2, -1, -1)
+            by_merge = [deep < d for d in self.depths] + [np.broadcast_to(late < b, deep.shape) for b in self.budgets] + [late < number[:, None]]
+            chosen = np.zeros((size, len(self.kinds), n - 1), bool)
+            np.put_along_axis(chosen, np.broadcast_to(nodes[:, None, :, 2] - 1, chosen.shape), np.stack(by_merge, axis=1), axis=2)
+            for x, tolerance in enumerate(self.tolerances):
+                out[:, t, :, x] = match_counts(edges[:, 1:n], chosen, marks, tolerance)
+        return out
+
+    def run(self, batch: pa.RecordBatch):
+        """(rows, counts) of the pieces of a batch (piece, size, leaves, marks), those of one length together."""
+        pieces, sizes, marks = batch["piece"].to_pylist(), batch["size"].to_pylist(), padded(batch["marks"])
+        for rows, vectors, edges in by_length(batch["leaves"], CELLS // 4):
+            yield rows, self.counts([pieces[k] for k in rows], [sizes[k] for k in rows], vectors, edges, marks[rows])
 
 
 def configurations(leaves: DataFrame, marks: DataFrame, distances: list[str], depths: list[int], budgets: list[int], tolerances: list[float], replicates: int = 1, seed: int = 0, most: int = MOST_LEAVES) -> DataFrame:
@@ -322,29 +391,62 @@ def configurations(leaves: DataFrame, marks: DataFrame, distances: list[str], de
     marks (`oracle`, whose budget is that number) are matched for each tolerance. Pieces over `most` leaves are left out.
     """
     rows = packed(leaves, ["piece", "size"], marks, most)
+    grid = Grid(distances, depths, budgets, tolerances, replicates, seed)
 
-    def choices(nodes: list[K.Node], marks: int):
-        for d in depths:
-            yield "depth", d, above(nodes, d)
-        late = [k for _, _, k in reversed(nodes)]
-        for b in budgets:
-            yield "budget", b, late[:b]
-        yield "oracle", marks, late[:marks]
+    def run(batches):
+        for batch in batches:
+            number, out = lists(batch["marks"])[1].tolist(), []
+            for own, counts in grid.run(batch):
+                for p, each in zip(own.tolist(), counts.tolist(), strict=True):
+                    name = (batch["piece"][p].as_py(), batch["size"][p].as_py())
+                    out += [
+                        (*name, method, r, kind, number[p] if value is None else value, float(t), *each[a][b][c])
+                        for a, (method, r) in enumerate(grid.trees) for b, (kind, value) in enumerate(grid.kinds) for c, t in enumerate(tolerances)
+                    ]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in CONFIGURED.split(", ")])
+
+    # Frames are made of batches of numbers, not of lists of structs.
+    def frames(batches):
+        for f in run(batches):
+            yield pa.RecordBatch.from_pandas(f, arrow_schema(CONFIGURED), preserve_index=False)
+
+    return rows.select("piece", "size", "leaves", "marks").mapInArrow(frames, CONFIGURED)
+
+
+def configuration_sums(leaves: DataFrame, marks: DataFrame, distances: list[str], depths: list[int], budgets: list[int], tolerances: list[float], replicates: int = 1, seed: int = 0, most: int = MOST_LEAVES) -> DataFrame:
+    """Rates of configurations as sums over the pieces of a work, with `pieces`; leaves have `work` too.
+
+    The rates of a piece are means over its replicates, and an oracle's budget is null. A task adds up its pieces, so the
+    rows that leave it don't grow with them: (work, size, method, kind, budget, tolerance, pieces, f1, recall, precision).
+    """
+    rows = packed(leaves, ["piece", "size", "work"], marks, most)
+    grid = Grid(distances, depths, budgets, tolerances, replicates, seed)
+    names = list(dict.fromkeys(name for name, _ in grid.trees))
 
     def run(batches):
-        for f in batches:
-            for piece, size, items, times in zip(f["piece"], f["size"], f["leaves"], f["marks"], strict=True):
-                vectors, edges = arrays(items)
-                n, times, out = len(vectors), list(times), []
-                trees = [(name, 0, K.greedy_distance(vectors, TRANSFORMS[name])) for name in distances] + [("balanced", 0, K.balanced(n))]
-                trees += [("random", r, K.random_merges(n, seeded(seed, piece, size, r))) for r in range(replicates)]
-                for method, r, nodes in trees:
-                    for kind, budget, splits in choices(nodes, len(times)):
-                        found = sorted({float(edges[k]) for k in splits})
-                        out += [(piece, size, method, r, kind, budget, float(t), *matches(found, times, t)) for t in tolerances]
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in CONFIGURED.split(", ")])
-
-    return rows.select("piece", "size", "leaves", "marks").mapInPandas(run, CONFIGURED)
+        sums: dict[tuple[str, float], list] = {}
+        for batch in batches:
+            keys = list(zip(batch["work"].to_pylist(), batch["size"].to_pylist(), strict=True))
+            for own, counts in grid.run(batch):
+                tp, fp, fn = np.moveaxis(counts.astype(float), -1, 0)
+                ratio = lambda a, b: np.divide(a, b, out=np.zeros(a.shape), where=b > 0)
+                precision, recall = ratio(tp, tp + fp), ratio(tp, tp + fn)
+                rates = np.stack([ratio(2 * precision * recall, precision + recall), recall, precision], axis=-1)
+                rates = np.stack([rates[:, [a for a, t in enumerate(grid.trees) if t[0] == name]].mean(axis=1) for name in names], axis=1)
+                groups: dict[tuple[str, float], list[int]] = {}
+                for at, p in enumerate(own.tolist()):
+                    groups.setdefault(keys[p], []).append(at)
+                for key, at in groups.items():
+                    n, x = sums.get(key, (0, 0.0))
+                    sums[key] = (n + len(at), x + rates[at].sum(axis=0))
+        out = [
+            (*key, method, kind, value, float(t), n, *x[a, b, c].tolist())
+            for key, (n, x) in sums.items() for a, method in enumerate(names) for b, (kind, value) in enumerate(grid.kinds) for c, t in enumerate(tolerances)
+        ]
+        schema = arrow_schema(SUMMED_SIZES)
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+
+    return rows.select("piece", "size", "work", "leaves", "marks").mapInArrow(run, SUMMED_SIZES)
 
 
 def simplex(parts: int, steps: int) -> np.ndarray:

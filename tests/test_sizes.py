@@ -78,3 +78,49 @@ def test_secret_models_count_all_texts(spark):
     words = secret_scan.samples(docs.unionByName(docs)).where("not random")
     assert words.where("s = 'plainword'").first()["n"] == 6000
     assert words.count() == 6001
+
+
+def random_pieces(spark, seed, sizes):
+    """(leaves with work and size, marks) of pieces of so many leaves."""
+    rng = np.random.default_rng(seed)
+    leaves = [(f"p{k}", f"w{k % 2}", 1.0, i, float(i), i + 1.0, rng.uniform(0, 1, 12).tolist()) for k, n in enumerate(sizes) for i in range(n)]
+    marks = [(f"p{k}", float(t)) for k, n in enumerate(sizes) if k % 4 for t in rng.uniform(0, n, 2)]
+    return spark.createDataFrame(leaves, "piece string, work string, size double, leaf int, start double, end double, vec array<double>"), spark.createDataFrame(marks, "piece string, t double")
+
+
+def test_pieces_are_dealt_by_the_rows_read(spark, tiny, monkeypatch):
+    """Packed pieces go to more tasks as the table grows, whatever lies in between."""
+    monkeypatch.setattr(dealing, "ROWS_A_TASK", 40)
+    n = spark.read.parquet(f"{tiny}/events.parquet").count()
+    assert dealing.dealt(registry.leaves(spark, tiny), "piece").rdd.getNumPartitions() == -(-n // 40)
+    assert dealing.rows_read(spark.range(3).toDF("piece")) == 0
+
+
+def test_sums_of_configurations_leave_a_task_by_work(spark):
+    """configuration_sums gives the rates of configurations, in rows that don't grow with the pieces."""
+    leaves, marks = random_pieces(spark, 6, [1 + k % 6 for k in range(18)])
+    args = ["euclidean", "circle_of_fifths"], [1, 2], [1, 3], [0.4, 1.0], 2
+    keys = ["work", "size", "method", "kind", "budget", "tolerance"]
+    one = M.with_rates(H.configurations(leaves.drop("work"), marks, *args)).withColumn("budget", F.when(F.col("kind") != "oracle", F.col("budget")))
+    one = one.join(leaves.select("piece", "work").distinct(), "piece").groupBy("piece", *keys).agg(*(F.avg(c).alias(c) for c in ("f1", "recall", "precision")))
+    sums = lambda df: {tuple(r) for r in df.groupBy(*keys).agg(*(F.round(F.sum(c), 9) for c in ("f1", "recall", "precision"))).collect()}
+    two = H.configuration_sums(leaves, marks, *args)
+    assert sums(one) == sums(two)
+    assert two.where("work = 'w0'").groupBy(*keys).agg(F.sum("pieces").alias("n")).where("n <> 9").count() == 0
+
+
+def test_pieces_of_one_length_merge_together():
+    """Trees and matches of many pieces equal those of each."""
+    rng = np.random.default_rng(7)
+    vectors = rng.uniform(0, 1, (20, 7, 12))
+    vectors[3, 2:5] = vectors[3, 2]
+    nodes = K.greedy_distances(vectors, R.unit)
+    assert [[tuple(x) for x in p] for p in nodes.tolist()] == [K.greedy_distance(v, R.unit) for v in vectors]
+    times, marks = np.sort(rng.integers(0, 9, (20, 6)), axis=1).astype(float), np.sort(rng.uniform(0, 9, (20, 4)), axis=1)
+    marks[5, 2:] = np.inf
+    chosen = rng.uniform(size=(20, 5, 6)) < 0.5
+    for tolerance in (0.2, 1.5):
+        got = H.match_counts(times, chosen, marks, tolerance)
+        for p in range(20):
+            for c in range(5):
+                assert tuple(got[p, c]) == H.matches(sorted(set(times[p][chosen[p, c]].tolist())), [m for m in marks[p].tolist() if np.isfinite(m)], tolerance)
