@@ -3,6 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from ligature.functions import encoders as E
+from ligature.functions import gradients as D
 from ligature.llm import secret_scan
 from ligature.operators import affinity as A
 from ligature.operators import binning as B
@@ -10,6 +12,7 @@ from ligature.operators import dealing, views
 from ligature.operators import grids as H
 from ligature.operators import kernels as K
 from ligature.operators import matching as M
+from ligature.operators import training as G
 from ligature.operators import trees as R
 from ligature.plans import registry
 
@@ -124,3 +127,37 @@ def test_pieces_of_one_length_merge_together():
         for p in range(20):
             for c in range(5):
                 assert tuple(got[p, c]) == H.matches(sorted(set(times[p][chosen[p, c]].tolist())), [m for m in marks[p].tolist() if np.isfinite(m)], tolerance)
+
+
+def test_episodes_of_one_length_run_together():
+    """Merges, losses and gradients of many pieces are those of each, also for pieces of one leaf."""
+    rng = np.random.default_rng(8)
+    enc, pol = E.harmonic_weights(1), E.policy_weights(2)
+    for n in (1, 2, 6):
+        vectors, edges = rng.uniform(0, 1, (9, n, 12)), np.sort(rng.uniform(0, 9, (9, n + 1)), axis=1)
+        marks = rng.uniform(size=(9, n + 1)) < 0.4
+        marks[:, 0] = marks[:, n] = False
+        sets = [set(np.flatnonzero(m).tolist()) for m in marks]
+        nodes, logp = E.rollouts(vectors, enc, pol)
+        each = [E.rollout(v, enc, pol) for v in vectors]
+        assert [[tuple(x) for x in p] for p in nodes.tolist()] == [x for x, _ in each]
+        assert np.allclose(logp, [x for _, x in each])
+        assert np.allclose(G.average_precisions(nodes, edges, marks), [G.average_precision(x, e, m) for (x, _), e, m in zip(each, edges, sets, strict=True)])
+        one = [G.imitation(v, m, enc, pol) for v, m in zip(vectors, sets, strict=True)]
+        two = [G.reinforce(v, e, m, enc, pol, np.random.default_rng(k), 0.01)[1:] for k, (v, e, m) in enumerate(zip(vectors, edges, sets, strict=True))]
+        chance = np.stack([np.random.default_rng(k).random(n - 1) for k in range(9)])
+        for plain, (loss, g) in ((one, G.imitations(vectors, marks, enc, pol)), (two, G.reinforcements(vectors, edges, marks, enc, pol, chance, 0.01))):
+            assert np.isclose(loss, sum(x for x, _ in plain))
+            assert np.allclose(g, sum(D.flat(x) for _, x in plain))
+
+
+def test_layers_are_products_of_matrices():
+    """A layer gives what its sum over channels and taps gives."""
+    rng = np.random.default_rng(9)
+    x, w, b = rng.normal(size=(4, 3, 12)), rng.normal(size=(5, 3, 3)), rng.normal(size=5)
+    for dilation in E.DILATIONS:
+        want = np.zeros((4, 5, 12)) + b[None, :, None]
+        for at in range(12):
+            for k in range(3):
+                want[:, :, at] += x[:, :, (at + (k - 1) * dilation) % 12] @ w[:, :, k].T
+        assert np.allclose(E.circular(x, w, b, dilation), want)
