@@ -161,3 +161,11 @@ def test_layers_are_products_of_matrices():
             for k in range(3):
                 want[:, :, at] += x[:, :, (at + (k - 1) * dilation) % 12] @ w[:, :, k].T
         assert np.allclose(E.circular(x, w, b, dilation), want)
+
+
+def test_contrasts_need_only_near_leaves(spark, tiny):
+    """Windows give what all pairs of leaves give."""
+    reps = A.represented(registry.leaves(spark, tiny), "euclidean")
+    for k in (1, 2, 3):
+        one, two = (df.select("piece", "split", F.round("contrast", 9)).collect() for df in (A.contrasts(A.distances(reps), registry.leaves(spark, tiny), k), A.local_contrasts(reps, k)))
+        assert one and set(one) == set(two)
