@@ -300,15 +300,19 @@ def kept(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 LISTS = "array<struct<u:int,lo:int,hi:int>>"
 
 
-def with_intervals(docs: DataFrame, strings: Strings) -> DataFrame:
-    """docs (with h, crc, t) and `iv`, the intervals (number in strings, first, last) of their text, null if none."""
+def with_intervals(docs: DataFrame, strings: Strings) -> tuple[DataFrame, DataFrame]:
+    """(docs surely without repeated strings, the others with `iv`, the intervals (number in strings, first, last) of their
+    text, null if none); docs: h, crc, t.
+
+    The filter runs in a Python worker of its own, which stays once started. A shuffle parts the others from it, and the rows
+    without are best finished by column functions, so that a task never holds two workers.
+    """
     found = duplicated(docs.select(*KEY, F.col("t").alias("text")), strings)
     lists = found.groupBy(*KEY).agg(F.collect_list(F.struct("u", "lo", "hi")).alias("iv"))
     both = marked(docs, found, "h")
     copies = cut(counted(both.where("_in"), KEY))
-    none = both.where("not _in").withColumn("iv", F.lit(None).cast(LISTS))
-    some = spread_join(both.where("_in"), lists, KEY, how="left", sizes=copies)
-    return none.unionByName(some).drop("_in")
+    some = spread_join(both.where("_in"), lists.hint("merge"), KEY, how="left", sizes=copies)
+    return both.where("not _in").drop("_in"), some.drop("_in")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"
@@ -323,7 +327,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     table gives an empty result; other columns aren't read.
     """
     rows = keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    table = with_intervals(rows.drop("text"), [(BYTES, length), (WORDS, passage)])
+    none, some = with_intervals(rows.drop("text"), [(BYTES, length), (WORDS, passage)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -339,7 +343,11 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
             kinds = [pa.int64()] * 3 + [pa.string(), pa.int64()]
             yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [c.split()[0] for c in RESULT.split(", ")])
 
-    return table.select(F.col("doc_id").cast("long"), "t", "iv").mapInArrow(run, RESULT)
+    whole, zero = F.col("t").cast("binary"), F.lit(0).cast("long")
+    clean = none.select(
+        F.col("doc_id").cast("long"), F.octet_length(whole).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"), zero.alias("n_passage_words")
+    )
+    return clean.unionByName(some.select(F.col("doc_id").cast("long"), "t", "iv").mapInArrow(run, RESULT))
 
 
 def strip(docs: DataFrame, text: str = "text", length: int | None = None, unit: Unit = BYTES) -> DataFrame:
@@ -350,7 +358,7 @@ def strip(docs: DataFrame, text: str = "text", length: int | None = None, unit:
     """
     names, length = docs.columns, length or unit.length
     plain = docs.select(F.col(text).alias("text"), F.struct(*(F.col(c) for c in names)).alias("row"))
-    table = with_intervals(keyed(plain).drop("text"), [(unit, length)])
+    none, some = with_intervals(keyed(plain).drop("text"), [(unit, length)])
 
     @F.pandas_udf("string")
     def left(t, iv):
@@ -363,4 +371,5 @@ def strip(docs: DataFrame, text: str = "text", length: int | None = None, unit:
         return pd.Series(out, dtype=object)
 
     clean: Column = F.when(F.col("iv").isNull(), F.col("row")[text]).otherwise(left(F.col("t"), F.coalesce("iv", F.array().cast(LISTS))))
-    return table.withColumn("clean", clean).select(*(F.col("clean").alias(c) if c == text else F.col("row")[c].alias(c) for c in names))
+    stripped = some.withColumn("clean", clean).select(*(F.col("clean").alias(c) if c == text else F.col("row")[c].alias(c) for c in names))
+    return none.select(*(F.col("row")[c].alias(c) for c in names)).unionByName(stripped)

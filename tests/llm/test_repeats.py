@@ -249,6 +249,42 @@ def test_calls_remove_their_own_tables_only(spark, tiny):
     assert good.agg(F.sum(F.length("text"))).first()[0] > 0
 
 
+def workers_of_a_task(df):
+    """The most Python nodes of df's plan that one task runs, between exchanges."""
+    deepest = 0
+
+    def upto(node):
+        nonlocal deepest
+        kids = node.children()
+        below = max((upto(kids.apply(k)) for k in range(kids.size())), default=0)
+        if "Exchange" in node.nodeName():
+            return 0
+        n = below + any(k in node.nodeName() for k in ("InArrow", "InPandas", "EvalPython"))
+        deepest = max(deepest, n)
+        return n
+
+    upto(df._jdf.queryExecution().executedPlan())
+    return deepest
+
+
+def test_no_task_of_the_last_steps_holds_two_workers(spark, tmp_path):
+    same = prose(3, 90)
+    spark.createDataFrame([(1, same), (2, "one " + same), (3, prose(4, 80)), (4, None), (5, "é")], "doc_id long, text string").write.parquet(f"file://{tmp_path}/docs")
+    docs = spark.read.parquet(f"file://{tmp_path}/docs")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found, stripped = suffix_dedup.dedup(docs), suffix_dedup.strip(docs, unit=suffix_dedup.WORDS)
+        assert workers_of_a_task(found) == 1 and workers_of_a_task(stripped) == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    rows = {r["doc_id"]: r for r in found.collect()}
+    for i, text in ((3, prose(4, 80)), (4, ""), (5, "é")):
+        assert tuple(rows[i]) == (i, len(text.encode()), 0, 0, hashlib.sha256(text.encode()).hexdigest(), 0)
+    assert rows[1]["n_removed"] == len(same) and rows[2]["n_passage_words"] == 90
+    assert dict(listed(stripped)) == {1: "", 2: "one ", 3: prose(4, 80), 4: None, 5: "é"}
+
+
 def test_new_queries_are_registered():
     names = queries.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
