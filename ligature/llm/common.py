@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut as cut
+from ..lineage import shared_dir
 from ..shipping import ship
 
 #: ASCII white space, the separators of words in every contract of this package.
@@ -23,31 +24,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
-
-    Only where it is unset, and only in local mode, a temporary folder takes its place.
-    """
-    context = spark.sparkContext
-    place = context.getConf().get("spark.checkpoint.dir")
-    if place:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(place)
-        return place
-    if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and cut its lineage; Spark removes the files with the last reference, if
-    spark.cleaner.referenceTracking.cleanCheckpoints is set."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

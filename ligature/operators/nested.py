@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gradients as G
 from ..functions import vectors as V
+from .dealing import ROWS_A_TASK
 from .selection import best, budget_of, by_scores
 from .training import summed
 
@@ -65,8 +66,8 @@ def fit_scorers(examples: DataFrame, features: list[str], label: str, members: D
     """(model, weights, gain, intercept): a logistic scorer with class-balanced weights for each model of members (model, work).
 
     examples: rows (work, label, features). All models step together: a task reads an example once an epoch and adds it
-    to the gradients of the models that hold its work, so examples aren't copied for each fold. A class that a model
-    lacks has no weight.
+    to the gradients of the models that hold its work, so examples aren't copied for each fold. A task takes ROWS_A_TASK
+    of them if there are so many, since each sends its sums once an epoch. A class that a model lacks has no weight.
     """
     spark = examples.sparkSession
     known = members.distinct().toArrow().to_pandas()
@@ -81,6 +82,7 @@ def fit_scorers(examples: DataFrame, features: list[str], label: str, members: D
     w = {"logits": np.zeros((len(models), len(features))), "raw_gain": np.full(len(models), 1.0), "intercept": np.zeros(len(models))}
     adam = G.Adam(rate)
     rows = examples.where(F.col("work").isin(works)).select("work", F.col(label).cast("int").alias("_y"), *features)
+    rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-int(sizes["n"].sum()) // ROWS_A_TASK)))
     for _ in range(epochs):
         shared = spark.sparkContext.broadcast((w, table, works))
 
@@ -105,9 +107,12 @@ def fit_scorers(examples: DataFrame, features: list[str], label: str, members: D
 
 
 def scored_by(rows: DataFrame, features: list[str], trials: DataFrame, models: DataFrame) -> DataFrame:
-    """rows of each trial (model, work, ...) with the `score` of its model."""
+    """rows of each trial (model, work, ...) with the `score` of its model.
+
+    Trials and models, which works alone bring about, are broadcast; rows, which grow with the corpus, stay where they are.
+    """
     mix = sum((F.col(c) * F.get("weights", F.lit(k)) for k, c in enumerate(features)), F.lit(0.0))
-    both = rows.join(trials.join(models, "model"), "work")
+    both = rows.join(F.broadcast(trials.join(F.broadcast(models), "model")), "work")
     return both.withColumn("score", V.sigmoid(F.col("intercept") + F.col("gain") * (mix - 0.5))).drop("weights", "gain", "intercept", "model")
 
 

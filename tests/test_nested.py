@@ -6,6 +6,7 @@ import pytest
 from ligature.operators import diagonal as D
 from ligature.operators import nested as X
 from ligature.operators import trees as R
+from ligature.plans import registry
 from ligature.sources import sinks
 
 
@@ -68,6 +69,48 @@ def test_candidates_and_their_choice(spark):
     assert {(r["mode"], r["value"], r["inner_f1"], r["f1"]) for r in X.nested_select(rated).collect()} == {("threshold", 0.8, 0.5, 0.8), ("budget", 0.2, 0.5, 0.2)}
 
 
+def broadcasts(spark, make):
+    """The columns of each table that the plan of make() broadcasts."""
+
+    def upto(node):
+        kids = [node.children().apply(k) for k in range(node.children().size())]
+        own = [{node.output().apply(k).name() for k in range(node.output().size())}] if "BroadcastExchange" in node.nodeName() else []
+        return own + [x for k in kids for x in upto(k)]
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return upto(make()._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_splits_are_not_broadcast(spark, tiny):
+    found = broadcasts(spark, lambda: registry.split_examples(spark, tiny))
+    assert found and not any({"split", "edge", "positive", "work"} & x for x in found)
+    rows = spark.createDataFrame([("p", 1, "a", 0.2), ("p", 2, "a", 0.4)], "piece string, split int, work string, u double")
+    trials = spark.createDataFrame([("m", "o", "a", "inner")], "model string, outer_work string, work string, stage string")
+    models = spark.createDataFrame([("m", [1.0], 2.0, 0.5)], "model string, weights array<double>, gain double, intercept double")
+    scored = lambda: X.scored_by(rows, ["u"], trials, models)
+    found = broadcasts(spark, scored)
+    assert found and not any("split" in x for x in found)
+    assert {(r["split"], round(r["score"], 6)) for r in scored().collect()} == {(k, round(float(1 / (1 + np.exp(-(0.5 + 2 * (u - 0.5))))), 6)) for k, u in ((1, 0.2), (2, 0.4))}
+
+
+def test_epochs_do_not_carry_the_steps_before_them(spark, tiny, monkeypatch):
+    class Met(Exception):
+        pass
+
+    def fit(rows, *_, **__):
+        raise Met(rows)
+
+    monkeypatch.setattr(X, "fit_scorers", fit)
+    for name in ("nested_validation", "nested_trees"):
+        with pytest.raises(Met) as met:
+            registry.queries()[name](spark, tiny)
+        assert "InMemory" not in met.value.args[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tests_before_the_freeze_are_found(spark):
     rows = [("x", 1, "load"), ("x", 2, "freeze"), ("x", 3, "test"), ("y", 1, "test"), ("y", 2, "freeze"), ("y", 3, "test"), ("z", 1, "test")]
     audit = spark.createDataFrame(rows, "run string, seq int, event string")
