@@ -19,8 +19,10 @@ from . import kernels as K
 from .dealing import dealt
 from .packs import CELLS, arrow_schema, by_length, lists, padded
 from .selection import best, by_scores
-from .trees import MOST_LEAVES, TRANSFORMS, matrix
+from .trees import TRANSFORMS, matrix
 
+#: Longer pieces are left out.
+MOST_LEAVES = 350
 #: Trials of one piece that go into one row.
 TRIALS = 16
 #: How a split is taken: by a threshold of its salience, by a share of the possible splits, or as many as there are marks.
