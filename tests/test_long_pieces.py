@@ -39,3 +39,9 @@ def test_salient_splits_of_long_pieces(spark, long):
     got, want = both(spark, long, "salient_splits")
     assert {f"u{u}" for u in LONG} <= {r[0] for r in want}
     assert got == want
+
+
+def test_salient_budget_of_long_pieces(spark, long):
+    got, want = both(spark, long, "salient_budget")
+    assert sum(r[0] == f"u{max(LONG)}" for r in want) == 3
+    assert got == want
