@@ -45,3 +45,10 @@ def test_salient_budget_of_long_pieces(spark, long):
     got, want = both(spark, long, "salient_budget")
     assert sum(r[0] == f"u{max(LONG)}" for r in want) == 3
     assert got == want
+
+
+def test_revenue_of_long_pieces(spark, long):
+    got, want = both(spark, long, "revenue_recompute")
+    assert [r[0] for r in got] == [r[0] for r in want] and f"u{max(LONG)}" in {r[0] for r in want}
+    # A long piece adds up tens of thousands of pairs, in another order.
+    assert [r[1] for r in got] == pytest.approx([r[1] for r in want], rel=1e-9)
