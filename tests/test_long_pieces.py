@@ -3,8 +3,10 @@
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
+from ligature.operators import kernels as K
 from ligature.plans import registry
 
 #: Users with an event every four days, and how many: a leaf of 96 hours each.
@@ -52,3 +54,23 @@ def test_revenue_of_long_pieces(spark, long):
     assert [r[0] for r in got] == [r[0] for r in want] and f"u{max(LONG)}" in {r[0] for r in want}
     # A long piece adds up tens of thousands of pairs, in another order.
     assert [r[1] for r in got] == pytest.approx([r[1] for r in want], rel=1e-9)
+
+
+def test_programs_of_long_pieces(spark, long):
+    got, want = both(spark, long, "program_not_worse")
+    assert got == want
+
+
+def test_merges_equal_those_found_anew():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 9, 40):
+        a, c = rng.integers(1, 4, (n, n)).astype(float), rng.integers(0, 3, max(0, n - 1)) / 2
+        a = a + a.T
+        prefix = K.prefix2(a)
+
+        def pick(clusters, c=c, prefix=prefix):
+            pairs = [(i, k, j) for (i, k), (_, j) in zip(clusters, clusters[1:], strict=False)]
+            mean = [K.cross_sums(prefix, i, np.array([k]), j)[0] / ((k - i) * (j - k)) for i, k, j in pairs]
+            return int(np.argmax([0.7 * m - 0.3 * c[k - 1] - 0.1 * ((2 * k - i - j) / (j - i)) ** 2 for m, (i, k, j) in zip(mean, pairs, strict=True)]))
+
+        assert K.boundary_linkage(a, c, 0.3, 0.1) == K.merged(n, pick)
