@@ -33,11 +33,12 @@ SEARCHES = ("exact", "greedy")
 MARKS = "array<double>"
 
 
-def packed(leaves: DataFrame, keys: list[str], marks: DataFrame, most: int = MOST_LEAVES) -> DataFrame:
-    """(keys, leaves, marks): leaves in order and marks (piece, t) of pieces of at most `most` leaves; one shuffle each."""
+def packed(leaves: DataFrame, keys: list[str], marks: DataFrame, most: int | None = None) -> DataFrame:
+    """(keys, leaves, marks): leaves in order and marks (piece, t) of all pieces, or those of at most `most` leaves; one shuffle each."""
     rows = dealt(leaves, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("leaf", "start", "end", F.col("vec").cast("array<double>").alias("vec")))).alias("leaves"))
     times = marks.groupBy("piece").agg(F.sort_array(F.collect_list("t")).alias("marks"))
-    return rows.where(F.size("leaves") <= most).join(times, "piece", "left").withColumn("marks", F.coalesce("marks", F.array().cast(MARKS)))
+    some = rows if most is None else rows.where(F.size("leaves") <= most)
+    return some.join(times, "piece", "left").withColumn("marks", F.coalesce("marks", F.array().cast(MARKS)))
 
 
 def arrays(items) -> tuple[np.ndarray, np.ndarray]:
@@ -379,18 +380,19 @@ class Grid:
 
     def run(self, batch: pa.RecordBatch):
         """(rows, counts) of the pieces of a batch (piece, size, leaves, marks), those of one length together."""
-        pieces, sizes, marks = batch["piece"].to_pylist(), batch["size"].to_pylist(), padded(batch["marks"])
+        pieces, sizes = batch["piece"].to_pylist(), batch["size"].to_pylist()
         for rows, vectors, edges in by_length(batch["leaves"], CELLS // 4):
-            yield rows, self.counts([pieces[k] for k in rows], [sizes[k] for k in rows], vectors, edges, marks[rows])
+            # Padded by group, as long pieces may have many marks.
+            yield rows, self.counts([pieces[k] for k in rows], [sizes[k] for k in rows], vectors, edges, padded(batch["marks"].take(pa.array(rows))))
 
 
-def configurations(leaves: DataFrame, marks: DataFrame, distances: list[str], depths: list[int], budgets: list[int], tolerances: list[float], replicates: int = 1, seed: int = 0, most: int = MOST_LEAVES) -> DataFrame:
+def configurations(leaves: DataFrame, marks: DataFrame, distances: list[str], depths: list[int], budgets: list[int], tolerances: list[float], replicates: int = 1, seed: int = 0, most: int | None = None) -> DataFrame:
     """Counts (piece, size, method, replicate, kind, budget, tolerance, tp, fp, fn) of a whole grid of evaluations.
 
     leaves: (piece, size, leaf, start, end, vec), as binning.leaves gives for several sizes. Methods are greedy trees of
     each distance, the balanced tree, and random merges, of which there are `replicates`. Each tree is built once; its
     splits above each depth (kind `depth`), its latest merges up to each budget (`budget`), and as many as there are
-    marks (`oracle`, whose budget is that number) are matched for each tolerance. Pieces over `most` leaves are left out.
+    marks (`oracle`, whose budget is that number) are matched for each tolerance. If `most` is given, longer pieces are left out.
     """
     rows = packed(leaves, ["piece", "size"], marks, most)
     grid = Grid(distances, depths, budgets, tolerances, replicates, seed)
@@ -415,11 +417,12 @@ def configurations(leaves: DataFrame, marks: DataFrame, distances: list[str], de
     return rows.select("piece", "size", "leaves", "marks").mapInArrow(frames, CONFIGURED)
 
 
-def configuration_sums(leaves: DataFrame, marks: DataFrame, distances: list[str], depths: list[int], budgets: list[int], tolerances: list[float], replicates: int = 1, seed: int = 0, most: int = MOST_LEAVES) -> DataFrame:
+def configuration_sums(leaves: DataFrame, marks: DataFrame, distances: list[str], depths: list[int], budgets: list[int], tolerances: list[float], replicates: int = 1, seed: int = 0, most: int | None = None) -> DataFrame:
     """Rates of configurations as sums over the pieces of a work, with `pieces`; leaves have `work` too.
 
-    The rates of a piece are means over its replicates, and an oracle's budget is null. A task adds up its pieces, so the
-    rows that leave it don't grow with them: (work, size, method, kind, budget, tolerance, pieces, f1, recall, precision).
+    All pieces count, unless `most` leaves out longer ones; what a kernel keeps of a piece is linear in its leaves. The
+    rates of a piece are means over its replicates, and an oracle's budget is null. A task adds up its pieces, so the rows
+    that leave it don't grow with them: (work, size, method, kind, budget, tolerance, pieces, f1, recall, precision).
     """
     rows = packed(leaves, ["piece", "size", "work"], marks, most)
     grid = Grid(distances, depths, budgets, tolerances, replicates, seed)

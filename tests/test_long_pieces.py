@@ -5,8 +5,11 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from ligature.operators import grids as H
 from ligature.operators import kernels as K
+from ligature.operators import trees as R
 from ligature.plans import registry
 
 #: Users with an event every four days, and how many: a leaf of 96 hours each.
@@ -74,3 +77,26 @@ def test_merges_equal_those_found_anew():
             return int(np.argmax([0.7 * m - 0.3 * c[k - 1] - 0.1 * ((2 * k - i - j) / (j - i)) ** 2 for m, (i, k, j) in zip(mean, pairs, strict=True)]))
 
         assert K.boundary_linkage(a, c, 0.3, 0.1) == K.merged(n, pick)
+
+
+def pieces(spark, sizes, work="w0"):
+    """Leaves of so many for each piece, and a mark every seven leaves."""
+    rng = np.random.default_rng(6)
+    rows = [(f"p{p}", work, k, float(k), float(k + 1), rng.random(12).round(2).tolist()) for p, n in enumerate(sizes) for k in range(n)]
+    leaves = spark.createDataFrame(rows, "piece string, work string, leaf int, start double, end double, vec array<double>")
+    return leaves, leaves.where("leaf % 7 = 3").select("piece", (F.col("start") + 0.4).alias("t"))
+
+
+def test_configurations_of_long_pieces(spark):
+    leaves, marks = pieces(spark, [9, 360])
+    got = H.configuration_sums(leaves.withColumn("size", F.lit(1.0)), marks, ["euclidean"], [2, 5], [40], [0.5])
+    want: dict[tuple, list] = {}
+    for n, p in ((9, "p0"), (360, "p1")):
+        vectors = np.array([r["vec"] for r in leaves.where(F.col("piece") == p).orderBy("leaf").collect()])
+        for method, nodes in (("euclidean", K.greedy_distance(vectors, R.TRANSFORMS["euclidean"])), ("balanced", K.balanced(n))):
+            for kind, budget, splits in (*(("depth", d, H.above(nodes, d)) for d in (2, 5)), ("budget", 40, [k for _, _, k in nodes[::-1][:40]])):
+                tp, fp, fn = H.matches(sorted(map(float, splits)), [k + 0.4 for k in range(n) if k % 7 == 3], 0.5)
+                want.setdefault((method, kind, budget), []).append((tp / (tp + fn), tp / (tp + fp)))
+    sums = {k: (2, *np.sum(v, axis=0)) for k, v in want.items()}
+    found = got.where("method <> 'random' AND kind <> 'oracle'").groupBy("method", "kind", "budget").agg(*(F.sum(c) for c in ("pieces", "recall", "precision"))).collect()
+    assert {tuple(r[:3]): tuple(r[3:]) for r in found} == {k: pytest.approx(v) for k, v in sums.items()}
