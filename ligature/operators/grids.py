@@ -21,8 +21,6 @@ from .packs import CELLS, arrow_schema, by_length, lists, padded
 from .selection import best, by_scores
 from .trees import TRANSFORMS, matrix
 
-#: Longer pieces are left out.
-MOST_LEAVES = 350
 #: Trials of one piece that go into one row.
 TRIALS = 16
 #: How a split is taken: by a threshold of its salience, by a share of the possible splits, or as many as there are marks.
@@ -124,14 +122,15 @@ def taken(ranked: list[tuple[float, int, int]], mode: str, value: float, n: int,
 COUNTED = "kind string, stage string, outer_work string, work string, piece string, search string, weight double, balance double, mode string, value double, tp long, fp long, fn long"
 
 
-def trial_counts(leaves: DataFrame, marks: DataFrame, contrasts: DataFrame, grid: list[tuple[float, float]], thresholds: list[float], ratios: list[float], tolerance: float, distance: str = "euclidean", searches: tuple[str, ...] = SEARCHES, most: int = MOST_LEAVES) -> DataFrame:
+def trial_counts(leaves: DataFrame, marks: DataFrame, contrasts: DataFrame, grid: list[tuple[float, float]], thresholds: list[float], ratios: list[float], tolerance: float, distance: str = "euclidean", searches: tuple[str, ...] = SEARCHES, most: int | None = None) -> DataFrame:
     """Counts (kind, stage, outer_work, work, piece, search, weight, balance, mode, value, tp, fp, fn) of boundary-aware trees.
 
     leaves: (piece, leaf, start, end, vec), marks: (piece, t), contrasts: (kind, stage, outer_work, work, piece, split,
     score), one score in [0, 1] for each split of a piece in each trial. Trees are built for each trial and each
     (weight, balance) of grid, exactly and greedily, and splits are taken by each threshold of salience and each ratio; the
     outer stage has oracle rows as well, with as many splits as the piece has marks and no value. Trials of the kind
-    `similarity` take only the weight 0 (none, if the grid hasn't it). Pieces over `most` leaves, of one leaf or without all scores are left out.
+    `similarity` take only the weight 0 (none, if the grid hasn't it). Pieces of one leaf or without all scores are left out, and those
+    over `most` leaves if it is given.
     """
     keys = ["kind", "stage", "outer_work", "work"]
     one = contrasts.groupBy("piece", *keys).agg(F.array_sort(F.collect_list(F.struct("split", "score"))).alias("c"))
@@ -171,17 +170,24 @@ def trial_counts(leaves: DataFrame, marks: DataFrame, contrasts: DataFrame, grid
 def spans_of(cut: np.ndarray) -> np.ndarray:
     """[program, split - 1]: leaves of the node that each split divides, from cuts [program, first, past the last]."""
     size, n = len(cut), cut.shape[1] - 1
-    out, used = np.zeros((size, n - 1), np.int64), np.zeros(cut.shape, bool)
-    used[:, 0, n] = True
-    for length in range(n, 1, -1):
-        for i in range(n - length + 1):
-            at = np.flatnonzero(used[:, i, i + length])
-            k = cut[at, i, i + length]
-            out[at, k - 1] = length
-            used[at, i, k] = used[at, k, i + length] = True
+    out = np.zeros((size, n - 1), np.int64)
+    # All nodes of a depth at once.
+    at = np.arange(size if n > 1 else 0)
+    i, j = np.zeros(len(at), np.int64), np.full(len(at), n)
+    while len(at):
+        k = cut[at, i, j]
+        out[at, k - 1] = j - i
+        at, i, j = np.concatenate([at, at]), np.concatenate([i, k]), np.concatenate([k, j])
+        inner = j - i > 1
+        at, i, j = at[inner], i[inner], j[inner]
     return out
 
 
+def most_programs(n: int) -> int:
+    """How many interval programs of n leaves have tables of about CELLS numbers together; one at least."""
+    return max(1, CELLS // (n + 1) ** 2)
+
+
 def exact_spans(prefix: np.ndarray, whole: np.ndarray, of: np.ndarray, contrast: np.ndarray, weight: np.ndarray, balance: np.ndarray) -> np.ndarray:
     """spans_of the boundary programs of pieces of one length; prefix, whole: one for each piece; `of`: the piece of each program."""
     n, w, b = prefix.shape[1] - 1, weight[:, None, None], balance[:, None, None]
@@ -216,12 +222,13 @@ def greedy_spans(prefix: np.ndarray, of: np.ndarray, contrast: np.ndarray, weigh
 SUMMED = "kind string, stage string, outer_work string, work string, search string, weight double, balance double, mode string, value double, pieces long, f1 double, recall double, precision double"
 
 
-def trial_sums(leaves: DataFrame, marks: DataFrame, features: DataFrame, names: list[str], trials: list[dict], grid: list[tuple[float, float]], thresholds: list[float], ratios: list[float], tolerance: float, distance: str = "euclidean", searches: tuple[str, ...] = SEARCHES, most: int = MOST_LEAVES) -> DataFrame:
+def trial_sums(leaves: DataFrame, marks: DataFrame, features: DataFrame, names: list[str], trials: list[dict], grid: list[tuple[float, float]], thresholds: list[float], ratios: list[float], tolerance: float, distance: str = "euclidean", searches: tuple[str, ...] = SEARCHES, most: int | None = None) -> DataFrame:
     """What trial_counts counts, for the trials of fitted scorers and both plain kinds, as sums of rates over the pieces of a work.
 
     features: (piece, work, split, names), trials: dicts of stage, outer_work, work, weights, gain, intercept. A task adds up
     its pieces, so the rows that leave it don't grow with them: (..., pieces, f1, recall, precision). Trees of all trials and
-    settings of pieces of one length are built at once, those without weight on contrasts for all trials in common.
+    settings of pieces of one length are built at once, those without weight on contrasts for all trials in common. Pieces
+    of any length count, unless `most` leaves out longer ones; of a long piece so many programs go together as fit in CELLS.
     """
     one = features.groupBy("piece", "work").agg(F.array_sort(F.collect_list(F.struct("split", F.array(*names).cast("array<double>").alias("x")))).alias("c"))
     rows = dealt(packed(leaves, ["piece"], marks, most).join(one, "piece"), "piece")
@@ -249,13 +256,17 @@ def trial_sums(leaves: DataFrame, marks: DataFrame, features: DataFrame, names:
         of, c = np.repeat(np.arange(size), len(jobs)), np.tile([j[0] for j in jobs], size)
         weight, balance = (np.tile(np.array([j[k] for j in jobs], float), size) for k in (1, 2))
         own = contrast[of, c]
+        blocks = [slice(at, at + most_programs(n)) for at in range(0, len(of), most_programs(n))]
         # The program of each contrast and setting; the first contrast takes only settings without weight.
         uses = [(c, s, zero[g] if g[0] == 0 else len(plain) + (c - 1) * len(other) + other.index(g)) for c in range(kinds) for s, g in enumerate(grid) if c or g[0] == 0]
         span = np.array([0.0, *(np.log(m) / np.log(n) for m in range(1, n + 1))])
         counts = np.array([len(t) for t in times])
         out = np.zeros((size, kinds, len(grid), len(searches), len(candidates), 3))
         for a, search in enumerate(searches):
-            leaf = exact_spans(prefix, whole, of, own, weight, balance) if search == "exact" else greedy_spans(prefix, of, own, weight, balance)
+            if search == "exact":
+                leaf = np.concatenate([exact_spans(prefix, whole, of[b], own[b], weight[b], balance[b]) for b in blocks])
+            else:
+                leaf = greedy_spans(prefix, of, own, weight, balance)
             leaf = leaf.reshape(size, len(jobs), n - 1)[:, [u[2] for u in uses]]
             value = span[leaf] * contrast[:, [u[0] for u in uses]]
             rank = np.lexsort((np.broadcast_to(np.arange(n - 1), value.shape), -leaf, -value), axis=-1).argsort(axis=-1)
@@ -285,7 +296,7 @@ def trial_sums(leaves: DataFrame, marks: DataFrame, features: DataFrame, names:
                 if tried.get(work):
                     groups.setdefault((len(items), len(tried[work])), []).append((work, *arrays(items), list(times), np.array([list(s["x"]) for s in c])))
             for (n, t), pieces in groups.items():
-                step = max(1, CELLS // ((t + 2) * len(grid) * (n + 1) ** 2))
+                step = max(1, most_programs(n) // ((t + 2) * len(grid)))
                 for at in range(0, len(pieces), step):
                     works, vectors, edges, times, x = zip(*pieces[at : at + step], strict=True)
                     fitted = [np.array([[m[k] for m in tried[w]] for w in works], float) for k in ("weights", "gain", "intercept")]
@@ -465,7 +476,7 @@ def simplex(parts: int, steps: int) -> np.ndarray:
     return np.array(out)
 
 
-def mixture_counts(leaves: DataFrame, marks: DataFrame, distances: list[str], scales: list[float], steps: int, depth: int, tolerance: float, most: int = MOST_LEAVES) -> DataFrame:
+def mixture_counts(leaves: DataFrame, marks: DataFrame, distances: list[str], scales: list[float], steps: int, depth: int, tolerance: float, most: int | None = None) -> DataFrame:
     """(piece, weights, objective, tp, fp, fn): the exact additive tree of each mixture of scaled distances, by its splits above a depth.
 
     Distances of all pairs of neighbouring intervals are found once for each distance of a piece, and mixed for all

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ligature.operators import grids as H
 from ligature.operators import kernels as K
+from ligature.operators import matching as M
 from ligature.operators import trees as R
 from ligature.plans import registry
 
@@ -100,3 +101,26 @@ def test_configurations_of_long_pieces(spark):
     sums = {k: (2, *np.sum(v, axis=0)) for k, v in want.items()}
     found = got.where("method <> 'random' AND kind <> 'oracle'").groupBy("method", "kind", "budget").agg(*(F.sum(c) for c in ("pieces", "recall", "precision"))).collect()
     assert {tuple(r[:3]): tuple(r[3:]) for r in found} == {k: pytest.approx(v) for k, v in sums.items()}
+
+
+def test_trials_of_long_pieces(spark):
+    """Sums of rates count long pieces, as the counts of each do; programs of a piece go in blocks."""
+    leaves, marks = pieces(spark, [9, 360])
+    splits = leaves.where("leaf > 0").select("piece", "work", F.col("leaf").alias("split"), ((F.col("leaf") * 5 % 11) / 10).alias("u"), (F.pmod(F.col("leaf") * 3, F.lit(7)) / 6).alias("v"))
+    fitted = [{"stage": s, "outer_work": o, "work": "w0", "weights": [0.7, 0.3], "gain": 2.0, "intercept": 0.1} for s, o in (("inner", "x"), ("outer", "w0"))]
+    grid = [(0.0, 0.0), (0.6, 0.1)]
+    score = lambda m: 1 / (1 + F.exp(-m))
+    each = [("similarity", F.lit(1.0)), ("unsupervised", (F.col("u") + F.col("v")) / 2), ("supervised", score(F.lit(0.1) + 2 * (0.7 * F.col("u") + 0.3 * F.col("v") - 0.5)))]
+    contrasts = None
+    for t in fitted:
+        for kind, c in each:
+            one = splits.select(F.lit(kind).alias("kind"), F.lit(t["stage"]).alias("stage"), F.lit(t["outer_work"]).alias("outer_work"), "work", "piece", "split", c.alias("score"))
+            contrasts = one if contrasts is None else contrasts.unionByName(one)
+    plain = leaves.drop("work")
+    counted = H.trial_counts(plain, marks, contrasts, grid, [0.3], [0.2], 0.5)
+    keys = ["kind", "stage", "outer_work", "search", "weight", "balance", "mode", "value"]
+    rated = M.with_rates(counted).groupBy(*keys).agg(F.count("*").alias("pieces"), *(F.sum(c).alias(c) for c in ("f1", "recall", "precision")))
+    want = {tuple(r[:8]): tuple(r[8:]) for r in rated.collect()}
+    summed = H.trial_sums(plain, marks, splits, ["u", "v"], fitted, grid, [0.3], [0.2], 0.5).groupBy(*keys).agg(*(F.sum(c) for c in ("pieces", "f1", "recall", "precision")))
+    got = {tuple(r[:8]): tuple(r[8:]) for r in summed.collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()} and {v[0] for v in got.values()} == {2}
