@@ -8,6 +8,7 @@ from ligature.functions import encoders as E
 from ligature.functions import gradients as G
 from ligature.operators import learned as L
 from ligature.operators import training as T
+from ligature.plans import registry
 
 RNG = np.random.default_rng(0)
 
@@ -156,3 +157,18 @@ def test_metric_training_in_batches_stops_early(spark):
     assert T.metric_validation(held, w) == pytest.approx(max(scores))
     means = {r["work"]: r["m"] for r in T.work_weights(good).groupBy("work").agg(F.sum("weight").alias("m")).collect()}
     assert list(means.values()) == pytest.approx([20.0] * 3)
+
+
+def test_policy_training_shows_what_was_learnt(spark, tiny, monkeypatch):
+    """Its rows change with each of its stages, in all but the sizes of the trees."""
+    train, rows = T.train_policy, {}
+    for imitated, reinforced in ((2, 1), (0, 1), (2, 0), (0, 0)):
+        with monkeypatch.context() as m:
+            m.setattr(T, "train_policy", lambda pieces, encoder, a=imitated, b=reinforced, **o: train(pieces, encoder, **o | {"epochs": b if "start" in o else a}))
+            rows[imitated, reinforced] = {r["piece"]: r.asDict() for r in registry.queries()["policy_training"](spark, tiny).collect()}
+    whole = rows.pop((2, 1))
+    assert all(r["nodes"] == 2 * r["leaves"] - 1 and (r["leaves"] == 1 or 0 < r["split"] < r["leaves"]) for r in whole.values())
+    for other in rows.values():
+        assert {p: r["leaves"] for p, r in other.items()} == {p: r["leaves"] for p, r in whole.items()}
+        assert other != whole
+    assert any(r["split"] != rows[0, 0][p]["split"] for p, r in whole.items())
