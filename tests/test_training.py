@@ -172,3 +172,27 @@ def test_policy_training_shows_what_was_learnt(spark, tiny, monkeypatch):
         assert {p: r["leaves"] for p, r in other.items()} == {p: r["leaves"] for p, r in whole.items()}
         assert other != whole
     assert any(r["split"] != rows[0, 0][p]["split"] for p, r in whole.items())
+
+
+def test_metric_in_batches_trains_until_patience_ends(spark, tiny, monkeypatch):
+    """Training goes on until twenty epochs bring no better score, or to its last epoch, and its weights are those of the best."""
+    fit, met = T.fit_metric, {}
+
+    def told(examples, validation, **options):
+        met["weights"], met["history"] = fit(examples, validation, **options)
+        met["score"] = T.metric_validation(validation, met["weights"])
+        return met["weights"], met["history"]
+
+    monkeypatch.setattr(T, "fit_metric", told)
+    assert registry.queries()["metric_in_batches"](spark, tiny).count() > 0
+    scores = [score for _, _, score in met["history"]]
+    assert len(scores) == 150 or len(scores) > 20 and max(scores[-20:]) <= max(scores[:-20]) + 1e-8
+    assert met["score"] == pytest.approx(max(scores))
+
+
+def test_steps_do_not_carry_the_plan_before_them(spark):
+    rows = spark.range(2500).select(F.col("id").cast("string"), (F.col("id") % 3).alias("work")).groupBy("id").agg(F.max("work").alias("work"))
+    kept = T.kept_once(rows)
+    assert kept.rdd.getNumPartitions() == 3 and "Aggregate" not in kept.where("work = 1")._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["work"] for r in kept.collect()) == sorted(r["work"] for r in rows.collect())
+    kept.unpersist()
