@@ -12,6 +12,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,10 +195,14 @@ def exact_spans(prefix: np.ndarray, whole: np.ndarray, of: np.ndarray, contrast:
     some = whole > 0
 
     def gain(length: int, i: np.ndarray, k: np.ndarray, j: np.ndarray) -> np.ndarray:
-        cross = prefix[:, k, j] - prefix[:, i, j] - prefix[:, k, k] + prefix[:, i, k]
-        revenue = np.where(some[:, None, None], (n - length) * cross / np.where(some, whole, 1.0)[:, None, None], 0.0)[of]
-        uneven = (2 * k - i - j) / length
-        return (1 - w) * revenue + (w * np.log(length) / np.log(n) * contrast[:, k - 1] - b * uneven**2) / max(1, n - 1)
+        left, right, middle, all_ = K.diagonals(prefix, length)
+        cross = right - all_ - middle + left
+        revenue = np.where(some[:, None, None], (n - length) * cross / np.where(some, whole, 1.0)[:, None, None], 0.0)
+        revenue = revenue if len(revenue) == 1 else revenue[of]
+        # Imbalance depends on the place of a split in its interval alone.
+        uneven = (2 * np.arange(1, length) - length) / length
+        own = sliding_window_view(contrast, length - 1, axis=1)
+        return (1 - w) * revenue + (w * np.log(length) / np.log(n) * own - b * uneven**2) / max(1, n - 1)
 
     return spans_of(K.interval_cuts(n, len(of), gain, "midpoint")[0])
 
